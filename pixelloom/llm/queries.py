@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import line_dedup
+from pixelloom.llm import decontamination, line_dedup, sharding, token_counts
 
 QUERIES = {
+    "op5_sharding": sharding.op5_sharding,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLES = {
+    "op6_decontamination": decontamination.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
