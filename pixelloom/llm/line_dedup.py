@@ -34,6 +34,7 @@ def drop_bitmaps(occurrences: DataFrame, min_docs: int) -> DataFrame:
     ranged = occurrences.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions(*order)
     first = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
     shared = first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    shared = write_shared(shared, "shared-lines")  # straight from a table, so that adaptive execution can split the join of a hot line
     lost = occurrences.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     words = lost.groupBy("doc_id", "row_key", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import decontamination, line_dedup, sharding, simhash, token_counts
+from pixelloom.llm import decontamination, line_dedup, quality, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_decontamination": decontamination.op6_decontamination,
     "op9_line_dedup": line_dedup.op9_line_dedup,
