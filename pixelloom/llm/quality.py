@@ -131,7 +131,7 @@ def quality_rules(docs: DataFrame, trees: boosting.Trees, least_good: float = LE
             kept = [batch.column(name) for name in docs.columns]
             yield pa.RecordBatch.from_arrays([*kept, *columns], [*docs.columns, *made])
 
-    types = ["bigint"] * len(STATS) + ["boolean", "double", "boolean"]
+    types = ["long"] * len(STATS) + ["boolean", "double", "boolean"]
     schema = docs.schema
     for name, kind in zip(made, types, strict=True):
         schema = schema.add(name, kind)
