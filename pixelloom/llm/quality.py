@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelloom.llm import boosting
 from pixelloom.llm.common import table
@@ -120,7 +121,7 @@ def quality_rules(docs: DataFrame, trees: boosting.Trees, least_good: float = LE
     """
     made = [*STATS, "base_failed", "p_good", "kept"]
     docs = docs.drop(*made)
-    model = docs.sparkSession.sparkContext.broadcast(trees)
+    names, model = docs.columns, docs.sparkSession.sparkContext.broadcast(trees)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,14 +129,11 @@ def quality_rules(docs: DataFrame, trees: boosting.Trees, least_good: float = LE
             good = model.value.probability(features)
             failed = (stats[:, 0] < min_words) | (100 * stats[:, 4] > max_repeat * stats[:, 0])
             columns = [*(pa.array(c) for c in stats.T), pa.array(failed), pa.array(good), pa.array(~failed & (good >= least_good))]
-            kept = [batch.column(name) for name in docs.columns]
-            yield pa.RecordBatch.from_arrays([*kept, *columns], [*docs.columns, *made])
-
-    types = ["long"] * len(STATS) + ["boolean", "double", "boolean"]
-    schema = docs.schema
-    for name, kind in zip(made, types, strict=True):
-        schema = schema.add(name, kind)
-    return docs.mapInArrow(judge, schema)
+            kept = [batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], [*names, *made])
+
+    types = [T.LongType()] * len(STATS) + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
+    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, *map(T.StructField, made, types)]))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
