@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import decontamination, line_dedup, quality, sharding, simhash, token_counts
+from pixelloom.llm import decontamination, line_dedup, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_decontamination": decontamination.op6_decontamination,

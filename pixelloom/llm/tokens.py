@@ -15,6 +15,8 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII bytes that are neither letters nor digits.
+_MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 _powers: list[np.ndarray] = []
@@ -72,12 +74,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(data) else np.empty(0, np.uint8), offsets - offsets[0]
 
 
-def batch_words(column: pa.Array, fold: bool = True) -> Words:
-    """The words of each text, with A-Z as a-z if `fold`."""
+def batch_words(column: pa.Array, fold: bool = True, marks: bool = True) -> Words:
+    """The words of each text, with A-Z as a-z if `fold`; without `marks`, all ASCII but letters and digits separates words."""
     data, text_at = text_bytes(column)
     if fold:
         data = _FOLD[data]
-    gap = _SPACE[data]
+    gap = (_SPACE if marks else _MARKS)[data]
     edge = np.ones(len(data) + 1, bool)  # whether a word may not run on from the byte before
     edge[1:-1] = gap[:-1]
     edge[text_at[:-1]] = True
