@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import decontamination, line_dedup, quality, sharding, simhash, token_counts, toxicity
+from pixelloom.llm import decontamination, line_dedup, quality, sharding, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
