@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import decontamination, line_dedup, pieces, quality, sharding, simhash, token_counts, toxicity, url_filter
+from pixelloom.llm import decontamination, line_dedup, maxent, pieces, quality, sharding, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -12,12 +12,12 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_lm_scoring": maxent.op8_lm_scoring,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLES = {
     "op6_decontamination": decontamination.SQL,
-    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op9_line_dedup": line_dedup.SQL,
 }
