@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import table
+from pixelloom.llm.common import row_key, table
 from pixelloom.plans.components import connected_components
 from pixelloom.plans.storage import write_shared
 
@@ -43,15 +43,17 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """`(doc_id, fp)` for each row; `fp` is the fingerprint's 64 bits as a long."""
+    """`(doc_id, row_key, fp)` for each row; `fp` is the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            keys = [batch.column("doc_id"), batch.column("row_key")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(found.view(np.int64))], ["doc_id", "row_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select("doc_id", row_key().alias("row_key"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, row_key bigint, fp bigint")
 
 
 def _signature(fp):
@@ -118,7 +120,7 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """`(doc_id, fp, component_id)` for each row of `docs`.
+    """`(doc_id, row_key, fp, component_id)` for each row of `docs`.
 
     Documents link when their fingerprints differ in `radius` bits or fewer; `component_id` is the smallest doc_id reachable
     over links. Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows stay. doc_id must be an
@@ -141,14 +143,23 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     placed = placed.drop("alone").join(roots, "component_id", "left").select(
         "fp", F.when(F.col("nameless").isNull(), F.col("component_id")).alias("component_id")
     )
-    return prints.join(placed, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(placed, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """One row of each group of near-duplicates: the smallest doc_id. Rows whose doc_id is null stay if their group has no id."""
-    firsts = near_duplicates(docs.select("doc_id", "text"), radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = firsts.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One row of each group of near-duplicates: that of the smallest doc_id; columns unchanged.
+
+    Of several texts of that doc_id the one of the smallest hash stays, and exact repeats of the row only once.
+    Rows whose doc_id is null stay only if their group has no other id, one for each text. A column `row_key` is replaced.
+    """
+    docs = docs.drop("row_key")
+    found = near_duplicates(docs.select("doc_id", "text"), radius, shingle)
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = firsts.where("doc_id is not null").groupBy("doc_id").agg(F.min("row_key").alias("row_key"))
+    keep = named.unionByName(firsts.where("doc_id is null").select("doc_id", "row_key").distinct())
+    keyed = docs.withColumn("row_key", row_key())
+    same = F.coalesce(keyed["doc_id"] == keep["doc_id"], keyed["doc_id"].isNull() & keep["doc_id"].isNull())
+    return keyed.join(keep, (keyed["row_key"] == keep["row_key"]) & same, "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
