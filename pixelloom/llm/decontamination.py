@@ -99,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "mark", wid
 
     Null texts have no words and no hits. A null item id is the id ''; items with the same id count once. Rows that repeat
     are judged one by one, also with equal or null doc_id. Other columns pass through but for those named here, which are
-    replaced. Empty tables are fine on both sides.
+    replaced, and `row_key` and `spans`, which are left out. Empty tables are fine on both sides.
     """
     made = ["n_words", "n_hit", "items", "contaminated", "row_key", "spans"]
     docs = docs.drop(*made)

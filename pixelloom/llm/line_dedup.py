@@ -52,8 +52,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     Keys of `min_chars` code points or more in `min_docs` documents or more lose all their lines but those in the
     largest doc_id. A null text counts as empty: one empty line, kept. A null doc_id is a document of its own,
     smaller than all others. Rows that share a doc_id are one document for the counts, yet keep their own texts.
-    Other columns pass through, whatever their names, but for `n_lines`, `n_dropped`, `kept_text` and `row_key`,
-    which are replaced. An empty table gives an empty result.
+    Other columns pass through, whatever their names, but for `n_lines`, `n_dropped` and `kept_text`, which are replaced,
+    and `row_key`, which is left out. An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text", "row_key")
     occurrences = write_shared(line_hashes(docs.select("doc_id", "text"), min_chars), "lines")

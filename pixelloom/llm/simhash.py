@@ -150,7 +150,7 @@ def keep_first(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id; columns unchanged.
 
     Of several texts of that doc_id the one of the smallest hash stays, and exact repeats of the row only once.
-    Rows whose doc_id is null stay only if their group has no other id, one for each text. A column `row_key` is replaced.
+    Rows whose doc_id is null stay only if their group has no other id, one for each text. A column `row_key` is left out.
     """
     docs = docs.drop("row_key")
     found = near_duplicates(docs.select("doc_id", "text"), radius, shingle)
