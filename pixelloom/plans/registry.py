@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pixelloom.plans import canvas_queries
+from pixelloom.plans import canvas_queries, state_queries
 
-MODULES = [canvas_queries]
+MODULES = [canvas_queries, state_queries]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -65,7 +65,7 @@ SQL_LOG = """log AS (
     FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
 SQL_BORDERS = """borders AS (
     SELECT 'c' || n_nationkey AS comp_id, (n_nationkey % 5) * 2 AS x0, (n_nationkey // 5) * 2 AS y0, least((n_nationkey % 5) * 2 + 2, 9) AS x1,
-        least((n_nationkey // 5) * 2 + 2, 9) AS y1, n_regionkey * 86400.0 AS t0, (30 - n_regionkey) * 86400.0 AS t1
+        least((n_nationkey // 5) * 2 + 2, 9) AS y1, n_regionkey * 86400e0 AS t0, (30 - n_regionkey) * 86400e0 AS t1
     FROM nation)"""
 SQL_PIXELS = f"""{SQL_BORDERS}, pixels AS (
     SELECT b.comp_id, x, y, b.t0, b.t1 FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM borders) b, LATERAL (SELECT unnest(range(b.y0, b.y1 + 1)) AS y))"""
