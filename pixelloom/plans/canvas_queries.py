@@ -28,7 +28,7 @@ def _log(make):
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})  # no negative zero
 
 
 GAPS = f"""WITH {SQL_LOG}, gaps AS (
