@@ -201,3 +201,31 @@ def lifetime_stability(stays: DataFrame) -> DataFrame:
     times = stays.groupBy(*PIXEL, "color").agg(F.sum(F.col("end") - F.col("beg")).alias("secs"))
     pixel = times.groupBy(*PIXEL).agg((F.max("secs") / F.sum("secs")).alias("stability"))
     return pixel.groupBy("comp_id").agg(F.avg("stability").alias("stability"), F.count("*").alias("area"))
+
+
+def last_installed(stays: DataFrame) -> DataFrame:
+    """`(comp_id, x, y, color, last_got, last_lost)`: when each pixel last got and lost each colour in the composition's life; null where it never did."""
+    order = Window.partitionBy(*PIXEL).orderBy("beg")
+    fresh = F.coalesce(F.lag("color").over(order) != F.col("color"), F.lit(False))
+    leaves = F.coalesce(F.lead("color").over(order) != F.col("color"), F.lit(False))
+    marked = stays.withColumns({"got": F.when(fresh, F.col("beg")), "lost": F.when(leaves, F.col("end"))})
+    return marked.groupBy(*PIXEL, "color").agg(F.max("got").alias("last_got"), F.max("lost").alias("last_lost"))
+
+
+def attack_durations(stays: DataFrame, constant: DataFrame) -> DataFrame:
+    """Stretches in which a pixel is off its constant reference: when they begin, how long they last, whether the life ends first."""
+    joined = stays.join(constant, PIXEL).withColumn("off", F.col("color") != F.col("ref_const"))
+    order = Window.partitionBy(*PIXEL).orderBy("beg")
+    turn = F.coalesce(F.lag("off").over(order) != F.col("off"), F.lit(True)).cast("int")
+    runs = joined.withColumn("turn", turn).withColumn("run", F.sum("turn").over(order)).where("off")
+    return runs.groupBy(*PIXEL, "run").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.max("t1").alias("t1"), F.min("t0").alias("t0")).select(
+        *PIXEL, "beg", (F.col("end") - F.col("beg")).alias("duration"), (F.col("end") >= F.col("t1")).alias("open"), "t0"
+    )
+
+
+def return_times(attacks: DataFrame, width: float) -> DataFrame:
+    """Mean and median/ln 2 of the finished attacks' durations by the bin in which they begin."""
+    bins = F.ceil((F.col("beg") - F.col("t0")) / width).cast("int")
+    return attacks.where("not open").groupBy("comp_id", bins.alias("bin")).agg(
+        F.count("*").alias("n"), F.avg("duration").alias("mean"), (F.expr("percentile(duration, 0.5)") / F.log(F.lit(2.0))).alias("median_ln2")
+    )
