@@ -61,6 +61,16 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     data: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, n: int) -> np.ndarray:
+        """Hashes of the first `n` bytes of each word, 0 for words that are no longer than that."""
+        longer = self.ends - self.starts > n
+        at = self.starts[longer]
+        out = np.zeros(len(self.starts), np.uint64)
+        with np.errstate(over="ignore"):
+            out[longer] = mix((self.sums[at + n] - self.sums[at]) * _tables(len(self.data))[1][at] + np.uint64(n))
+        return out
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
@@ -93,4 +103,4 @@ def batch_words(column: pa.Array, fold: bool = True, marks: bool = True) -> Word
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
         hashes = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-    return Words(mix(hashes), np.searchsorted(starts, text_at), starts, ends, data)
+    return Words(mix(hashes), np.searchsorted(starts, text_at), starts, ends, data, sums)

@@ -2,7 +2,8 @@
 
 Each class has word and word-pair counts of its own, but an expression keeps them only where the numbers of documents that hold it tell
 the classes apart (`LEAST_APART`). All others are tied: both classes use the pooled counts, so that a rare word, a language or a
-topic that the sample happens to favour weighs the same on both sides. What is left backs off to continuation counts that both
+topic that the sample happens to favour weighs the same on both sides. A tied word backs off to its longest beginning (`PREFIXES`) that
+tells the classes apart, so a rare ending of a known stem counts like the stem. What is left backs off to continuation counts that both
 classes share. A document's evidence is the difference of the two log-likelihoods, divided by its length; a logistic curve,
 fitted on labelled documents that the counts don't hold, makes it a score.
 """
@@ -29,6 +30,9 @@ LEAST_APART = 16.0
 #: Most entries of the word table and of the pair table; the most frequent stay.
 WORD_ENTRIES = 1 << 19
 PAIR_ENTRIES = 1 << 20
+PREFIX_ENTRIES = 1 << 16
+#: Bytes of a word's beginnings that are counted as expressions of their own.
+PREFIXES = (4, 5, 6, 7, 8)
 DISCOUNT = 0.75
 #: Share of toxic documents that the score supposes, whatever their share among the labels.
 CURVE_SHARE = 0.2
@@ -77,6 +81,9 @@ class KneserNey:
     rest_log: np.ndarray  # 2 x n: log of the mass that context w leaves to the backoff
     pairs: np.ndarray
     pair_p: np.ndarray  # 2 x n: the discounted share of the pair in its context
+    own: np.ndarray  # whether a word is untied
+    prefixes: np.ndarray
+    prefix_log: np.ndarray  # log of the classes' ratio of shares
     tied: float = 0.0  # what a tied word adds to the evidence; taken off, so that texts without untied words have none
     slope: float = 0.0
     level: float = -2.0
@@ -89,7 +96,12 @@ class KneserNey:
             keys, before = _pairs(found.hashes, found.offsets)
             w, v, p = _find(self.words, found.hashes), _find(self.words, before), _find(self.pairs, keys)
             logs = [np.log(self.pair_p[c][p] + np.exp(self.rest_log[c][v] + self.word_log[c][w])) for c in (0, 1)]
-            sums = np.concatenate([[0.0], np.cumsum(logs[1] - logs[0])])
+            ratio, loose = logs[1] - logs[0], ~self.own[w] & (p == len(self.pairs) - 1)
+            for n in PREFIXES:  # longer ones last, so that they prevail
+                at = _find(self.prefixes, found.prefixes(n))
+                hit = loose & (at < len(self.prefixes) - 1)
+                ratio[hit] = self.prefix_log[at[hit]]
+            sums = np.concatenate([[0.0], np.cumsum(ratio)])
             n = np.diff(found.offsets)
             out.append((sums[found.offsets[1:]] - sums[found.offsets[:-1]]) / np.maximum(n, 1) - np.where(n > 0, self.tied, 0))
         return np.concatenate(out) if out else np.empty(0)
@@ -106,9 +118,9 @@ def apart(held0: Column, held1: Column, docs0: int, docs1: int) -> Column:
     return 2 * sum((part(*cell) for cell in cells[1:]), part(*cells[0]))
 
 
-def estimate(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], total: np.ndarray, spread: int) -> KneserNey:
+def estimate(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], prefixes: dict[str, np.ndarray], total: np.ndarray, spread: int) -> KneserNey:
     """Kneser-Ney estimates. words: h, c0, c1 (counts by class), left (distinct words before it, both classes), own (whether untied);
-    pairs, all untied: h, v, c0, c1; total: words by class; spread: distinct pairs of both classes."""
+    pairs, all untied: h, v, c0, c1; prefixes, all untied: h, c0, c1; total: words by class; spread: distinct pairs of both classes."""
     order = np.argsort(words["h"])
     words = {k: a[order] for k, a in words.items()}
     d, size = DISCOUNT, len(order) + 1
@@ -133,7 +145,11 @@ def estimate(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], total:
         p = np.where(context == size - 1, 0, np.maximum(pairs[f"c{c}"] - d, 0) / np.maximum(seen, 1))
         rest[c] = np.log(np.clip(1 - np.bincount(context, p, size), 0.01, 1))
         pair_p[c][:-1] = p
-    return KneserNey(spare, logs, rest, np.append(pairs["h"], 0), pair_p, float(tied[1] - tied[0]))
+    order = np.argsort(prefixes["h"])
+    prefixes = {k: a[order] for k, a in prefixes.items()}
+    share = [np.log((prefixes[f"c{c}"] + 0.5) / (total[c] + 1)) for c in (0, 1)]
+    heads, ratio = np.append(prefixes["h"], 0), np.append(share[1] - share[0], 0)
+    return KneserNey(spare, logs, rest, np.append(pairs["h"], 0), pair_p, own, heads, ratio, float(tied[1] - tied[0]))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -164,7 +180,7 @@ def _sample(labels: DataFrame, folds: list[int], rows: int) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and pairs, and of the documents that hold them, by class, summed within each chunk."""
+    """Counts of words (kind 0), pairs (1) and prefixes (2), and of the documents that hold them, by class, summed within each chunk."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
         done = 0
@@ -174,13 +190,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             side = toxic[done : done + len(part)]
             done += len(part)
             keys, before = _pairs(found.hashes, found.offsets)
-            for pair, hashes in ((False, found.hashes), (True, keys)):
+            heads = np.stack([found.prefixes(n) for n in PREFIXES]).ravel()
+            whose = np.tile(np.arange(len(found.hashes)), len(PREFIXES))[heads != 0]
+            everything = np.arange(len(found.hashes))
+            for kind, hashes, token in ((0, found.hashes, everything), (1, keys, everything), (2, heads[heads != 0], whose)):
                 unique, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-                held = np.unique(place * len(part) + owner)
+                held = np.unique(place * len(part) + owner[token])
                 count = lambda at, who: [np.bincount(at, side[who] == c, len(unique)).astype(np.int64) for c in (0, 1)]
-                v, w = (before[first], found.hashes[first]) if pair else (unique, unique)
-                columns = [unique.view(np.int64), v.view(np.int64), w.view(np.int64), *count(place, owner), *count(held // len(part), held % len(part))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), pair)), *map(pa.array, columns)], ["pair", "h", "v", "w", "c0", "c1", "d0", "d1"])
+                v, w = (before[first], found.hashes[first]) if kind == 1 else (unique, unique)
+                columns = [unique.view(np.int64), v.view(np.int64), w.view(np.int64), *count(place, owner[token]), *count(held // len(part), held % len(part))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), kind, np.int32)), *map(pa.array, columns)], ["kind", "h", "v", "w", "c0", "c1", "d0", "d1"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, curve_rows: int = CURVE_ROWS) -> KneserNey:
@@ -192,21 +211,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cu
     sample = _sample(labels, [0, 1], sample_rows)
     docs0, docs1 = (sample.where(F.col("toxic") == c).count() for c in (0, 1))
     counted = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    schema = "pair boolean, h bigint, v bigint, w bigint, c0 bigint, c1 bigint, d0 bigint, d1 bigint"
-    sums = counted.mapInArrow(_count, schema).groupBy("pair", "h").agg(F.first("v").alias("v"), F.first("w").alias("w"), *(F.sum(c).alias(c) for c in ("c0", "c1", "d0", "d1")))
+    schema = "kind int, h bigint, v bigint, w bigint, c0 bigint, c1 bigint, d0 bigint, d1 bigint"
+    sums = counted.mapInArrow(_count, schema).groupBy("kind", "h").agg(F.first("v").alias("v"), F.first("w").alias("w"), *(F.sum(c).alias(c) for c in ("c0", "c1", "d0", "d1")))
     sums = write_shared(sums.withColumn("own", apart(F.col("d0"), F.col("d1"), docs0, docs1) >= LEAST_APART), "expressions")
-    pairs, single = sums.where("pair"), sums.where("not pair")
+    single, pairs, heads = (sums.where(F.col("kind") == kind) for kind in (0, 1, 2))
     left = pairs.groupBy(F.col("w").alias("h")).agg(F.count("*").alias("left"))
     frequent = [F.desc(F.col("c0") + F.col("c1")), F.col("h")]
     words = single.select("h", "c0", "c1", "own").join(left, "h").orderBy(*frequent).limit(WORD_ENTRIES)
     untied = pairs.where("own").orderBy(*frequent).limit(PAIR_ENTRIES).select("h", "v", "c0", "c1")
+    stems = heads.where("own").orderBy(*frequent).limit(PREFIX_ENTRIES).select("h", "c0", "c1")
     total = single.agg(F.sum("c0"), F.sum("c1")).first()
 
     def arrays(df: DataFrame) -> dict[str, np.ndarray]:
         found = {name: c.to_numpy() for name, c in zip(df.columns, df.toArrow().columns, strict=True)}
         return {name: c.view(np.uint64) if name in ("h", "v") else c for name, c in found.items()}
 
-    model = estimate(arrays(words), arrays(untied), np.array([total[0] or 0, total[1] or 0]), pairs.count())
+    model = estimate(arrays(words), arrays(untied), arrays(stems), np.array([total[0] or 0, total[1] or 0]), pairs.count())
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
