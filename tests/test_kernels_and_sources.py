@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pixelloom import schemas
-from pixelloom.operators import complexity, compositions, network, nullmodels
+from pixelloom.operators import complexity, compositions, learning, network, nullmodels
 from pixelloom.config import TEST_CANVAS
 from pixelloom.plans.components import connected_components
 from pixelloom.sources import atlas, raw_logs
@@ -177,3 +177,18 @@ def test_polygon_kernel_in_spark(spark):
     assert compositions.polygon_pixels(borders).count() == 9
     merged = compositions.merge_ranges(spark.createDataFrame([("c", 0, 0, 0.0, 5.0), ("c", 0, 0, 5.0, 7.0), ("c", 0, 0, 9.0, 10.0)], schemas.COMP_PIXELS))
     assert sorted((r.t0, r.t1) for r in merged.collect()) == [(0.0, 7.0), (9.0, 10.0)]
+
+
+@given(st.lists(st.tuples(st.integers(-5, 5), st.integers(-5, 5)), min_size=1, max_size=12))
+def test_convex_hull(points):
+    hull = learning.convex_hull(points)
+    assert set(hull) <= set(points)
+    if len(hull) > 2:
+        for a, b in zip(hull, hull[1:] + hull[:1], strict=True):
+            assert all((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) >= 0 for p in points)
+
+
+def test_decay_times(spark):
+    rows = [(c, 1000.0 * i, float(np.exp(-1000.0 * i / tau))) for c, tau in ((0, 4000.0), (1, 90_000.0)) for i in range(8)]
+    found = {r.size_class: r.tau for r in learning.decay_times(spark.createDataFrame(rows, "size_class int, age double, share double")).collect()}
+    assert abs(found[0] / 4000 - 1) < 1e-3 and abs(found[1] / 90_000 - 1) < 1e-3
