@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import table
-from pixelloom.plans.storage import new_path
+from pixelloom.plans.storage import new_path, write_shared
 
 SCHEMA = "digest binary, version string, n_tokens bigint"
 #: Texts of these characters, without long unbroken runs, are split alike by both libraries; all others go to the reference library.
@@ -115,7 +115,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, ranks: str |
     misses = distinct.join(stored(), "digest", "left_anti").select("digest", "text")
     misses.mapInArrow(encode, SCHEMA).write.mode("append").parquet(cache_path)
     keyed = docs.withColumn("digest", _digest()).withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
-    return keyed.join(stored(), "digest").drop("digest")
+    counts = write_shared(stored(), "counts")  # straight from a table, so that adaptive execution can split the join of a hot text
+    return keyed.join(counts, "digest").drop("digest")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
