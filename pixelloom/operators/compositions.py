@@ -184,3 +184,17 @@ def pixel_owners(pixels: DataFrame, layers: int = 2) -> DataFrame:
 def size_distribution(pixels: DataFrame, per_decade: int = 5) -> DataFrame:
     area = pixels.groupBy("comp_id").agg(F.countDistinct("x", "y").alias("area"))
     return area.groupBy(F.floor(F.log10("area") * per_decade).cast("int").alias("bin")).agg(F.count("*").alias("n_comps"))
+
+
+def stable_border_ranges(borders: DataFrame, least: float = 0.9) -> DataFrame:
+    """Time ranges over which a composition's rectangle stays the same within `least`: consecutive borders (x0, y0, x1, y1, t0, t1) whose
+    common area is more than that share of both are merged."""
+    order = Window.partitionBy("comp_id").orderBy("t0", "t1")
+    old = {c: F.lag(c).over(order) for c in ("x0", "y0", "x1", "y1")}
+    marked = borders.withColumns({f"o_{c}": v for c, v in old.items()})
+    side = lambda a, b: F.greatest(F.least(f"{b}", f"o_{b}") - F.greatest(f"{a}", f"o_{a}") + 1, F.lit(0))
+    common = side("x0", "x1") * side("y0", "y1")
+    area = lambda p: (F.col(p + "x1") - F.col(p + "x0") + 1) * (F.col(p + "y1") - F.col(p + "y0") + 1)
+    moved = (F.col("o_x0").isNull() | (F.least(common / area(""), common / area("o_")) <= least)).cast("int")
+    grouped = marked.withColumn("moved", moved).withColumn("piece", F.sum("moved").over(order) - 1)
+    return grouped.groupBy("comp_id", "piece").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))

@@ -24,6 +24,15 @@ def split_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("t1", mid).unionByName(second)
 
 
+def moving_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borders in two halves of their time; every third composition moves by a pixel in between."""
+    b = adapter.borders(spark, sf_dir)
+    mid, n = (F.col("t0") + F.col("t1")) / 2, F.substring("comp_id", 2, 9).cast("int")
+    step = F.when(n % 3 == 0, 1).otherwise(0)
+    later = b.withColumns({"t0": mid, "x0": F.col("x0") + step, "x1": F.col("x1") + step})
+    return b.withColumn("t1", mid).unionByName(later)
+
+
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`nation` as entries of an atlas: two borders, one with a list of ranges; the first entry has a tag only."""
     b = adapter.borders(spark, sf_dir)
@@ -69,6 +78,7 @@ QUERIES = {
     "c9_cut_to_open": _with_sections(lambda p, s: compositions.cut_to_open(compositions.section_of_pixels(p, s)).select("comp_id", "x", "y", "t0", "t1")),
     "c10_sections": _with_sections(lambda p, s: compositions.section_of_pixels(p, s).groupBy("comp_id").agg(F.min("section").alias("section"), F.min("t_open").alias("t_open"))),
     "c11_lives": _of(lambda p: compositions.life(p, TEST_CANVAS.whiteout)),
+    "c12_stable_border_ranges": lambda s, d: compositions.stable_border_ranges(moving_borders(s, d)),
     "c13_location_jumps": _halves(compositions.location_jumps),
     "c14_active_area": _halves(lambda p: compositions.active_area(p, TEST_CANVAS.bin_width)),
     "c15_duplicates": _of(lambda p: compositions.duplicates(p.unionByName(p.where("comp_id < 'c15'").withColumn("comp_id", F.concat("comp_id", F.lit("_copy")))))),
@@ -98,6 +108,8 @@ ORACLES = {
     "c9_cut_to_open": f"WITH {SQL_PIXELS} SELECT comp_id, x, y, greatest(t0, CASE WHEN x <= 4 THEN 0 ELSE 432000 END) AS t0, t1 FROM pixels",
     "c10_sections": f"WITH {SQL_PIXELS} SELECT comp_id, min(CASE WHEN x <= 4 THEN 0 ELSE 1 END) AS section, min(CASE WHEN x <= 4 THEN 0e0 ELSE 432000 END) AS t_open FROM pixels GROUP BY 1",
     "c11_lives": f"WITH {SQL_PIXELS} SELECT comp_id, min(t0) AS tmin, least(max(t1), 2505600) AS tmax, count(DISTINCT (x, y)) AS area FROM pixels GROUP BY 1",
+    "c12_stable_border_ranges": f"""WITH {SQL_PIXELS} SELECT comp_id, 0 AS piece, t0, CASE WHEN {N} % 3 = 0 THEN (t0 + t1) / 2 ELSE t1 END AS t1 FROM borders
+        UNION ALL SELECT comp_id, 1, (t0 + t1) / 2, t1 FROM borders WHERE {N} % 3 = 0""",
     "c13_location_jumps": f"WITH {HALVES} SELECT comp_id, count(DISTINCT x % 2) = 2 AS jumps FROM halves GROUP BY 1",
     "c14_active_area": f"""WITH {HALVES}, b AS (SELECT comp_id, t0 AS a, unnest(range(1, CAST(ceil((t1 - t0) / 21600) AS INT) + 1)) AS bin FROM borders)
         SELECT b.comp_id, bin, count(DISTINCT (x, y)) AS active_area FROM b JOIN halves h ON h.comp_id = b.comp_id AND h.t0 < a + bin * 21600 AND h.t1 > a + (bin - 1) * 21600 GROUP BY 1, 2""",

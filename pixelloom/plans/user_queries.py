@@ -52,7 +52,10 @@ def _text_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = [i * 300_000.0 for i in range(1, 9)]
 BREAKS = [i * 100_000.0 for i in range(9, 17)]
 
+NORMALISED = ("share_moderator", "share_cheat", "share_redundant_col", "share_redundant_colanduser", "changes_rate", "changes_per_user")
+
 QUERIES = {
+    "t28_normalised_counts": lambda s, d: rounded(changes.normalised_counts(changes.change_counts(flagged(s, d), WIDTH), lives(s, d).select("comp_id", "area"), WIDTH), *NORMALISED, digits=9),
     "u1_attention": lambda s, d: rounded(users.attention(flagged(s, d), 300), "mean", "median", "pix_norm", digits=9),
     "u2_user_paths": lambda s, d: rounded(users.paths(flagged(s, d)), "path_length", "mean_step", "mean_off_centre", "session", "mean_gap", "speed"),
     "u3_recovery_times": lambda s, d: users.recovery_times(write_shared(difference_series(s, d), "difference"), 0.6, 0.35),
@@ -87,6 +90,9 @@ WEIGHTS = f"""{SQL_PIXELS}, areas AS (SELECT comp_id, count(DISTINCT (x, y)) AS
     pweight AS (SELECT x, y, CAST(min(perimeter) AS DOUBLE) AS weight FROM pixels JOIN edge USING (comp_id) GROUP BY 1, 2)"""
 
 ORACLES = {
+    "t28_normalised_counts": f"""WITH {SQL_STATE}, {LIVES} SELECT b.comp_id, bin, round(count(*) FILTER (WHERE moderator) / count(*), 9) AS share_moderator, round(count(*) FILTER (WHERE cooldown_cheat) / count(*), 9) AS share_cheat,
+        round(count(*) FILTER (WHERE redundant_col) / count(*), 9) AS share_redundant_col, round(count(*) FILTER (WHERE redundant_colanduser) / count(*), 9) AS share_redundant_colanduser,
+        round(count(*) / (any_value(area) * 21600), 9) AS changes_rate, round(count(*) / count(DISTINCT "user"), 9) AS changes_per_user FROM binned b JOIN borders_ USING (comp_id) GROUP BY 1, 2""",
     "u1_attention": f"""WITH {SQL_CHANGES}, life AS (SELECT comp_id, min(t0) AS a, max(t1) AS b, count(DISTINCT (x, y)) AS n_pix FROM changes GROUP BY 1),
         per AS (SELECT comp_id, "user", count(*) AS n FROM changes WHERE active GROUP BY 1, 2),
         v AS (SELECT per.*, n / ((b - a) / 300) AS att, n_pix, row_number() OVER (PARTITION BY comp_id ORDER BY n DESC, "user") AS i FROM per JOIN life USING (comp_id))
