@@ -9,7 +9,7 @@ forest of its links instead of the links, so a dense group costs no more rows th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -128,6 +128,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     An empty table gives an empty result. Other columns are not looked at.
     """
     prints = write_shared(fingerprints(docs, shingle), "fingerprints")
+    return groups(prints, lambda distinct: near_links(distinct, radius))
+
+
+def groups(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`prints` (doc_id, row_key, fp) with `component_id`; `links` gives the links `(u, v)` of distinct rows `(fp, node)`."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"))
     # fingerprints that only null ids have take numbers of their own, which are taken away again at the end
     named = distinct.withColumn("alone", F.col("node").isNull())
@@ -135,7 +140,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
         top = distinct.agg(F.max("node")).first()[0]
         named = named.withColumn("node", F.coalesce("node", F.lit((top or 0) + 1) + F.monotonically_increasing_id()))
         named = write_shared(named, "nodes")
-    found = connected_components(near_links(named.select("fp", "node"), radius))
+    found = connected_components(links(named.select("fp", "node")))
     placed = named.join(found, named["node"] == found["node"], "left").select(
         "fp", F.coalesce("component", named["node"]).alias("component_id"), "alone"
     )
@@ -152,8 +157,13 @@ def keep_first(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     Of several texts of that doc_id the one of the smallest hash stays, and exact repeats of the row only once.
     Rows whose doc_id is null stay only if their group has no other id, one for each text. A column `row_key` is left out.
     """
+    return firsts_of(docs, lambda texts: near_duplicates(texts, radius, shingle))
+
+
+def firsts_of(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of `docs` that `keep_first` keeps of the groups that `find` returns for its doc_id and text."""
     docs = docs.drop("row_key")
-    found = near_duplicates(docs.select("doc_id", "text"), radius, shingle)
+    found = find(docs.select("doc_id", "text"))
     firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     named = firsts.where("doc_id is not null").groupBy("doc_id").agg(F.min("row_key").alias("row_key"))
     keep = named.unionByName(firsts.where("doc_id is null").select("doc_id", "row_key").distinct())
