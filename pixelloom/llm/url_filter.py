@@ -1,18 +1,19 @@
 """URL verdicts by a path-template tree for each host.
 
 Level by level, the segments of all paths become parts of templates. Runs of digits are `#`. A segment that too few URLs
-of its parent share is variable and becomes `*`. A frequent segment stays as it is only if its labelled purity differs from its parent's by more than
-chance; frequent segments that don't are merged into one branch, `~`. A finished template's purity is smoothed
+of its parent share is variable and becomes `*`, unless it has enough labels and these differ from its parent's by more than chance, whatever its share. A
+frequent segment stays as it is only if its labelled purity differs so; frequent segments that don't are merged into one branch, `~`. A finished template's purity is smoothed
 towards its host's, and the host's towards that of all labels; templates below the threshold are rejected. Given rules come
 first.
 
-All steps are aggregations and equi-joins keyed by host, template so far and segment. Counts are summed before each shuffle; a parent has at most
-1 / `MIN_SHARE` frequent segments.
+All steps are aggregations and equi-joins keyed by host, template so far and segment. Counts are summed before each shuffle. Levels go on to
+the deepest path, with only the unfinished paths in each; a template of too few URLs to branch is finished at once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,14 @@ from pixelloom.plans.storage import write_shared
 
 #: A segment is frequent with this share of its parent's URLs, and this many.
 MIN_SHARE, MIN_COUNT = 0.02, 5
+#: Labels with which a segment of any share can stay.
+MIN_LABELS = 5
 #: Standard errors from the parent's purity beyond which a branch is not merged.
 MERGE_Z = 3.0
 #: Labels that the prior weighs as.
 SMOOTHING = 20.0
 #: Templates of a smoothed purity below this are rejected.
 MIN_PURITY = 0.5
-#: Segments beyond this depth are one variable tail.
-MAX_DEPTH = 8
 
 
 @dataclass(frozen=True)
@@ -71,32 +72,42 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def _level(paths: DataFrame, depth: int) -> DataFrame:
-    """Add segment number `depth` to the templates."""
+    """Add segment number `depth` to the templates of `paths`, all of which have one."""
     at = F.get("segments", F.lit(depth))
     here = paths.withColumn("segment", at)
     key = ["host", "template", "segment"]
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
-    branches = here.where(at.isNotNull()).groupBy(*key).agg(*sums)
+    branches = here.groupBy(*key).agg(*sums)
     parents = branches.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "good")))
     joined = branches.join(parents, ["host", "template"])
-    frequent = joined.where((F.col("n") >= MIN_COUNT) & (F.col("n") >= MIN_SHARE * F.col("all_n")))
+    frequent = (F.col("n") >= MIN_COUNT) & (F.col("n") >= MIN_SHARE * F.col("all_n"))
+    enough = (F.col("n") >= MIN_COUNT) & (F.col("labelled") >= MIN_LABELS)
     p = (F.col("all_good") + 0.5) / (F.col("all_labelled") + 1)
     z = F.when(F.col("labelled") > 0, F.abs(F.col("good") / F.col("labelled") - p) / F.sqrt(p * (1 - p) / F.col("labelled"))).otherwise(0.0)
-    kept = write_shared(frequent.select(*key, F.when(z > MERGE_Z, F.col("segment")).otherwise("~").alias("part")), "branches")
-    named = here.join(kept, key, "left")
-    part = F.when(at.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("part", F.lit("*"))))
-    return named.withColumn("template", part).drop("segment", "part")
+    part = F.when((frequent | enough) & (z > MERGE_Z), F.col("segment")).when(frequent, "~")
+    kept = write_shared(joined.select(*key, part.alias("part")).where("part is not null"), "branches")
+    rare = parents.where(F.col("all_n") < MIN_COUNT).select("host", "template", F.lit(True).alias("rare"))
+    named = here.join(kept, key, "left").join(rare, ["host", "template"], "left")
+    tail = F.when(F.col("rare"), F.expr(f"repeat('/*', size(segments) - {depth})")).otherwise(F.concat(F.lit("/"), F.coalesce("part", F.lit("*"))))
+    segments = F.when(F.col("rare"), F.slice("segments", 1, depth + 1)).otherwise(F.col("segments"))
+    return named.select(*[F.concat("template", tail).alias(c) if c == "template" else segments.alias(c) if c == "segments" else c for c in paths.columns])
 
 
 def path_templates(urls: DataFrame) -> DataFrame:
     """`(host, path, template, purity)` for each distinct host and path of `urls` (host, path, labelled, good)."""
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     segments = F.split(F.regexp_replace("path", "[0-9]+", "#"), "/")
-    head = F.slice(segments, 2, MAX_DEPTH)
-    tail = F.when(F.size(segments) > MAX_DEPTH + 1, F.array(F.lit("**"))).otherwise(F.expr("cast(array() as array<string>)"))
-    paths = write_shared(paths.withColumn("segments", F.concat(head, tail)).withColumn("template", F.lit("")), "paths")
-    for depth in range(paths.agg(F.max(F.size("segments"))).first()[0] or 0):
-        paths = _level(paths, depth)
+    segments = F.slice(segments, F.lit(2), F.size(segments))
+    unfinished = write_shared(paths.withColumn("segments", segments).withColumn("template", F.lit("")), "paths")
+    finished, depth = [], 0
+    while True:
+        finished.append(unfinished.where(F.size("segments") <= depth))
+        unfinished = unfinished.where(F.size("segments") > depth)
+        if unfinished.isEmpty():
+            break
+        unfinished = write_shared(_level(unfinished, depth), "level")
+        depth += 1
+    paths = reduce(DataFrame.unionByName, finished)
     paths = write_shared(paths.select("host", "path", "template", "labelled", "good"), "templates")
     smooth = lambda good, labelled, prior: (good + SMOOTHING * prior) / (labelled + SMOOTHING)
     every = paths.agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).first()

@@ -106,6 +106,19 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), labels).count() == 0
 
 
+def test_url_filter_tells_small_and_deep_sections(spark):
+    """One of 60 equal sections is bad; so is one section below the tenth segment, beside a good one."""
+    deep = "/".join("abcdefghij")
+    urls = [(f"http://many.org/section-{chr(97 + s // 26)}{chr(97 + s % 26)}/{i}", s != 33) for s in range(60) for i in range(s * 100, s * 100 + 100)]
+    urls += [(f"http://deep.org/{deep}/{'good' if i % 2 else 'bad'}/{i}", bool(i % 2)) for i in range(6000, 6400)]
+    urls.append(("http://deep.org/" + "x/" * 300, True))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(good)) for i, (_, good) in enumerate(urls[:-1])], "doc_id long, quality int")
+    rows = url_filter.judge_urls(pages, labels).collect()
+    assert len(rows) == len(urls)
+    assert {r.url for r in rows if r.verdict == "block"} == {u for u, good in urls if not good}
+
+
 def toxic_corpus(n=1200):
     rng = random.Random(5)
     common = [f"word{i}" for i in range(300)]
