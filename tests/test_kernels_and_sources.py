@@ -161,6 +161,16 @@ def test_clustering(spark):
     assert (row.n_triangles, row.n_triples, row.clustering) == (1, 5, 0.6)
 
 
+def test_whole_clustering_keeps_weak_edges_of_the_largest_component(spark, monkeypatch):
+    from pixelloom.plans import registry, user_queries
+
+    big, small = [(1, 2, 0.01), (2, 3, 0.02), (1, 3, 0.5), (3, 4, 0.1)], [(7, 8, 0.9), (8, 9, 0.9), (7, 9, 0.9)]
+    made = spark.createDataFrame(big + small, "u long, v long, w double")
+    monkeypatch.setattr(user_queries, "edges", lambda s, d: made)
+    row = registry.QUERIES["n5_whole_clustering"](spark, "").first()
+    assert (row.n_triangles, row.n_triples, row.clustering) == (1, 5, 0.6)
+
+
 def test_null_models_follow_their_weights(spark):
     log = spark.range(20_000).select(F.col("id").alias("event_id"), (F.col("id") * 100.0).alias("seconds"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).cast("long").alias("user"), F.lit(0).alias("color"), F.lit(False).alias("moderator"))
     weights = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (5, 2, 4.0)], "x int, y int, weight double")
