@@ -1,167 +1,228 @@
-"""Language-model scores of a hashed maximum-entropy model.
-
-Tokens are words and one end for each text. The `HEAD` most frequent words are in classes of equal size, all others in `TAIL` classes by
-their last letters, and the end is a class of its own. The model is a softmax over classes and, in a head class, a softmax over its words,
-both with hashed features of the words before: the last, the one before that (a skip), and the two together (a trigram's context).
-Within a tail class a word has its share of the class's smoothed counts, so that all words, known or not, have probabilities that sum to one.
-
-Counts cover every training text and are summed by Spark. Training is one pass of distributed gradient updates: each task
-starts from the counts' log-shares, steps through its texts' distinct trigrams, and the tasks' updates are
-averaged, weighted by tokens. Scoring sees each trigram of a batch once. Counts of the `KNOWN_WORDS` most
-frequent words are broadcast, which is a fixed bound; rarer words are looked up by a join.
+"""Language-model scores of a hashed maximum-entropy model with a class-factored softmax.
+
+Tokens are words and one end for each text. A word's path leads from the root through classes of classes: first one of `CLASSES` by
+its last letters (or the end), then `DEPTH` times one of `BRANCH` parts of nearly equal counts, most frequent words first. Every step is a
+softmax over the parts of a node with hashed features: at the root of the last word, of the one before (a skip), and of both (a
+trigram's context); below it of the last word with the node. Contexts are words by their full hashes, not only frequent ones.
+In the last class a word has its share of the class's smoothed counts, so all words, known or not, have probabilities that sum to one.
+
+Counts cover every training text and are summed by Spark. The weights start from the counts' log-shares and are trained in `ROUNDS` synchronous
+steps. In each, tasks sum over their part of the texts what the model expects and what occurs, by feature and output; Spark adds these up,
+and the weights move along the gradient (occurred less expected), scaled to the log-ratio of the two. The sums don't depend on how texts are
+spread over tasks, so neither do the scores, but for rounding. Counts of the `KNOWN_WORDS` most frequent words are broadcast; rarer words
+are looked up by a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import table
-from pixelloom.llm.tokens import batch_words
+from pixelloom.llm.common import row_key, table
+from pixelloom.llm.tokens import batch_words, mix
 from pixelloom.llm.toxicity import chunks, fold_of
 from pixelloom.plans.storage import write_shared
 
-HEAD_CLASSES, CLASS_WORDS, TAIL = 16, 32, 16
-HEAD = HEAD_CLASSES * CLASS_WORDS
-CLASSES = HEAD_CLASSES + TAIL + 1
-#: Symbols: head words, tail classes, end, and what stands before a text.
-END, BEGIN = HEAD + TAIL, HEAD + TAIL + 1
-#: Rows of either weight table.
-ROWS = 1 << 15
+BRANCH, DEPTH = 16, 2
+#: Classes of words by their last letters; the root's last part is the end.
+CLASSES = BRANCH - 1
+END = CLASSES
+#: Cells at the bottom of each class. The last one also holds rare and unknown words.
+CELLS = BRANCH**DEPTH
+#: First node of each level: the root, the classes, their parts, and so on; and how many there are.
+FIRST = [0, *(1 + CLASSES * sum(BRANCH**i for i in range(d)) for d in range(DEPTH))]
+NODES = 1 + CLASSES * sum(BRANCH**d for d in range(DEPTH))
+#: Rows of the weight tables of the root and of the nodes below. Features are hashed to them; more rows, fewer collisions.
+ROOT_ROWS, LOWER_ROWS = 1 << 16, 1 << 18
+ROWS = ROOT_ROWS + LOWER_ROWS
 KNOWN_WORDS = 1 << 20
-RATE, MINIBATCH = 0.15, 8192
-CHUNK = 4 << 20
+ROUNDS = 4
+#: Share of the log-ratio that a step takes, at the root (where three features add up) and below; what both sums are raised by.
+ROOT_RATE, LOWER_RATE, PRIOR = 0.4, 0.9, 0.5
+#: Bytes of text that are split at once, and events that are weighed at once.
+CHUNK, SLICE = 4 << 20, 1 << 15
+#: Hash of what stands before a text.
+BEGIN = np.uint64(1)
 
 
-def _row(kind: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of a feature to a row of a weight table; row 0 is the bias of the classes."""
+def _row(kind: int, context: np.ndarray, node: np.ndarray | int) -> np.ndarray:
+    """Hash of a feature to a row of the tables."""
     with np.errstate(over="ignore"):
-        x = (np.asarray(a, np.uint64) * np.uint64(4099) + np.asarray(b, np.uint64) * np.uint64(131) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
-    return 1 + ((x >> np.uint64(33)) % np.uint64(ROWS - 1)).astype(np.int64)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        x = mix(np.asarray(context, np.uint64) + np.asarray(node, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind))
+    rows, first = (ROOT_ROWS, 0) if kind < 4 else (LOWER_ROWS, ROOT_ROWS)
+    return first + ((x >> np.uint64(20)) % np.uint64(rows)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """Weights, head words and counts. `known`, `known_count`: sorted hashes of frequent words and their counts."""
+    """`known`, `known_count`, `known_cell`: sorted hashes of frequent words, their counts and cells; `mass`: counts + 1 summed over each cell."""
 
-    head: np.ndarray  # sorted hashes
-    head_symbol: np.ndarray
     known: np.ndarray
     known_count: np.ndarray
+    known_cell: np.ndarray
+    mass: np.ndarray
+    bias: np.ndarray
     tokens: int
     distinct: int
     ends: int
-    tail_mass: np.ndarray  # counts + distinct words + 1 of each tail class
-    classes: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, CLASSES), np.float32))
-    words: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, CLASS_WORDS), np.float32))
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        tail = HEAD + (hashes & np.uint64(TAIL - 1)).astype(np.int64)
-        if not len(self.head):
-            return tail
-        at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-        return np.where(self.head[at] == hashes, self.head_symbol[at], tail)
-
-    def features(self, before: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-        return [np.zeros(len(last), np.int64), _row(1, last, np.zeros_like(last)), _row(2, before, np.zeros_like(last)), _row(3, last, before)]
-
-    def word_features(self, before: np.ndarray, last: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
-        return [_row(4, group, np.zeros_like(group)), _row(5, last, group), _row(6, before, group)]
-
-
-def class_of(symbol: np.ndarray) -> np.ndarray:
-    return np.where(symbol < HEAD, symbol // CLASS_WORDS, symbol - HEAD + HEAD_CLASSES)
+    weights: np.ndarray
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and count of each word; those that are not among the frequent ones are in the last cell of their class, with count 0."""
+        tail = ((hashes & np.uint64(BRANCH - 1)).astype(np.int64) + 1) * CELLS - 1
+        if not len(self.known):
+            return tail, np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        here = self.known[at] == hashes
+        return np.where(here, self.known_cell[at], tail), np.where(here, self.known_count[at], 0)
+
+    def log_odds(self, node: np.ndarray | int, rows: list[np.ndarray]) -> np.ndarray:
+        """Log-probabilities of all parts of each node."""
+        z = self.weights[rows[0]]
+        for r in rows[1:]:
+            z += self.weights[r]
+        z += self.bias[node]
+        most = z
+        while most.shape[1] > 1:  # by halves, which is faster than a reduction along short rows
+            half = most.shape[1] // 2
+            most = np.maximum(most[:, :half], most[:, half:])
+        z -= most
+        z -= np.log(np.einsum("ij->i", np.exp(z)))[:, None]
+        return z
+
+
+def root_rows(before: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        both = mix(before) * np.uint64(31) + last
+    return [_row(1, last, 0), _row(2, before, 0), _row(3, both, 0)]
 
 
 def hashed_words(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, the tail class in the lowest bits, and where each text's words begin."""
+    """Hashes of all words, the class in the lowest bits, and where each text's words begin."""
     found = batch_words(part)
     last = found.data[np.maximum(found.ends - 1, 0)].astype(np.uint64) * np.uint64(31)
     last += np.where(found.ends - found.starts > 1, found.data[np.maximum(found.ends - 2, 0)], 0).astype(np.uint64)
     with np.errstate(over="ignore"):
-        group = (last * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
-    return (found.hashes & ~np.uint64(TAIL - 1)) | group, found.offsets
+        group = ((last * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(CLASSES)
+    return (found.hashes & ~np.uint64(BRANCH - 1)) | group, found.offsets
 
 
-def _sequence(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's symbol, the two before it, and where each text's tokens begin; every text ends with an end."""
-    texts = len(offsets) - 1
-    begins = offsets + np.arange(texts + 1)
-    out = np.full(begins[-1], END, np.int64)
-    inner = np.ones(len(out), bool)
-    inner[begins[1:] - 1] = False
-    out[inner] = symbols
-    last = np.concatenate([[BEGIN], out[:-1]])
-    last[begins[:-1]] = BEGIN
-    before = np.concatenate([[BEGIN], last[:-1]])
-    before[begins[:-1]] = BEGIN
-    return out, last, before, begins
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
 
 
-def _trigrams(symbol: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (before, last, symbol), their counts, and which of them each token is."""
-    keys, place, count = np.unique((before * 1024 + last) * 1024 + symbol, return_inverse=True, return_counts=True)
-    return keys >> 20, (keys >> 10) & 1023, keys & 1023, count, place
+@dataclass
+class Weighed:
+    """Contexts at one level, and the steps that were taken from them: `at` places of the steps, `of` the context of each, `taken` its part, `count`."""
 
+    rows: list[np.ndarray]
+    logs: np.ndarray
+    total: np.ndarray  # count of each context
+    at: slice
+    of: np.ndarray
+    taken: np.ndarray
+    count: np.ndarray
 
-class Trainer:
-    """Gradient steps with per-row-and-column rates (AdaGrad) on one task's texts, from a model's weights."""
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.seen = model, 0
-        self.tables = [model.classes.copy(), model.words.copy()]
-        self.squares = [np.full_like(t, 1e-2) for t in self.tables]
-        self.random = np.random.default_rng(0)
-
-    def _step(self, which: int, rows: list[np.ndarray], target: np.ndarray, count: np.ndarray) -> None:
-        weights, squares = self.tables[which], self.squares[which]
-        p = np.exp(_log_softmax(sum((weights[r] for r in rows[1:]), weights[rows[0]])))
-        p[np.arange(len(target)), target] -= 1
-        p *= count[:, None]
-        flat = np.concatenate(rows)
-        order = np.argsort(flat, kind="stable")
-        used, first = np.unique(flat[order], return_index=True)
-        gradient = np.add.reduceat(p[order % len(target)], first, axis=0)
-        squares[used] += gradient**2
-        weights[used] -= RATE * gradient / np.sqrt(squares[used])
-
-    def learn(self, part: pa.Array) -> None:
+@dataclass
+class Events:
+    """The distinct words of a chunk, and its tokens as distinct steps from contexts. Places of words count from 2: 0 is the end, 1 the begin."""
+
+    words: np.ndarray
+    cell: np.ndarray
+    known: np.ndarray  # counts of the frequent words
+    begins: np.ndarray
+    token: np.ndarray  # place of each token's word
+    root: tuple[np.ndarray, np.ndarray]  # sorted keys of (before, last, class), counts
+    root_of: np.ndarray
+    lower: tuple[np.ndarray, np.ndarray]  # sorted keys of (last, cell), counts
+    lower_of: np.ndarray  # for tokens that are words
+
+    @staticmethod
+    def of(model: Model, part: pa.Array) -> Events:
         hashes, offsets = hashed_words(part)
-        symbol, last, before, _ = _sequence(self.model.symbols(hashes), offsets)
-        self.seen += len(symbol)
-        before, last, symbol, count, _ = _trigrams(symbol, last, before)
-        shuffled = self.random.permutation(len(symbol))
-        for i in range(0, len(shuffled), MINIBATCH):
-            some = shuffled[i : i + MINIBATCH]
-            b, v, w, n = before[some], last[some], symbol[some], count[some].astype(np.float32)
-            self._step(0, self.model.features(b, v), class_of(w), n)
-            head = np.flatnonzero(w < HEAD)
-            if len(head):
-                b, v, w = b[head], v[head], w[head]
-                self._step(1, self.model.word_features(b, v, w // CLASS_WORDS), w % CLASS_WORDS, n[head])
-
-    def updates(self) -> Iterator[pa.RecordBatch]:
-        """Rows that moved: table, row, and the movement times the tokens seen."""
-        for which, (now, then) in enumerate(zip(self.tables, (self.model.classes, self.model.words), strict=True)):
-            moved = np.flatnonzero((now != then).any(axis=1))
-            change = np.zeros((len(moved), CLASSES))
-            change[:, : now.shape[1]] = (now[moved].astype(np.float64) - then[moved]) * self.seen
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(moved), which, np.int32)), pa.array(moved), *map(pa.array, change.T)], ["which", "row", *_COLUMNS]
-            )
-
-
-_COLUMNS = [f"v{i}" for i in range(CLASSES)]
+        words, back = np.unique(np.concatenate([np.array([0, BEGIN], np.uint64), hashes]), return_inverse=True)
+        cell, known = model.look_up(words)
+        begins = offsets + np.arange(len(offsets))
+        token = np.zeros(begins[-1], np.int64)
+        inner = np.ones(len(token), bool)
+        inner[begins[1:] - 1] = False
+        token[inner] = back[2:]
+        last = np.concatenate([[1], token[:-1]])
+        last[begins[:-1]] = 1
+        before = np.concatenate([[1], last[:-1]])
+        before[begins[:-1]] = 1
+        group = np.where(token == 0, END, cell[token] // CELLS)
+        keys, root_of, count = np.unique((before * len(words) + last) * BRANCH + group, return_inverse=True, return_counts=True)
+        low, lower_of, low_count = np.unique((last * (CLASSES * CELLS) + cell[token])[inner], return_inverse=True, return_counts=True)
+        return Events(words, cell, known, begins, token, (keys, count), root_of, (low, low_count), lower_of)
+
+    def weighed(self, model: Model) -> Iterator[tuple[bool, Weighed]]:
+        """Every level's contexts in slices, with whether they are at the root."""
+        n = len(self.words)
+        keys, count = self.root
+        for context, *rest in self._slices(keys, count, BRANCH):
+            before, last = self.words[context // n], self.words[context % n]
+            rows = root_rows(before, last)
+            yield True, Weighed(rows, model.log_odds(np.zeros(len(last), np.int64), rows), *rest)
+        keys, count = self.lower
+        for d in range(DEPTH):
+            size = BRANCH ** (DEPTH - d)
+            for context, *rest in self._slices(keys, count, size):
+                last, node = context // (CLASSES * CELLS // size), FIRST[d + 1] + context % (CLASSES * CELLS // size)
+                rows = [_row(4 + d, self.words[last], node)]
+                yield False, Weighed(rows, model.log_odds(node, rows), *rest)
+
+    @staticmethod
+    def _slices(keys: np.ndarray, count: np.ndarray, size: int) -> Iterator[tuple]:
+        contexts = keys // size
+        starts = _starts(contexts)
+        for i in range(0, len(starts), SLICE):
+            mine = starts[i : i + SLICE]
+            at = slice(mine[0], starts[i + SLICE] if i + SLICE < len(starts) else len(keys))
+            of = np.repeat(np.arange(len(mine)), np.diff(np.append(mine, at.stop)))
+            yield contexts[mine], np.add.reduceat(count[at], mine - at.start), at, of, keys[at] % size // (size // BRANCH), count[at]
+
+
+class Sums:
+    """What a task's texts expect and what occurs in them, by row and part."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.expected, self.occurred = np.zeros(ROWS * BRANCH), np.zeros(ROWS * BRANCH)
+
+    def add(self, part: pa.Array) -> None:
+        for _, w in Events.of(self.model, part).weighed(self.model):
+            p = (np.exp(w.logs) * w.total[:, None].astype(np.float32)).astype(np.float64).reshape(-1)
+            count = w.count.astype(np.float64)
+            for r in w.rows:
+                first = r * BRANCH
+                np.add.at(self.expected, (first[:, None] + np.arange(BRANCH)).reshape(-1), p)
+                np.add.at(self.occurred, first[w.of] + w.taken, count)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        expected, occurred = self.expected.reshape(ROWS, BRANCH), self.occurred.reshape(ROWS, BRANCH)
+        touched = np.flatnonzero(occurred.any(axis=1))
+        for i in range(0, len(touched), 1 << 14):
+            at = touched[i : i + (1 << 14)]
+            columns = np.concatenate([expected[at], occurred[at]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c, pa.float32()) for c in columns.T)], ["row", *_SUMS])
+
+
+_SUMS = [f"{side}{k}" for side in ("e", "o") for k in range(BRANCH)]
+
+
+def step(weights: np.ndarray, rows: np.ndarray, sums: np.ndarray) -> None:
+    """Move `weights` by the summed expectations and occurrences of `rows`."""
+    expected, occurred = sums[:, :BRANCH], sums[:, BRANCH:]
+    rate = np.where(rows < ROOT_ROWS, ROOT_RATE, LOWER_RATE)[:, None]
+    weights[rows] += (rate * np.log((occurred + PRIOR) / (expected + PRIOR))).astype(np.float32)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -176,102 +237,106 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def place_words(known: np.ndarray, count: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Cell of each known word: in its class, by the middle of its stretch when the most frequent come first; `rest` counts the class's rare words."""
+    group, cell = (known & np.uint64(BRANCH - 1)).astype(np.int64), np.zeros(len(known), np.int64)
+    for k in range(CLASSES):
+        at = np.flatnonzero(group == k)
+        at = at[np.lexsort((known[at], -count[at]))]
+        if len(at):
+            upto = np.cumsum(count[at])
+            middle = (2 * upto - count[at]) * CELLS // (2 * (upto[-1] + rest[k] + 1))
+            cell[at] = k * CELLS + np.minimum(middle, CELLS - 1)
+    return cell
+
+
+def node_bias(mass: np.ndarray, ends: int) -> np.ndarray:
+    """Log-shares of the parts of all nodes; an empty part counts as a hundredth."""
+    out = np.zeros((NODES, BRANCH), np.float32)
+    for d in range(DEPTH, -1, -1):
+        size = mass.reshape(-1, BRANCH ** (DEPTH - d)).sum(axis=1) if d else np.append(mass.reshape(CLASSES, -1).sum(axis=1), ends + 0.5)
+        size = np.maximum(size, 0.01).reshape(-1, BRANCH)
+        out[FIRST[d] : FIRST[d] + len(size)] = np.log(size / size.sum(axis=1, keepdims=True))
+    return out
+
+
 def start_model(counts: DataFrame, ends: int) -> Model:
     """Model of the counts alone. `ends`: training texts."""
-    levels = counts.groupBy(F.least("c", F.lit(4096)).alias("c")).count().toPandas().sort_values("c", ascending=False)
-    fit = levels["c"][levels["count"].cumsum() <= KNOWN_WORDS]
-    least = int(fit.min()) if len(fit) else 4097  # beyond the last level only if that alone has too many words
-    frequent = counts.where(F.col("c") >= least).toArrow()
-    known, known_count = frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
+    level = F.floor(F.log2("c") * 16).cast("int")  # at most some thousand levels
+    levels = counts.groupBy(level.alias("level")).count().toPandas().sort_values("level", ascending=False)
+    fit = levels["level"][levels["count"].cumsum() <= KNOWN_WORDS]
+    if len(fit):
+        frequent = counts.where(level >= int(fit.min())).toArrow()
+        known, count = frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
+    else:  # no word, or too many in the first level alone: all are looked up by the join
+        known, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     by = np.argsort(known)
-    known, known_count = known[by], known_count[by]
-    head = np.lexsort((known, -known_count))[:HEAD]
-    groups = counts.groupBy(F.pmod("h", F.lit(TAIL)).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
-    tail_c, tail_n = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
-    tail_c[groups["k"]], tail_n[groups["k"]] = groups["c"], groups["n"]
-    tokens, distinct = int(tail_c.sum()) + ends, int(tail_n.sum()) + (ends > 0)
-    in_tail = (known[head] & np.uint64(TAIL - 1)).astype(np.int64)
-    np.subtract.at(tail_c, in_tail, known_count[head])
-    np.subtract.at(tail_n, in_tail, 1)
-    sorted_head = np.argsort(known[head])
-    model = Model(known[head][sorted_head], np.arange(len(head))[sorted_head], known, known_count, tokens, distinct, ends, tail_c + tail_n + 1)
-    size = np.full(HEAD, 1e-3)
-    size[: len(head)] = known_count[head]
-    size = size.reshape(HEAD_CLASSES, CLASS_WORDS)
-    model.classes[0] = np.log(np.concatenate([size.sum(axis=1), tail_c + 0.5, [ends + 0.5]]) / (tokens + 1))
-    group = np.arange(HEAD_CLASSES)
-    model.words[_row(4, group, np.zeros_like(group))] = np.log(size / size.sum(axis=1, keepdims=True))
-    return model
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """Model of all texts of `docs` (null as empty), and the table of all counts."""
+    known, count = known[by], count[by]
+    groups = counts.groupBy(F.pmod("h", F.lit(BRANCH)).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
+    rest_c, rest_n = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    rest_c[groups["k"]], rest_n[groups["k"]] = groups["c"], groups["n"]
+    tokens, distinct = int(rest_c.sum()) + ends, int(rest_n.sum()) + (ends > 0)
+    group = (known & np.uint64(BRANCH - 1)).astype(np.int64)
+    np.subtract.at(rest_c, group, count)
+    np.subtract.at(rest_n, group, 1)
+    cell = place_words(known, count, rest_c)
+    mass = np.zeros(CLASSES * CELLS)
+    np.add.at(mass, cell, count + 1)
+    mass[CELLS - 1 :: CELLS] += rest_c + rest_n + 1
+    return Model(known, count, cell, mass, node_bias(mass, ends), tokens, distinct, ends, np.zeros((ROWS, BRANCH), np.float32))
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """Model of all texts of `docs` (null as empty), and the table of all counts. Each text is in one round's step, chosen by hash."""
     counts = write_shared(count_words(docs), "word-counts")
     model = start_model(counts, docs.count())
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(held.value)
-        for batch in batches:
-            for part in chunks(batch.column("text"), CHUNK):
-                trainer.learn(part)
-        if trainer.seen:
-            yield from trainer.updates()
-
-    schema = "which int, row bigint, " + ", ".join(f"{c} double" for c in _COLUMNS)
-    moved = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
-    sums = moved.groupBy("which", "row").agg(*(F.sum(c).alias(c) for c in _COLUMNS)).toPandas()
-    change = sums[_COLUMNS].to_numpy() / max(1, model.tokens)
-    for which, weights in enumerate((model.classes, model.words)):
-        mine = (sums["which"] == which).to_numpy()
-        weights[sums["row"].to_numpy()[mine]] += change[mine][:, : weights.shape[1]].astype(np.float32)
+    turn = F.pmod(row_key(), F.lit(rounds))
+    tasks = max(1, docs.rdd.getNumPartitions() // rounds)
+    for i in range(rounds):
+        held = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            sums = Sums(held.value)
+            for batch in batches:
+                for part in chunks(batch.column("text"), CHUNK):
+                    sums.add(part)
+            yield from sums.batches()
+
+        some = docs.where(turn == i).select(F.col("text").cast("binary").alias("text")).coalesce(tasks)
+        parts = some.mapInArrow(run, "row bigint, " + ", ".join(f"{c} float" for c in _SUMS))
+        total = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in _SUMS)).toArrow()
+        if total.num_rows:
+            step(model.weights, total.column("row").to_numpy(), np.stack([total.column(c).to_numpy() for c in _SUMS], axis=1))
+        held.destroy()
     return model, counts
 
 
-def _logs(model: Model, before: np.ndarray, last: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """log10 of P(class) and, for head words, of P(word in class), in bounded slices."""
-    out = np.zeros(len(symbol))
-    for i in range(0, len(symbol), 4 * MINIBATCH):
-        at = slice(i, i + 4 * MINIBATCH)
-        b, v, w = before[at], last[at], symbol[at]
-        rows = model.features(b, v)
-        found = _log_softmax(sum((model.classes[r] for r in rows[1:]), model.classes[rows[0]]))[np.arange(len(w)), class_of(w)].astype(np.float64)
-        head = np.flatnonzero(w < HEAD)
-        if len(head):
-            rows = model.word_features(b[head], v[head], w[head] // CLASS_WORDS)
-            inner = _log_softmax(sum((model.words[r] for r in rows[1:]), model.words[rows[0]]))
-            found[head] += inner[np.arange(len(head)), w[head] % CLASS_WORDS]
-        out[at] = found / np.log(10)
-    return out
-
-
 def score_chunk(model: Model, part: pa.Array) -> dict[str, np.ndarray | pa.Array]:
     """What can be said without the counts of rare words, and each text's rare words with their numbers."""
-    hashes, offsets = hashed_words(part)
-    symbol, last, before, begins = _sequence(model.symbols(hashes), offsets)
-    b, v, w, _, place = _trigrams(symbol, last, before)
-    logs = _logs(model, b, v, w)
-    tail = (w >= HEAD) & (w < END)
-    logs[tail] -= np.log10(model.tail_mass[w[tail] - HEAD])
-    total = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
-    n_tokens = np.diff(begins)
-    words, back = np.unique(hashes, return_inverse=True)
-    at = np.minimum(np.searchsorted(model.known, words), max(0, len(model.known) - 1))
-    count = np.where(model.known[at] == words, model.known_count[at], 0) if len(model.known) else np.zeros(len(words), np.int64)
+    events = Events.of(model, part)
+    root, lower = np.zeros(len(events.root[0])), np.zeros(len(events.lower[0]))
+    for top, w in events.weighed(model):
+        (root if top else lower)[w.at] += w.logs[w.of, w.taken]
+    count = events.known
+    count[:2] = 0
     gain = np.log10(count + 1.0)
-    in_head = model.symbols(words) < HEAD
-    score = np.add.reduceat(logs[place], begins[:-1]) + total(np.where(in_head, 0, gain)[back], offsets)
-    base = total(gain[back], offsets) + np.log10(model.ends + 1.0) - n_tokens * np.log10(model.tokens + model.distinct + 1.0)
-    rare = count[back] == 0
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[rare]
-    pairs, times = np.unique(np.stack([owner, back[rare]]), axis=1, return_counts=True) if rare.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-    at = pa.array(np.searchsorted(pairs[0], np.arange(len(offsets))), pa.int32())
+    word = events.token > 0
+    logs = root[events.root_of] / np.log(10)
+    logs[word] += lower[events.lower_of] / np.log(10) + (gain - np.log10(model.mass[events.cell]))[events.token[word]]
+    total = lambda x: np.add.reduceat(x, events.begins[:-1])
+    n_tokens = np.diff(events.begins)
+    base = total(np.where(word, gain[events.token], np.log10(model.ends + 1.0))) - n_tokens * np.log10(model.tokens + model.distinct + 1.0)
+    rare = word & (count[events.token] == 0)
+    owner = np.repeat(np.arange(len(n_tokens)), n_tokens)[rare]
+    n = len(events.words)
+    pairs, times = np.unique(owner * n + events.token[rare], return_counts=True)
+    at = pa.array(np.searchsorted(pairs // n, np.arange(len(n_tokens) + 1)), pa.int32())
     return {
         "n_tokens": n_tokens,
-        "n_known": total(~rare, offsets) + (model.ends > 0),
+        "n_known": total((word & ~rare).astype(np.int64)) + (model.ends > 0),
         "base": base,
-        "score": score,
-        "rare": pa.ListArray.from_arrays(at, pa.array(words[pairs[1]].view(np.int64))),
+        "score": total(logs),
+        "rare": pa.ListArray.from_arrays(at, pa.array(events.words[pairs % n].view(np.int64))),
         "times": pa.ListArray.from_arrays(at, pa.array(times, pa.int32())),
     }
 

@@ -246,24 +246,129 @@ def test_language_model(docs_of, odd_docs, no_docs):
     assert maxent.score_documents(docs, empty, none).where("base_score <> 0").count() == 0
 
 
-def test_language_model_sums_to_one(docs_of):
-    """All symbols after a context sum to one; so do all words of a tail class and the unknown one."""
-    model, counts = maxent.train(docs_of(lm_texts()))
-    for before, last in ((maxent.BEGIN, maxent.BEGIN), (3, 70), (maxent.HEAD + 2, 1)):
-        symbol = np.arange(maxent.HEAD + maxent.TAIL + 1)
-        logs = maxent._logs(model, np.full(len(symbol), before), np.full(len(symbol), last), symbol)
-        assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
-    head = set(model.head.view(np.int64).tolist())
-    tail = [r for r in counts.collect() if r.h not in head]
-    for k in range(maxent.TAIL):
-        assert model.tail_mass[k] == sum(r.c + 1 for r in tail if r.h & (maxent.TAIL - 1) == k) + 1
+def plain_model(texts, rounds):
+    """The same model by plain loops over tokens: counts, paths, sums of all rounds, scores."""
+    M = maxent
+    split = [M.hashed_words(pa.array([t or ""])) for t, _ in texts]
+    tokens = [[int(h) for h in hashes] for hashes, _ in split]
+    count = Counter(h for words in tokens for h in words)
+    cell, mass = {}, Counter()
+    for k in range(M.CLASSES):
+        mine = sorted((h for h in count if h % M.BRANCH == k), key=lambda h: (-count[h], h))
+        total, upto = sum(count[h] for h in mine) + 1, 0
+        for h in mine:
+            cell[h] = k * M.CELLS + min((2 * upto + count[h]) * M.CELLS // (2 * total), M.CELLS - 1)
+            upto += count[h]
+            mass[cell[h]] += count[h] + 1
+        mass[(k + 1) * M.CELLS - 1] += 1
+    tail = lambda h: (h % M.BRANCH + 1) * M.CELLS - 1
+    weight = Counter()
+
+    def bias(d, node):
+        if d == 0:
+            sizes = [sum(mass[c] for c in range(k * M.CELLS, (k + 1) * M.CELLS)) for k in range(M.CLASSES)] + [len(texts) + 0.5]
+        else:
+            n = M.BRANCH ** (M.DEPTH - d)
+            sizes = [sum(mass[c] for c in range((node * M.BRANCH + i) * n, (node * M.BRANCH + i + 1) * n)) for i in range(M.BRANCH)]
+        sizes = [max(s, 0.01) for s in sizes]
+        return [math.log(s / sum(sizes)) for s in sizes]
+
+    memo = {}
+
+    def path(word, last, before):
+        one = lambda x: np.array([x], np.uint64)
+        steps = [(0, 0, [int(r[0]) for r in M.root_rows(one(before), one(last))], M.END if word is None else cell.get(word, tail(word)) // M.CELLS)]
+        if word is not None:
+            c = cell.get(word, tail(word))
+            for d in range(1, M.DEPTH + 1):
+                node = c // M.BRANCH ** (M.DEPTH - d + 1)
+                steps.append((d, node, [int(M._row(3 + d, one(last), np.array([M.FIRST[d] + node]))[0])], c // M.BRANCH ** (M.DEPTH - d) % M.BRANCH))
+        for d, node, rows, taken in steps:
+            if (d, node) not in memo:
+                memo[d, node] = bias(d, node)
+            z = [b + sum(weight[r, k] for r in rows) for k, b in enumerate(memo[d, node])]
+            norm = math.log(sum(map(math.exp, z)))
+            yield rows, [x - norm for x in z], taken
+
+    def walk(words):
+        before = last = int(M.BEGIN)
+        for word in [*words, None]:
+            yield word, last, before
+            before, last = last, 0 if word is None else word
+
+    for r in range(rounds):
+        sums = Counter()
+        for words, (_, turn) in zip(tokens, texts, strict=True):
+            for step in walk(words) if turn == r else ():
+                for rows, logs, taken in path(*step):
+                    for row in rows:
+                        for k in range(M.BRANCH):
+                            sums[row, k, "e"] += math.exp(logs[k])
+                        sums[row, taken, "o"] += 1
+        for row, k, side in list(sums):
+            if side == "e":
+                rate = M.ROOT_RATE if row < M.ROOT_ROWS else M.LOWER_RATE
+                weight[row, k] += rate * math.log((sums[row, k, "o"] + M.PRIOR) / (sums[row, k, "e"] + M.PRIOR))
+
+    def score(text):
+        total = 0.0
+        for step in walk([int(h) for h in M.hashed_words(pa.array([text or ""]))[0]]):
+            total += sum(logs[taken] for _, logs, taken in path(*step)) / math.log(10)
+            if step[0] is not None:
+                total += math.log10((count[step[0]] + 1) / mass[cell.get(step[0], tail(step[0]))])
+        return total
+
+    return score
+
+
+def test_language_model_equals_plain_loops(docs_of):
+    docs = docs_of([*lm_texts()[:40], None, "", "one", "one one one"])
+    model, counts = maxent.train(docs.where("doc_id <> 3"))
+    turns = {r.doc_id: r.t for r in docs.select("doc_id", F.pmod(maxent.row_key(), F.lit(maxent.ROUNDS)).alias("t")).collect()}
+    rows = docs.collect()
+    plain = plain_model([(r.text, turns[r.doc_id]) for r in rows if r.doc_id != 3], maxent.ROUNDS)
+    text = {r.doc_id: r.text for r in rows}
+    for r in maxent.score_documents(docs, model, counts).collect():
+        assert r.score == pytest.approx(plain(text[r.doc_id]), rel=1e-4), r.doc_id
 
 
-def test_rare_words_come_from_the_join(docs_of):
+def test_language_model_sums_to_one(docs_of):
+    """All cells and the end sum to one after any context; so do the words of a cell and the unknown one."""
+    model, counts = maxent.train(docs_of(lm_texts()))
+    cells = np.arange(maxent.CLASSES * maxent.CELLS)
+    for before, last in ((maxent.BEGIN, maxent.BEGIN), (model.known[3], model.known[9]), (np.uint64(77), np.uint64(78))):
+        at = lambda x, n: np.full(n, x, np.uint64)
+        top = np.exp(model.log_odds(np.zeros(1, np.int64), maxent.root_rows(at(before, 1), at(last, 1))).astype(float))[0]
+        p = top[cells // maxent.CELLS]
+        for d in range(maxent.DEPTH):
+            node = maxent.FIRST[d + 1] + cells // maxent.BRANCH ** (maxent.DEPTH - d)
+            logs = model.log_odds(node, [maxent._row(4 + d, at(last, len(cells)), node)])
+            p = p * np.exp(logs[np.arange(len(cells)), cells // maxent.BRANCH ** (maxent.DEPTH - 1 - d) % maxent.BRANCH])
+        assert p.sum() + top[maxent.END] == pytest.approx(1, abs=1e-4)
+    words = counts.collect()
+    cell = model.look_up(np.array([r.h for r in words], np.int64).view(np.uint64))[0]
+    unknown = np.zeros(len(cells))
+    unknown[maxent.CELLS - 1 :: maxent.CELLS] = 1
+    assert (np.bincount(cell, [r.c + 1 for r in words], len(cells)) + unknown).tolist() == model.mass.tolist()
+
+
+def test_language_model_whatever_the_partitions(docs_of):
+    docs, scores = docs_of(lm_texts()), []
+    for n in (1, 8, 32):
+        model, counts = maxent.train(docs.where("doc_id % 7 <> 2").repartition(n))
+        scores.append([r.score for r in maxent.score_documents(docs, model, counts).orderBy("doc_id").collect()])
+    assert scores[1] == pytest.approx(scores[0], rel=1e-6) and scores[2] == pytest.approx(scores[0], rel=1e-6)
+
+
+def test_rare_words_come_from_the_join(docs_of, monkeypatch):
+    """With few known words, and with none as the first level alone has too many, counts and base stay and the cells sum to all counts."""
     docs = docs_of(lm_texts())
-    model, counts = maxent.train(docs)
-    whole = sorted(map(repr, maxent.score_documents(docs, model, counts).select("doc_id", "n_known", F.round("base_score", 6), F.round("score", 6)).collect()))
-    common = (model.known_count > 5) | np.isin(model.known, model.head)  # the head is always known
-    model.known, model.known_count = model.known[common], model.known_count[common]
-    few = sorted(map(repr, maxent.score_documents(docs, model, counts).select("doc_id", "n_known", F.round("base_score", 6), F.round("score", 6)).collect()))
-    assert few == whole
+    sums = []
+    for bound in (1 << 20, 60, 0):
+        monkeypatch.setattr(maxent, "KNOWN_WORDS", bound)
+        model, counts = maxent.train(docs)
+        assert len(model.known) <= bound and model.mass.sum() == model.tokens - model.ends + model.distinct - 1 + maxent.CLASSES
+        found = maxent.score_documents(docs, model, counts)
+        sums.append(sorted(map(repr, found.select("doc_id", "n_known", F.round("base_score", 6)).collect())))
+        assert found.where("score > 0 or score is null").count() == 0
+    assert sums[0] == sums[1] == sums[2]
