@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom.llm import decontamination, line_dedup, pieces, sharding, token_counts
 from pixelloom.plans.storage import new_path
@@ -90,8 +93,54 @@ def test_decontamination_in_blocks(spark, docs_of, monkeypatch):
     assert sorted(map(repr, decontamination.decontaminate(docs, benchmark).collect())) == whole
 
 
-def test_schedule_is_longest_first():
-    assert sharding.schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+def one_by_one(sizes, shards):
+    """Every group alone through the heap: the shard of each (size, rank), and the loads."""
+    heap, placed = [(0, s) for s in range(shards)], {}
+    for size, n in sorted(sizes, reverse=True):
+        for rank in range(n):
+            load, shard = heapq.heappop(heap)
+            placed[size, rank] = shard
+            heapq.heappush(heap, (load + size, shard))
+    return placed, sorted(s for s, _ in heap)
+
+
+def test_schedule_equals_one_by_one():
+    rng = random.Random(4)
+    cases = [([(5, 1), (4, 1), (3, 3)], 2), ([(1000, 1), (7, 900), (3, 1)], 4), ([(17, 10_000)], 40), ([(100, 3), (99, 3), (1, 500)], 40), ([(3, 2)], 5), ([(6, 1), (3, 8)], 2)]
+    cases += [([(s, rng.randint(1, 60)) for s in rng.sample(range(1, 400), rng.randint(1, 25))], rng.randint(1, 9)) for _ in range(200)]
+    for sizes, shards in cases:
+        want, loads = one_by_one(sizes, shards)
+        got, plan = {}, sharding.schedule(sizes, shards)
+        for size, n in sizes:
+            mine = [(first, members) for s, first, members in plan if s == size]
+            for rank in range(n):
+                first, members = [p for p in mine if p[0] <= rank][-1]
+                got[size, rank] = members[(rank - first) % len(members)]
+        assert got == want
+
+
+def test_sharding_equals_the_schedule_of_all_groups(spark, docs_of):
+    """The whole assignment against a heap over all groups, on the smallest test table and on many small groups."""
+    small = docs_of([f"{'x' * (i % 7)}{i}" for i in range(10_000)])
+    for docs, shards in ((spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), 40), (small.select("doc_id", "text"), 7)):
+        size, members = Counter(), defaultdict(list)
+        for r in docs.collect():
+            digest = hashlib.sha256((r.text or "").encode()).digest() if r.text is not None else hashlib.sha224(b"null").digest()
+            size[digest] += len((r.text or "").encode()) + 16
+            members[digest].append(r.doc_id)
+        heap, want = [(0, s) for s in range(shards)], {}
+        for digest in sorted(size, key=lambda d: (-size[d], d)):
+            load, shard = heapq.heappop(heap)
+            want |= dict.fromkeys(members[digest], shard)
+            heapq.heappush(heap, (load + size[digest], shard))
+        assert {r.doc_id: r.shard for r in sharding.shard_documents(docs, shards).collect()} == want
+
+
+def test_slots_are_stable(docs_of):
+    """Equal doc_ids in a shard get their slots by text, whatever the partitions."""
+    docs = docs_of([f"t{i % 90}" for i in range(300)]).withColumn("doc_id", F.col("doc_id") % 50)
+    rows = [sorted((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(docs.repartition(n), 3).collect()) for n in (1, 5)]
+    assert rows[0] == rows[1]
 
 
 def test_sharding_laws(odd_docs, docs_of):
