@@ -2,15 +2,17 @@
 
 Occurrences of lines are kept as two 64-bit hashes with document and position, never as text. They are
 range-partitioned on hash and document, so that a line of a third of all documents spreads over many partitions, and sorted there by
-document and position; the first occurrence of each hash in a document streams out of that order
-into counts, which collapse before the next shuffle. What goes back to the documents is a sparse keep bitmap: for
-every 64 lines with a dropped one, a long with the dropped lines' bits.
+document and position. A running row number over that order lets only the first occurrence of each hash in a document through; as
+a hash and document are never in two partitions, nothing has to be carried over their borders. First occurrences collapse
+into counts before the next shuffle. What goes back to the documents is a bitmap of dropped lines: one long for every 64
+lines up to the last that is dropped, built from runs of zeros and the words that aren't zero.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pixelloom.llm.common import WHITE_SPACE, fold_case, row_key, same_row, table
 from pixelloom.plans.storage import write_shared
@@ -28,21 +30,27 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), "doc_id", "row_key", "pos")
 
 
+def first_occurrences(occurrences: DataFrame) -> DataFrame:
+    """The first of each hash in each document, streamed from sorted range partitions."""
+    ranged = occurrences.repartitionByRange("h1", "h2", "doc_id")
+    place = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos"))
+    return ranged.withColumn("place", place).where(F.col("place") == 1).drop("place")
+
+
 def drop_bitmaps(occurrences: DataFrame, min_docs: int) -> DataFrame:
-    """`(doc_id, row_key, dropped map<int,bigint>, n_dropped)` for the documents that lose lines."""
-    order = ["h1", "h2", "doc_id", "pos"]
-    ranged = occurrences.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions(*order)
-    first = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
+    """`(doc_id, row_key, dropped array<bigint>, n_dropped)` for the documents that lose lines; bit k of word w is line 64 w + k."""
+    first = first_occurrences(occurrences)
     shared = first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
     shared = write_shared(shared, "shared-lines")  # straight from a table, so that adaptive execution can split the join of a hot line
     lost = occurrences.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    words = lost.groupBy("doc_id", "row_key", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits")
-    )
-    return words.groupBy("doc_id", "row_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"),
-        F.sum(F.bit_count("bits")).alias("n_dropped"),
+    row = ["doc_id", "row_key"]
+    words = lost.groupBy(*row, F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
+    gap = F.col("word") - F.coalesce(F.lag("word").over(Window.partitionBy(*row).orderBy("word")), F.lit(-1)) - 1
+    runs = words.withColumn("gap", gap).groupBy(*row).agg(
+        F.array_sort(F.collect_list(F.struct("word", "gap", "bits"))).alias("runs"), F.sum(F.bit_count("bits")).alias("n_dropped")
     )
+    dense = F.flatten(F.transform("runs", lambda r: F.concat(F.array_repeat(F.expr("0L"), r["gap"]), F.array(r["bits"]))))
+    return runs.select(*row, dense.alias("dropped"), "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
@@ -62,7 +70,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     joined = keyed.join(maps, same_row(keyed, maps), "left").select(*[keyed[c] for c in keyed.columns], "dropped", maps["n_dropped"])
 
     def stays(_, i):
-        bits = F.try_element_at("dropped", F.floor(i / 64).cast("int"))
+        bits = F.get("dropped", F.floor(i / 64).cast("int"))
         return bits.isNull() | (F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", bits, (i % 64).cast("int"))) == 0)
 
     kept = F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(_lines(), stays), "\n"))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pixelloom.llm import decontamination, line_dedup, pieces, sharding, token_counts
@@ -50,6 +51,29 @@ def test_line_dedup_matches_brute_force(odd_docs, docs_of):
         assert set(docs.columns) - {"row_key"} <= set(found.columns)
 
 
+def test_first_occurrences_are_streamed_from_sorted_ranges(spark):
+    rows = [(h, h, d, pos) for h in range(5) for d in [None, *range(40)] for pos in range(h + d % 3 if d else 1)]
+    random.Random(1).shuffle(rows)
+    occurrences = spark.createDataFrame(rows, "h1 long, h2 long, doc_id long, pos int").repartition(5)
+    found = line_dedup.first_occurrences(occurrences)
+    plan = found.groupBy("h1", "h2").count()._jdf.queryExecution().executedPlan().toString()
+    ranges = plan.index("rangepartitioning")
+    sort, window = plan.index("Sort [h1"), plan.index("Window")
+    assert window < sort < ranges and plan[:ranges].count("hashpartitioning") == 1  # that of the counts alone
+    assert sorted(map(repr, found.collect())) == sorted(repr(Row(h1=h, h2=g, doc_id=d, pos=pos)) for h, g, d, pos in rows if pos == 0)
+
+
+def test_bitmaps_of_long_texts(docs_of):
+    """A text of 50,000 lines of which the 1st, the 30,001st and the last but one go."""
+    shared = [f"a line that is shared, number {k}" for k in range(3)]
+    long = [f"own {i}" for i in range(50_000)]
+    long[0], long[30_000], long[49_998] = shared
+    docs = docs_of(["\n".join(long), *["\n".join(shared)] * 3])
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[0].n_dropped == 3 and got[0].kept_text == "\n".join(x for x in long if x not in shared)
+    assert [got[i].n_dropped for i in (1, 2, 3)] == [3, 3, 0]
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text or ""))
 
