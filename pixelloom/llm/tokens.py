@@ -63,13 +63,16 @@ class Words:
     data: np.ndarray
     sums: np.ndarray
 
-    def prefixes(self, n: int) -> np.ndarray:
-        """Hashes of the first `n` bytes of each word, 0 for words that are no longer than that."""
-        longer = self.ends - self.starts > n
-        at = self.starts[longer]
+    def beginnings(self, n: int) -> np.ndarray:
+        """Hashes of the first `n` code points of each word, 0 for words that are no longer than that."""
+        letters = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), len(self.data))
+        at = np.searchsorted(letters, self.starts) + n
+        stop = letters[np.minimum(at, len(letters) - 1)]
+        longer = stop < self.ends
+        start, stop = self.starts[longer], stop[longer]
         out = np.zeros(len(self.starts), np.uint64)
         with np.errstate(over="ignore"):
-            out[longer] = mix((self.sums[at + n] - self.sums[at]) * _tables(len(self.data))[1][at] + np.uint64(n))
+            out[longer] = mix((self.sums[stop] - self.sums[start]) * _tables(len(self.data))[1][start] + np.uint64(n))
         return out
 
     def owner(self) -> np.ndarray:

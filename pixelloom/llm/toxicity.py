@@ -1,11 +1,15 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary documents.
 
 Each class has word and word-pair counts of its own, but an expression keeps them only where the numbers of documents that hold it tell
-the classes apart (`LEAST_APART`). All others are tied: both classes use the pooled counts, so that a rare word, a language or a
-topic that the sample happens to favour weighs the same on both sides. A tied word backs off to its longest beginning (`PREFIXES`) that
-tells the classes apart, so a rare ending of a known stem counts like the stem. What is left backs off to continuation counts that both
-classes share. A document's evidence is the difference of the two log-likelihoods, divided by its length; a logistic curve,
-fitted on labelled documents that the counts don't hold, makes it a score.
+the classes apart (`LEAST_APART`); it is then untied. Discounted counts of untied pairs back off to words, those of untied words to
+word beginnings: the mass that a class has left is shared out over the longest untied beginning (`BEGINNINGS`) of a word, or none, by
+the class's counts of tied words, smoothed towards both classes'. What happens inside a beginning is the same for both classes: words share it by pooled counts
+and by how many words they follow. So a rare word, a language or a topic that the sample happens to favour weighs the same on
+both sides unless its beginning tells the classes apart. Either class's model sums to one after every word.
+
+Only untied expressions and their contexts are in the model. Each is held by a dozen sampled documents at least, so they are fewer than a twelfth
+of the sample's expressions; none is cut. A document's evidence is the difference of the two log-likelihoods, divided by its length; a
+logistic curve, fitted on labelled documents that the counts don't hold, makes it a score.
 """
 
 from __future__ import annotations
@@ -27,13 +31,11 @@ SAMPLE_ROWS = 6_000
 CURVE_ROWS = 3_000
 #: Least likelihood-ratio statistic of an expression's document counts for it to have counts of its own.
 LEAST_APART = 16.0
-#: Most entries of the word table and of the pair table; the most frequent stay.
-WORD_ENTRIES = 1 << 19
-PAIR_ENTRIES = 1 << 20
-PREFIX_ENTRIES = 1 << 16
-#: Bytes of a word's beginnings that are counted as expressions of their own.
-PREFIXES = (4, 5, 6, 7, 8)
+#: Letters (code points) of a word's beginnings that are counted as expressions of their own.
+BEGINNINGS = (4, 5, 6, 7, 8)
 DISCOUNT = 0.75
+#: Tied words that the pooled shares of beginnings weigh as in a class's own.
+SHARED = 50.0
 #: Share of toxic documents that the score supposes, whatever their share among the labels.
 CURVE_SHARE = 0.2
 #: Bytes of text that are split and scored at once.
@@ -74,36 +76,40 @@ def _pairs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class KneserNey:
-    """Both classes' models as arrays in the order of sorted hashes, each with a spare last entry for what is unknown."""
+    """Both classes' models as arrays in the order of sorted hashes, each with a spare last entry for what is not in them."""
 
-    words: np.ndarray
+    words: np.ndarray  # untied
     word_log: np.ndarray  # 2 x n: log P_c(w)
-    rest_log: np.ndarray  # 2 x n: log of the mass that context w leaves to the backoff
-    pairs: np.ndarray
+    stems: np.ndarray  # untied beginnings; the spare entry is none
+    stem_log: np.ndarray  # 2 x n: log of the mass of a beginning; all of its words have the same share of it in both classes
+    contexts: np.ndarray  # first words of untied pairs
+    rest_log: np.ndarray  # 2 x n: log of the mass that a context leaves to the backoff
+    pairs: np.ndarray  # untied
     pair_p: np.ndarray  # 2 x n: the discounted share of the pair in its context
-    own: np.ndarray  # whether a word is untied
-    prefixes: np.ndarray
-    prefix_log: np.ndarray  # log of the classes' ratio of shares
-    tied: float = 0.0  # what a tied word adds to the evidence; taken off, so that texts without untied words have none
+    pair_word: np.ndarray  # 2 x n: P_c of the pair's second word
     slope: float = 0.0
     level: float = -2.0
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """Mean over words of log P_toxic - log P_ordinary for each text; 0 without words."""
-        out = []
+        """Mean over words of log P_toxic - log P_ordinary for each text, less that of a word without untied beginning; 0 without words."""
+        out, plain = [], self.stem_log[1][-1] - self.stem_log[0][-1]
         for part in chunks(column):
             found = batch_words(part, marks=False)
             keys, before = _pairs(found.hashes, found.offsets)
-            w, v, p = _find(self.words, found.hashes), _find(self.words, before), _find(self.pairs, keys)
-            logs = [np.log(self.pair_p[c][p] + np.exp(self.rest_log[c][v] + self.word_log[c][w])) for c in (0, 1)]
-            ratio, loose = logs[1] - logs[0], ~self.own[w] & (p == len(self.pairs) - 1)
-            for n in PREFIXES:  # longer ones last, so that they prevail
-                at = _find(self.prefixes, found.prefixes(n))
-                hit = loose & (at < len(self.prefixes) - 1)
-                ratio[hit] = self.prefix_log[at[hit]]
+            w, v, p = _find(self.words, found.hashes), _find(self.contexts, before), _find(self.pairs, keys)
+            stem = np.full(len(w), len(self.stems) - 1)
+            for n in BEGINNINGS:  # longer ones last, so that they prevail
+                at = _find(self.stems, found.beginnings(n))
+                stem = np.where(at < len(self.stems) - 1, at, stem)
+            own, paired = w < len(self.words) - 1, p < len(self.pairs) - 1
+            single = [np.where(own, self.word_log[c][w], self.stem_log[c][stem]) for c in (0, 1)]
+            ratio = single[1] - single[0] + self.rest_log[1][v] - self.rest_log[0][v]
+            at, of = p[paired], v[paired]
+            logs = [np.log(self.pair_p[c][at] + np.exp(self.rest_log[c][of]) * self.pair_word[c][at]) for c in (0, 1)]
+            ratio[paired] = logs[1] - logs[0]
             sums = np.concatenate([[0.0], np.cumsum(ratio)])
             n = np.diff(found.offsets)
-            out.append((sums[found.offsets[1:]] - sums[found.offsets[:-1]]) / np.maximum(n, 1) - np.where(n > 0, self.tied, 0))
+            out.append((sums[found.offsets[1:]] - sums[found.offsets[:-1]]) / np.maximum(n, 1) - np.where(n > 0, plain, 0))
         return np.concatenate(out) if out else np.empty(0)
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -118,38 +124,46 @@ def apart(held0: Column, held1: Column, docs0: int, docs1: int) -> Column:
     return 2 * sum((part(*cell) for cell in cells[1:]), part(*cells[0]))
 
 
-def estimate(words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], prefixes: dict[str, np.ndarray], total: np.ndarray, spread: int) -> KneserNey:
-    """Kneser-Ney estimates. words: h, c0, c1 (counts by class), left (distinct words before it, both classes), own (whether untied);
-    pairs, all untied: h, v, c0, c1; prefixes, all untied: h, c0, c1; total: words by class; spread: distinct pairs of both classes."""
-    order = np.argsort(words["h"])
-    words = {k: a[order] for k, a in words.items()}
-    d, size = DISCOUNT, len(order) + 1
-    share = lambda c, n: np.append(np.maximum(c - d, 0) / max(n, 1), 0)
-    own = np.append(words["own"], False)
-    pooled = share(words["c0"] + words["c1"], total.sum())
-    followed = share(words["left"], spread)
-    followed += max(1 - followed.sum(), 1e-9) / size
-    backoff = max(1 - pooled.sum(), 1e-9) * followed
-    logs, tied = np.zeros((2, size)), np.zeros(2)
-    for c in (0, 1):
-        counted = np.where(own, share(words[f"c{c}"], total[c]), 0)
-        tied[c] = np.log(max(1 - counted.sum(), 1e-9))
-        logs[c] = np.log(counted + max(1 - counted.sum(), 1e-9) * np.where(own, backoff, pooled + backoff))
-    order = np.argsort(pairs["h"])
-    pairs = {k: a[order] for k, a in pairs.items()}
-    spare = np.append(words["h"], 0)
-    context = _find(spare, pairs["v"])
-    rest, pair_p = np.zeros((2, size)), np.zeros((2, len(order) + 1))
+def _sorted(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    order = np.argsort(table["h"])
+    return {k: a[order] for k, a in table.items()}
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(x, 1e-300))
+
+
+def estimate(words: dict[str, np.ndarray], stems: dict[str, np.ndarray], seconds: dict[str, np.ndarray], pairs: dict[str, np.ndarray], totals: dict[str, float]) -> KneserNey:
+    """Kneser-Ney estimates from what is untied, and totals of all.
+
+    words: h, c0, c1 (counts by class), left (distinct words before it, both classes). stems: h, t0, t1 (counts of the tied words whose longest untied beginning it is).
+    seconds, the tied second words of untied pairs: h, stem (0: none), inside (their share of the stem). pairs: h, v, w, c0, c1, n0, n1 (counts of v).
+    totals: c0, c1 (all words), t0, t1 (tied words without untied beginning), left (sum over untied words).
+    """
+    words, stems, seconds, pairs = map(_sorted, (words, stems, seconds, pairs))
+    total = [totals["c0"], totals["c1"]]
+    share = [np.maximum(words[f"c{c}"] - DISCOUNT, 0) / max(total[c], 1) for c in (0, 1)]
+    left = [max(1 - share[c].sum(), 1e-9) for c in (0, 1)]
+    # untied words and beginnings share what is left: the former as much of it as in both classes together
+    tied = [np.append(stems[f"t{c}"], totals[f"t{c}"]) + 0.0 for c in (0, 1)]
+    pooled = tied[0] + tied[1] + 1.0
+    own = DISCOUNT * len(words["h"]) / max(DISCOUNT * len(words["h"]) + pooled.sum(), 1)
+    spread = (words["left"] + 1) / max(totals["left"] + len(words["h"]), 1)
+    mass = [(tied[c] + SHARED * pooled / pooled.sum()) / (tied[c].sum() + SHARED) * (1 - own) for c in (0, 1)]
+    word_p = np.stack([np.append(share[c] + left[c] * own * spread, 1.0) for c in (0, 1)])
+    stem_p = np.stack([left[c] * mass[c] for c in (0, 1)])
+    spare = lambda a: np.append(a, np.zeros(1, a.dtype))
+    heads, tops, tails = spare(words["h"]), spare(stems["h"]), spare(seconds["h"])
+    w, second = _find(heads, pairs["w"]), _find(tails, pairs["w"])
+    inside, of = np.append(seconds["inside"], 0.0)[second], _find(tops, spare(seconds["stem"])[second])
+    contexts, context = np.unique(pairs["v"], return_inverse=True)
+    pair_p, rest = np.zeros((2, len(w) + 1)), np.ones((2, len(contexts) + 1))
+    pair_word = np.ones((2, len(w) + 1))
     for c in (0, 1):
-        seen = np.append(words[f"c{c}"], 0)[context]
-        p = np.where(context == size - 1, 0, np.maximum(pairs[f"c{c}"] - d, 0) / np.maximum(seen, 1))
-        rest[c] = np.log(np.clip(1 - np.bincount(context, p, size), 0.01, 1))
-        pair_p[c][:-1] = p
-    order = np.argsort(prefixes["h"])
-    prefixes = {k: a[order] for k, a in prefixes.items()}
-    share = [np.log((prefixes[f"c{c}"] + 0.5) / (total[c] + 1)) for c in (0, 1)]
-    heads, ratio = np.append(prefixes["h"], 0), np.append(share[1] - share[0], 0)
-    return KneserNey(spare, logs, rest, np.append(pairs["h"], 0), pair_p, own, heads, ratio, float(tied[1] - tied[0]))
+        pair_p[c][:-1] = np.maximum(pairs[f"c{c}"] - DISCOUNT, 0) / np.maximum(pairs[f"n{c}"], 1)
+        rest[c][:-1] = 1 - np.bincount(context, pair_p[c][:-1], len(contexts))
+        pair_word[c][:-1] = np.where(w < len(heads) - 1, word_p[c][w], stem_p[c][of] * inside)
+    return KneserNey(heads, _log(word_p), tops, _log(stem_p), spare(contexts), _log(rest), spare(pairs["h"]), pair_p, pair_word)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -180,7 +194,10 @@ def _sample(labels: DataFrame, folds: list[int], rows: int) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (kind 0), pairs (1) and prefixes (2), and of the documents that hold them, by class, summed within each chunk."""
+    """Counts of words (kind 0), pairs (1) and beginnings (2), and of the documents that hold them, by class, summed within each chunk.
+
+    `v`, `w`: a pair's words; `stems`: a word's beginnings from the longest down.
+    """
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
         done = 0
@@ -190,16 +207,57 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             side = toxic[done : done + len(part)]
             done += len(part)
             keys, before = _pairs(found.hashes, found.offsets)
-            heads = np.stack([found.prefixes(n) for n in PREFIXES]).ravel()
-            whose = np.tile(np.arange(len(found.hashes)), len(PREFIXES))[heads != 0]
+            heads = np.stack([found.beginnings(n) for n in BEGINNINGS])
+            whose = np.tile(np.arange(len(found.hashes)), len(BEGINNINGS))[heads.ravel() != 0]
             everything = np.arange(len(found.hashes))
-            for kind, hashes, token in ((0, found.hashes, everything), (1, keys, everything), (2, heads[heads != 0], whose)):
+            for kind, hashes, token in ((0, found.hashes, everything), (1, keys, everything), (2, heads.ravel()[heads.ravel() != 0], whose)):
                 unique, first, place = np.unique(hashes, return_index=True, return_inverse=True)
                 held = np.unique(place * len(part) + owner[token])
                 count = lambda at, who: [np.bincount(at, side[who] == c, len(unique)).astype(np.int64) for c in (0, 1)]
                 v, w = (before[first], found.hashes[first]) if kind == 1 else (unique, unique)
                 columns = [unique.view(np.int64), v.view(np.int64), w.view(np.int64), *count(place, owner[token]), *count(held // len(part), held % len(part))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), kind, np.int32)), *map(pa.array, columns)], ["kind", "h", "v", "w", "c0", "c1", "d0", "d1"])
+                mine = heads[::-1, first].T if kind == 0 else np.zeros((len(unique), 0), np.uint64)
+                mine = mine.reshape(len(unique), -1)
+                stems = pa.ListArray.from_arrays(pa.array(np.arange(len(unique) + 1) * mine.shape[1], pa.int32()), pa.array(mine.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), kind, np.int32)), *map(pa.array, columns), stems], ["kind", "h", "v", "w", "c0", "c1", "d0", "d1", "stems"])
+
+
+def _longest_stem(words: DataFrame, untied: DataFrame) -> DataFrame:
+    """`words` with `stem`: the longest of their `stems` that is in `untied` (h), or 0."""
+    each = words.select("h", F.posexplode("stems").alias("place", "stem")).where("stem <> 0")
+    found = each.join(untied.select(F.col("h").alias("stem")), "stem", "left_semi").groupBy("h").agg(F.min_by("stem", "place").alias("stem"))
+    return words.join(found, "h", "left").withColumn("stem", F.coalesce("stem", F.lit(0)))
+
+
+def statistics(sums: DataFrame) -> tuple[dict[str, np.ndarray], ...]:
+    """The arguments of `estimate` from the counts of all expressions (kind, h, v, w, c0, c1, own, stems)."""
+    single, pairs, heads = (sums.where(F.col("kind") == kind) for kind in (0, 1, 2))
+    left = pairs.groupBy(F.col("w").alias("h")).agg(F.count("*").alias("left"))
+    words = single.select("h", "c0", "c1", "own", "stems").join(left, "h")
+    stemmed = write_shared(_longest_stem(words, heads.where("own")).drop("stems"), "stemmed")
+    tied, own = stemmed.where("not own"), stemmed.where("own")
+    # a tied word's share of its beginning: discounted pooled counts, and the rest by the words that it follows
+    stems = tied.groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "left")), F.count("*").alias("n"))
+    untied = pairs.where("own").select("h", "v", "w", "c0", "c1")
+    first = single.select(F.col("h").alias("v"), F.col("c0").alias("n0"), F.col("c1").alias("n1"))
+    seconds = tied.join(untied.select(F.col("w").alias("h")).distinct(), "h").alias("s").join(stems.alias("a"), "stem")
+    pooled, everything = F.col("s.c0") + F.col("s.c1"), F.col("a.c0") + F.col("a.c1")
+    inside = (pooled - DISCOUNT + DISCOUNT * F.col("n") * F.col("s.left") / (F.col("a.left") + 1)) / everything
+    totals = single.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first().asDict()
+    loose = tied.where("stem = 0").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1")).first().asDict()
+    totals |= loose | own.agg(F.sum("left").alias("left")).first().asDict()
+
+    def arrays(df: DataFrame) -> dict[str, np.ndarray]:
+        found = {name: c.to_numpy() for name, c in zip(df.columns, df.toArrow().columns, strict=True)}
+        return {name: c.view(np.uint64) if name in ("h", "v", "w", "stem") else c for name, c in found.items()}
+
+    return (
+        arrays(own.select("h", "c0", "c1", "left")),
+        arrays(stems.where("stem <> 0").select(F.col("stem").alias("h"), F.col("c0").alias("t0"), F.col("c1").alias("t1"))),
+        arrays(seconds.select("s.h", "stem", inside.alias("inside"))),
+        arrays(untied.join(first, "v", "left").na.fill(0, ["n0", "n1"])),
+        {k: float(x or 0) for k, x in totals.items()},
+    )
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, curve_rows: int = CURVE_ROWS) -> KneserNey:
@@ -211,22 +269,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cu
     sample = _sample(labels, [0, 1], sample_rows)
     docs0, docs1 = (sample.where(F.col("toxic") == c).count() for c in (0, 1))
     counted = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    schema = "kind int, h bigint, v bigint, w bigint, c0 bigint, c1 bigint, d0 bigint, d1 bigint"
-    sums = counted.mapInArrow(_count, schema).groupBy("kind", "h").agg(F.first("v").alias("v"), F.first("w").alias("w"), *(F.sum(c).alias(c) for c in ("c0", "c1", "d0", "d1")))
+    schema = "kind int, h bigint, v bigint, w bigint, c0 bigint, c1 bigint, d0 bigint, d1 bigint, stems array<bigint>"
+    one = [F.first(c).alias(c) for c in ("v", "w", "stems")]
+    sums = counted.mapInArrow(_count, schema).groupBy("kind", "h").agg(*one, *(F.sum(c).alias(c) for c in ("c0", "c1", "d0", "d1")))
     sums = write_shared(sums.withColumn("own", apart(F.col("d0"), F.col("d1"), docs0, docs1) >= LEAST_APART), "expressions")
-    single, pairs, heads = (sums.where(F.col("kind") == kind) for kind in (0, 1, 2))
-    left = pairs.groupBy(F.col("w").alias("h")).agg(F.count("*").alias("left"))
-    frequent = [F.desc(F.col("c0") + F.col("c1")), F.col("h")]
-    words = single.select("h", "c0", "c1", "own").join(left, "h").orderBy(*frequent).limit(WORD_ENTRIES)
-    untied = pairs.where("own").orderBy(*frequent).limit(PAIR_ENTRIES).select("h", "v", "c0", "c1")
-    stems = heads.where("own").orderBy(*frequent).limit(PREFIX_ENTRIES).select("h", "c0", "c1")
-    total = single.agg(F.sum("c0"), F.sum("c1")).first()
-
-    def arrays(df: DataFrame) -> dict[str, np.ndarray]:
-        found = {name: c.to_numpy() for name, c in zip(df.columns, df.toArrow().columns, strict=True)}
-        return {name: c.view(np.uint64) if name in ("h", "v") else c for name, c in found.items()}
-
-    model = estimate(arrays(words), arrays(untied), arrays(stems), np.array([total[0] or 0, total[1] or 0]), pairs.count())
+    model = estimate(*statistics(sums))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

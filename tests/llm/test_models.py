@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -150,6 +151,95 @@ def test_toxicity_held_out(spark, docs_of, odd_docs, no_docs):
     assert len({r.score for r in toxicity.score_toxicity(docs, blank).collect()}) == 1
 
 
+def plain_kneser_ney(texts, toxic):
+    """The same models with dictionaries of words and pairs. Returns the evidence of a text, and P_c(word | word before) for all words."""
+    d, split = toxicity.DISCOUNT, lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    words = [split(t) for t in texts]
+    pairs_of = lambda ws: list(zip([None, *ws], ws, strict=False))
+    stems_of = lambda w: [w[:n] for n in reversed(toxicity.BEGINNINGS) if len(w) > n]
+    kinds = {"word": lambda ws: ws, "pair": pairs_of, "stem": lambda ws: [s for w in ws for s in stems_of(w)]}
+    count, untied, docs = {}, {}, Counter(toxic)
+    for kind, of in kinds.items():
+        count[kind], held = Counter(), Counter()
+        for ws, y in zip(words, toxic, strict=True):
+            count[kind].update((e, y) for e in of(ws))
+            held.update((e, y) for e in set(of(ws)))
+        untied[kind] = set()
+        for e in {e for e, _ in held}:
+            stat, n = 0.0, held[e, 0] + held[e, 1]
+            for y in (0, 1):
+                for seen, row in ((held[e, y], n), (docs[y] - held[e, y], docs.total() - n)):
+                    stat += 2 * seen * math.log(seen * docs.total() / (row * docs[y])) if seen else 0
+            if stat >= toxicity.LEAST_APART:
+                untied[kind].add(e)
+    vocabulary = {w for w, _ in count["word"]}
+    stem = lambda w: next((s for s in stems_of(w) if s in untied["stem"]), "")
+    own, tied = vocabulary & untied["word"], vocabulary - untied["word"]
+    left = Counter(w for _, w in {e for e, _ in count["pair"]})
+    total = [sum(n for (_, y), n in count["word"].items() if y == c) for c in (0, 1)]
+    mass = Counter()
+    for w in tied:
+        for c in (0, 1):
+            mass[stem(w), c] += count["word"][w, c]
+    untied["stem"] = {stem(w) for w in tied} - {""}  # those that tied words have; an unknown word goes to the longest of them
+    stems = [*untied["stem"], ""]
+    pooled = {s: mass[s, 0] + mass[s, 1] + 1.0 for s in stems}
+    part = d * len(own) / max(1, d * len(own) + sum(pooled.values()))
+
+    def single(w, c):
+        rest = max(1e-9, 1 - sum(max(0, count["word"][x, c] - d) / total[c] for x in own))
+        if w in own:
+            return max(0, count["word"][w, c] - d) / total[c] + rest * part * (left[w] + 1) / sum(left[x] + 1 for x in own)
+        s, weight = stem(w), toxicity.SHARED
+        p = (mass[s, c] + weight * pooled[s] / sum(pooled.values())) / (sum(mass[x, c] for x in stems) + weight)
+        mates = [x for x in tied if stem(x) == s]
+        every, follows = sum(count["word"][x, 0] + count["word"][x, 1] for x in mates), sum(left[x] for x in mates)
+        unknown = d * len(mates) / (follows + 1) / every if mates else 1.0
+        inside = (count["word"][w, 0] + count["word"][w, 1] - d + d * len(mates) * left[w] / (follows + 1)) / every if w in tied else unknown
+        return rest * (1 - part) * p * inside
+
+    def after(v, w, c, cache={}):
+        n = max(1, count["word"][v, c])
+        share = lambda x: max(0, count["pair"][(v, x), c] - d) / n
+        rest = 1 - sum(share(x) for u, x in untied["pair"] if u == v)
+        if (w, c) not in cache:
+            cache[w, c] = single(w, c)
+        return (share(w) if (v, w) in untied["pair"] else 0) + rest * cache[w, c]
+
+    def evidence(text):
+        ws = split(text)
+        plain = math.log(single("", 1) / single("", 0))
+        return sum(math.log(after(v, w, 1) / after(v, w, 0)) for v, w in pairs_of(ws)) / len(ws) - plain if ws else 0.0
+
+    return evidence, after, vocabulary, untied, stems
+
+
+def test_toxicity_equals_plain_kneser_ney(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_APART", 8.0)
+    rng, texts, labels = random.Random(8), [], []
+    for i in range(160):
+        ws, y = [rng.choice(["alpha", "beta", "gamma", "delta", "words", "größer", "größte"]) for _ in range(12)], i % 2
+        ws += [rng.choice(["vile", "nasty"])] * y + [rng.choice(["scoundrels", "scoundrelly", "scoundrelish", "scoun" + str(i)])] * (y or i % 9 == 0)
+        ws.insert(3, "utterly alpha" if y and i % 3 else "alpha utterly")
+        texts.append(" ".join(ws))
+        labels.append((i, y))
+    docs = docs_of(texts)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fold = [zlib.crc32(str(i).encode()) % 4 for i in range(160)]
+    counted = [i for i in range(160) if fold[i] in (0, 1)]
+    evidence, after, vocabulary, untied, stems = plain_kneser_ney([texts[i] for i in counted], [labels[i][1] for i in counted])
+    assert untied["word"] and untied["pair"] and untied["stem"]
+    assert (len(model.words), len(model.pairs), len(model.stems)) == tuple(len(untied[k]) + 1 for k in ("word", "pair", "stem"))
+    asked = [*texts[:30], None, "", "unknown scoundrelicious words", "utterly alpha utterly unheard"]
+    assert model.evidence(pa.array(asked)).tolist() == pytest.approx([evidence(t) for t in asked], abs=1e-9)
+    # an unknown word stands for all unknown ones of its beginning; shorter and longer unknown ones have the same share
+    unknown = ["?", *(s + "~~~~~" for s in stems if s and not any(t != s and t.startswith(s) for t in stems))]
+    within = {s + "~~~~~" for s in stems if s} - set(unknown)
+    for v in ("utterly", "alpha", "never seen"):
+        for c in (0, 1):
+            assert sum(after(v, w, c) for w in [*vocabulary, *unknown, *within]) == pytest.approx(1, abs=1e-6)
+
+
 def brute_stats(text):
     words = [w for w in (text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
     lines = [line for line in (text or "").split("\n") if line.strip(" \t\x0b\x0c\r")]
