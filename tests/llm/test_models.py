@@ -64,9 +64,26 @@ def test_near_duplicates_match_brute_force(odd_docs, docs_of, spark, monkeypatch
         assert got == brute_components(rows)
 
 
-def test_signature_steps_cover_the_radius():
-    steps = set(simhash._steps(2))
-    assert len(steps) == (41 + 1) // 2 and 0 in steps
+def test_tiles_of_any_parts(docs_of, spark):
+    """All numbers of parts link the same, also at the ends of the counts; steps are half of all that are near."""
+    for parts, n in ((4, 41), (8, 145), (16, 545)):
+        steps = set(simhash._steps(parts, 2))
+        assert len(steps) == (n + 1) // 2 and 0 in steps
+    rng, full = random.Random(6), (1 << 64) - 1
+    prints = {0, full, 1, 3, full ^ 1, full ^ 1 << 63, 1 << 63}
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        prints |= {x, *(x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(3))}
+    prints = sorted(prints)
+    rows = spark.createDataFrame([(f - (f >> 63 << 64), i) for i, f in enumerate(prints)], "fp long, node long")
+    want = [c for _, _, c in sorted(brute_components(list(enumerate(prints))))]
+    for parts in (4, 8, 16):
+        component = list(range(len(prints)))
+        for _ in range(3):
+            for r in simhash.near_links(rows, 2, parts).collect():
+                a, b = sorted((component[r.u], component[r.v]))
+                component = [a if c == b else c for c in component]
+        assert component == want
 
 
 def test_keep_first(odd_docs, no_docs):
