@@ -1,7 +1,8 @@
 """Lineage cuts in the folder that the cluster shares.
 
 Every cut goes to the folder named by `spark.checkpoint.dir`, so that any executor can read it again after
-another one is lost. Only where that setting is absent (tests, a laptop) a folder of our own is made.
+another one is lost. Only in local mode (tests, a laptop) a folder of our own is made where that setting is absent; on a
+cluster its absence is an error. An application's tables share one folder, which `drop_shared` deletes when the job is done.
 """
 
 from __future__ import annotations
@@ -17,13 +18,19 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if configured is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return configured or context.getCheckpointDir()
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
@@ -32,3 +39,9 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote with `write_shared`. Results that still read them must be stored first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

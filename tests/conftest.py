@@ -25,6 +25,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from pixelloom.plans.storage import drop_shared
+
+    drop_shared(session)
     session.stop()
 
 
