@@ -218,11 +218,11 @@ class Sums:
 _SUMS = [f"{side}{k}" for side in ("e", "o") for k in range(BRANCH)]
 
 
-def step(weights: np.ndarray, rows: np.ndarray, sums: np.ndarray) -> None:
-    """Move `weights` by the summed expectations and occurrences of `rows`."""
-    expected, occurred = sums[:, :BRANCH], sums[:, BRANCH:]
-    rate = np.where(rows < ROOT_ROWS, ROOT_RATE, LOWER_RATE)[:, None]
-    weights[rows] += (rate * np.log((occurred + PRIOR) / (expected + PRIOR))).astype(np.float32)
+def moves(sums: DataFrame) -> DataFrame:
+    """`(row, m0, m1, ...)`: how far each weight moves by the sums of what is expected and what occurred, over all tasks."""
+    total = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    rate = F.when(F.col("row") < ROOT_ROWS, ROOT_RATE).otherwise(LOWER_RATE)
+    return total.select("row", *((rate * F.log((F.col(f"o{k}") + PRIOR) / (F.col(f"e{k}") + PRIOR))).cast("float").alias(f"m{k}") for k in range(BRANCH)))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -304,9 +304,11 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
 
         some = docs.where(turn == i).select(F.col("text").cast("binary").alias("text")).coalesce(tasks)
         parts = some.mapInArrow(run, "row bigint, " + ", ".join(f"{c} float" for c in _SUMS))
-        total = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in _SUMS)).toArrow()
-        if total.num_rows:
-            step(model.weights, total.column("row").to_numpy(), np.stack([total.column(c).to_numpy() for c in _SUMS], axis=1))
+        moved = moves(parts).toArrow()
+        rows = moved.column("row").to_numpy()
+        for k in range(BRANCH):
+            model.weights[rows, k] += moved.column(f"m{k}").to_numpy()
+        del moved
         held.destroy()
     return model, counts
 
