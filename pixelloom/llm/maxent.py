@@ -45,7 +45,7 @@ ROUNDS = 4
 #: Share of the log-ratio that a step takes, at the root (where three features add up) and below; what both sums are raised by.
 ROOT_RATE, LOWER_RATE, PRIOR = 0.4, 0.9, 0.5
 #: Bytes of text that are split at once, and events that are weighed at once.
-CHUNK, SLICE = 4 << 20, 1 << 15
+CHUNK, SLICE = 2 << 20, 1 << 15
 #: Hash of what stands before a text.
 BEGIN = np.uint64(1)
 
