@@ -73,7 +73,7 @@ def change_counts(changes: DataFrame, width: float) -> DataFrame:
 
 def normalised_counts(counts: DataFrame, area: DataFrame, width: float) -> DataFrame:
     """Counts over area and time, and kinds over all changes: 0 where there are no changes. counts: as of `change_counts`; area: comp_id, area."""
-    joined = counts.join(F.broadcast(area), "comp_id")
+    joined = counts.join(area, "comp_id")
     shares = {f"share_{k}": safe_ratio(F.col(f"n_{k}"), F.col("n_changes"), 0.0, 0.0) for k in ("moderator", "cheat", "redundant_col", "redundant_colanduser")}
     rates = {"changes_rate": F.col("n_changes") / (F.col("area") * width), "changes_per_user": safe_ratio(F.col("n_changes"), F.col("n_users"), 0.0, 0.0)}
     return joined.select("comp_id", "bin", *(c.alias(n) for n, c in (shares | rates).items()))

@@ -135,7 +135,7 @@ def location_jumps(pixels: DataFrame) -> DataFrame:
 def active_area(pixels: DataFrame, width: float) -> DataFrame:
     """Pixels of each composition that are on at any time of each bin of its life."""
     start = pixels.groupBy("comp_id").agg(F.min("t0").alias("start"))
-    on = pixels.join(F.broadcast(start), "comp_id")
+    on = pixels.join(start, "comp_id")
     first = F.floor((F.col("t0") - F.col("start")) / width).cast("int") + 1
     bins = F.sequence(first, F.greatest(bin_number(F.col("t1"), F.col("start"), width), first))
     return on.select("comp_id", "x", "y", F.explode(bins).alias("bin")).groupBy("comp_id", "bin").agg(F.countDistinct("x", "y").alias("active_area"))
@@ -176,7 +176,7 @@ def pixel_owners(pixels: DataFrame, layers: int = 2) -> DataFrame:
     area = pixels.groupBy("comp_id").agg(F.countDistinct("x", "y").alias("area"))
     ends = pixels.select("x", "y", F.explode(F.array("t0", "t1")).alias("t_beg")).distinct()
     slices = ends.withColumn("t_end", F.lead("t_beg").over(Window.partitionBy("x", "y").orderBy("t_beg"))).where("t_end is not null")
-    held = slices.join(pixels, ["x", "y"]).where("t0 <= t_beg and t1 >= t_end").join(F.broadcast(area), "comp_id")
+    held = slices.join(pixels, ["x", "y"]).where("t0 <= t_beg and t1 >= t_end").join(area, "comp_id")
     order = Window.partitionBy("x", "y", "t_beg").orderBy("area", "comp_id")
     return held.withColumn("layer", F.row_number().over(order)).where(F.col("layer") <= layers).select("t_beg", "t_end", "x", "y", "layer", "comp_id")
 

@@ -28,7 +28,7 @@ def uniform(log: DataFrame, canvas: Canvas, seed: int = 0) -> DataFrame:
 def pixel_weights(pixels: DataFrame, exponent: float) -> DataFrame:
     """`(x, y, weight)`: area to the `exponent` of the smallest composition that holds a pixel."""
     area = pixels.groupBy("comp_id").agg(F.countDistinct("x", "y").alias("area"))
-    return pixels.join(F.broadcast(area), "comp_id").groupBy("x", "y").agg(F.pow(F.min("area").cast("double"), F.lit(exponent)).alias("weight"))
+    return pixels.join(area, "comp_id").groupBy("x", "y").agg(F.pow(F.min("area").cast("double"), F.lit(exponent)).alias("weight"))
 
 
 def perimeter_weights(pixels: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def perimeter_weights(pixels: DataFrame) -> DataFrame:
     near = own.withColumn("m", moves).select("comp_id", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"))
     inner = near.groupBy("comp_id", "x", "y").agg(F.count("*").alias("n")).join(own, ["comp_id", "x", "y"], "left_semi")
     edge = inner.where("n < 4").groupBy("comp_id").agg(F.count("*").alias("perimeter"))
-    return own.join(F.broadcast(edge), "comp_id").groupBy("x", "y").agg(F.min("perimeter").cast("double").alias("weight"))
+    return own.join(edge, "comp_id").groupBy("x", "y").agg(F.min("perimeter").cast("double").alias("weight"))
 
 
 def cumulative(weights: DataFrame) -> DataFrame:
@@ -76,6 +76,6 @@ def loyal(log: DataFrame, pixels: DataFrame, seed: int = 0) -> DataFrame:
     numbered = own.select("comp_id", F.col("x").alias("nx"), F.col("y").alias("ny"), (F.row_number().over(order) - 1).alias("i"))
     area = own.groupBy("comp_id").agg(F.count("*").alias("area"))
     moved = log.join(hits, "user", "left").withColumn("later", F.coalesce(F.struct("seconds", "event_id") > F.struct("first.seconds", "first.event_id"), F.lit(False)))
-    chosen = moved.withColumn("comp_id", F.when(F.col("later"), F.col("first.comp_id"))).join(F.broadcast(area), "comp_id", "left")
+    chosen = moved.withColumn("comp_id", F.when(F.col("later"), F.col("first.comp_id"))).join(area, "comp_id", "left")
     picked = chosen.withColumn("i", F.floor(hash_unit(F.col("event_id"), seed=seed) * F.col("area")).cast("int")).join(numbered, ["comp_id", "i"], "left")
     return picked.select("event_id", "seconds", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"), "user", "color", "moderator", "comp_id")

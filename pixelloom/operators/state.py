@@ -101,12 +101,24 @@ def instant_images(stays: DataFrame, width: float) -> DataFrame:
     return stays.where(last >= first).select(*PIXEL, F.explode(F.sequence(first, last)).alias("bin"), F.col("color").alias("inst"))
 
 
-def _most_time(times: DataFrame, shifts: list[int], n_bins: DataFrame, name: str) -> DataFrame:
-    """Colour with most time over the bins that the shifts move to each bin; ties: highest colour."""
-    moved = times.withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("bin", F.col("bin") + F.col("shift"))
-    inside = moved.join(F.broadcast(n_bins), "comp_id").where("bin >= 1 and bin <= n_bins")
-    sums = inside.groupBy(*PIXEL, "bin", "color").agg(F.sum("secs").alias("secs"))
-    return sums.groupBy(*PIXEL, "bin").agg(F.max_by("color", F.struct(F.round("secs", 6), "color")).alias(name))
+def window_totals(times: DataFrame, window: int) -> DataFrame:
+    """`(comp_id, x, y, color, bin, next, total)`: a colour's seconds over the last `window` bins, from `bin` up to `next` exclusive.
+
+    Totals change only where a bin enters or leaves the window, so there are two rows at most for each row of `times`, whatever the window. All is
+    dealt by pixel once.
+    """
+    leaves = times.select(*PIXEL, "color", (F.col("bin") + window).alias("bin"), F.lit(0.0).alias("secs"))
+    marks = times.select(*PIXEL, "color", "bin", "secs").unionByName(leaves).repartition(*PIXEL).groupBy(*PIXEL, "color", "bin").agg(F.sum("secs").alias("secs"))
+    line = Window.partitionBy(*PIXEL, "color").orderBy("bin")
+    return marks.select(*PIXEL, "color", "bin", F.lead("bin").over(line).alias("next"), F.sum("secs").over(line.rangeBetween(-(window - 1), 0)).alias("total")).where("total > 0")
+
+
+def _most_time(times: DataFrame, window: int, shift: int, n_bins: DataFrame, name: str) -> DataFrame:
+    """Colour with most time over the `window` bins that end `shift` bins later; ties: highest colour."""
+    totals = window_totals(times, window).join(n_bins, "comp_id")
+    first, last = F.greatest(F.col("bin") - shift, F.lit(1)), F.least(F.col("next") - 1 - shift, "n_bins")
+    each = totals.where(first <= last).select(*PIXEL, "color", "total", F.explode(F.sequence(first, last)).alias("bin"))
+    return each.groupBy(*PIXEL, "bin").agg(F.max_by("color", F.struct(F.round("total", 6), "color")).alias(name))
 
 
 def life_bins(pixels: DataFrame, width: float) -> DataFrame:
@@ -116,12 +128,12 @@ def life_bins(pixels: DataFrame, width: float) -> DataFrame:
 
 def reference_images(times: DataFrame, pixels: DataFrame, width: float, window: int) -> DataFrame:
     """Colour with most time over the last `window` bins, this one included."""
-    return _most_time(times, list(range(window)), life_bins(pixels, width), "ref")
+    return _most_time(times, window, 0, life_bins(pixels, width), "ref")
 
 
 def forward_references(times: DataFrame, pixels: DataFrame, width: float, window: int) -> DataFrame:
     """Colour with most time over the next `window` bins."""
-    return _most_time(times, list(range(-window, 0)), life_bins(pixels, width), "ref_fwd")
+    return _most_time(times, window, window, life_bins(pixels, width), "ref_fwd")
 
 
 def constant_reference(times: DataFrame) -> DataFrame:

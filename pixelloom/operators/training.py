@@ -35,7 +35,7 @@ def labels(rows: DataFrame, transitions: DataFrame, cap: int) -> DataFrame:
 
 def stable_rows(rows: DataFrame, transitions: DataFrame, area: DataFrame, least_area: int, last_bin: int) -> DataFrame:
     """Rows of large compositions, outside transitions and before `last_bin`; `safe_start`: at least a window after the last transition."""
-    large = rows.join(F.broadcast(area.where(F.col("area") >= least_area)), "comp_id", "left_semi").where(F.col("bin") < last_bin)
+    large = rows.join(area.where(F.col("area") >= least_area), "comp_id", "left_semi").where(F.col("bin") < last_bin)
     spans = transitions.select("comp_id", "bin_beg", "bin_end")
     inside = large.join(spans, "comp_id").where("bin >= bin_beg and bin < bin_end").select("comp_id", "bin").distinct()
     return large.join(inside, ["comp_id", "bin"], "left_anti")

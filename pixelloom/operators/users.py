@@ -15,7 +15,7 @@ def attention(changes: DataFrame, slot: float, largest: bool = True) -> DataFram
     The most attentive users are taken for the last figure, or the least if not `largest`. Needs t0, t1 and the pixel's x, y.
     """
     life = changes.groupBy("comp_id").agg(F.min("t0").alias("a"), F.max("t1").alias("b"), F.countDistinct("x", "y").alias("n_pix"))
-    per = changes.where("active").groupBy("comp_id", "user").agg(F.count("*").alias("n")).join(F.broadcast(life), "comp_id")
+    per = changes.where("active").groupBy("comp_id", "user").agg(F.count("*").alias("n")).join(life, "comp_id")
     valued = per.withColumn("attention", F.col("n") / ((F.col("b") - F.col("a")) / slot))
     order = Window.partitionBy("comp_id").orderBy(F.desc("n") if largest else F.col("n"), "user")
     ranked = valued.withColumn("i", F.row_number().over(order))

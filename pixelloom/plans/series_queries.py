@@ -25,7 +25,7 @@ def count_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def difference_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of pixels off their reference at each bin's end, with its ratio to the mean before."""
-    s = State(spark, sf_dir)
+    s = State(spark, sf_dir).shared_stays()
     joined = s.instant().join(s.ref(), ["comp_id", "x", "y", "bin"])
     share = joined.groupBy("comp_id", "bin").agg(F.avg((F.col("inst") != F.col("ref")).cast("double")).alias("val"))
     return series.ratio_to_mean(share, SW, ["comp_id"])

@@ -25,7 +25,7 @@ def opened(canvas: Canvas):
 
 
 class State:
-    """The tables that several queries start from. Colour times are written once and shared."""
+    """The tables that several queries start from. Stays, and the colour times made of them, are written once where several tables need them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.log = adapter.pixel_log(spark, sf_dir)
@@ -34,8 +34,13 @@ class State:
         self.times = state.color_time(self.stays, WIDTH)
         self.changes = flagged(spark, sf_dir)
 
+    def shared_stays(self) -> State:
+        self.stays = write_shared(self.stays, "stays")
+        self.times = state.color_time(self.stays, WIDTH)
+        return self
+
     def shared(self) -> State:
-        self.times = write_shared(self.times, "color-time")
+        self.shared_stays().times = write_shared(self.times, "color-time")
         return self
 
     def ref(self) -> DataFrame:
@@ -88,14 +93,14 @@ QUERIES = {
     "t16_in_out_groups": _of(lambda s: ad.in_out_groups(s.shared().changes, s.ref(), s.forward(), WIDTH)),
     "t17_pixel_attack_share": _of(lambda s: rounded(ad.pixel_attack_share(_agreed(s)), "attack_share")),
     "t18_attack_time": _of(lambda s: rounded(state.attack_time_share(s.shared().times, s.ref(), WIDTH), "attack_time")),
-    "t19_return_rate": _of(lambda s: rounded(state.return_rate(s.instant(), s.ref()), "return_rate")),
+    "t19_return_rate": _of(lambda s: rounded(state.return_rate(s.shared_stays().instant(), s.ref()), "return_rate")),
     "t24_color_variances": _of(lambda s: rounded(state.color_variances(s.times), "var_inverse", "var_multinomial", "var_subdominant")),
     "t24_color_autocorrelation": _of(lambda s: rounded(state.color_autocorrelation(s.shared().times), "autocorr_multinomial", "dissimilarity")),
-    "t25_color_share": _of(lambda s: rounded(state.color_share_of_images(s.instant(), s.ref(), 1), "in_image", "in_ref")),
+    "t25_color_share": _of(lambda s: rounded(state.color_share_of_images(s.shared_stays().instant(), s.ref(), 1), "in_image", "in_ref")),
     "t26_lifetime_users": _of(lambda s: ad.lifetime_users(_agreed(s))),
     "t27_edge_pixels": _of(lambda s: state.edge_pixels(write_shared(s.ref(), "ref"))),
     "t29_changes_per_user": _of(lambda s: rounded(_per_user(s), "changes_per_user")),
-    "t30_attack_map": _of(lambda s: s.instant().join(s.ref(), ["comp_id", "x", "y", "bin"]).select("comp_id", "x", "y", "bin", F.when(F.col("inst") == F.col("ref"), "white").otherwise("black").alias("shade"))),
+    "t30_attack_map": _of(lambda s: s.shared_stays().instant().join(s.ref(), ["comp_id", "x", "y", "bin"]).select("comp_id", "x", "y", "bin", F.when(F.col("inst") == F.col("ref"), "white").otherwise("black").alias("shade"))),
     "t31_lifetime_stability": _of(lambda s: rounded(state.lifetime_stability(s.stays), "stability")),
     "j4_image_at": _of(lambda s: state.last_image(s.log, 20 * 86400.0, TEST_CANVAS.white, s.pixels)),
     "j5_agreement": _of(lambda s: _agreed(s).select("comp_id", "event_id", "bin", "ref", "defense")),
