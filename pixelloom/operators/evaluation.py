@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixelloom.operators.transitions import _fire
+from pixelloom.plans.components import connected_components
 
 
 def cuts(predictions: DataFrame, truth: float, quantiles: list[float]) -> list[float]:
@@ -157,3 +158,64 @@ def densities(predictions: DataFrame, truth: float, width: float) -> DataFrame:
     """Share per unit of the predictions of signal and background in bins of `width`."""
     counts = predictions.groupBy((F.col("true_s") < truth).alias("signal"), F.floor(F.col("pred_s") / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     return counts.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy("signal")) * width))
+
+
+def precision_recall_area(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Area under purity over TPR by trapezoids, along the cuts that have warnings."""
+    order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("i")
+    step = counts.where("purity is not null and tpr is not null").withColumns({"p0": F.lag("purity").over(order), "t0": F.lag("tpr").over(order)})
+    area = F.coalesce(F.sum((F.col("tpr") - F.col("t0")) * (F.col("purity") + F.col("p0")) / 2), F.lit(0.0)).alias("pr_auc")
+    return step.groupBy(*by).agg(area) if by else step.agg(area)
+
+
+def fpr_at_tpr(counts: DataFrame, tpr: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """FPR at the given TPR, interpolated between the last cut below it and the first that reaches it; that of the first or last cut beyond the ends."""
+    low, high = F.struct("tpr", "fpr"), F.struct("tpr", "fpr")
+    found = counts.where("tpr is not null and fpr is not null").groupBy(*by).agg(
+        F.max(F.when(F.col("tpr") < tpr, low)).alias("low"), F.min(F.when(F.col("tpr") >= tpr, high)).alias("high")
+    )
+    between = F.col("low.fpr") + (F.col("high.fpr") - F.col("low.fpr")) * (tpr - F.col("low.tpr")) / (F.col("high.tpr") - F.col("low.tpr"))
+    return found.select(*by, F.coalesce(between, "high.fpr", "low.fpr").alias("fpr"))
+
+
+def single_variables(features: DataFrame, labels: DataFrame, names: list[str], truth: float, at: list[float]) -> DataFrame:
+    """The counts of warnings from each feature alone: a high value warns, so the prediction is its negative. features: comp_id, bin, names; labels: comp_id, bin, label."""
+    long = features.unpivot(["comp_id", "bin"], names, "feature", "value").where("value is not null and not isnan(value)")
+    rows = long.join(labels, ["comp_id", "bin"]).select("feature", F.col("label").cast("double").alias("true_s"), (-F.col("value")).alias("pred_s"))
+    return threshold_counts(rows, truth, at, ("feature",))
+
+
+def correlated_groups(matrix: DataFrame, ranks: DataFrame, least: float) -> DataFrame:
+    """Ranks by composition after variables whose correlation exceeds `least` either way become one group, named by its first variable; a group has its best rank.
+
+    matrix: a, b, correlation; ranks: comp_id, variable, rank.
+    """
+    groups = connected_components(matrix.where(F.abs("correlation") > least), "a", "b").select(F.col("node").alias("variable"), F.col("component").alias("group"))
+    named = ranks.join(groups, "variable", "left").withColumn("group", F.coalesce("group", "variable"))
+    best = named.groupBy("comp_id", "group").agg(F.min("rank").alias("best"), F.count("*").alias("n_variables"))
+    return best.select("comp_id", "group", "n_variables", F.row_number().over(Window.partitionBy("comp_id").orderBy("best")).alias("rank"))
+
+
+def least_useful(attributions: DataFrame, matrix: DataFrame, n: int, most_correlated: float, random_prefix: str = "rand_") -> list[str]:
+    """Up to `n` features to drop, the least mean absolute attribution first: none that is correlated by more than `most_correlated` with one already
+    dropped, and none above the best random feature, where there are such. A row a feature and a pair reach the driver.
+
+    attributions: feature, attribution; matrix: a, b, correlation.
+    """
+    means = attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("m")).collect()
+    strength = {r["feature"]: r["m"] for r in means}
+    close = {frozenset((r["a"], r["b"])) for r in matrix.where(F.abs("correlation") > most_correlated).collect()}
+    limit = max((m for f, m in strength.items() if f.startswith(random_prefix)), default=float("inf"))
+    dropped: list[str] = []
+    for feature in sorted((f for f in strength if not f.startswith(random_prefix)), key=lambda f: (round(strength[f], 12), f)):
+        if len(dropped) < n and strength[feature] <= limit and not any(frozenset((feature, d)) in close for d in dropped):
+            dropped.append(feature)
+    return dropped
+
+
+def calm_rows(features: DataFrame, below: dict[str, float]) -> DataFrame:
+    """Rows whose features are all below their thresholds; a missing value is not below."""
+    condition = F.lit(True)
+    for name, most in below.items():
+        condition = condition & (F.col(name) < most)
+    return features.where(condition).select("comp_id", "bin")

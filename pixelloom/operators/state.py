@@ -172,12 +172,13 @@ def attack_time_share(times: DataFrame, ref: DataFrame, width: float) -> DataFra
     return joined.groupBy("comp_id", "bin").agg(F.greatest(1 - kept / (area * width), F.lit(0.0)).alias("attack_time"))
 
 
-def return_rate(instant: DataFrame, ref: DataFrame) -> DataFrame:
-    """Of the pixels off the reference at the end of the bin before, the share that is back on it; 1 if there were none."""
+def return_rate(times: DataFrame, instant: DataFrame, ref: DataFrame) -> DataFrame:
+    """Of the pixels off the reference at the end of the bin before, the share that came back to it in the bin, also if it was lost again; 1 if there were none."""
     before = instant.select(*PIXEL, (F.col("bin") + 1).alias("bin"), F.col("inst").alias("old"))
-    joined = ref.join(instant, [*PIXEL, "bin"]).join(before, [*PIXEL, "bin"])
+    shown = times.select(*PIXEL, "bin", F.col("color").alias("ref"), F.lit(True).alias("shown"))
+    joined = ref.join(instant, [*PIXEL, "bin"]).join(before, [*PIXEL, "bin"]).join(shown, [*PIXEL, "bin", "ref"], "left")
     off = F.sum((F.col("old") != F.col("ref")).cast("long"))
-    back = F.sum(((F.col("old") != F.col("ref")) & (F.col("inst") == F.col("ref"))).cast("long"))
+    back = F.sum(((F.col("old") != F.col("ref")) & ((F.col("inst") == F.col("ref")) | F.col("shown").isNotNull())).cast("long"))
     return joined.groupBy("comp_id", "bin").agg(F.when(off > 0, back / off).otherwise(1.0).alias("return_rate"))
 
 
@@ -241,3 +242,16 @@ def return_times(attacks: DataFrame, width: float) -> DataFrame:
     return attacks.where("not open").groupBy("comp_id", bins.alias("bin")).agg(
         F.count("*").alias("n"), F.avg("duration").alias("mean"), (F.expr("percentile(duration, 0.5)") / F.log(F.lit(2.0))).alias("median_ln2")
     )
+
+
+def autocorrelation_by_case(stable: DataFrame, instant: DataFrame) -> DataFrame:
+    """Per composition and bin, from the colours at this bin's end and the last one's, and the bin's longest colour: 1 for a pixel that stays off the longest colour,
+    -1 for one that goes from one other colour to another, 0 for all else. `by_case` is the mean, `by_case_norm` the sum over that of weights: 1 for either of
+    these, a half for a change from or to the longest colour; 0 where nothing has weight."""
+    before = instant.select(*PIXEL, (F.col("bin") + 1).alias("bin"), F.col("inst").alias("old"))
+    joined = stable.select(*PIXEL, "bin", F.col("stable1").alias("top")).join(instant, [*PIXEL, "bin"]).join(before, [*PIXEL, "bin"])
+    same, now, then = F.col("inst") == F.col("old"), F.col("inst") == F.col("top"), F.col("old") == F.col("top")
+    value = F.when(same & ~now, 1.0).when(~same & ~now & ~then, -1.0).otherwise(0.0)
+    weight = F.when(same & now, 0.0).when(same | (~now & ~then), 1.0).otherwise(0.5)
+    sums = joined.groupBy("comp_id", "bin").agg(F.avg(value).alias("by_case"), F.sum(value).alias("s"), F.sum(weight).alias("w"))
+    return sums.select("comp_id", "bin", "by_case", F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(0.0).alias("by_case_norm"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelloom.functions.columns import hash_unit
+from pixelloom.functions.columns import hash_unit, safe_ratio
+from pixelloom.operators import series
 
 
 def lag_ranges(widths: list[int]) -> list[tuple[int, int]]:
@@ -79,3 +82,99 @@ def feature_relation(rows: DataFrame, x: str, y: str, width: float) -> DataFrame
     return rows.groupBy(F.floor(F.col(x) / width).cast("int").alias("x_bin")).agg(
         F.count("*").alias("n"), F.avg(y).alias("mean_y"), F.when(F.count("*") > 1, F.stddev_samp(y) / F.sqrt(F.count("*"))).alias("error_y")
     )
+
+
+@dataclass(frozen=True)
+class Variable:
+    """A variable of the training table: as it is or over the mean of the window before, its Kendall tau instead, and whether only coarse time ranges are wanted."""
+
+    name: str
+    ratio: bool = False
+    coarse: bool = False
+    kendall: bool = False
+
+    @property
+    def column(self) -> str:
+        return self.name + ("_ratio" if self.ratio else "") + ("_tau" if self.kendall else "")
+
+
+def choose_variables(rows: DataFrame, chosen: list[Variable], window: int, fine: list[tuple[int, int]], coarse: list[tuple[int, int]]) -> DataFrame:
+    """The features of `chosen` variables from rows (comp_id, bin, a column for each name): means over time ranges, `<column>_t_<a>_<b>`."""
+    order = Window.partitionBy("comp_id").orderBy("bin")
+    base = lambda n: F.coalesce(F.avg(n).over(order.rowsBetween(-window, -1)), F.col(n))
+    made = {v.column: safe_ratio(F.col(v.name), base(v.name), 1.0, 1.0) if v.ratio else F.col(v.name) for v in chosen if not v.kendall}
+    ready = rows.select("comp_id", "bin", *(c.cast("double").alias(n) for n, c in made.items()))
+    for v in (v for v in chosen if v.kendall):
+        long = rows.select("comp_id", F.lit(v.name).alias("variable"), "bin", F.col(v.name).cast("double").alias("val"))
+        ready = ready.join(series.rolling_kendall(long).select("comp_id", "bin", F.col("tau").alias(v.column)), ["comp_id", "bin"])
+    ranges = {v.column: coarse if v.coarse else fine for v in chosen}
+    means = [F.avg(n).over(order.rowsBetween(-b, -a)).alias(f"{n}_t_{a}_{b}") for n, of in ranges.items() for a, b in of]
+    return ready.select("comp_id", "bin", *means)
+
+
+def extra_features(rows: DataFrame, info: DataFrame, places: DataFrame, window_mean: list[str], window: int) -> DataFrame:
+    """log10 of the area, age, section, how many of border, corner and centre a composition is at in its section, and the given columns' means over the window before.
+
+    rows: comp_id, bin, t and the columns; info: comp_id, area, t0, section; places: comp_id, section, at_border, in_corner, in_centre.
+    """
+    order = Window.partitionBy("comp_id").orderBy("bin").rowsBetween(-window, -1)
+    importance = sum((F.col(c).cast("int") for c in ("in_corner", "in_centre")), F.col("at_border").cast("int"))
+    means = [F.avg(c).over(order).alias(f"{c}_sw") for c in window_mean]
+    placed = rows.select("comp_id", "bin", "t", *means).join(info, "comp_id").join(places.select("comp_id", "section", importance.alias("position")), ["comp_id", "section"])
+    return placed.select("comp_id", "bin", F.log10("area").alias("log_area"), (F.col("t") - F.col("t0")).alias("age"), "section", "position", *(f"{c}_sw" for c in window_mean))
+
+
+def training_rows(
+    rows: DataFrame, info: DataFrame, transitions: DataFrame, stable: DataFrame, rejected: DataFrame, active: DataFrame,
+    cuts: tuple[float, float], window: float, margin: float, least_area: int, end: float,
+) -> DataFrame:
+    """`(comp_id, bin, safe_start, safe_trans)` of the rows that may be learned from.
+
+    Kept: compositions of `least_area`; later than `window` seconds after their start and before their end and the canvas's; not
+    beyond both cuts of a transition, nor within the window after one began; in a stable border range since `window + margin`; outside the times that overlaps
+    reject; with an active pixel; not in the last bin. `safe_start`, `safe_trans`: also `margin` later than the start, and than every transition's window.
+
+    rows: comp_id, bin, t, val, ratio; info: comp_id, area, t0, t1, n_bins; transitions: comp_id, t_start; stable, rejected: comp_id, t0, t1; active: comp_id, bin, active_area.
+    """
+    key = ["comp_id", "bin"]
+    kept = rows.join(info, "comp_id").where((F.col("area") >= least_area) & (F.col("t") > F.col("t0") + window) & (F.col("t") < F.col("t1")) & (F.col("t") <= end) & (F.col("bin") < F.col("n_bins")))
+    kept = kept.where((F.col("val") < cuts[0]) | (F.col("ratio") < cuts[1])).join(active.where("active_area > 0").select(*key), key, "left_semi")
+    since = F.col("t") - F.col("t_start")
+    near = kept.join(transitions, "comp_id").where((since >= 0) & (since < window + margin)).groupBy(*key).agg(F.min(since).alias("since"))
+    spans = lambda other: other.select("comp_id", F.col("t0").alias("s0"), F.col("t1").alias("s1"))
+    calm = kept.join(spans(stable), "comp_id").where((F.col("t") >= F.col("s0") + margin + window) & (F.col("t") <= F.col("s1"))).select(*key).distinct()
+    out = kept.join(spans(rejected), "comp_id").where((F.col("t") >= F.col("s0")) & (F.col("t") <= F.col("s1"))).select(*key).distinct()
+    found = kept.join(calm, key, "left_semi").join(out, key, "left_anti").join(near, key, "left").where(F.coalesce(F.col("since") >= window, F.lit(True)))
+    return found.select(*key, (F.col("t") > F.col("t0") + margin + window).alias("safe_start"), F.col("since").isNull().alias("safe_trans"))
+
+
+def recovered_rejects(comps: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The times rejected in one run for the compositions of another, by id; compositions without any have none."""
+    return comps.select("comp_id").distinct().join(rejected, "comp_id").select("comp_id", "t0", "t1")
+
+
+def clean_features(rows: DataFrame, keep: list[str], drop: list[str], sparse: dict[str, list[str]], clip: list[str]) -> DataFrame:
+    """The features of the variables in `keep` but not in `drop`, of those in `sparse` only at the given time ranges (`<a>_<b>`); null and NaN become 0, and variables
+    in `clip` are 1 where they exceed 1 either way. An empty `keep` keeps all."""
+    chosen = []
+    for name in (c for c in rows.columns if "_t_" in c):
+        variable, ranges = name.rsplit("_t_", 1)
+        if (not keep or variable in keep) and variable not in drop and (variable not in sparse or ranges in sparse[variable]):
+            value = F.coalesce(F.nanvl(F.col(name), F.lit(0.0)), F.lit(0.0))
+            chosen.append((F.when(F.abs(value) > 1, 1.0).otherwise(value) if variable in clip else value).alias(name))
+    return rows.select("comp_id", "bin", *chosen)
+
+
+def correlation_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
+    """`(a, b, correlation)` of every pair of columns a < b by name, in one pass over the rows; 0 where one is constant."""
+    pairs = [(a, b) for a in sorted(names) for b in sorted(names) if a < b]
+    spread = lambda a, b: F.stddev_pop(a) * F.stddev_pop(b)
+    wide = rows.agg(*(F.when(spread(a, b) > 1e-12, F.covar_pop(a, b) / spread(a, b)).otherwise(0.0).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)))
+    return wide.select(F.inline(each))
+
+
+def variable_correlations(matrix: DataFrame) -> DataFrame:
+    """Mean correlation of each pair of variables over the time ranges that both have."""
+    variable, ranges = lambda c: F.regexp_extract(c, r"^(.*)_t_", 1), lambda c: F.regexp_extract(c, r"_t_(.*)$", 1)
+    return matrix.where(ranges("a") == ranges("b")).groupBy(variable("a").alias("a"), variable("b").alias("b")).agg(F.avg("correlation").alias("correlation"))

@@ -165,3 +165,22 @@ def significance_grid(rows: DataFrame, transitions: DataFrame, thresholds: list[
     hits = asked.join(transitions.select("comp_id", "bin_beg"), "comp_id").where(good).select("comp_id", "threshold", "earliness", "bin").distinct().withColumn("good", F.lit(1))
     scored = asked.join(hits, ["comp_id", "threshold", "earliness", "bin"], "left").groupBy("comp_id", "threshold", "earliness").agg(F.avg(F.coalesce("good", F.lit(0))).alias("share"))
     return scored.groupBy("threshold", "earliness").agg(F.avg("share").alias("mean_share"), F.count("*").alias("n_comps"))
+
+
+def merge_same_periods(transitions: DataFrame, same_after: bool = False) -> DataFrame:
+    """Transitions with the same stable period before (and after) as one, from the least beginning to the greatest end.
+
+    transitions: comp_id, pre_beg, pre_end, bin_beg, bin_end, post_beg, post_end. Unless the period after must be the same, its ends are the greatest ones.
+    """
+    after = ["post_beg", "post_end"]
+    keys = ["comp_id", "pre_beg", "pre_end", *(after if same_after else [])]
+    rest = [] if same_after else [F.max(c).alias(c) for c in after]
+    return transitions.groupBy(*keys).agg(F.min("bin_beg").alias("bin_beg"), F.max("bin_end").alias("bin_end"), *rest)
+
+
+def with_periods(transitions: DataFrame, window: int, last: DataFrame) -> DataFrame:
+    """Add `pre_beg`, `pre_end`, `post_beg`, `post_end`: the `window` bins before each transition and after it, cut at 1 and at the composition's `n_bins`."""
+    return transitions.join(last, "comp_id").select(
+        "comp_id", "bin_beg", "bin_end", F.greatest(F.col("bin_beg") - window, F.lit(1)).alias("pre_beg"), F.col("bin_beg").alias("pre_end"),
+        F.col("bin_end").alias("post_beg"), F.least(F.col("bin_end") + window, "n_bins").alias("post_end"),
+    )

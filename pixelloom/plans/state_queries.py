@@ -93,7 +93,8 @@ QUERIES = {
     "t16_in_out_groups": _of(lambda s: ad.in_out_groups(s.shared().changes, s.ref(), s.forward(), WIDTH)),
     "t17_pixel_attack_share": _of(lambda s: rounded(ad.pixel_attack_share(_agreed(s)), "attack_share")),
     "t18_attack_time": _of(lambda s: rounded(state.attack_time_share(s.shared().times, s.ref(), WIDTH), "attack_time")),
-    "t19_return_rate": _of(lambda s: rounded(state.return_rate(s.shared_stays().instant(), s.ref()), "return_rate")),
+    "t19_return_rate": _of(lambda s: rounded(state.return_rate(s.shared().times, s.instant(), s.ref()), "return_rate")),
+    "t23_autocorrelation_by_case": _of(lambda s: rounded(state.autocorrelation_by_case(state.stable_images(s.shared_stays().times), s.instant()), "by_case", "by_case_norm")),
     "t24_color_variances": _of(lambda s: rounded(state.color_variances(s.times), "var_inverse", "var_multinomial", "var_subdominant")),
     "t24_color_autocorrelation": _of(lambda s: rounded(state.color_autocorrelation(s.shared().times), "autocorr_multinomial", "dissimilarity")),
     "t25_color_share": _of(lambda s: rounded(state.color_share_of_images(s.shared_stays().instant(), s.ref(), 1), "in_image", "in_ref")),
@@ -186,8 +187,13 @@ ORACLES = {
     "t17_pixel_attack_share": f"WITH {SQL_STATE} SELECT comp_id, x, y, bin, round(avg(CASE WHEN defense THEN 0.0 ELSE 1.0 END), 6) AS attack_share FROM agreed GROUP BY 1, 2, 3, 4",
     "t18_attack_time": f"""WITH {SQL_STATE} SELECT comp_id, bin, round(greatest(1 - sum(CASE WHEN color = ref THEN secs ELSE 0 END) / (count(DISTINCT (x, y)) * 21600), 0), 6) AS attack_time
         FROM times JOIN ref USING (comp_id, x, y, bin) GROUP BY 1, 2""",
-    "t19_return_rate": f"""WITH {SQL_STATE} SELECT r.comp_id, r.bin, round(CASE WHEN count(*) FILTER (WHERE o.inst <> ref) > 0 THEN count(*) FILTER (WHERE o.inst <> ref AND i.inst = ref) / count(*) FILTER (WHERE o.inst <> ref) ELSE 1.0 END, 6) AS return_rate
-        FROM ref r JOIN instant i ON r.comp_id = i.comp_id AND r.x = i.x AND r.y = i.y AND r.bin = i.bin JOIN instant o ON r.comp_id = o.comp_id AND r.x = o.x AND r.y = o.y AND r.bin = o.bin + 1 GROUP BY 1, 2""",
+    "t19_return_rate": f"""WITH {SQL_STATE} SELECT r.comp_id, r.bin, round(CASE WHEN count(*) FILTER (WHERE o.inst <> ref) > 0 THEN count(*) FILTER (WHERE o.inst <> ref AND (i.inst = ref OR t.secs IS NOT NULL)) / count(*) FILTER (WHERE o.inst <> ref) ELSE 1.0 END, 6) AS return_rate
+        FROM ref r JOIN instant i ON r.comp_id = i.comp_id AND r.x = i.x AND r.y = i.y AND r.bin = i.bin JOIN instant o ON r.comp_id = o.comp_id AND r.x = o.x AND r.y = o.y AND r.bin = o.bin + 1
+        LEFT JOIN times t ON t.comp_id = r.comp_id AND t.x = r.x AND t.y = r.y AND t.bin = r.bin AND t.color = ref GROUP BY 1, 2""",
+    "t23_autocorrelation_by_case": f"""WITH {SQL_STATE}, c AS (SELECT s.comp_id, s.bin, CASE WHEN i.inst = o.inst THEN CASE WHEN i.inst = stable1 THEN 'still' ELSE 'stays' END WHEN stable1 IN (i.inst, o.inst) THEN 'half' ELSE 'moves' END AS k
+            FROM stable s JOIN instant i USING (comp_id, x, y, bin) JOIN instant o ON o.comp_id = s.comp_id AND o.x = s.x AND o.y = s.y AND o.bin = s.bin - 1)
+        SELECT comp_id, bin, round(avg(CASE k WHEN 'stays' THEN 1e0 WHEN 'moves' THEN -1 ELSE 0 END), 6) AS by_case,
+            round(coalesce(sum(CASE k WHEN 'stays' THEN 1e0 WHEN 'moves' THEN -1 ELSE 0 END) / nullif(sum(CASE k WHEN 'still' THEN 0e0 WHEN 'half' THEN 0.5e0 ELSE 1 END), 0), 0), 6) AS by_case_norm FROM c GROUP BY 1, 2""",
     "t24_color_variances": f"""WITH {SQL_STATE} SELECT comp_id, bin, round(avg(1 / sq), 6) AS var_inverse, round(avg(1 - sq), 6) AS var_multinomial, round(avg(1 - top), 6) AS var_subdominant
         FROM (SELECT comp_id, x, y, bin, sum(share * share) AS sq, max(share) AS top FROM ranked GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
     "t24_color_autocorrelation": f"""WITH {SQL_STATE}, pairs AS (SELECT a.comp_id, a.x, a.y, a.bin FROM stability a JOIN stability b ON a.comp_id = b.comp_id AND a.x = b.x AND a.y = b.y AND a.bin = b.bin + 1),

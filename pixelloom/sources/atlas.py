@@ -44,3 +44,21 @@ def read_scaling(spark: SparkSession, path: str, schema: str) -> dict[str, DataF
     rows = spark.read.csv(path, header=True, schema=schema)
     streamer, alliance = F.col("streamer"), F.col("alliance")
     return {"streamer": rows.where(streamer), "alliance": rows.where(~streamer & alliance), "other": rows.where(~streamer & ~alliance)}
+
+
+def write_runs(tables: dict[str, DataFrame], path: str) -> None:
+    """The tables of several parameter sets as one dataset, partitioned by `param`."""
+    for param, table in tables.items():
+        table.withColumn("param", F.lit(param)).write.mode("append").partitionBy("param").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, param: str | None = None) -> DataFrame:
+    """All runs, or that of one parameter set; other partitions are not read."""
+    rows = spark.read.option("recursiveFileLookup", False).parquet(path)
+    return rows if param is None else rows.where(F.col("param") == param)
+
+
+def write_result(table: DataFrame, path: str) -> None:
+    """A result, such as a histogram or heat map, as Parquet and as JSON lines."""
+    table.write.parquet(f"{path}/parquet")
+    table.write.json(f"{path}/json")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from pixelloom import schemas
 from pixelloom.functions.columns import seconds_since
+from pixelloom.plans.storage import write_shared
 
 #: The patterns of a raw line in either order of colour and coordinates.
 LINE_COLOR_FIRST = r'^(\S+) (\S+) UTC,([^,]+),(#[0-9A-Fa-f]{6}),"([^"]*)"'
@@ -67,20 +68,19 @@ def dense_colors(events: DataFrame) -> DataFrame:
     return first.select("hex", (F.row_number().over(Window.orderBy("first", "hex")) - 1).alias("color"))
 
 
-def dense_users(events: DataFrame, blocks: int = 64) -> DataFrame:
+def dense_users(events: DataFrame) -> DataFrame:
     """`(user_hash, user)`: users numbered by first appearance, without a single-task sort.
 
-    Users are dealt into `blocks` of time by their first appearance; each block numbers its own and adds the number of users before it.
+    Users are range-partitioned by their first appearance, so that bursts spread, and written with their partition's number; each partition numbers its own and adds
+    the number of users before it.
     """
     first = events.groupBy("user_hash").agg(F.min(F.struct("seconds", "event_id")).alias("first"))
-    span = first.agg(F.min("first.seconds").alias("lo"), F.max("first.seconds").alias("hi")).first()
-    width = max(((span["hi"] or 0) - (span["lo"] or 0)) / blocks, 1e-3)
-    dealt = first.withColumn("block", F.floor((F.col("first.seconds") - (span["lo"] or 0)) / width).cast("int"))
+    dealt = write_shared(first.repartitionByRange("first", "user_hash").withColumn("block", F.spark_partition_id()), "first-seen")
     counts = dealt.groupBy("block").agg(F.count("*").alias("n"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # one row for each block
     place = F.row_number().over(Window.partitionBy("block").orderBy("first", "user_hash")) - 1
-    return dealt.withColumn("place", place).join(F.broadcast(offsets), "block").select("user_hash", (F.col("place") + F.col("offset")).alias("user"))
+    return dealt.withColumn("place", place).join(offsets, "block").select("user_hash", (F.col("place") + F.col("offset")).alias("user"))
 
 
 def condense(events: DataFrame, colors: DataFrame, users: DataFrame) -> DataFrame:
@@ -112,3 +112,15 @@ def read_log(spark: SparkSession, path: str, before: float | None = None) -> Dat
     """The written log, all of it or what is before a time; whole buckets beyond it are pruned."""
     log = spark.read.parquet(path)
     return (log if before is None else log.where(F.col("seconds") < before)).drop("bucket")
+
+
+def write_dictionaries(colors: DataFrame, users: DataFrame, path: str) -> None:
+    """Colour and user numbers as tables, each sorted for both directions of the look-up: by number and by name."""
+    for table, name, number in ((colors, "hex", "color"), (users, "user_hash", "user")):
+        for by in (name, number):
+            table.repartitionByRange(by).sortWithinPartitions(by).write.parquet(f"{path}/{number}_by_{by}")
+
+
+def read_dictionary(spark: SparkSession, path: str, number: str, by: str) -> DataFrame:
+    """`number` is color or user, `by` the column that the wanted keys are in; filters on it are pushed to sorted row groups."""
+    return spark.read.parquet(f"{path}/{number}_by_{by}")
