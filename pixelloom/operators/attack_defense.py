@@ -55,11 +55,16 @@ def window_users(changes: DataFrame, width: float, window: int) -> DataFrame:
     return steps.select(*BIN, F.sum("d").over(Window.partitionBy("comp_id").orderBy("bin")).alias("n_users_window"))
 
 
+def _inner_outer(changes: DataFrame, ref: DataFrame, forward: DataFrame, width: float) -> DataFrame:
+    """Active changes with `inner`: whether they agree with the backward or the forward reference."""
+    binned = in_bins(changes, width).where("active").join(ref, [*PIXEL, "bin"]).join(forward, [*PIXEL, "bin"], "left")
+    return binned.withColumn("inner", (F.col("color") == F.col("ref")) | F.coalesce(F.col("color") == F.col("ref_fwd"), F.lit(False)))
+
+
 def in_out_groups(changes: DataFrame, ref: DataFrame, forward: DataFrame, width: float) -> DataFrame:
     """Changes that agree with the backward or the forward reference (in), others (out), and their users."""
-    binned = in_bins(changes, width).where("active").join(ref, [*PIXEL, "bin"]).join(forward, [*PIXEL, "bin"], "left")
-    inner = (F.col("color") == F.col("ref")) | F.coalesce(F.col("color") == F.col("ref_fwd"), F.lit(False))
-    users = binned.groupBy(*BIN, "user").agg(count_if(inner).alias("i"), count_if(~inner).alias("o"))
+    binned = _inner_outer(changes, ref, forward, width)
+    users = binned.groupBy(*BIN, "user").agg(count_if(F.col("inner")).alias("i"), count_if(~F.col("inner")).alias("o"))
     return users.groupBy(*BIN).agg(
         F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), count_if(F.col("o") == 0).alias("n_in_users"), count_if(F.col("i") == 0).alias("n_out_users"),
         count_if((F.col("i") > 0) & (F.col("o") > 0)).alias("n_both_users"),
@@ -88,3 +93,16 @@ def changes_per_user_in_window(counts: DataFrame, users: DataFrame, n_bins: Data
     summed = filled.withColumn("n", F.sum("n_changes").over(order.rowsBetween(-(window - 1), 0)))
     held = summed.join(users, BIN, "left").withColumn("u", F.last("n_users_window", ignorenulls=True).over(order))
     return held.where("u > 0").select(*BIN, (F.col("n") / F.col("u")).alias("changes_per_user"))
+
+
+def lifetime_groups(changes: DataFrame, ref: DataFrame, forward: DataFrame, width: float) -> DataFrame:
+    """Users of a composition's whole life by whether their changes agree with a backward or forward reference (in) or not (out), and how many there are in all."""
+    users = _inner_outer(changes, ref, forward, width).groupBy("comp_id", "user").agg(count_if(F.col("inner")).alias("i"), count_if(~F.col("inner")).alias("o"))
+    return users.groupBy("comp_id").agg(
+        F.count("*").alias("n_users"), count_if(F.col("o") == 0).alias("n_in_only"), count_if(F.col("i") == 0).alias("n_out_only"), count_if((F.col("i") > 0) & (F.col("o") > 0)).alias("n_both"),
+    )
+
+
+def outgroup_changes(changes: DataFrame, ref: DataFrame, forward: DataFrame, width: float) -> DataFrame:
+    """`(comp_id, event_id, bin)` of the changes that agree with neither reference."""
+    return _inner_outer(changes, ref, forward, width).where("not inner").select("comp_id", "event_id", "bin")

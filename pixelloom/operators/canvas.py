@@ -146,3 +146,25 @@ def radius_by_changes(log: DataFrame, radius_width: float) -> DataFrame:
     """Users by radius and by order of magnitude of their changes."""
     found = user_radius(log)
     return found.groupBy(F.floor(F.col("radius") / radius_width).cast("int").alias("radius_bin"), F.floor(F.log2("n_changes")).cast("int").alias("changes_bin")).agg(F.count("*").alias("n_users"))
+
+
+def pixel_change_figures(log: DataFrame, width: int, height: int) -> DataFrame:
+    """Mean and median number of changes of a pixel, those without one included."""
+    grid = log.sparkSession.range(width).select(F.col("id").cast("int").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    n = grid.join(log.groupBy("x", "y").count(), ["x", "y"], "left").select(F.coalesce("count", F.lit(0)).alias("n"))
+    counts = n.groupBy("n").agg(F.count("*").alias("k"))
+    return counts.agg((F.sum(F.col("n") * F.col("k")) / F.sum("k")).alias("mean"), F.expr("percentile(n, 0.5, k)").alias("median"))
+
+
+def colors_in_order(log: DataFrame, order: list[int]) -> DataFrame:
+    """Changes of each colour, with its place in the display order; colours without a change count 0, and others than those of the order come last, by number."""
+    places = log.sparkSession.createDataFrame(list(enumerate(order)), "place int, color int")
+    counts = log.groupBy("color").agg(F.count("*").alias("n_changes"))
+    joined = places.join(counts, "color", "full")
+    return joined.select("color", F.coalesce("place", F.lit(len(order)) + F.col("color")).alias("place"), F.coalesce("n_changes", F.lit(0)).alias("n_changes"))
+
+
+def figure_histogram(rows: DataFrame, names: list[str], per_decade: float) -> DataFrame:
+    """Rows by figure and log bin of its value, for figures above 0."""
+    long = rows.unpivot([], names, "figure", "value").where("value > 0")
+    return long.groupBy("figure", F.floor(F.log10("value") * per_decade).cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -198,3 +198,98 @@ def image_shifts(images: DataFrame) -> DataFrame:
         return pd.DataFrame([[group["comp_id"].iloc[0], group["bin"].iloc[0], found[0, 0], found[best], float(np.hypot(*away))]])
 
     return pairs.groupBy(*IMAGE).applyInPandas(kernel, "comp_id string, bin int, unshifted double, best double, distance double")
+
+
+def lz77_factors(symbols: bytes) -> int:
+    """Factors of the parse in which each is the longest stretch that occurs before, or one new symbol."""
+    at = count = 0
+    while at < len(symbols):
+        length = 1
+        while at + length <= len(symbols) and symbols.find(symbols[at : at + length], 0, at + length - 1) >= 0:
+            length += 1
+        at += max(1, length - 1)
+        count += 1
+    return count
+
+
+def entropy_rates(symbols: bytes, random: bytes) -> tuple[float, float, float]:
+    """Entropy rates by LZ77 factors, LZ78 phrases and DEFLATE, each over that of a random binary sequence of the same length."""
+    n = len(symbols)
+    lz77 = lambda c: (c * np.log2(c) + 2 * c * np.log2(n / c)) / n
+    lz78 = lambda c, alphabet: c * (np.log2(alphabet) + np.log2(c)) / n
+    pairs = [
+        (lz77(lz77_factors(symbols)), lz77(lz77_factors(random))),
+        (lz78(lz78_phrases(symbols), len(set(symbols))), lz78(lz78_phrases(random), len(set(symbols)))),
+        (len(zlib.compress(symbols, 9)), len(zlib.compress(random, 9))),
+    ]
+    return tuple(float(a / b) if b else 0.0 for a, b in pairs)
+
+
+def image_entropy_rates(images: DataFrame) -> DataFrame:
+    """The entropy rates of each image along a Hilbert curve. The random sequence depends on the length only."""
+
+    def kernel(group: pd.DataFrame) -> pd.DataFrame:
+        image = pack(group)
+        curve = image.ravel()[hilbert_order(image.shape[1], image.shape[0])].tobytes()
+        coin = np.random.default_rng(len(curve)).integers(0, 2, len(curve), dtype=np.uint8).tobytes()
+        return pd.DataFrame([[group["comp_id"].iloc[0], group["bin"].iloc[0], lz77_factors(curve), *entropy_rates(curve, coin)]])
+
+    return images.select(*IMAGE, "x", "y", "color").groupBy(*IMAGE).applyInPandas(kernel, "comp_id string, bin int, n_lz77 int, rate_lz77 double, rate_lz78 double, rate_deflate double")
+
+
+#: Low-pass decomposition filter of the Daubechies wavelet with four vanishing moments.
+DB4 = (
+    -0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114,
+    -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523,
+)
+
+
+def db4_energies(values: np.ndarray) -> tuple[float, float]:
+    """Energies of the low and high half of one db4 step, the ends mirrored."""
+    low = np.array(DB4)
+    high = low[::-1] * np.where(np.arange(8) % 2, 1, -1)
+    wide = np.pad(values, 7, mode="symmetric")
+    return tuple(float((np.convolve(wide, f, "valid")[1::2] ** 2).sum()) for f in (low, high))
+
+
+def rolling_wavelets(series: DataFrame, window: int) -> DataFrame:
+    """`low` and `high` of `db4_energies` over the last `window` values of each series (comp_id, bin, val); fewer at the beginning are taken as they are."""
+    order = Window.partitionBy("comp_id").orderBy("bin").rowsBetween(-(window - 1), 0)
+    held = series.withColumn("values", F.collect_list("val").over(order))
+
+    @F.pandas_udf("low double, high double")
+    def energies(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([db4_energies(np.asarray(v, float)) for v in values], columns=["low", "high"])
+
+    return held.withColumn("e", energies("values")).select("comp_id", "bin", "val", "e.low", "e.high")
+
+
+def shift_profiles(images: DataFrame) -> DataFrame:
+    """`(comp_id, bin, distance, n_shifts, agreement)`: mean share of equal pixels between each image and the one before over all shifts of a rounded distance, 0 unshifted."""
+    before = images.select("comp_id", (F.col("bin") + 1).alias("bin"), "x", "y", F.col("color").alias("old"))
+
+    def kernel(group: pd.DataFrame) -> pd.DataFrame:
+        now, old = pack(group), pack(group.assign(color=group["old"]))
+        found = shift_correlation(now, old)
+        away = [np.minimum(np.arange(n), n - np.arange(n)) for n in found.shape]
+        distance = np.rint(np.hypot(away[0][:, None], away[1][None, :])).astype(int)
+        n = np.bincount(distance.ravel())
+        mean = np.bincount(distance.ravel(), found.ravel()) / np.maximum(n, 1)
+        kept = np.flatnonzero(n)
+        return pd.DataFrame({"comp_id": group["comp_id"].iloc[0], "bin": group["bin"].iloc[0], "distance": kept, "n_shifts": n[kept], "agreement": np.round(mean[kept], 9)})
+
+    return images.join(before, [*IMAGE, "x", "y"]).groupBy(*IMAGE).applyInPandas(kernel, "comp_id string, bin int, distance int, n_shifts int, agreement double")
+
+
+def shift_descriptors(profiles: DataFrame) -> DataFrame:
+    """Least agreement beyond distance 0, the distance that has it (the smaller of two), and the slope of agreement over distance with double weight for the farther half."""
+    here = Window.partitionBy(*IMAGE)
+    rows = profiles.where("distance > 0").withColumn("half", F.max("distance").over(here) / 2)
+    w = F.when(F.col("distance") > F.col("half"), 2.0).otherwise(1.0)
+    d, a = F.col("distance").cast("double"), F.col("agreement")
+    m = rows.groupBy(*IMAGE).agg(
+        F.min("agreement").alias("least"), F.min_by("distance", F.struct("agreement", "distance")).alias("at"),
+        F.sum(w).alias("w"), F.sum(w * d).alias("wd"), F.sum(w * a).alias("wa"), F.sum(w * d * d).alias("wdd"), F.sum(w * d * a).alias("wda"),
+    )
+    spread = F.col("wdd") - F.col("wd") * F.col("wd") / F.col("w")
+    return m.select(*IMAGE, "least", "at", F.when(spread > 1e-9, (F.col("wda") - F.col("wd") * F.col("wa") / F.col("w")) / spread).alias("slope"))

@@ -198,3 +198,53 @@ def stable_border_ranges(borders: DataFrame, least: float = 0.9) -> DataFrame:
     moved = (F.col("o_x0").isNull() | (F.least(common / area(""), common / area("o_")) <= least)).cast("int")
     grouped = marked.withColumn("moved", moved).withColumn("piece", F.sum("moved").over(order) - 1)
     return grouped.groupBy("comp_id", "piece").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+
+
+def split_at_jumps(borders: DataFrame, pixels: DataFrame) -> DataFrame:
+    """`(comp_id, entry, seq, t0, t1)`: an atlas entry's borders as compositions that don't jump.
+
+    A border joins the latest part whose last border has a pixel in common with it, or begins a new part. In a part, a border with the same pixels as the one before prolongs it,
+    and a hole in time before any other is closed by the one before. Parts of an entry with several are named `<entry>_part<N>`.
+
+    borders: comp_id, seq, t0, t1; pixels: comp_id, seq, x, y. Common pixels are found by a join; the walk in order sees an entry's borders only, some tens of rows.
+    """
+    same = F.xxhash64(F.array_sort(F.collect_set(F.struct("x", "y"))))
+    shape = pixels.groupBy("comp_id", "seq").agg(same.alias("shape"))
+    earlier = pixels.select("comp_id", F.col("seq").alias("old"), "x", "y")
+    met = pixels.join(earlier, ["comp_id", "x", "y"]).where("old < seq").groupBy("comp_id", "seq").agg(F.collect_set("old").alias("met"))
+    rows = borders.select("comp_id", "seq", "t0", "t1").join(shape, ["comp_id", "seq"]).join(met, ["comp_id", "seq"], "left")
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        parts: list[list[dict]] = []
+        for row in group.sort_values("seq").to_dict("records"):
+            near = set(row["met"]) if row["met"] is not None else set()
+            home = next((part for part in reversed(parts) if part[-1]["seq"] in near), None)
+            if home is None:
+                parts.append([row])
+            else:
+                home.append(row)
+        out = []
+        for n, part in enumerate(parts, 1):
+            kept = part[:1]
+            for row in part[1:]:
+                if row["shape"] == kept[-1]["shape"]:
+                    kept[-1]["t1"] = row["t1"]
+                else:
+                    kept[-1]["t1"] = max(kept[-1]["t1"], row["t0"])
+                    kept.append(row)
+            name = part[0]["comp_id"] + (f"_part{n}" if len(parts) > 1 else "")
+            out += [(name, row["comp_id"], i, row["t0"], row["t1"]) for i, row in enumerate(kept)]
+        return pd.DataFrame(out, columns=["comp_id", "entry", "seq", "t0", "t1"])
+
+    return rows.groupBy("comp_id").applyInPandas(walk, "comp_id string, entry string, seq int, t0 double, t1 double")
+
+
+def free_pixels(canvas: DataFrame, pixels: DataFrame, total: float) -> DataFrame:
+    """`(x, y, t_beg, t_end)`: when a pixel of the canvas (x, y, t_open) is open and in no composition, up to `total`."""
+    open_ = canvas.select("x", "y", F.col("t_open").alias("t0"), F.col("t_open").alias("t1"), "t_open")
+    marks = open_.unionByName(pixels.join(canvas, ["x", "y"]).select("x", "y", "t0", "t1", "t_open"))
+    marks = marks.unionByName(canvas.select("x", "y", F.lit(total).alias("t0"), F.lit(total).alias("t1"), "t_open"))
+    order = Window.partitionBy("x", "y").orderBy("t0", "t1")
+    reach = F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = marks.withColumns({"t_beg": F.greatest(reach, "t_open"), "t_end": F.least("t0", F.lit(total))})
+    return gaps.where("t_end > t_beg").select("x", "y", "t_beg", "t_end")

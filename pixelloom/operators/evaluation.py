@@ -6,7 +6,7 @@ A signal is a row whose truth is below `truth`; a prediction below a cut is a wa
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -219,3 +219,15 @@ def calm_rows(features: DataFrame, below: dict[str, float]) -> DataFrame:
     for name, most in below.items():
         condition = condition & (F.col(name) < most)
     return features.where(condition).select("comp_id", "bin")
+
+
+def weighted_errors(predictions: DataFrame, weight: Column) -> DataFrame:
+    """Weighted mean and RMS of (prediction - truth) / truth over rows with a truth above 0."""
+    e = (F.col("pred_s") - F.col("true_s")) / F.col("true_s")
+    return predictions.where("true_s > 0").agg((F.sum(weight * e) / F.sum(weight)).alias("mean"), F.sqrt(F.sum(weight * e * e) / F.sum(weight)).alias("rms"))
+
+
+def rate_bands(counts: DataFrame, at: list[float]) -> DataFrame:
+    """Quantiles over compositions of TPR and FPR at each cut, `tpr_<percent>` and `fpr_<percent>`. counts: of `threshold_counts` by comp_id."""
+    made = [F.expr(f"percentile({rate}, {q}d)").alias(f"{rate}_{round(100 * q)}") for rate in ("tpr", "fpr") for q in at]
+    return counts.groupBy("i", "cut").agg(*made, F.count("*").alias("n_comps"))

@@ -36,8 +36,8 @@ def perimeter_weights(pixels: DataFrame) -> DataFrame:
     own = pixels.select("comp_id", "x", "y").distinct()
     moves = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
     near = own.withColumn("m", moves).select("comp_id", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"))
-    inner = near.groupBy("comp_id", "x", "y").agg(F.count("*").alias("n")).join(own, ["comp_id", "x", "y"], "left_semi")
-    edge = inner.where("n < 4").groupBy("comp_id").agg(F.count("*").alias("perimeter"))
+    inner = own.join(near.groupBy("comp_id", "x", "y").agg(F.count("*").alias("n")), ["comp_id", "x", "y"], "left")  # a lone pixel has no neighbour
+    edge = inner.where("n is null or n < 4").groupBy("comp_id").agg(F.count("*").alias("perimeter"))
     return own.join(edge, "comp_id").groupBy("x", "y").agg(F.min("perimeter").cast("double").alias("weight"))
 
 

@@ -184,3 +184,33 @@ def with_periods(transitions: DataFrame, window: int, last: DataFrame) -> DataFr
         "comp_id", "bin_beg", "bin_end", F.greatest(F.col("bin_beg") - window, F.lit(1)).alias("pre_beg"), F.col("bin_beg").alias("pre_end"),
         F.col("bin_end").alias("post_beg"), F.least(F.col("bin_end") + window, "n_bins").alias("post_end"),
     )
+
+
+def half_maximum_starts(series: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Mean, median and standard deviation over several variables of the time, in bins, at which each first exceeds half its maximum in the transition.
+
+    The time is interpolated from the bin before where that was at or below the half. series: comp_id, variable, bin, val; transitions: comp_id, trans_idx, bin_beg, bin_end.
+    """
+    order = Window.partitionBy("comp_id", "variable").orderBy("bin")
+    inside = series.withColumn("old", F.lag("val").over(order)).join(transitions, "comp_id").where((F.col("bin") >= F.col("bin_beg")) & (F.col("bin") < F.col("bin_end")))
+    key = ["comp_id", "trans_idx", "variable"]
+    half = inside.withColumn("half", F.max("val").over(Window.partitionBy(*key)) / 2).where("val > half")
+    first = half.groupBy(*key).agg(F.min_by(F.struct("bin", "val", "old", "half"), "bin").alias("f"))
+    rising = F.col("f.old") <= F.col("f.half")
+    at = F.when(rising, F.col("f.bin") - 1 + (F.col("f.half") - F.col("f.old")) / (F.col("f.val") - F.col("f.old"))).otherwise(F.col("f.bin") - 1.0)
+    return first.withColumn("at", at).groupBy("comp_id", "trans_idx").agg(
+        F.avg("at").alias("mean"), F.expr("percentile(at, 0.5)").alias("median"), F.stddev_pop("at").alias("deviation"), F.count("*").alias("n_variables")
+    )
+
+
+def transition_images(transitions: DataFrame, references: DataFrame, instant: DataFrame) -> DataFrame:
+    """For each transition, over the pixels of its composition: shares that differ between the references before it and after it, and between the image
+    in its middle and either. references: comp_id, x, y, bin, ref; instant: comp_id, x, y, bin, inst."""
+    at = transitions.withColumn("middle", F.floor((F.col("bin_beg") + F.col("bin_end")) / 2).cast("int"))
+    of = lambda table, value, place, name: table.select("comp_id", "x", "y", F.col("bin").alias(place), F.col(value).alias(name))
+    pixel = at.join(of(references, "ref", "bin_beg", "before"), ["comp_id", "bin_beg"])
+    pixel = pixel.join(of(references, "ref", "bin_end", "after"), ["comp_id", "x", "y", "bin_end"]).join(of(instant, "inst", "middle", "amid"), ["comp_id", "x", "y", "middle"])
+    share = lambda a, b: F.avg((F.col(a) != F.col(b)).cast("double"))
+    return pixel.groupBy("comp_id", "trans_idx").agg(
+        share("before", "after").alias("before_after"), share("before", "amid").alias("before_amid"), share("amid", "after").alias("amid_after"), F.count("*").alias("n_pixels")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,5 +135,30 @@ def community_flags(atlas: DataFrame) -> DataFrame:
     )
 
 
-def share_of(condition: Column) -> Column:
-    return F.avg(condition.cast("double"))
+def t_quantile(p: float, degrees: int) -> float:
+    """The quantile of Student's t, by bisection of the distribution summed numerically; for a handful of calls on the driver."""
+    log_c = math.lgamma((degrees + 1) / 2) - math.lgamma(degrees / 2) - 0.5 * math.log(degrees * math.pi)
+
+    def below(t: float) -> float:  # t = sqrt(degrees) tan(a), where the density becomes a power of a cosine
+        a, n = math.atan(t / math.sqrt(degrees)), 2000
+        values = [math.cos(a * i / n) ** (degrees - 1) for i in range(n + 1)]
+        simpson = a / n / 3 * (values[0] + values[-1] + 4 * sum(values[1:-1:2]) + 2 * sum(values[2:-1:2]))
+        return 0.5 + math.exp(log_c) * math.sqrt(degrees) * simpson
+
+    low, high = 0.0, 1e8
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle) < p else (low, middle)
+    return high
+
+
+def fit_intervals(points: DataFrame, level: float = 0.95) -> DataFrame:
+    """The ordinary fit of `log_fits` with the confidence intervals of slope and intercept by Student's t."""
+    logs = points.where("x > 0 and y > 0").select(F.log10("x").alias("lx"), F.log10("y").alias("ly"))
+    m = logs.agg(F.count("*").alias("n"), F.avg("lx").alias("mx"), F.avg("ly").alias("my"), F.var_pop("lx").alias("vx"), F.var_pop("ly").alias("vy"), F.covar_pop("lx", "ly").alias("c")).first()
+    n, slope = m["n"], m["c"] / m["vx"]
+    error = math.sqrt(max(m["vy"] - slope * m["c"], 0) / (n - 2) / m["vx"])
+    width = t_quantile((1 + level) / 2, n - 2)
+    intercept, spread = m["my"] - slope * m["mx"], error * math.sqrt(m["vx"] + m["mx"] ** 2)
+    row = (n, slope, slope - width * error, slope + width * error, intercept, intercept - width * spread, intercept + width * spread)
+    return points.sparkSession.createDataFrame([row], "n long, slope double, slope_low double, slope_high double, intercept double, intercept_low double, intercept_high double")

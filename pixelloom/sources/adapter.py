@@ -80,3 +80,18 @@ SQL_CHANGES = f"""{SQL_LOG}, {SQL_PIXELS}, member AS (
     WINDOW px AS (PARTITION BY comp_id, x, y ORDER BY seconds, event_id),
         us AS (PARTITION BY comp_id, "user" ORDER BY seconds, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )"""
+
+
+def many_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `borders`, from a table that grows: one small rectangle for each customer, on a canvas 97 wide that grows downwards; neighbours overlap."""
+    k = F.col("c_custkey").cast("int")
+    x0, y0 = (k * 7) % 97, F.floor(k / 97).cast("int") * 2
+    return read_table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("k"), k.cast("string")).alias("comp_id"), x0.alias("x0"), y0.alias("y0"), (x0 + k % 5).alias("x1"), (y0 + k % 4).alias("y1"),
+        ((k % 20) * DAY).alias("t0"), ((k % 20 + 1 + k % 9) * DAY).alias("t1"),
+    )
+
+
+SQL_MANY_BORDERS = """borders AS (
+    SELECT 'k' || c_custkey AS comp_id, x0, y0, x0 + k % 5 AS x1, y0 + k % 4 AS y1, (k % 20) * 86400e0 AS t0, (k % 20 + 1 + k % 9) * 86400e0 AS t1
+    FROM (SELECT *, CAST(c_custkey AS INT) AS k, (CAST(c_custkey AS INT) * 7) % 97 AS x0, (CAST(c_custkey AS INT) // 97) * 2 AS y0 FROM customer))"""

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pixelloom import schemas
-from pixelloom.operators import complexity, compositions, learning, network, nullmodels
+from pixelloom.operators import complexity, compositions, evaluation, learning, network, nullmodels, users
 from pixelloom.config import TEST_CANVAS
 from pixelloom.plans.components import connected_components
 from pixelloom.sources import atlas, raw_logs
@@ -202,3 +204,61 @@ def test_decay_times(spark):
     rows = [(c, 1000.0 * i, float(np.exp(-1000.0 * i / tau))) for c, tau in ((0, 4000.0), (1, 90_000.0)) for i in range(8)]
     found = {r.size_class: r.tau for r in learning.decay_times(spark.createDataFrame(rows, "size_class int, age double, share double")).collect()}
     assert abs(found[0] / 4000 - 1) < 1e-3 and abs(found[1] / 90_000 - 1) < 1e-3
+
+
+def brute_lz77(symbols):
+    at = count = 0
+    while at < len(symbols):
+        best = 0
+        for start in range(at):
+            length = 0
+            while at + length < len(symbols) and symbols[start + length] == symbols[at + length]:
+                length += 1
+            best = max(best, length)
+        at, count = at + max(1, best), count + 1
+    return count
+
+
+def test_lz77_factors_equal_brute_force():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 5, 40, 90):
+        for letters in (1, 2, 5):
+            symbols = bytes(rng.randrange(letters) for _ in range(n))
+            assert complexity.lz77_factors(symbols) == brute_lz77(symbols)
+
+
+def test_db4_step_keeps_the_energy_inside():
+    """The filters are orthonormal: a signal far from both ends keeps its energy; a constant and a line have no high part inside."""
+    signal = np.zeros(64)
+    signal[24:40] = np.random.default_rng(1).standard_normal(16)
+    assert sum(complexity.db4_energies(signal)) == pytest.approx((signal**2).sum())
+    low, high = complexity.db4_energies(np.full(32, 3.0))
+    assert high == pytest.approx(0, abs=1e-12) and low > 0
+
+
+def test_t_quantiles():
+    """Fixed values of the tables."""
+    for p, degrees, t in ((0.975, 1, 12.7062), (0.975, 5, 2.5706), (0.95, 30, 1.6973), (0.975, 98, 1.98447)):
+        assert users.t_quantile(p, degrees) == pytest.approx(t, abs=1e-3)
+
+
+def test_least_useful_features(spark):
+    strengths = {"a": 0.1, "b": 0.2, "c": 0.3, "d": 0.9, "rand_0": 0.5}
+    attributions = spark.createDataFrame([(f, s * sign) for f, s in strengths.items() for sign in (1, -1)], "feature string, attribution double")
+    matrix = spark.createDataFrame([("a", "b", -0.95), ("a", "c", 0.2), ("b", "c", 0.99)], "a string, b string, correlation double")
+    assert evaluation.least_useful(attributions, matrix, 5, 0.9) == ["a", "c"]
+    assert evaluation.least_useful(attributions, matrix, 1, 0.9) == ["a"]
+
+
+def test_shift_descriptors(spark):
+    rows = [("c", 1, d, 1, a) for d, a in ((0, 1.0), (1, 0.8), (2, 0.5), (3, 0.5), (4, 0.2))] + [("e", 1, 0, 1, 1.0), ("e", 1, 1, 1, 0.4)]
+    found = {r.comp_id: r for r in complexity.shift_descriptors(spark.createDataFrame(rows, "comp_id string, bin int, distance int, n_shifts int, agreement double")).collect()}
+    w, d, a = np.array([1, 1, 2, 2]), np.array([1, 2, 3, 4]), np.array([0.8, 0.5, 0.5, 0.2])
+    dc, ac = d - (w * d).sum() / 6, a - (w * a).sum() / 6
+    assert (found["c"].least, found["c"].at) == (0.2, 4) and found["c"].slope == pytest.approx((w * dc * ac).sum() / (w * dc * dc).sum())
+    assert (found["e"].at, found["e"].slope) == (1, None)
+
+
+def test_lone_pixel_has_a_perimeter(spark):
+    pixels = spark.createDataFrame([("c", 1, 1), ("d", 5, 5), ("d", 5, 6)], "comp_id string, x int, y int")
+    assert {(r.x, r.y): r.weight for r in nullmodels.perimeter_weights(pixels).collect()} == {(1, 1): 1.0, (5, 5): 2.0, (5, 6): 2.0}

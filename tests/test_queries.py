@@ -14,6 +14,7 @@ from pixelloom.plans import registry
 
 #: One or two of each family; the driver compares all of them.
 SAMPLE = [
+    "s8_stored_log", "p7_event_numbers", "c3_split_at_jumps", "c18_free_pixels", "t19_return_rate", "t23_autocorrelation_by_case", "d2_chosen_variables", "d5_training_rows", "x4_merged_periods", "x5_half_maximum_starts", "e6_single_variables", "e17_correlated_groups",
     "s1_raw_lines", "p6_dense_users", "p9_deduplicated", "c4_overlaps", "c14_active_area", "c18_pixel_owners", "t13_change_counts", "f1_f3_change_flags", "g12_gap_statistics", "g16_user_pair_radius",
     "t2_color_time", "t5_stability_stats", "t8_reference_images", "t11_differing_pixels", "t14_attack_defense", "t15_window_users", "w_series_windows", "x2_transitions", "u2_user_paths", "n4_largest_component",
     "d1_feature_windows", "e3_threshold_counts", "i5_block_modes",
