@@ -124,6 +124,7 @@ COLUMNS = {
     8: "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     9: "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
     10: "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    11: "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
 
