@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import decontamination, line_dedup, maxent, merkle, pieces, quality, sharding, simhash, token_counts, toxicity, url_filter
+from pixelloom.llm import decontamination, line_dedup, maxent, merkle, pieces, quality, sharding, simhash, token_counts, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_exact_top_k": vector_search.op12_exact_top_k,
 }
 
 ORACLES = {
     "op6_decontamination": decontamination.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_exact_top_k": vector_search.SQL,
 }

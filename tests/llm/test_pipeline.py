@@ -125,6 +125,7 @@ COLUMNS = {
     9: "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
     10: "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     11: "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    12: "query_id bigint, rank int, vec_id bigint, score bigint",
 }
 
 
@@ -136,4 +137,8 @@ def test_query_returns_a_row_for_each_of_its_table(spark, sf_dir, name):
     if n in COLUMNS:
         assert [f"{c} {t}" for c, t in found.dtypes][: COLUMNS[n].count(",") + 1] == COLUMNS[n].split(", ")
     first = found.columns[0]
+    if n == 12:  # five for each vector whose id is divisible by 50
+        queries = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()
+        assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in queries for _ in range(5))
+        return
     assert sorted(r[0] for r in found.select(first).collect()) == sorted(r[0] for r in table.select(first).collect())
