@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import decontamination, line_dedup, maxent, merkle, pieces, quality, sharding, simhash, token_counts, toxicity, url_filter, vector_search
+from pixelloom.llm import alignment, decontamination, line_dedup, maxent, merkle, pieces, quality, sharding, simhash, token_counts, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_exact_top_k": vector_search.op12_exact_top_k,
+    "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
 }
 
 ORACLES = {

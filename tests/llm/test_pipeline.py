@@ -126,6 +126,7 @@ COLUMNS = {
     10: "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     11: "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
     12: "query_id bigint, rank int, vec_id bigint, score bigint",
+    13: "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 
 
