@@ -6,8 +6,6 @@ composition alone.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -108,53 +106,6 @@ def ripley(points: DataFrame, distances: list[float], most: int = 100) -> DataFr
     return n.join(sums, IMAGE, "left").select(*IMAGE, "n", *((2 * F.col(f"n{k}") / (F.col("n") * F.col("n"))).alias(f"k_{k}") for k in range(len(distances))), "mean_distance")
 
 
-def hilbert_order(width: int, height: int) -> np.ndarray:
-    """Places of a width x height image's cells (row by row) in the order of a Hilbert curve over the next power of two."""
-    side = 1
-    while side < max(width, height):
-        side *= 2
-    y, x = np.divmod(np.arange(width * height), width)
-    d, s = np.zeros(len(x), np.int64), side // 2
-    while s:
-        rx, ry = ((x & s) > 0).astype(np.int64), ((y & s) > 0).astype(np.int64)
-        d += s * s * ((3 * rx) ^ ry)
-        flip = (ry == 0) & (rx == 1)
-        x, y = np.where(flip, side - 1 - x, x), np.where(flip, side - 1 - y, y)
-        x, y = np.where(ry == 0, y, x), np.where(ry == 0, x, y)
-        s //= 2
-    return np.argsort(d, kind="stable")
-
-
-def lz78_phrases(symbols: bytes) -> int:
-    """Phrases of the incremental parse: each is the longest known one plus a symbol."""
-    ids: dict[tuple[int, int], int] = {}
-    node, count = 0, 0
-    for symbol in symbols:
-        key = (node, symbol)
-        if key in ids:
-            node = ids[key]
-        else:
-            count += 1
-            ids[key] = count
-            node = 0
-    return count + (node != 0)
-
-
-def haar_energies(image: np.ndarray, levels: int = 3) -> list[float]:
-    """Mean squared detail of each level of a 2-D Haar transform, fine to coarse; odd edges are repeated. 0 for levels that the image is too small for."""
-    out, a = [], image.astype(float)
-    for _ in range(levels):
-        if min(a.shape) < 2:
-            out.append(0.0)
-            continue
-        a = np.pad(a, ((0, a.shape[0] % 2), (0, a.shape[1] % 2)), mode="edge")
-        p, q, r, s = a[::2, ::2], a[::2, 1::2], a[1::2, ::2], a[1::2, 1::2]
-        details = [(p - q + r - s) / 2, (p + q - r - s) / 2, (p - q - r + s) / 2]
-        out.append(float(np.mean([np.mean(d * d) for d in details])))
-        a = (p + q + r + s) / 2
-    return out
-
-
 def pack(group: pd.DataFrame) -> np.ndarray:
     """The rows of an image as a 2-D array; cells without a row hold 255."""
     x, y = group["x"].to_numpy() - group["x"].min(), group["y"].to_numpy() - group["y"].min()
@@ -163,20 +114,6 @@ def pack(group: pd.DataFrame) -> np.ndarray:
     return image
 
 
-def image_kernels(images: DataFrame) -> DataFrame:
-    """Compressed sizes (DEFLATE by rows and along a Hilbert curve, LZ78 phrases) and Haar energies of each image."""
-
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        image = pack(group)
-        rows = image.tobytes()
-        curve = image.ravel()[hilbert_order(image.shape[1], image.shape[0])].tobytes()
-        row = [group["comp_id"].iloc[0], group["bin"].iloc[0], len(rows), len(zlib.compress(rows, 9)), len(zlib.compress(curve, 9)), lz78_phrases(rows), *haar_energies(image)]
-        return pd.DataFrame([row])
-
-    schema = "comp_id string, bin int, n_raw int, n_deflate int, n_deflate_hilbert int, n_lz78 int, haar_high double, haar_mid double, haar_low double"
-    return images.select(*IMAGE, "x", "y", "color").groupBy(*IMAGE).applyInPandas(kernel, schema)
-
-
 def shift_correlation(now: np.ndarray, old: np.ndarray) -> np.ndarray:
     """Share of pixels of equal colour for every cyclic shift of the old image, by Fourier transforms of each colour's mask."""
     total = np.zeros(now.shape)
@@ -200,43 +137,6 @@ def image_shifts(images: DataFrame) -> DataFrame:
     return pairs.groupBy(*IMAGE).applyInPandas(kernel, "comp_id string, bin int, unshifted double, best double, distance double")
 
 
-def lz77_factors(symbols: bytes) -> int:
-    """Factors of the parse in which each is the longest stretch that occurs before, or one new symbol."""
-    at = count = 0
-    while at < len(symbols):
-        length = 1
-        while at + length <= len(symbols) and symbols.find(symbols[at : at + length], 0, at + length - 1) >= 0:
-            length += 1
-        at += max(1, length - 1)
-        count += 1
-    return count
-
-
-def entropy_rates(symbols: bytes, random: bytes) -> tuple[float, float, float]:
-    """Entropy rates by LZ77 factors, LZ78 phrases and DEFLATE, each over that of a random binary sequence of the same length."""
-    n = len(symbols)
-    lz77 = lambda c: (c * np.log2(c) + 2 * c * np.log2(n / c)) / n
-    lz78 = lambda c, alphabet: c * (np.log2(alphabet) + np.log2(c)) / n
-    pairs = [
-        (lz77(lz77_factors(symbols)), lz77(lz77_factors(random))),
-        (lz78(lz78_phrases(symbols), len(set(symbols))), lz78(lz78_phrases(random), len(set(symbols)))),
-        (len(zlib.compress(symbols, 9)), len(zlib.compress(random, 9))),
-    ]
-    return tuple(float(a / b) if b else 0.0 for a, b in pairs)
-
-
-def image_entropy_rates(images: DataFrame) -> DataFrame:
-    """The entropy rates of each image along a Hilbert curve. The random sequence depends on the length only."""
-
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        image = pack(group)
-        curve = image.ravel()[hilbert_order(image.shape[1], image.shape[0])].tobytes()
-        coin = np.random.default_rng(len(curve)).integers(0, 2, len(curve), dtype=np.uint8).tobytes()
-        return pd.DataFrame([[group["comp_id"].iloc[0], group["bin"].iloc[0], lz77_factors(curve), *entropy_rates(curve, coin)]])
-
-    return images.select(*IMAGE, "x", "y", "color").groupBy(*IMAGE).applyInPandas(kernel, "comp_id string, bin int, n_lz77 int, rate_lz77 double, rate_lz78 double, rate_deflate double")
-
-
 #: Low-pass decomposition filter of the Daubechies wavelet with four vanishing moments.
 DB4 = (
     -0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114,

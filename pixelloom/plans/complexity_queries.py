@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from pixelloom.operators import changes, complexity, state
 from pixelloom.plans.canvas_queries import rounded
+from pixelloom.plans.entropy_queries import images
 from pixelloom.plans.state_queries import SQL_STATE, State, WIDTH
-from pixelloom.plans.storage import write_shared
-
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_shared(State(spark, sf_dir).instant().withColumnRenamed("inst", "color"), "images")
 
 
 def _of(make):
@@ -35,7 +32,6 @@ def _fractal(x: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "i1_i8_image_kernels": _of(complexity.image_kernels),
     "i5_block_modes": _of(lambda x: complexity.block_modes(x, 2)),
     "i6_multiscale_complexity": _of(lambda x: rounded(complexity.multiscale_complexity(x, [1, 2]), "complexity")),
     "i7_levenshtein_complexity": _of(lambda x: rounded(complexity.levenshtein_complexity(x), "rows", "columns", "complexity")),

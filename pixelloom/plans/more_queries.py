@@ -10,7 +10,7 @@ from pixelloom.operators import attack_defense as ad
 from pixelloom.operators import canvas, changes, complexity, compositions, evaluation, nullmodels, state, transitions, users
 from pixelloom.plans import canvas_queries, composition_queries
 from pixelloom.plans.canvas_queries import rounded
-from pixelloom.plans.complexity_queries import images
+from pixelloom.plans.entropy_queries import images
 from pixelloom.plans.series_queries import FOUND, _found, difference_series
 from pixelloom.plans.state_queries import SQL_STATE, SW, WIDTH, State
 from pixelloom.plans.storage import write_shared
@@ -110,7 +110,6 @@ QUERIES = {
     "e8_weighted_errors": lambda s, d: rounded(evaluation.weighted_errors(Table(s, d).predictions(), 1 / (F.col("true_s") + 1)), "mean", "rms"),
     "e10_rate_bands": lambda s, d: (lambda x: rounded(x, *[c for c in x.columns if "_" in c and c != "n_comps"]))(evaluation.rate_bands(evaluation.threshold_counts(Table(s, d).predictions(), TRUTH, CUTS, ("comp_id",)), [0.25, 0.5, 0.75])),
     "i9_rolling_wavelets": lambda s, d: rounded(complexity.rolling_wavelets(difference_series(s, d).select("comp_id", "bin", "val"), SW), "val", "low", "high"),
-    "i14_entropy_rates": lambda s, d: rounded(complexity.image_entropy_rates(images(s, d)), "rate_lz77", "rate_lz78", "rate_deflate"),
     "i16_shift_profiles": lambda s, d: complexity.shift_profiles(images(s, d)),
     "i17_shift_descriptors": lambda s, d: rounded(complexity.shift_descriptors(write_shared(complexity.shift_profiles(images(s, d)), "profiles")), "least", "slope"),
 }

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pixelloom import schemas
-from pixelloom.operators import complexity, compositions, evaluation, learning, network, nullmodels, users
+from pixelloom.operators import complexity, compositions, entropy, evaluation, learning, network, nullmodels, users
 from pixelloom.config import TEST_CANVAS
 from pixelloom.plans.components import connected_components
 from pixelloom.sources import atlas, raw_logs
@@ -110,11 +110,11 @@ def test_concave_polygon():
 
 
 def test_hilbert_order_visits_neighbours():
-    order = complexity.hilbert_order(8, 8)
+    order = entropy.hilbert_order(8, 8)
     assert sorted(order.tolist()) == list(range(64))
     y, x = np.divmod(order, 8)
     assert (np.abs(np.diff(x)) + np.abs(np.diff(y)) == 1).all()
-    assert sorted(complexity.hilbert_order(5, 3).tolist()) == list(range(15))
+    assert sorted(entropy.hilbert_order(5, 3).tolist()) == list(range(15))
 
 
 def slow_phrases(data):
@@ -129,15 +129,7 @@ def slow_phrases(data):
 
 @given(st.binary(max_size=60))
 def test_lz78(data):
-    assert complexity.lz78_phrases(data) == slow_phrases(data)
-
-
-def test_haar_keeps_energy():
-    image = np.random.default_rng(0).integers(0, 5, (8, 8))
-    energies = complexity.haar_energies(image, 3)
-    details = sum(e * 3 * n for e, n in zip(energies, (16, 4, 1), strict=True))
-    assert np.isclose(details + (image.sum() / 8) ** 2, (image.astype(float) ** 2).sum())
-    assert complexity.haar_energies(np.zeros((1, 5))) == [0.0, 0.0, 0.0]
+    assert entropy.lz78_phrases(data) == slow_phrases(data)
 
 
 def test_shift_correlation():
@@ -224,7 +216,7 @@ def test_lz77_factors_equal_brute_force():
     for n in (0, 1, 2, 5, 40, 90):
         for letters in (1, 2, 5):
             symbols = bytes(rng.randrange(letters) for _ in range(n))
-            assert complexity.lz77_factors(symbols) == brute_lz77(symbols)
+            assert entropy.lz77_factors(symbols) == brute_lz77(symbols)
 
 
 def test_db4_step_keeps_the_energy_inside():
