@@ -69,19 +69,23 @@ def integrated_stats(values: DataFrame, value: str, low: bool = False) -> DataFr
     """Mean, upper median, the 90th (or 10th) percentile and that decile's mean over the pixels of each composition and bin, by exact ranks.
 
     With n values in order, the median is number n // 2 (from 0), the percentile number n - n // 10, or n // 10. Fewer than ten values
-    give the least and the mean of all (low: null as decile mean).
+    give the least and the mean of all (low: null as decile mean). Equal values are counted before they are ranked, so a composition as large as the canvas is
+    one row for each distinct value of a bin.
     """
+    counted = values.groupBy("comp_id", "bin", F.col(value).alias("v")).agg(F.count("*").alias("k"))
     here = Window.partitionBy("comp_id", "bin")
-    ranked = values.withColumns({"n": F.count("*").over(here), "i": F.row_number().over(here.orderBy(value, "x", "y")) - 1})
+    upto = F.sum("k").over(here.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumns({"n": F.sum("k").over(here), "upto": upto}).withColumn("from", F.col("upto") - F.col("k"))
     tenth = F.floor(F.col("n") / 10)
     edge = tenth if low else F.when(tenth > 0, F.col("n") - tenth).otherwise(0)
-    inside = F.col("i") < edge if low else F.col("i") >= edge
-    pick = lambda at: F.max(F.when(F.col("i") == at, F.col(value)))
+    inside = F.greatest(F.least("upto", edge) - F.col("from"), F.lit(0)) if low else F.greatest(F.col("upto") - F.greatest("from", edge), F.lit(0))
+    pick = lambda at: F.max(F.when((F.col("from") <= at) & (at < F.col("upto")), F.col("v")))
+    share = F.sum(inside)
     return ranked.groupBy("comp_id", "bin").agg(
-        F.avg(value).alias("mean"),
+        (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"),
         pick(F.floor(F.col("n") / 2)).alias("median"),
         pick(edge).alias("percentile"),
-        F.avg(F.when(inside, F.col(value))).alias("decile_mean"),
+        F.when(share > 0, F.sum(F.col("v") * inside) / share).alias("decile_mean"),
     )
 
 
@@ -183,23 +187,31 @@ def return_rate(times: DataFrame, instant: DataFrame, ref: DataFrame) -> DataFra
 
 
 def color_variances(times: DataFrame) -> DataFrame:
-    """Per composition and bin: means over pixels of the inverse sum of squared colour shares, of 1 minus that sum, and of the share below the top."""
+    """Per composition and bin, p being the colours' shares of a pixel's time: 1 / mean of sum p^2 (of the whole state), mean of sum p (1 - p), mean of sum p^2 - max p^2.
+
+    Means are over the pixels that show a colour in the bin.
+    """
     shares = ranked_colors(times)
-    pixel = shares.groupBy(*PIXEL, "bin").agg(F.sum(F.col("share") * F.col("share")).alias("sq"), F.max("share").alias("top"))
+    square = F.col("share") * F.col("share")
+    pixel = shares.groupBy(*PIXEL, "bin").agg(F.sum(square).alias("sq"), F.max(square).alias("top"), F.sum("share").alias("whole"))
     return pixel.groupBy("comp_id", "bin").agg(
-        F.avg(1 / F.col("sq")).alias("var_inverse"), F.avg(1 - F.col("sq")).alias("var_multinomial"), F.avg(1 - F.col("top")).alias("var_subdominant")
+        (1 / F.avg("sq")).alias("var_inverse"), F.avg(F.col("whole") - F.col("sq")).alias("var_multinomial"), F.avg(F.col("sq") - F.col("top")).alias("var_subdominant")
     )
 
 
 def color_autocorrelation(times: DataFrame) -> DataFrame:
-    """Per composition and bin: mean over pixels of the inner product of the colour shares with those of the bin before, and of half their distance."""
+    """Per composition and bin from the second on, p and q being the colours' shares of a pixel's time in this bin and the one before: means of sum q (1 - p), of
+    sum (q - p)^2 / 2, and of sum p q - max p q. Means are over the pixels that show a colour in this bin; q is 0 where they showed none before."""
     here = ranked_colors(times).select(*PIXEL, "bin", "color", "share")
     before = here.select(*PIXEL, (F.col("bin") + 1).alias("bin"), "color", F.col("share").alias("old"))
     both = here.join(before, [*PIXEL, "bin", "color"], "full").na.fill(0.0, ["share", "old"])
+    p, q = F.col("share"), F.col("old")
     pixel = both.groupBy(*PIXEL, "bin").agg(
-        F.sum(F.col("share") * F.col("old")).alias("inner"), (F.sum(F.abs(F.col("share") - F.col("old"))) / 2).alias("apart"), F.max("share").alias("now"), F.max("old").alias("then")
+        F.sum(q * (1 - p)).alias("multinomial"), (F.sum((q - p) * (q - p)) / 2).alias("apart"), (F.sum(p * q) - F.max(p * q)).alias("sub"), F.max(p).alias("now")
+    )
+    return pixel.where("now > 0 and bin > 1").groupBy("comp_id", "bin").agg(
+        F.avg("multinomial").alias("autocorr_multinomial"), F.avg("apart").alias("dissimilarity"), F.avg("sub").alias("autocorr_subdominant")
     )
-    return pixel.where("now > 0 and then > 0").groupBy("comp_id", "bin").agg(F.avg("inner").alias("autocorr_multinomial"), F.avg("apart").alias("dissimilarity"))
 
 
 def color_share_of_images(instant: DataFrame, ref: DataFrame, color: int) -> DataFrame:
@@ -236,14 +248,60 @@ def attack_durations(stays: DataFrame, constant: DataFrame) -> DataFrame:
     )
 
 
-def return_times(attacks: DataFrame, width: float) -> DataFrame:
-    """Mean and median/ln 2 of the finished attacks' durations by the bin in which they begin."""
+def attack_flips(stays: DataFrame, constant: DataFrame, total: float) -> DataFrame:
+    """`(comp_id, x, y, beg, duration, t0)` of each run of changes away from the constant reference: from its first change to the first change back, or `total` if there is none.
+
+    Only changes begin a run: a pixel that is off its reference when its life begins is attacked by its first change to another colour than the reference.
+    """
+    order = Window.partitionBy(*PIXEL).orderBy("beg")
+    changed = stays.join(constant, PIXEL).withColumn("place", F.row_number().over(order)).where("place > 1")
+    off = F.col("color") != F.col("ref_const")
+    turns = changed.withColumn("off", off).withColumn("old", F.lag("off").over(order)).where("old is null or old <> off")
+    return turns.withColumn("back", F.lead("beg").over(order)).where("off").select(
+        *PIXEL, "beg", F.coalesce(F.col("back") - F.col("beg"), F.lit(total)).alias("duration"), "t0"
+    )
+
+
+def return_times(flips: DataFrame, width: float) -> DataFrame:
+    """Number, mean duration and median duration / ln 2 of the attacks that begin in each bin; those never turned back count with the duration that `attack_flips` gives them."""
     bins = F.ceil((F.col("beg") - F.col("t0")) / width).cast("int")
-    return attacks.where("not open").groupBy("comp_id", bins.alias("bin")).agg(
+    return flips.groupBy("comp_id", bins.alias("bin")).agg(
         F.count("*").alias("n"), F.avg("duration").alias("mean"), (F.expr("percentile(duration, 0.5)") / F.log(F.lit(2.0))).alias("median_ln2")
     )
 
 
+def windowed_return_times(stays: DataFrame, instant: DataFrame, ref: DataFrame, width: float, window: int) -> DataFrame:
+    """`(comp_id, x, y, bin, return_time)`: how long each pixel has been, or was when last attacked in the window, off the reference colour of that bin.
+
+    Off the reference at the bin's end: the time since it last lost that colour. On it, if it lost that colour within the last `window` bins: from the
+    last loss to the last return. Null otherwise. A colour that was never lost or got counts as lost and got when the pixel's life began. The reference changes from bin to bin,
+    so the last loss and return are those of the colour asked for: changes and questions go into one order by pixel, colour and time, and each question reads what
+    was carried forward to it.
+    """
+    order = Window.partitionBy(*PIXEL).orderBy("beg")
+    moved = stays.withColumn("old", F.lag("color").over(order)).where("old <> color")
+    nothing = F.lit(None).cast("double")
+    got = moved.select(*PIXEL, "color", F.col("beg").alias("at"), F.col("beg").alias("got"), nothing.alias("lost"))
+    lost = moved.select(*PIXEL, F.col("old").alias("color"), F.col("beg").alias("at"), nothing.alias("got"), F.col("beg").alias("lost"))
+    life = stays.groupBy(*PIXEL).agg(F.min("beg").alias("start"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    at = F.least(F.col("t0") + F.col("bin") * width, "t1")
+    asked = ref.join(instant, [*PIXEL, "bin"]).join(life, PIXEL).select(*PIXEL, F.col("ref").alias("color"), at.alias("at"), "bin", "inst", "start")
+    line = got.unionByName(lost).unionByName(asked, allowMissingColumns=True)
+    carried = Window.partitionBy(*PIXEL, "color").orderBy("at", F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = line.withColumns({c: F.last(c, ignorenulls=True).over(carried) for c in ("got", "lost")}).where("bin is not null")
+    back, gone = F.coalesce("got", "start"), F.coalesce("lost", "start")
+    value = F.when(F.col("inst") != F.col("color"), F.col("at") - gone).when(gone > F.col("at") - window * width, back - gone)
+    return seen.select(*PIXEL, "bin", value.alias("return_time"))
+
+
+def return_time_stats(returns: DataFrame) -> DataFrame:
+    """`integrated_stats` of the pixels that have a return time; zeros for bins in which none has."""
+    bins = returns.select("comp_id", "bin").distinct()
+    names = ["mean", "median", "percentile", "decile_mean"]
+    found = integrated_stats(returns.where("return_time is not null"), "return_time")
+    return bins.join(found, ["comp_id", "bin"], "left").na.fill(0.0, names)
+
+
 def autocorrelation_by_case(stable: DataFrame, instant: DataFrame) -> DataFrame:
     """Per composition and bin, from the colours at this bin's end and the last one's, and the bin's longest colour: 1 for a pixel that stays off the longest colour,
     -1 for one that goes from one other colour to another, 0 for all else. `by_case` is the mean, `by_case_norm` the sum over that of weights: 1 for either of

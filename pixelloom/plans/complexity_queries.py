@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.config import TEST_CANVAS
 from pixelloom.operators import changes, complexity, state
 from pixelloom.plans.canvas_queries import rounded
 from pixelloom.plans.entropy_queries import images
-from pixelloom.plans.state_queries import SQL_STATE, State, WIDTH
+from pixelloom.plans.state_queries import SQL_STATE, SW, WIDTH, State
+from pixelloom.plans.storage import write_shared
 
 
 def _of(make):
@@ -27,6 +29,11 @@ def _attacks(s: State) -> DataFrame:
     return state.attack_durations(s.stays, state.constant_reference(s.times))
 
 
+def _windowed(s: State) -> DataFrame:
+    s.shared()
+    return state.windowed_return_times(s.stays, s.instant(), s.ref(), WIDTH, SW)
+
+
 def _fractal(x: DataFrame) -> DataFrame:
     return complexity.fractal_summary(complexity.fractal_dimensions(complexity.touched_boxes(x, [1, 2, 3])), complexity.color_shares(x))
 
@@ -44,7 +51,9 @@ QUERIES = {
     "t12_differing_blocks": _state(lambda s: complexity.differing_blocks(s.instant().withColumnRenamed("inst", "color"), _ref(s), 2)),
     "t20_last_installed": _state(lambda s: rounded(state.last_installed(s.stays), "last_got", "last_lost")),
     "t21_attack_durations": _state(lambda s: rounded(_attacks(s).drop("t0"), "beg", "duration")),
-    "t22_return_times": _state(lambda s: rounded(state.return_times(_attacks(s), WIDTH), "mean", "median_ln2", digits=5)),
+    "t21_windowed_return_times": _state(lambda s: rounded(_windowed(s), "return_time")),
+    "t21_return_time_stats": _state(lambda s: rounded(state.return_time_stats(write_shared(_windowed(s), "return-times")), "mean", "median", "percentile", "decile_mean")),
+    "t22_return_times": _state(lambda s: rounded(state.return_times(state.attack_flips(s.shared_stays().stays, state.constant_reference(s.times), TEST_CANVAS.total), WIDTH), "mean", "median_ln2", digits=5)),
 }
 
 IMAGES = f"""{SQL_STATE}, img AS (SELECT comp_id, bin, x - min(x) OVER i AS x, y - min(y) OVER i AS y, inst AS color FROM instant WINDOW i AS (PARTITION BY comp_id, bin))"""
@@ -73,6 +82,12 @@ ATTACKS = f"""{SQL_STATE}, const AS (SELECT comp_id, x, y, arg_max(color, (round
     r AS (SELECT *, sum(turn) OVER (PARTITION BY comp_id, x, y ORDER BY beg) AS run FROM (SELECT *, CASE WHEN coalesce(lag(off_) OVER (PARTITION BY comp_id, x, y ORDER BY beg) <> off_, true) THEN 1 ELSE 0 END AS turn FROM o)),
     attacks AS (SELECT comp_id, x, y, min(beg) AS beg, max(fin) - min(beg) AS duration, max(fin) >= max(t1) AS open, min(t0) AS t0 FROM r WHERE off_ GROUP BY comp_id, x, y, run)"""
 
+RETURNS = f"""{SQL_STATE}, shown AS (SELECT *, lag(color) OVER (PARTITION BY comp_id, x, y ORDER BY beg) AS old FROM stay WHERE fin > beg), births AS (SELECT comp_id, x, y, min(beg) AS born FROM shown GROUP BY 1, 2, 3),
+    asks AS (SELECT r.comp_id, r.x, r.y, r.bin, ref, inst, b1 AS t, born FROM ref r JOIN instant USING (comp_id, x, y, bin) JOIN bins USING (comp_id, bin) JOIN births USING (comp_id, x, y)),
+    looked AS (SELECT a.comp_id, a.x, a.y, a.bin, any_value(a.ref = a.inst) AS on_ref, any_value(a.t) AS t, coalesce(max(s.beg) FILTER (WHERE s.color = a.ref), any_value(born)) AS got, coalesce(max(s.beg) FILTER (WHERE s.old = a.ref), any_value(born)) AS lost
+        FROM asks a LEFT JOIN shown s ON s.comp_id = a.comp_id AND s.x = a.x AND s.y = a.y AND s.beg <= a.t AND s.old <> s.color AND a.ref IN (s.color, s.old) GROUP BY 1, 2, 3, 4),
+    returns AS (SELECT *, CASE WHEN NOT on_ref THEN t - lost WHEN lost > t - 8 * 21600 THEN got - lost END AS v FROM looked)"""
+
 ORACLES = {
     "i5_block_modes": f"WITH {IMAGES} SELECT comp_id, bin, bx, by_ AS by, color FROM {_modes(2)}",
     "i6_multiscale_complexity": f"WITH {IMAGES} SELECT comp_id, bin, round(sum(part) / any_value(area), 6) AS complexity FROM ({_entropy(1)} UNION ALL {_entropy(2)}) JOIN (SELECT comp_id, bin, count(*) AS area FROM img GROUP BY 1, 2) USING (comp_id, bin) GROUP BY 1, 2",
@@ -86,5 +101,11 @@ ORACLES = {
     "t20_last_installed": f"""WITH {SQL_STATE}, m AS (SELECT *, lag(color) OVER o AS old, lead(color) OVER o AS next FROM stay WHERE fin > beg WINDOW o AS (PARTITION BY comp_id, x, y ORDER BY beg))
         SELECT comp_id, x, y, color, round(max(beg) FILTER (WHERE old <> color), 6) AS last_got, round(max(fin) FILTER (WHERE next <> color), 6) AS last_lost FROM m GROUP BY 1, 2, 3, 4""",
     "t21_attack_durations": f"WITH {ATTACKS} SELECT comp_id, x, y, round(beg, 6) AS beg, round(duration, 6) AS duration, open FROM attacks",
-    "t22_return_times": f"WITH {ATTACKS} SELECT comp_id, CAST(ceil((beg - t0) / 21600) AS INT) AS bin, count(*) AS n, round(avg(duration), 5) AS mean, round(quantile_cont(duration, 0.5) / ln(2), 5) AS median_ln2 FROM attacks WHERE NOT open GROUP BY 1, 2",
+    "t22_return_times": f"""WITH {ATTACKS}, n AS (SELECT *, row_number() OVER (PARTITION BY comp_id, x, y ORDER BY beg) AS place FROM o), d AS (SELECT *, lag(off_) OVER (PARTITION BY comp_id, x, y ORDER BY beg) AS old FROM n WHERE place > 1),
+        f AS (SELECT a.comp_id, a.t0, a.beg, coalesce(min(b.beg) - a.beg, 2592000) AS duration FROM d a LEFT JOIN d b ON b.comp_id = a.comp_id AND b.x = a.x AND b.y = a.y AND b.beg > a.beg AND NOT b.off_ WHERE a.off_ AND (a.old IS NULL OR NOT a.old) GROUP BY a.comp_id, a.x, a.y, a.t0, a.beg)
+        SELECT comp_id, CAST(ceil((beg - t0) / 21600) AS INT) AS bin, count(*) AS n, round(avg(duration), 5) AS mean, round(quantile_cont(duration, 0.5) / ln(2), 5) AS median_ln2 FROM f GROUP BY 1, 2""",
+    "t21_windowed_return_times": f"WITH {RETURNS} SELECT comp_id, x, y, bin, round(v, 6) AS return_time FROM returns",
+    "t21_return_time_stats": f"""WITH {RETURNS}, o AS (SELECT *, count(*) OVER (PARTITION BY comp_id, bin) AS n, row_number() OVER (PARTITION BY comp_id, bin ORDER BY v) - 1 AS i FROM returns WHERE v IS NOT NULL),
+        e AS (SELECT *, CASE WHEN n >= 10 THEN n - n // 10 ELSE 0 END AS edge FROM o), st AS (SELECT comp_id, bin, avg(v) AS mean, max(v) FILTER (WHERE i = n // 2) AS median, max(v) FILTER (WHERE i = edge) AS percentile, avg(v) FILTER (WHERE i >= edge) AS decile_mean FROM e GROUP BY 1, 2)
+        SELECT b.comp_id, b.bin, {', '.join(f'coalesce(round({c}, 6), 0e0) AS {c}' for c in ('mean', 'median', 'percentile', 'decile_mean'))} FROM (SELECT DISTINCT comp_id, bin FROM returns) b LEFT JOIN st USING (comp_id, bin)""",
 }

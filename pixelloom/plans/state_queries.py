@@ -96,7 +96,7 @@ QUERIES = {
     "t19_return_rate": _of(lambda s: rounded(state.return_rate(s.shared().times, s.instant(), s.ref()), "return_rate")),
     "t23_autocorrelation_by_case": _of(lambda s: rounded(state.autocorrelation_by_case(state.stable_images(s.shared_stays().times), s.instant()), "by_case", "by_case_norm")),
     "t24_color_variances": _of(lambda s: rounded(state.color_variances(s.times), "var_inverse", "var_multinomial", "var_subdominant")),
-    "t24_color_autocorrelation": _of(lambda s: rounded(state.color_autocorrelation(s.shared().times), "autocorr_multinomial", "dissimilarity")),
+    "t24_color_autocorrelation": _of(lambda s: rounded(state.color_autocorrelation(s.shared().times), "autocorr_multinomial", "dissimilarity", "autocorr_subdominant")),
     "t25_color_share": _of(lambda s: rounded(state.color_share_of_images(s.shared_stays().instant(), s.ref(), 1), "in_image", "in_ref")),
     "t26_lifetime_users": _of(lambda s: ad.lifetime_users(_agreed(s))),
     "t27_edge_pixels": _of(lambda s: state.edge_pixels(write_shared(s.ref(), "ref"))),
@@ -194,13 +194,14 @@ ORACLES = {
             FROM stable s JOIN instant i USING (comp_id, x, y, bin) JOIN instant o ON o.comp_id = s.comp_id AND o.x = s.x AND o.y = s.y AND o.bin = s.bin - 1)
         SELECT comp_id, bin, round(avg(CASE k WHEN 'stays' THEN 1e0 WHEN 'moves' THEN -1 ELSE 0 END), 6) AS by_case,
             round(coalesce(sum(CASE k WHEN 'stays' THEN 1e0 WHEN 'moves' THEN -1 ELSE 0 END) / nullif(sum(CASE k WHEN 'still' THEN 0e0 WHEN 'half' THEN 0.5e0 ELSE 1 END), 0), 0), 6) AS by_case_norm FROM c GROUP BY 1, 2""",
-    "t24_color_variances": f"""WITH {SQL_STATE} SELECT comp_id, bin, round(avg(1 / sq), 6) AS var_inverse, round(avg(1 - sq), 6) AS var_multinomial, round(avg(1 - top), 6) AS var_subdominant
-        FROM (SELECT comp_id, x, y, bin, sum(share * share) AS sq, max(share) AS top FROM ranked GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
-    "t24_color_autocorrelation": f"""WITH {SQL_STATE}, pairs AS (SELECT a.comp_id, a.x, a.y, a.bin FROM stability a JOIN stability b ON a.comp_id = b.comp_id AND a.x = b.x AND a.y = b.y AND a.bin = b.bin + 1),
-        v AS (SELECT p.comp_id, p.x, p.y, p.bin, sum(coalesce(n.share, 0) * coalesce(o.share, 0)) AS inner_, sum(abs(coalesce(n.share, 0) - coalesce(o.share, 0))) / 2 AS apart
-            FROM pairs p CROSS JOIN range(5) c(color) LEFT JOIN ranked n ON n.comp_id = p.comp_id AND n.x = p.x AND n.y = p.y AND n.bin = p.bin AND n.color = c.color
-            LEFT JOIN ranked o ON o.comp_id = p.comp_id AND o.x = p.x AND o.y = p.y AND o.bin = p.bin - 1 AND o.color = c.color GROUP BY 1, 2, 3, 4)
-        SELECT comp_id, bin, round(avg(inner_), 6) AS autocorr_multinomial, round(avg(apart), 6) AS dissimilarity FROM v GROUP BY 1, 2""",
+    "t24_color_variances": f"""WITH {SQL_STATE}, c AS (SELECT comp_id, x, y, bin, share * share AS sq, share * (1 - share) AS spread FROM ranked),
+        px AS (SELECT comp_id, x, y, bin, sum(sq) AS sq, sum(spread) AS spread, sum(sq) - max(sq) AS sub FROM c GROUP BY 1, 2, 3, 4)
+        SELECT comp_id, bin, round(1 / avg(sq), 6) AS var_inverse, round(avg(spread), 6) AS var_multinomial, round(avg(sub), 6) AS var_subdominant FROM px GROUP BY 1, 2""",
+    "t24_color_autocorrelation": f"""WITH {SQL_STATE}, v AS (SELECT p.comp_id, p.x, p.y, p.bin, sum(coalesce(o.share, 0) * (1 - coalesce(n.share, 0))) AS multi, 0.5 * sum(power(coalesce(o.share, 0) - coalesce(n.share, 0), 2)) AS apart,
+            sum(coalesce(n.share * o.share, 0)) - max(coalesce(n.share * o.share, 0)) AS sub
+            FROM stability p CROSS JOIN range(5) c(color) LEFT JOIN ranked n ON n.comp_id = p.comp_id AND n.x = p.x AND n.y = p.y AND n.bin = p.bin AND n.color = c.color
+            LEFT JOIN ranked o ON o.comp_id = p.comp_id AND o.x = p.x AND o.y = p.y AND o.bin = p.bin - 1 AND o.color = c.color WHERE p.bin > 1 GROUP BY 1, 2, 3, 4)
+        SELECT comp_id, bin, round(avg(multi), 6) AS autocorr_multinomial, round(avg(apart), 6) AS dissimilarity, round(avg(sub), 6) AS autocorr_subdominant FROM v GROUP BY 1, 2""",
     "t25_color_share": f"WITH {SQL_STATE} SELECT comp_id, bin, round(avg(CASE WHEN inst = 1 THEN 1.0 ELSE 0 END), 6) AS in_image, round(avg(CASE WHEN ref = 1 THEN 1.0 ELSE 0 END), 6) AS in_ref FROM instant JOIN ref USING (comp_id, x, y, bin) GROUP BY 1, 2",
     "t26_lifetime_users": f"""WITH {SQL_STATE}, u AS (SELECT comp_id, "user", count(*) FILTER (WHERE defense) AS d, count(*) FILTER (WHERE NOT defense) AS a FROM agreed GROUP BY 1, 2)
         SELECT comp_id, count(*) AS n_users, {_groups('d = 0')} AS n_attackonly, {_groups('a = 0')} AS n_defenseonly, {_groups('a > 0 AND d > 0')} AS n_both FROM u GROUP BY 1""",
