@@ -125,11 +125,19 @@ def life(pixels: DataFrame, whiteout: float) -> DataFrame:
 
 
 def location_jumps(pixels: DataFrame) -> DataFrame:
-    """Whether no pixel of a composition is on for exactly all its ranges."""
-    ranges = F.array_sort(F.collect_set(F.struct("t0", "t1")))
-    whole = pixels.groupBy("comp_id").agg(ranges.alias("all_ranges"))
-    each = pixels.groupBy("comp_id", "x", "y").agg(ranges.alias("ranges"))
-    return each.join(whole, "comp_id").groupBy("comp_id").agg((~F.bool_or(F.col("ranges") == F.col("all_ranges"))).alias("jumps"))
+    """Whether no pixel of a composition is on for exactly the time in which the composition is: the union of its ranges, those that touch being one.
+
+    Ranges are equal within a relative 1e-10 and an absolute 1e-5.
+    """
+    ranges = F.array_sort(F.collect_list(F.struct("t0", "t1")))
+    nowhere = F.lit(0)
+    active = merge_ranges(pixels.select("comp_id", "t0", "t1").distinct().withColumns({"x": nowhere, "y": nowhere}))
+    whole = active.groupBy("comp_id").agg(ranges.alias("whole"))
+    each = merge_ranges(pixels).groupBy("comp_id", "x", "y").agg(ranges.alias("own"))
+    near = lambda a, b: F.abs(a - b) <= 1e-5 + 1e-10 * F.abs(b)
+    alike = F.zip_with("own", "whole", lambda a, b: near(a["t0"], b["t0"]) & near(a["t1"], b["t1"]))
+    same = (F.size("own") == F.size("whole")) & F.forall(alike, lambda ok: F.coalesce(ok, F.lit(False)))
+    return each.join(whole, "comp_id").groupBy("comp_id").agg((~F.bool_or(same)).alias("jumps"))
 
 
 def active_area(pixels: DataFrame, width: float) -> DataFrame:
@@ -150,21 +158,32 @@ def duplicates(pixels: DataFrame, least: float = 0.99) -> DataFrame:
 
 
 def rejected_overlaps(pixels: DataFrame, least: float) -> DataFrame:
-    """Time ranges in which the later of two compositions shares more than `least` of its pixels with another at the same time."""
-    lives = pixels.groupBy("comp_id").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
-    pair = overlaps(pixels).where(F.col("overlap") > least)
-    both = pair.join(lives, "comp_id").join(lives.select(F.col("comp_id").alias("other_id"), F.col("t0").alias("o0"), F.col("t1").alias("o1")), "other_id")
-    later = F.when((F.col("t0") > F.col("o0")) | ((F.col("t0") == F.col("o0")) & (F.col("comp_id") > F.col("other_id"))), F.col("comp_id")).otherwise(F.col("other_id"))
-    return both.select(later.alias("comp_id"), F.greatest("t0", "o0").alias("t0"), F.least("t1", "o1").alias("t1")).where("t1 > t0").distinct()
+    """`(comp_id, t0, t1)`: times in which a border of a composition shares more than `least` of its pixels, and of the other's, with a border of another one.
+
+    A border is the pixels of a composition that have the same time range; borders are compared in their common time only. The one that begins later is rejected; of two
+    that begin together the shorter, and of equal ones that of the larger id. Borders meet in an equi-join on the pixel.
+    """
+    border = ["comp_id", "t0", "t1"]
+    own = pixels.select(*border, "x", "y").distinct()
+    area = own.groupBy(*border).agg(F.count("*").alias("area"))
+    other = {c: f"other_{c}" for c in border}
+    met = own.join(own.withColumnsRenamed(other), ["x", "y"]).where((F.col("comp_id") < F.col("other_comp_id")) & (F.greatest("t0", "other_t0") < F.least("t1", "other_t1")))
+    common = met.groupBy(*border, *other.values()).agg(F.count("*").alias("n"))
+    both = common.join(area, border).join(area.withColumnsRenamed({**other, "area": "other_area"}), list(other.values()))
+    close = both.where(F.col("n") / F.greatest("area", "other_area") > least)
+    together = F.abs(F.col("t0") - F.col("other_t0")) <= 1e-8 + 1e-5 * F.abs("other_t0")
+    keeps = (F.col("t0") < F.col("other_t0")) | (together & (F.col("t1") >= F.col("other_t1")))
+    loser = F.when(keeps, F.col("other_comp_id")).otherwise(F.col("comp_id"))
+    return close.select(loser.alias("comp_id"), F.greatest("t0", "other_t0").alias("t0"), F.least("t1", "other_t1").alias("t1")).distinct()
 
 
 def placement(pixels: DataFrame, sections: DataFrame, margin: int = 3) -> DataFrame:
-    """Whether a composition lies at the border, in a corner, or in the centre of each canvas state."""
+    """Whether a composition lies at the border, in a corner, or in the centre of each canvas state, each within `margin`."""
     box = pixels.groupBy("comp_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     side_x = (F.col("x0") - F.col("xmin") < margin) | (F.col("xmax") - F.col("x1") < margin)
     side_y = (F.col("y0") - F.col("ymin") < margin) | (F.col("ymax") - F.col("y1") < margin)
     mid_x, mid_y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
-    centre = F.lit(True) & (F.col("x0") <= mid_x) & (F.col("x1") >= mid_x) & (F.col("y0") <= mid_y) & (F.col("y1") >= mid_y)
+    centre = (F.col("x0") < mid_x + margin) & (F.col("x1") > mid_x - margin) & (F.col("y0") < mid_y + margin) & (F.col("y1") > mid_y - margin)
     return box.join(F.broadcast(sections)).select("comp_id", "section", (side_x | side_y).alias("at_border"), (side_x & side_y).alias("in_corner"), centre.alias("in_centre"))
 
 
@@ -186,18 +205,22 @@ def size_distribution(pixels: DataFrame, per_decade: int = 5) -> DataFrame:
     return area.groupBy(F.floor(F.log10("area") * per_decade).cast("int").alias("bin")).agg(F.count("*").alias("n_comps"))
 
 
-def stable_border_ranges(borders: DataFrame, least: float = 0.9) -> DataFrame:
-    """Time ranges over which a composition's rectangle stays the same within `least`: consecutive borders (x0, y0, x1, y1, t0, t1) whose
-    common area is more than that share of both are merged."""
-    order = Window.partitionBy("comp_id").orderBy("t0", "t1")
-    old = {c: F.lag(c).over(order) for c in ("x0", "y0", "x1", "y1")}
-    marked = borders.withColumns({f"o_{c}": v for c, v in old.items()})
-    side = lambda a, b: F.greatest(F.least(f"{b}", f"o_{b}") - F.greatest(f"{a}", f"o_{a}") + 1, F.lit(0))
-    common = side("x0", "x1") * side("y0", "y1")
-    area = lambda p: (F.col(p + "x1") - F.col(p + "x0") + 1) * (F.col(p + "y1") - F.col(p + "y0") + 1)
-    moved = (F.col("o_x0").isNull() | (F.least(common / area(""), common / area("o_")) <= least)).cast("int")
-    grouped = marked.withColumn("moved", moved).withColumn("piece", F.sum("moved").over(order) - 1)
-    return grouped.groupBy("comp_id", "piece").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+def stable_border_ranges(borders: DataFrame, pixels: DataFrame, least: float = 0.9) -> DataFrame:
+    """`(comp_id, piece, t0, t1)`: time ranges without a hole over which a composition's border changes by little.
+
+    A border (comp_id, seq, t0, t1) prolongs the range of the one before it if it begins where that one ends (within a relative 1e-5) and more than `least` of the pixels of
+    either (comp_id, seq, x, y) are in both; otherwise it begins a new range. Times should begin with the opening of the canvas already.
+    """
+    area = pixels.groupBy("comp_id", "seq").agg(F.count("*").alias("area"))
+    common = pixels.join(pixels.select("comp_id", (F.col("seq") + 1).alias("seq"), "x", "y"), ["comp_id", "seq", "x", "y"]).groupBy("comp_id", "seq").agg(F.count("*").alias("common"))
+    order = Window.partitionBy("comp_id").orderBy("seq")
+    each = borders.select("comp_id", "seq", "t0", "t1").join(area, ["comp_id", "seq"]).join(common, ["comp_id", "seq"], "left")
+    each = each.withColumns({"old_end": F.lag("t1").over(order), "old_area": F.lag("area").over(order)})
+    touches = F.abs(F.col("t0") - F.col("old_end")) <= 1e-8 + 1e-5 * F.abs("old_end")
+    alike = F.col("common") / F.greatest("area", "old_area") > least
+    moved = (~F.coalesce(touches & alike, F.lit(False))).cast("int")
+    grouped = each.withColumn("moved", moved).withColumn("piece", F.sum("moved").over(order) - 1)
+    return grouped.groupBy("comp_id", "piece").agg(F.min("t0").alias("t0"), F.max_by("t1", "seq").alias("t1"))
 
 
 def split_at_jumps(borders: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -47,16 +47,53 @@ def threshold_counts(predictions: DataFrame, truth: float, at: list[float], by:
     )
 
 
+def simpson(points: Column) -> Column:
+    """Integral of y over x by Simpson's rule for uneven steps; `points` is an array of (x, y) in order.
+
+    Pairs of steps are parabolas; the last of an odd number of steps takes the parabola through the point before it (Cartwright's correction). A single step is a
+    trapezoid. Terms that would divide by a step of no width are left out.
+    """
+    n = F.size(points)
+    x, y = (lambda k: F.get(points, k)["x"]), (lambda k: F.get(points, k)["y"])
+    over = lambda a, b: F.when(b != 0, a / F.when(b != 0, b)).otherwise(0.0)
+
+    def panel(k: Column) -> Column:
+        a, b = x(k + 1) - x(k), x(k + 2) - x(k + 1)
+        ratio, both = over(a, b), a + b
+        return both / 6 * (y(k) * (2 - over(F.lit(1.0), ratio)) + y(k + 1) * both * over(both, a * b) + y(k + 2) * (2 - ratio))
+
+    def last(k: Column) -> Column:
+        a, b = x(k + 1) - x(k), x(k + 2) - x(k + 1)
+        return over(2 * b * b + 3 * a * b, 6 * (a + b)) * y(k + 2) + over(b * b + 3 * a * b, 6 * a) * y(k + 1) - over(b * b * b, 6 * a * (a + b)) * y(k)
+
+    paired = F.when(n % 2 == 1, n - 1).otherwise(n - 2)
+    begins = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), lambda k: (k % 2 == 0) & (k + 2 <= paired))
+    sum_ = F.aggregate(begins, F.lit(0.0), lambda total, k: total + panel(k))
+    step = (x(F.lit(1)) - x(F.lit(0))) * (y(F.lit(0)) + y(F.lit(1))) / 2
+    return F.when(n < 2, 0.0).when(n == 2, step).when(n % 2 == 1, sum_).otherwise(sum_ + last(n - 3))
+
+
+def _curve(counts: DataFrame, by: tuple[str, ...], x: Column, y: Column) -> DataFrame:
+    """`points` of (x, y) along the cuts: an array as long as there are cuts."""
+    gathered = F.array_sort(F.collect_list(F.struct("i", x.alias("x"), y.alias("y"))))
+    return counts.groupBy(*by).agg(F.transform(gathered, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+
+
 def roc_area(counts: DataFrame, by: tuple[str, ...] = (), max_fpr: float = 1.0) -> DataFrame:
-    """Area under TPR over FPR by trapezoids, from (0, 0) and to (1, 1), up to `max_fpr`."""
-    ends = counts.groupBy(*by).agg(F.max("i").alias("n")).select(*by, F.explode(F.array(F.lit(-1), F.col("n") + 1)).alias("i"))
-    end = ends.select(*by, "i", F.when(F.col("i") < 0, 0.0).otherwise(1.0).alias("tpr"), F.when(F.col("i") < 0, 0.0).otherwise(1.0).alias("fpr"))
-    curve = counts.select(*by, "i", F.coalesce("tpr", F.lit(0.0)).alias("tpr"), F.coalesce("fpr", F.lit(0.0)).alias("fpr")).unionByName(end)
-    order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("i")
-    step = curve.withColumns({"t0": F.lag("tpr").over(order), "f0": F.lag("fpr").over(order)}).where("f0 is not null")
-    width = F.greatest(F.least("fpr", F.lit(max_fpr)) - F.col("f0"), F.lit(0.0))
-    slope = F.when(F.col("fpr") > F.col("f0"), (F.col("tpr") - F.col("t0")) / (F.col("fpr") - F.col("f0"))).otherwise(0.0)
-    return step.groupBy(*by).agg(F.sum(width * (F.col("t0") + slope * width / 2)).alias("auc")) if by else step.agg(F.sum(width * (F.col("t0") + slope * width / 2)).alias("auc"))
+    """Area under TPR over FPR from (0, 0) up to `max_fpr`, by Simpson's rule, divided by `max_fpr`.
+
+    The curve has (0, 0) and (1, 1) for the cuts below and above all others, then once more (0, 0) before and the point interpolated at `max_fpr` after the
+    points up to there, as in the surveyed work, whose rule of pairs depends on their number. Rates without signal or background are 0.
+    """
+    zero, one = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    curve = _curve(counts, by, F.coalesce("fpr", F.lit(0.0)), F.coalesce("tpr", F.lit(0.0)))
+    curve = curve.select(*by, F.concat(F.array(zero), "points", F.array(one)).alias("points"))
+    within = F.filter("points", lambda p: p["x"] <= max_fpr)
+    low, high = F.element_at(within, -1), F.get(F.filter("points", lambda p: p["x"] > max_fpr), F.lit(0))
+    at = F.when(high.isNull(), low["y"]).otherwise(low["y"] + (high["y"] - low["y"]) * (max_fpr - low["x"]) / (high["x"] - low["x"]))
+    end = F.struct(F.lit(max_fpr).alias("x"), at.alias("y"))
+    cut = curve.withColumn("points", F.concat(F.array(zero), within, F.array(end)))
+    return cut.select(*by, (simpson(F.col("points")) / max_fpr).alias("auc"))
 
 
 def compare_counts(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -74,8 +111,8 @@ def truth_by_prediction(predictions: DataFrame, per_decade: float) -> DataFrame:
 
 
 def relative_errors(predictions: DataFrame) -> DataFrame:
-    """Mean and RMS of (prediction - truth) / truth over rows with a truth above 0."""
-    e = (F.col("pred_s") - F.col("true_s")) / F.col("true_s")
+    """Mean absolute and RMS relative error, |truth - prediction| / truth, over rows with a truth above 0."""
+    e = F.abs(F.col("true_s") - F.col("pred_s")) / F.col("true_s")
     return predictions.where("true_s > 0").agg(F.avg(e).alias("mean"), F.sqrt(F.avg(e * e)).alias("rms"), F.count("*").alias("n"))
 
 
@@ -119,10 +156,16 @@ def first_warnings(parted: DataFrame, truth: float, cut: float) -> DataFrame:
 
 
 def final_run_starts(parted: DataFrame, cut: float, cap: float) -> DataFrame:
-    """Time left at the first warning of the unbroken run that ends a segment, `cap` at most."""
-    last_quiet = parted.groupBy("comp_id", "segment").agg(F.max(F.when(F.col("pred_s") >= cut, F.col("bin"))).alias("quiet"))
-    run = parted.join(last_quiet, ["comp_id", "segment"]).where(F.col("bin") > F.coalesce("quiet", F.lit(-1)))
-    return run.groupBy("comp_id", "segment").agg(F.least(F.max("true_s"), F.lit(cap)).alias("earliest"))
+    """Time left at the first warning of the unbroken run that ends each segment, `cap` at most; 0 where the segment doesn't end in a warning."""
+    quiet = F.max(F.when(F.col("pred_s") >= cut, F.col("bin"))).over(Window.partitionBy("comp_id", "segment"))
+    left = F.min_by("true_s", F.when(F.col("bin") > F.coalesce("quiet", F.lit(-1)), F.col("bin")))
+    return parted.withColumn("quiet", quiet).groupBy("comp_id", "segment").agg(F.least(F.coalesce(left, F.lit(0.0)), F.lit(cap)).alias("earliest"))
+
+
+def final_run_quantiles(starts: DataFrame, at: list[float]) -> DataFrame:
+    """Quantiles over segments of the time at which the final run starts, one row each; the rows of `starts` are as many as there are transitions."""
+    found = starts.agg(F.expr(f"percentile(earliest, array({', '.join(f'{q}d' for q in at)}))").alias("q"), F.count("*").alias("n"))
+    return found.select(F.posexplode("q").alias("i", "earliest"), "n").select(F.get(F.array(*map(F.lit, at)), F.col("i")).alias("quantile"), "earliest", "n")
 
 
 def attribution_sums(attributions: DataFrame) -> DataFrame:
@@ -161,11 +204,20 @@ def densities(predictions: DataFrame, truth: float, width: float) -> DataFrame:
 
 
 def precision_recall_area(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Area under purity over TPR by trapezoids, along the cuts that have warnings."""
-    order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("i")
-    step = counts.where("purity is not null and tpr is not null").withColumns({"p0": F.lag("purity").over(order), "t0": F.lag("tpr").over(order)})
-    area = F.coalesce(F.sum((F.col("tpr") - F.col("t0")) * (F.col("purity") + F.col("p0")) / 2), F.lit(0.0)).alias("pr_auc")
-    return step.groupBy(*by).agg(area) if by else step.agg(area)
+    """Area under purity over TPR by Simpson's rule, from no warning at all to warnings everywhere.
+
+    Where there is no warning the purity is that of the nearest cut that has one; a purity of 0 counts as 1, as in the surveyed work. A key without signal has null.
+    """
+    none, whole = F.struct(F.lit(0.0).alias("x"), F.lit(None).cast("double").alias("y")), F.struct(F.lit(1.0).alias("x"), F.col("share").alias("y"))
+    ends = counts.groupBy(*by).agg(F.max((F.col("tp") + F.col("fn")) / (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).alias("share"))
+    curve = _curve(counts, by, F.col("tpr"), F.col("purity"))
+    curve = curve.join(ends, list(by)) if by else curve.join(F.broadcast(ends))  # one row each
+    points = curve.withColumn("points", F.concat(F.array(none), "points", F.array(whole)))
+    known = F.filter(F.transform("points", lambda p: p["y"]), lambda y: y.isNotNull())
+    points = points.withColumns({"first": F.get(known, F.lit(0)), "last": F.element_at(known, -1), "n": F.size("points")})
+    near = lambda p, i: F.coalesce(p["y"], F.when(i < F.floor(F.col("n") / 2), F.col("first")).otherwise(F.col("last")))
+    full = F.transform("points", lambda p, i: F.struct(p["x"].alias("x"), F.when(near(p, i) < 1e-10, 1.0).otherwise(near(p, i)).alias("y")))
+    return points.withColumn("points", full).select(*by, simpson(F.col("points")).alias("pr_auc"))
 
 
 def fpr_at_tpr(counts: DataFrame, tpr: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -222,8 +274,8 @@ def calm_rows(features: DataFrame, below: dict[str, float]) -> DataFrame:
 
 
 def weighted_errors(predictions: DataFrame, weight: Column) -> DataFrame:
-    """Weighted mean and RMS of (prediction - truth) / truth over rows with a truth above 0."""
-    e = (F.col("pred_s") - F.col("true_s")) / F.col("true_s")
+    """Weighted mean absolute and RMS relative error, |truth - prediction| / truth, over rows with a truth above 0."""
+    e = F.abs(F.col("true_s") - F.col("pred_s")) / F.col("true_s")
     return predictions.where("true_s > 0").agg((F.sum(weight * e) / F.sum(weight)).alias("mean"), F.sqrt(F.sum(weight * e * e) / F.sum(weight)).alias("rms"))
 
 

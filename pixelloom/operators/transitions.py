@@ -17,30 +17,38 @@ def runs(rows: DataFrame, condition: Column, keys: list[str], least: int = 1) ->
 
 
 def merge_close(spans: DataFrame, gap: int, keys: list[str]) -> DataFrame:
-    """Spans whose beginning is less than `gap` after the largest end so far become one; `trans_idx` counts from 0."""
+    """Spans that begin `gap` or less after the largest end so far become one; `trans_idx` counts from 0."""
     order = Window.partitionBy(*keys).orderBy("beg", "fin")
     reach = F.max("fin").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = spans.withColumn("fresh", F.coalesce(F.col("beg") - reach >= gap, F.lit(True)).cast("int"))
+    fresh = spans.withColumn("fresh", F.coalesce(F.col("beg") - reach > gap, F.lit(True)).cast("int"))
     grouped = fresh.withColumn("trans_idx", F.sum("fresh").over(order) - 1)
     return grouped.groupBy(*keys, "trans_idx").agg(F.min("beg").alias("bin_beg"), F.max("fin").alias("bin_end"))
 
 
-def find_transitions(rows: DataFrame, absolute: Column, relative: Column, window: int, keys: list[str]) -> DataFrame:
-    """Transitions of series (keys, bin, val, ratio).
+def find_transitions(rows: DataFrame, absolute: Column, relative: Column, window: int, keys: list[str], reach: int, greyout: float = float("inf")) -> DataFrame:
+    """Transitions `(keys, trans_idx, bin_beg, bin_end)` of series (keys, bin, t, settled, val, ratio, fwd_val, fwd_ratio); `bin_end` is exclusive.
 
-    One begins with a run of `val` above the absolute and `ratio` above the relative cut, later than `window` bins into life, and ends at the first
-    later bin where `val` is below the absolute cut or `ratio` below the inverse relative one, after `window` bins at most. Those closer than `window` are merged.
+    A run is of bins from `window` on, in `settled` borders, with `val` above the absolute and `ratio` above the relative cut; it counts unless the bin after its first (or the last of the series)
+    ends at `greyout` or later. It is calm where the forward-looking `fwd_val` is below the absolute cut or `fwd_ratio` below the inverse relative one. A
+    transition ends where the first calm stretch begins that begins with the run or after it, `reach` bins after at most, but not before the run itself ends; without such a
+    stretch it ends with the run, or `reach` bins after its beginning if that is sooner. Those that begin `window` or less after another's end are one with it.
+
+    The surveyed work hands over `reach` as the window's seconds and compares it with numbers of bins, so there it is any later bin.
     """
-    starts = runs(rows, (F.col("val") > absolute) & (F.col("ratio") > relative) & (F.col("bin") > window), keys)
-    ends = runs(rows, (F.col("val") < absolute) | (F.col("ratio") < 1 / relative), keys).select(*keys, F.col("beg").alias("end_beg"), F.col("fin").alias("end_fin"))
-    # the first end at or after the start: starts and ends in one order, the next end by a window, no range join
-    marks = starts.select(*keys, F.col("beg").alias("at"), "beg", F.lit(None).cast("int").alias("stop"), F.lit(0).alias("kind")).unionByName(
-        ends.select(*keys, F.col("end_beg").alias("at"), F.lit(None).cast("int").alias("beg"), F.col("end_beg").alias("stop"), F.lit(1).alias("kind"))
+    late = F.coalesce(F.lead("t").over(Window.partitionBy(*keys).orderBy("bin")), F.col("t")) >= greyout
+    above = (F.col("val") > absolute) & (F.col("ratio") > relative) & (F.col("bin") >= window) & F.col("settled")
+    grey = rows.select(*keys, F.col("bin").alias("beg"), late.alias("late")).where("late")
+    starts = runs(rows, above, keys).join(grey, [*keys, "beg"], "left_anti")
+    calm = runs(rows, (F.col("fwd_val") < absolute) | (F.col("fwd_ratio") < 1 / relative), keys)
+    # the first calm stretch at or after each run's beginning: both in one order, the next by a window, no range join
+    nothing = F.lit(None).cast("int")
+    marks = starts.select(*keys, F.col("beg").alias("at"), "beg", "fin", nothing.alias("calm"), F.lit(0).alias("kind")).unionByName(
+        calm.select(*keys, F.col("beg").alias("at"), nothing.alias("beg"), nothing.alias("fin"), F.col("beg").alias("calm"), F.lit(1).alias("kind"))
     )
     ahead = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    spans = marks.withColumn("next", F.min("stop").over(ahead)).where("kind = 0")
-    cut = spans.select(*keys, "beg", F.least(F.coalesce("next", F.col("beg") + window), F.col("beg") + window).alias("fin"))
-    return merge_close(cut, window, keys)
+    spans = marks.withColumn("next", F.min("calm").over(ahead)).where("kind = 0")
+    end = F.when(F.col("next") <= F.col("beg") + reach, F.greatest("next", "fin")).otherwise(F.least("fin", F.col("beg") + reach))
+    return merge_close(spans.select(*keys, "beg", end.alias("fin")), window, keys)
 
 
 def start_times(rows: DataFrame, transitions: DataFrame, absolute: float, relative: float, keys: list[str]) -> DataFrame:
@@ -76,7 +84,7 @@ def sensitivity(rows: DataFrame, grid: DataFrame, window: int) -> DataFrame:
     keys = ["param", "comp_id"]
     crossed = rows.join(F.broadcast(grid))
     n_comps = rows.select("comp_id").distinct().count()
-    above = (F.col("val") > F.col("abs_cut")) & (F.col("ratio") > F.col("rel_cut")) & (F.col("bin") > window)
+    above = (F.col("val") > F.col("abs_cut")) & (F.col("ratio") > F.col("rel_cut")) & (F.col("bin") >= window)
     starts = runs(crossed, above, keys)
     found = starts.select(*keys).distinct().groupBy("param").agg(F.count("*").alias("n"))
     return grid.join(found, "param", "left").select("param", "abs_cut", "rel_cut", (F.coalesce("n", F.lit(0)) / n_comps).alias("share"))

@@ -11,14 +11,16 @@ from pyspark.sql.window import Window
 from pixelloom.operators.changes import TIME
 
 
-def attention(changes: DataFrame, slot: float, largest: bool = True) -> DataFrame:
-    """Changes of each user over the slots of `slot` seconds that the composition offers: mean, median, and mean over as many users as it has pixels.
+def attention(changes: DataFrame, slot: float, whiteout: float, largest: bool = False) -> DataFrame:
+    """Changes of each user over the slots of `slot` seconds from the composition's beginning to `whiteout`: mean, median, and mean over as many users as it has pixels.
 
-    The most attentive users are taken for the last figure, or the least if not `largest`. Needs t0, t1 and the pixel's x, y.
+    The last figure takes the least attentive users, as the surveyed work does, or the most attentive if `largest`. Needs t0 and the pixel's x, y. A
+    composition that begins at `whiteout` or later has no slots, and nulls.
     """
-    life = changes.groupBy("comp_id").agg(F.min("t0").alias("a"), F.max("t1").alias("b"), F.countDistinct("x", "y").alias("n_pix"))
+    life = changes.groupBy("comp_id").agg(F.min("t0").alias("a"), F.countDistinct("x", "y").alias("n_pix"))
     per = changes.where("active").groupBy("comp_id", "user").agg(F.count("*").alias("n")).join(life, "comp_id")
-    valued = per.withColumn("attention", F.col("n") / ((F.col("b") - F.col("a")) / slot))
+    slots = (whiteout - F.col("a")) / slot
+    valued = per.withColumn("attention", F.when(slots > 0, F.col("n") / F.when(slots > 0, slots)))
     order = Window.partitionBy("comp_id").orderBy(F.desc("n") if largest else F.col("n"), "user")
     ranked = valued.withColumn("i", F.row_number().over(order))
     return ranked.groupBy("comp_id").agg(

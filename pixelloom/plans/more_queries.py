@@ -134,7 +134,7 @@ ORACLES = {
     "c8_merged_ranges_of_many": f"""WITH {SQL_MANY_BORDERS}, {SQL_PIXELS.replace(SQL_BORDERS + ', ', '')} SELECT comp_id, x, y, t0, (t0 + t1) / 2 AS t1 FROM pixels WHERE x % 2 = 1 UNION ALL SELECT comp_id, x, y, (t0 + t1) / 2 + 86400, t1 FROM pixels WHERE x % 2 = 1 AND t1 > (t0 + t1) / 2 + 86400
         UNION ALL SELECT comp_id, x, y, t0, t1 FROM pixels WHERE x % 2 = 0""",
     "c11_lives_of_many": _many(OWN["c11_lives"]),
-    "c16_rejected_overlaps_of_many": "SELECT * FROM (" + _many(OWN["c16_rejected_overlaps"]) + ") WHERE t1 > t0",
+    "c16_rejected_overlaps_of_many": _many(OWN["c16_rejected_overlaps"]),
     "c18_pixel_owners_of_many": _many(OWN["c18_pixel_owners"]),
     "c18_free_pixels": f"""WITH {SQL_PIXELS}, cells AS (SELECT x, y, CASE WHEN x <= 4 THEN 0e0 ELSE 432000 END AS t_open FROM range(10) a(x), range(10) b(y)),
         ends AS (SELECT x, y, t_open, t_open AS t FROM cells UNION SELECT x, y, t_open, 2592000e0 FROM cells UNION SELECT x, y, t_open, t FROM cells JOIN (SELECT x, y, t0 AS t FROM pixels UNION SELECT x, y, t1 FROM pixels) USING (x, y) WHERE t > t_open AND t < 2592000),
@@ -155,6 +155,6 @@ ORACLES = {
     "g8_pixel_change_figures": f"WITH {SQL_LOG}, n AS (SELECT gx.x, gy.y, count(l.event_id) AS n FROM range(10) gx(x) CROSS JOIN range(10) gy(y) LEFT JOIN log l ON l.x = gx.x AND l.y = gy.y GROUP BY 1, 2) SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median FROM n",
     "g10_colors_in_order": f"WITH {SQL_LOG}, c AS (SELECT color, count(*) AS n FROM log GROUP BY 1) SELECT coalesce(c.color, p.color) AS color, coalesce(place, 4 + c.color) AS place, coalesce(n, 0) AS n_changes FROM c FULL JOIN (VALUES (0, 3), (1, 0), (2, 4), (3, 2)) p(place, color) ON p.color = c.color",
     "g12_gap_histograms": f"""{canvas_queries.GAPS}, f AS (SELECT avg(gap) AS mean, min(gap) AS least, quantile_cont(gap, 0.5) AS median FROM gaps GROUP BY "user") SELECT figure, CAST(floor(log10(value) * 2) AS INT) AS bin, count(*) AS n FROM (UNPIVOT f ON mean, least, median INTO NAME figure VALUE value) WHERE value > 0 GROUP BY 1, 2""",
-    "e8_weighted_errors": f"WITH {BASE} SELECT round(sum(e / (true_s + 1)) / sum(1 / (true_s + 1)), 6) AS mean, round(sqrt(sum(e * e / (true_s + 1)) / sum(1 / (true_s + 1))), 6) AS rms FROM (SELECT *, (pred_s - true_s) / true_s AS e FROM pred WHERE true_s > 0)",
+    "e8_weighted_errors": f"WITH {BASE} SELECT round(sum(e / (true_s + 1)) / sum(1 / (true_s + 1)), 6) AS mean, round(sqrt(sum(e * e / (true_s + 1)) / sum(1 / (true_s + 1))), 6) AS rms FROM (SELECT *, abs(pred_s - true_s) / true_s AS e FROM pred WHERE true_s > 0)",
     "e10_rate_bands": f"WITH {BASE}, {_counts('comp_id')} SELECT i, cut, {', '.join(f'round(quantile_cont({r}, {q}), 6) AS {r}_{round(100 * q)}' for r in ('tpr', 'fpr') for q in (0.25, 0.5, 0.75))}, count(*) AS n_comps FROM counts GROUP BY 1, 2",
 }

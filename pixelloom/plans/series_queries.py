@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.config import TEST_CANVAS
 from pixelloom.operators import changes, series, state, transitions
+from pixelloom.plans import composition_queries
 from pixelloom.plans.canvas_queries import rounded
 from pixelloom.plans.state_queries import SQL_STATE, State, SW, WIDTH
 from pixelloom.plans.storage import write_shared
@@ -24,11 +25,19 @@ def count_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def difference_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of pixels off their reference at each bin's end, with its ratio to the mean before."""
-    s = State(spark, sf_dir).shared_stays()
-    joined = s.instant().join(s.ref(), ["comp_id", "x", "y", "bin"])
-    share = joined.groupBy("comp_id", "bin").agg(F.avg((F.col("inst") != F.col("ref")).cast("double")).alias("val"))
-    return series.ratio_to_mean(share, SW, ["comp_id"])
+    """Share of pixels off their reference at each bin's end (`val`), and off the reference of the window ahead (`fwd_val`, 0 where there is none), either with its ratio to the
+    mean before; the bin's end `t`, and whether it lies a window into a range of stable borders."""
+    s = State(spark, sf_dir).shared()
+    joined = s.instant().join(s.ref(), ["comp_id", "x", "y", "bin"]).join(s.forward(), ["comp_id", "x", "y", "bin"], "left")
+    off = lambda ref: F.avg(F.coalesce((F.col("inst") != F.col(ref)).cast("double"), F.lit(0.0)))
+    share = joined.groupBy("comp_id", "bin").agg(off("ref").alias("val"), off("ref_fwd").alias("fwd_val"))
+    ahead = series.ratio_to_mean(share.withColumnsRenamed({"val": "own", "fwd_val": "val"}), SW, ["comp_id"]).withColumnsRenamed({"val": "fwd_val", "ratio": "fwd_ratio", "own": "val"})
+    rows = series.ratio_to_mean(ahead, SW, ["comp_id"])
+    ranges = composition_queries.stable_ranges(spark, sf_dir).groupBy("comp_id").agg(F.collect_list(F.struct("t0", "t1")).alias("ranges"))
+    start = s.pixels.groupBy("comp_id").agg(F.min("t0").alias("t0"))
+    rows = rows.join(start.join(ranges, "comp_id"), "comp_id").withColumn("t", F.col("t0") + F.col("bin") * WIDTH)
+    settled = F.exists("ranges", lambda r: (F.col("t") >= r["t0"] + SW * WIDTH) & (F.col("t") <= r["t1"]))
+    return rows.withColumn("settled", settled).drop("t0", "ranges")
 
 
 def _counts(make):
@@ -40,7 +49,7 @@ def _rows(make):
 
 
 def _found(rows: DataFrame) -> DataFrame:
-    return transitions.find_transitions(rows, F.lit(ABS), F.lit(REL), SW, ["comp_id"])
+    return transitions.find_transitions(rows, F.lit(ABS), F.lit(REL), SW, ["comp_id"], int(SW * WIDTH), TEST_CANVAS.greyout)
 
 
 def _signals(rows: DataFrame) -> DataFrame:
@@ -83,8 +92,12 @@ QUERIES = {
 
 COUNTS = f"""{SQL_STATE}, series AS (SELECT b.comp_id, 'changes' AS variable, b.bin, CAST(count(c.event_id) AS DOUBLE) AS val FROM bins b LEFT JOIN binned c ON c.comp_id = b.comp_id AND c.bin = b.bin GROUP BY 1, 2, 3)"""
 RATIO = "CASE WHEN m = 0 THEN 1.0 ELSE val / m END"
-ROWS = f"""{SQL_STATE}, share AS (SELECT comp_id, bin, avg(CASE WHEN inst <> ref THEN 1e0 ELSE 0 END) AS val FROM instant JOIN ref USING (comp_id, x, y, bin) GROUP BY 1, 2),
-    rows_ AS (SELECT comp_id, bin, val, {RATIO} AS ratio FROM (SELECT *, coalesce(avg(val) OVER (PARTITION BY comp_id ORDER BY bin ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), val) AS m FROM share))"""
+BEFORE = "OVER (PARTITION BY comp_id ORDER BY bin ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)"
+ROWS = f"""{SQL_STATE}, {composition_queries.STABLE}, share AS (SELECT comp_id, bin, avg(CASE WHEN inst <> ref THEN 1e0 ELSE 0 END) AS val, avg(CASE WHEN inst <> ref_fwd THEN 1e0 ELSE 0 END) AS fwd_val
+        FROM instant JOIN ref USING (comp_id, x, y, bin) LEFT JOIN fwd USING (comp_id, x, y, bin) GROUP BY 1, 2),
+    rows_ AS (SELECT m.comp_id, bin, val, {RATIO} AS ratio, fwd_val, CASE WHEN fwd_m = 0 THEN 1.0 ELSE fwd_val / fwd_m END AS fwd_ratio, b.t0 + bin * 21600 AS t,
+            EXISTS (SELECT 1 FROM settled d WHERE d.comp_id = m.comp_id AND b.t0 + bin * 21600 BETWEEN d.t0 + 8 * 21600 AND d.t1) AS settled
+        FROM (SELECT *, coalesce(avg(val) {BEFORE}, val) AS m, coalesce(avg(fwd_val) {BEFORE}, fwd_val) AS fwd_m FROM share) m JOIN borders b ON b.comp_id = m.comp_id)"""
 
 
 def _runs(where: str) -> str:
@@ -94,11 +107,12 @@ def _runs(where: str) -> str:
 def _merged(source: str, gap: int) -> str:
     return f"""SELECT comp_id, trans_idx, min(beg) AS bin_beg, max(fin) AS bin_end FROM (
         SELECT *, sum(fresh) OVER (PARTITION BY comp_id ORDER BY beg, fin) - 1 AS trans_idx FROM (
-            SELECT *, CASE WHEN coalesce(beg - max(fin) OVER (PARTITION BY comp_id ORDER BY beg, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= {gap}, true) THEN 1 ELSE 0 END AS fresh FROM {source})) GROUP BY 1, 2"""
+            SELECT *, CASE WHEN coalesce(beg - max(fin) OVER (PARTITION BY comp_id ORDER BY beg, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {gap}, true) THEN 1 ELSE 0 END AS fresh FROM {source})) GROUP BY 1, 2"""
 
 
-FOUND = f"""{ROWS}, starts AS ({_runs(f'val > {ABS} AND ratio > {REL} AND bin > 8')}), stops AS ({_runs(f'val < {ABS} OR ratio < 1 / {REL}')}),
-    spans AS (SELECT s.comp_id, s.beg, least(coalesce((SELECT min(e.beg) FROM stops e WHERE e.comp_id = s.comp_id AND e.beg >= s.beg), s.beg + 8), s.beg + 8) AS fin FROM starts s),
+FOUND = f"""{ROWS}, runs_ AS ({_runs(f'val > {ABS} AND ratio > {REL} AND bin >= 8 AND settled')}), stops AS ({_runs(f'fwd_val < {ABS} OR fwd_ratio < 1 / {REL}')}),
+    starts AS (SELECT s.* FROM runs_ s WHERE (SELECT r.t FROM rows_ r WHERE r.comp_id = s.comp_id AND r.bin = least(s.beg + 1, (SELECT max(bin) FROM rows_ q WHERE q.comp_id = s.comp_id))) < 2419200),
+    spans AS (SELECT s.comp_id, s.beg, coalesce(greatest((SELECT min(e.beg) FROM stops e WHERE e.comp_id = s.comp_id AND e.beg >= s.beg AND e.beg <= s.beg + 172800), s.fin), least(s.fin, s.beg + 172800)) AS fin FROM starts s),
     found AS ({_merged('spans', 8)})"""
 MOMENTS = """round(coalesce(var_samp(val) OVER f, 0), 7) + 0e0 AS variance,
     round(CASE WHEN count(val) OVER f > 2 AND avg(val ** 2) OVER f - (avg(val) OVER f) ** 2 > 1e-9 * (avg(val ** 2) OVER f + 1e-9)
@@ -141,7 +155,7 @@ ORACLES = {
         SELECT f.comp_id, trans_idx, round(greatest(CASE WHEN ov < {ABS} AND val > ov THEN bin - 1 + ({ABS} - ov) / (val - ov) ELSE bin - 1 END, CASE WHEN orr < {REL} AND ratio > orr THEN bin - 1 + ({REL} - orr) / (ratio - orr) ELSE bin - 1 END), 6) AS t_start
         FROM found f JOIN o ON o.comp_id = f.comp_id AND o.bin = f.bin_beg""",
     "x8_sensitivity": f"""WITH {ROWS}, grid AS (SELECT row_number() OVER (ORDER BY a, r) - 1 AS param, a AS abs_cut, r AS rel_cut FROM (VALUES (0.35e0), (0.45e0), (0.55e0), (0.65e0)) x(a), (VALUES (1.2e0), (1.5e0), (2e0)) y(r))
-        SELECT param, abs_cut, rel_cut, round((SELECT count(DISTINCT comp_id) FROM rows_ WHERE val > abs_cut AND ratio > rel_cut AND bin > 8) / (SELECT count(DISTINCT comp_id) FROM rows_), 6) AS share FROM grid""",
+        SELECT param, abs_cut, rel_cut, round((SELECT count(DISTINCT comp_id) FROM rows_ WHERE val > abs_cut AND ratio > rel_cut AND bin >= 8) / (SELECT count(DISTINCT comp_id) FROM rows_), 6) AS share FROM grid""",
     "x9_transition_counts": f"""WITH {FOUND} SELECT (SELECT count(DISTINCT comp_id) FROM rows_) AS n_comps, (SELECT count(*) FROM found) AS n_transitions, (SELECT count(DISTINCT comp_id) FROM found) AS n_with_transition,
         coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM found GROUP BY comp_id)), 0) AS most""",
     "x10_warning_signals": f"WITH {SIGNALS} SELECT comp_id, bin, signal, round(val, 7) + 0e0 AS val FROM signals",

@@ -15,7 +15,7 @@ from pixelloom.plans.canvas_queries import rounded
 from pixelloom.plans.series_queries import ABS, FOUND, REL, _runs, difference_series
 from pixelloom.plans.state_queries import SQL_STATE, SW, WIDTH, State
 from pixelloom.plans.storage import new_path, write_shared
-from pixelloom.plans.training_queries import BASE, LONG, NAMES, TRUTH, Table, _auc
+from pixelloom.plans.training_queries import BASE, LONG, NAMES, TRUTH, Table, _auc, _simpson
 from pixelloom.sources import adapter, atlas, raw_logs
 
 FINE, COARSE = training.lag_ranges([1, 1, 2, 4]), training.lag_ranges([2, 6])
@@ -71,7 +71,7 @@ def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, about = Table(spark, sf_dir), info(spark, sf_dir)
     began = t.transitions.join(about, "comp_id").select("comp_id", (F.col("t0") + F.col("bin_beg") * WIDTH).alias("t_start"))
-    stable = compositions.stable_border_ranges(comps.moving_borders(spark, sf_dir))
+    stable = comps.stable_ranges(spark, sf_dir)
     active = compositions.active_area(comps.split_pixels(spark, sf_dir), WIDTH)
     return training.training_rows(timed(t.rows, about), about, began, stable, rejected(spark, sf_dir), active, (ABS, REL), SW * WIDTH, 2 * WIDTH, 6, TEST_CANVAS.greyout)
 
@@ -240,9 +240,7 @@ SINGLE = f"""{BASE}, long_ AS (SELECT comp_id, bin, feature, value FROM (UNPIVOT
             FROM single, (VALUES {', '.join(f'({i}, {c}e0)' for i, c in enumerate(MINUS))}) g(i, cut) GROUP BY ALL))"""
 COUNTS = """counts AS (SELECT i, tp / nullif(ps, 0) AS tpr, fp / nullif(nb, 0) AS fpr, tp / nullif(tp + fp, 0) AS purity FROM (SELECT i, count(*) FILTER (WHERE pred_s < cut AND true_s < 8) AS tp,
     count(*) FILTER (WHERE pred_s < cut AND true_s >= 8) AS fp, count(*) FILTER (WHERE true_s < 8) AS ps, count(*) FILTER (WHERE true_s >= 8) AS nb FROM pred, (VALUES (0, 4e0), (1, 8e0), (2, 12e0), (3, 16e0), (4, 20e0)) g(i, cut) GROUP BY i))"""
-OVERLAPS = f"p AS (SELECT DISTINCT comp_id, x, y FROM pixels), {comps.OVER}"
-REJECTS = f"""{OVERLAPS}, rejects AS (SELECT DISTINCT CASE WHEN a.t0 > b.t0 OR (a.t0 = b.t0 AND a.comp_id > b.comp_id) THEN a.comp_id ELSE b.comp_id END AS comp_id, greatest(a.t0, b.t0) AS t0, least(a.t1, b.t1, greatest(a.t0, b.t0) + 432000) AS t1
-    FROM over_ o JOIN borders a ON a.comp_id = o.comp_id JOIN borders b ON b.comp_id = o.other_id WHERE overlap > {REJECTED})"""
+REJECTS = comps._rejects("pixels", REJECTED).replace("least(p.t1, o1) AS t1", "least(p.t1, o1, greatest(p.t0, o0) + 432000) AS t1")
 NUMBER = "CAST(comp_id[2:] AS INT)"
 
 ORACLES = {
@@ -257,11 +255,11 @@ ORACLES = {
         SELECT no AS event_id, round(seconds, 3) AS seconds, user_hash, hex, x, y, moderator FROM events JOIN o USING (event_id)""",
     "d2_chosen_variables": f"WITH {CHOOSE} SELECT comp_id, bin, {', '.join(f'round({n}, 6) + 0e0 AS {n}' for n in FEATURES)} FROM feats",
     "d3_extra_features": f"""WITH {VARIABLES}, s AS (SELECT comp_id, count(DISTINCT (x, y)) AS area, min(CASE WHEN x <= 4 THEN 0 ELSE 1 END) AS section FROM pixels GROUP BY 1),
-        f AS (SELECT comp_id, section, (x0 < 1 OR hi - x1 < 1) AS sx, (y0 < 1 OR 9 - y1 < 1) AS sy, (x0 <= hi / 2 AND x1 >= hi / 2 AND y0 <= 4.5 AND y1 >= 4.5) AS mid FROM borders JOIN s USING (comp_id), LATERAL (SELECT CASE WHEN section = 0 THEN 4 ELSE 9 END AS hi))
+        f AS (SELECT comp_id, section, (x0 < 1 OR hi - x1 < 1) AS sx, (y0 < 1 OR 9 - y1 < 1) AS sy, (x0 < hi / 2 + 1 AND x1 > hi / 2 - 1 AND y0 < 5.5 AND y1 > 3.5) AS mid FROM borders JOIN s USING (comp_id), LATERAL (SELECT CASE WHEN section = 0 THEN 4 ELSE 9 END AS hi))
         SELECT v.comp_id, bin, round(log10(area), 6) AS log_area, least(bin * 21600e0, v.t1 - v.t0) AS age, section, CAST(sx OR sy AS INT) + CAST(sx AND sy AS INT) + CAST(mid AS INT) AS position,
             round(avg(off_share) OVER w, 6) AS off_share_sw, round(avg(n_changes) OVER w, 6) AS n_changes_sw FROM variables v JOIN s USING (comp_id) JOIN f USING (comp_id, section) WINDOW w AS (PARTITION BY v.comp_id ORDER BY bin ROWS BETWEEN {SW} PRECEDING AND 1 PRECEDING)""",
     "d5_training_rows": f"""WITH {FOUND}, {REJECTS}, r AS (SELECT r.comp_id, r.bin, val, ratio, least(b.t0 + bin * 21600, b.t1) AS t, b.t0, b.t1, (x1 - x0 + 1) * (y1 - y0 + 1) AS area, ceil((b.t1 - b.t0) / 21600) AS n_bins FROM rows_ r JOIN borders b USING (comp_id)),
-        st AS (SELECT comp_id, t0 AS s0, CASE WHEN {NUMBER} % 3 = 0 THEN (t0 + t1) / 2 ELSE t1 END AS s1 FROM borders UNION ALL SELECT comp_id, (t0 + t1) / 2, t1 FROM borders WHERE {NUMBER} % 3 = 0),
+        st AS (SELECT comp_id, t0 AS s0, t1 AS s1 FROM settled),
         tr AS (SELECT comp_id, t0 + bin_beg * 21600 AS t_start FROM found JOIN borders USING (comp_id)),
         halves AS (SELECT comp_id, x, t0, (t0 + t1) / 2 AS t1 FROM pixels UNION ALL SELECT comp_id, x, (t0 + t1) / 2 + CASE WHEN x % 2 = 1 THEN 86400 ELSE 0 END, t1 FROM pixels)
         SELECT comp_id, bin, t > t0 + 10 * 21600 AS safe_start, NOT EXISTS (SELECT 1 FROM tr WHERE tr.comp_id = r.comp_id AND r.t >= t_start AND r.t < t_start + 10 * 21600) AS safe_trans FROM r
@@ -277,7 +275,9 @@ ORACLES = {
     "x4_merged_periods": f"""WITH {FOUND}, spans_ AS ({_runs(f'val > {ABS}')}), every AS (SELECT comp_id, beg, fin FROM spans_ UNION ALL SELECT comp_id, beg, fin + 1 FROM spans_)
         SELECT comp_id, greatest(beg - 8, 1) AS pre_beg, beg AS pre_end, min(beg) AS bin_beg, max(fin) AS bin_end, max(fin) AS post_beg, max(least(fin + 8, n)) AS post_end
         FROM every JOIN (SELECT comp_id, max(bin) AS n FROM rows_ GROUP BY 1) USING (comp_id) GROUP BY 1, 2, 3""",
-    "e4_precision_recall_area": f"WITH {BASE}, {COUNTS} SELECT round(coalesce(sum((tpr - t0) * (purity + p0) / 2), 0), 6) AS pr_auc FROM (SELECT *, lag(tpr) OVER (ORDER BY i) AS t0, lag(purity) OVER (ORDER BY i) AS p0 FROM counts WHERE purity IS NOT NULL)",
+    "e4_precision_recall_area": f"""WITH {BASE}, {COUNTS}, c AS (SELECT i, tpr AS x, purity AS y FROM counts UNION ALL SELECT -1, 0, NULL UNION ALL SELECT 9, 1, (SELECT avg(CASE WHEN true_s < 8 THEN 1e0 ELSE 0 END) FROM pred)),
+        m AS (SELECT i, x, coalesce(y, CASE WHEN i < 2 THEN (SELECT arg_min(y, i) FROM c WHERE y IS NOT NULL) ELSE (SELECT arg_max(y, i) FROM c WHERE y IS NOT NULL) END) AS y FROM c),
+        points AS (SELECT row_number() OVER (ORDER BY i) - 1 AS k, x, CASE WHEN y < 1e-10 THEN 1 ELSE y END AS y FROM m) SELECT round(area, 6) AS pr_auc FROM ({_simpson('points')})""",
     "e4_fpr_at_tpr": f"""WITH {BASE}, {COUNTS} SELECT round(coalesce(l.fpr + (h.fpr - l.fpr) * (0.5 - l.tpr) / (h.tpr - l.tpr), h.fpr, l.fpr), 6) AS fpr FROM (SELECT max((tpr, fpr)) FILTER (WHERE tpr < 0.5) AS lo, min((tpr, fpr)) FILTER (WHERE tpr >= 0.5) AS hi FROM counts),
         LATERAL (SELECT lo[1] AS tpr, lo[2] AS fpr) l, LATERAL (SELECT hi[1] AS tpr, hi[2] AS fpr) h""",
     "e6_single_variables": f"WITH {SINGLE} SELECT feature, i, cut, tp, fp, tn, fn, {', '.join(f'round({n}, 6) AS {n}' for n in AUC)} FROM counts",

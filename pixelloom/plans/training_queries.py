@@ -77,6 +77,7 @@ QUERIES = {
     "e11_false_warnings": _of(lambda t: evaluation.false_warnings(t.predictions(), TRUTH, CUTS, 6)),
     "e12_first_warnings": _of(lambda t: rounded(evaluation.first_warnings(evaluation.segments(t.predictions()), TRUTH, 14.0), "score")),
     "e13_final_runs": _of(lambda t: evaluation.final_run_starts(evaluation.segments(t.predictions()), 16.0, 12.0)),
+    "e13_final_run_quantiles": _of(lambda t: rounded(evaluation.final_run_quantiles(evaluation.final_run_starts(evaluation.segments(t.predictions()), 16.0, 12.0), [0.1, 0.3, 0.5, 0.7, 0.9]), "earliest")),
     "e14_attribution_sums": _of(lambda t: rounded(evaluation.attribution_sums(t.attributions()), "attribution", "value")),
     "e15_variable_ranks": _of(lambda t: rounded(evaluation.variable_ranks(evaluation.attribution_sums(t.attributions())), "strength")),
     "e15_rank_shares": _of(lambda t: rounded(evaluation.rank_shares(evaluation.variable_ranks(evaluation.attribution_sums(t.attributions()))), "share")),
@@ -94,6 +95,9 @@ LONG = f"""{BASE}, long_ AS (SELECT comp_id, bin, feature, value FROM (UNPIVOT f
     ranks AS (SELECT *, row_number() OVER (PARTITION BY comp_id ORDER BY round(strength, 9) DESC, variable) AS rank FROM (SELECT comp_id, variable, avg(abs(attribution)) AS strength FROM sums GROUP BY 1, 2))"""
 SEG = f"""{BASE}, seg AS (SELECT *, sum(j) OVER (PARTITION BY comp_id ORDER BY bin) AS segment FROM (SELECT *, CASE WHEN abs(true_s + bin - lag(true_s + bin) OVER (PARTITION BY comp_id ORDER BY bin)) > 1e-6 THEN 1 ELSE 0 END AS j FROM pred))"""
 
+FINAL = f"""{SEG}, quiet AS (SELECT comp_id, segment, max(bin) FILTER (WHERE pred_s >= 16) AS quiet FROM seg GROUP BY 1, 2),
+    final AS (SELECT comp_id, segment, least(coalesce(arg_min(true_s, bin) FILTER (WHERE bin > coalesce(quiet, -1)), 0), 12e0) AS earliest FROM seg JOIN quiet USING (comp_id, segment) GROUP BY 1, 2)"""
+
 
 def _counts(by: str = "", where: str = "true", name: str = "counts") -> str:
     keys = f"{by}, " if by else ""
@@ -106,13 +110,29 @@ def _counts(by: str = "", where: str = "true", name: str = "counts") -> str:
 RND = ", ".join(f"round({n}, 6) AS {n}" for n in RATES)
 
 
+def _simpson(source: str, by: str = "") -> str:
+    """Simpson's rule over the points (`by`, k, x, y) of `source`, k counting from 0 along the curve."""
+    k = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    return f"""SELECT {k}sum(CASE WHEN n = 2 AND k = 0 THEN b0 * (y + y1) / 2
+            WHEN n > 2 AND k % 2 = 0 AND k + 2 <= CASE WHEN n % 2 = 1 THEN n - 1 ELSE n - 2 END
+                THEN (b0 + b1) / 6 * (y * (2 - CASE WHEN b0 = 0 OR b1 = 0 THEN 0 ELSE b1 / b0 END) + y1 * (b0 + b1) * CASE WHEN b0 * b1 = 0 THEN 0 ELSE (b0 + b1) / (b0 * b1) END + y2 * (2 - CASE WHEN b1 = 0 THEN 0 ELSE b0 / b1 END))
+            ELSE 0 END) + coalesce(sum(CASE WHEN b0 + b1 = 0 THEN 0 ELSE y2 * (2 * b1 * b1 + 3 * b0 * b1) / (6 * (b0 + b1)) END + CASE WHEN b0 = 0 THEN 0 ELSE y1 * (b1 * b1 + 3 * b0 * b1) / (6 * b0) - y * b1 * b1 * b1 / (6 * b0 * (b0 + b1)) END)
+            FILTER (WHERE n > 2 AND n % 2 = 0 AND k = n - 3), 0) AS area
+        FROM (SELECT *, x1 - x AS b0, x2 - x1 AS b1 FROM (SELECT *, count(*) OVER ({part}) AS n, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2 FROM {source} WINDOW w AS ({part}ORDER BY k)))
+        {'GROUP BY ' + by if by else ''}"""
+
+
 def _auc(by: str = "", limit: float = 1.0) -> str:
     k = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
-    ends = f"UNION ALL SELECT DISTINCT {k}-1, 0, 0 FROM counts UNION ALL SELECT DISTINCT {k}9, 1, 1 FROM counts"
-    return f"""curve AS (SELECT {k}i, coalesce(tpr, 0) AS tpr, coalesce(fpr, 0) AS fpr FROM counts {ends}),
-        steps AS (SELECT *, lag(tpr) OVER ({part}ORDER BY i) AS t0, lag(fpr) OVER ({part}ORDER BY i) AS f0 FROM curve)
-        SELECT {k}round(sum(w * (t0 + CASE WHEN fpr > f0 THEN (tpr - t0) / (fpr - f0) ELSE 0 END * w / 2)), 6) AS auc FROM (SELECT *, greatest(least(fpr, {limit}) - f0, 0) AS w FROM steps WHERE f0 IS NOT NULL) {'GROUP BY ' + by if by else ''}"""
+    keys = f"(SELECT DISTINCT {by} FROM counts)" if by else "(SELECT 1)"
+    match = f"m.{by} = c.{by} AND" if by else ""
+    return f"""curve AS (SELECT {k}i, coalesce(tpr, 0) AS y, coalesce(fpr, 0) AS x FROM counts UNION ALL SELECT {k}-1, 0, 0 FROM {keys} UNION ALL SELECT {k}9, 1, 1 FROM {keys}),
+        above AS (SELECT *, lead(x) OVER ({part}ORDER BY i) AS nx, lead(y) OVER ({part}ORDER BY i) AS ny FROM curve),
+        ends AS (SELECT {k}99 AS i, CASE WHEN nx IS NULL THEN y ELSE y + (ny - y) * ({limit}e0 - x) / (nx - x) END AS y, {limit}e0 AS x FROM above WHERE x <= {limit} AND (nx IS NULL OR nx > {limit})),
+        points AS (SELECT *, row_number() OVER ({part}ORDER BY i) - 1 AS k FROM (SELECT {k}i, y, x FROM curve WHERE x <= {limit} UNION ALL SELECT {k}-2, 0, 0 FROM {keys} UNION ALL SELECT {k}i, y, x FROM ends))
+        SELECT {k}round(area / {limit}, 6) AS auc FROM ({_simpson('points', by)})"""
 
 
 ORACLES = {
@@ -132,13 +152,14 @@ ORACLES = {
     "e5_train_over_test": f"""WITH {BASE}, {_counts(where='CAST(comp_id[2:] AS INT) % 2 = 0', name='a')}, {_counts(where='CAST(comp_id[2:] AS INT) % 2 = 1', name='b')}
         SELECT a.i, a.cut, {', '.join(f'round(a.{n} / nullif(b.{n}, 0), 6) AS {n}' for n in RATES)} FROM a JOIN b ON a.i = b.i""",
     "e7_truth_by_prediction": f"""WITH {BASE} SELECT true_bin, pred_bin, n, round(n / sum(n) OVER (PARTITION BY true_bin), 6) AS share FROM (SELECT CAST(floor(log10(true_s + 1) * 3) AS INT) AS true_bin, CAST(floor(log10(pred_s + 1) * 3) AS INT) AS pred_bin, count(*) AS n FROM pred GROUP BY 1, 2)""",
-    "e8_relative_errors": f"WITH {BASE} SELECT round(avg((pred_s - true_s) / true_s), 6) AS mean, round(sqrt(avg(((pred_s - true_s) / true_s) ** 2)), 6) AS rms, count(*) AS n FROM pred WHERE true_s > 0",
+    "e8_relative_errors": f"WITH {BASE} SELECT round(avg(abs(true_s - pred_s) / true_s), 6) AS mean, round(sqrt(avg(((pred_s - true_s) / true_s) ** 2)), 6) AS rms, count(*) AS n FROM pred WHERE true_s > 0",
     "e9_segments": f"WITH {SEG} SELECT comp_id, bin, segment FROM seg",
     "e9_eligible": f"WITH {BASE} SELECT comp_id, count(*) FILTER (WHERE true_s < 8) AS n_signal, count(*) FILTER (WHERE true_s >= 8) AS n_background FROM pred GROUP BY 1 HAVING n_signal >= 4 AND n_background >= 30",
     "e10_rates_by_composition": f"WITH {BASE}, {_counts('comp_id')} SELECT comp_id, i, cut, tp, fp, tn, fn, {RND} FROM counts",
     "e10_roc_by_composition": f"WITH {BASE}, {_counts('comp_id')}, {_auc('comp_id')}",
     "e12_first_warnings": f"WITH {SEG} SELECT comp_id, segment, round(max(true_s) / 8, 6) AS score FROM seg WHERE true_s < 8 AND pred_s < 14 GROUP BY 1, 2",
-    "e13_final_runs": f"WITH {SEG}, q AS (SELECT comp_id, segment, max(bin) FILTER (WHERE pred_s >= 16) AS quiet FROM seg GROUP BY 1, 2) SELECT comp_id, segment, least(max(true_s), 12e0) AS earliest FROM seg JOIN q USING (comp_id, segment) WHERE bin > coalesce(quiet, -1) GROUP BY 1, 2",
+    "e13_final_runs": f"WITH {FINAL} SELECT * FROM final",
+    "e13_final_run_quantiles": f"WITH {FINAL} SELECT unnest([0.1e0, 0.3e0, 0.5e0, 0.7e0, 0.9e0]) AS quantile, round(unnest(q), 6) AS earliest, n FROM (SELECT quantile_cont(earliest, [0.1, 0.3, 0.5, 0.7, 0.9]) AS q, count(*) AS n FROM final)",
     "e14_attribution_sums": f"WITH {LONG} SELECT comp_id, bin, variable, round(attribution, 6) + 0e0 AS attribution, round(value, 6) AS value FROM sums",
     "e15_variable_ranks": f"WITH {LONG} SELECT comp_id, variable, round(strength, 6) AS strength, rank FROM ranks",
     "e15_rank_shares": f"WITH {LONG} SELECT variable, rank, n, round(n / sum(n) OVER (PARTITION BY rank), 6) AS share FROM (SELECT variable, rank, count(*) AS n FROM ranks GROUP BY 1, 2)",

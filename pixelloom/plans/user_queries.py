@@ -56,7 +56,7 @@ NORMALISED = ("share_moderator", "share_cheat", "share_redundant_col", "share_re
 
 QUERIES = {
     "t28_normalised_counts": lambda s, d: rounded(changes.normalised_counts(changes.change_counts(flagged(s, d), WIDTH), lives(s, d).select("comp_id", "area"), WIDTH), *NORMALISED, digits=9),
-    "u1_attention": lambda s, d: rounded(users.attention(flagged(s, d), 300), "mean", "median", "pix_norm", digits=9),
+    "u1_attention": lambda s, d: rounded(users.attention(flagged(s, d), 300, TEST_CANVAS.whiteout), "mean", "median", "pix_norm", digits=9),
     "u2_user_paths": lambda s, d: rounded(users.paths(flagged(s, d)), "path_length", "mean_step", "mean_off_centre", "session", "mean_gap", "speed"),
     "u3_recovery_times": lambda s, d: users.recovery_times(write_shared(difference_series(s, d), "difference"), 0.6, 0.35),
     "u4_scaling_table": lambda s, d: rounded(users.scaling_table(changes.change_counts(flagged(s, d), WIDTH), lives(s, d).select("comp_id", "area"), 12), "mean_users", "density"),
@@ -95,9 +95,9 @@ ORACLES = {
     "t28_normalised_counts": f"""WITH {SQL_STATE}, {LIVES} SELECT b.comp_id, bin, round(count(*) FILTER (WHERE moderator) / count(*), 9) AS share_moderator, round(count(*) FILTER (WHERE cooldown_cheat) / count(*), 9) AS share_cheat,
         round(count(*) FILTER (WHERE redundant_col) / count(*), 9) AS share_redundant_col, round(count(*) FILTER (WHERE redundant_colanduser) / count(*), 9) AS share_redundant_colanduser,
         round(count(*) / (any_value(area) * 21600), 9) AS changes_rate, round(count(*) / count(DISTINCT "user"), 9) AS changes_per_user FROM binned b JOIN borders_ USING (comp_id) GROUP BY 1, 2""",
-    "u1_attention": f"""WITH {SQL_CHANGES}, life AS (SELECT comp_id, min(t0) AS a, max(t1) AS b, count(DISTINCT (x, y)) AS n_pix FROM changes GROUP BY 1),
+    "u1_attention": f"""WITH {SQL_CHANGES}, life AS (SELECT comp_id, min(t0) AS a, count(DISTINCT (x, y)) AS n_pix FROM changes GROUP BY 1),
         per AS (SELECT comp_id, "user", count(*) AS n FROM changes WHERE active GROUP BY 1, 2),
-        v AS (SELECT per.*, n / ((b - a) / 300) AS att, n_pix, row_number() OVER (PARTITION BY comp_id ORDER BY n DESC, "user") AS i FROM per JOIN life USING (comp_id))
+        v AS (SELECT per.*, n / ((2505600 - a) / 300) AS att, n_pix, row_number() OVER (PARTITION BY comp_id ORDER BY n, "user") AS i FROM per JOIN life USING (comp_id))
         SELECT comp_id, round(avg(att), 9) AS mean, round(quantile_cont(att, 0.5), 9) AS median, round(avg(att) FILTER (WHERE i <= n_pix), 9) AS pix_norm FROM v GROUP BY 1""",
     "u2_user_paths": f"""WITH {SQL_CHANGES}, m AS (SELECT *, sqrt((x - lag(x) OVER o) ** 2 + (y - lag(y) OVER o) ** 2) AS step, sqrt((x - avg(x) OVER p) ** 2 + (y - avg(y) OVER p) ** 2) AS off_
             FROM changes WHERE active WINDOW o AS (PARTITION BY comp_id, "user" ORDER BY seconds, event_id), p AS (PARTITION BY comp_id, "user"))
