@@ -16,6 +16,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -128,9 +129,10 @@ class Aligner:
         for i, x in zip(slow, self.a.encode_batch_fast([spaced[i] for i in slow], add_special_tokens=False) if slow else [], strict=True):
             a[i] = x.ids
         b = self.b.encode(texts, num_threads=1) if texts else []
+        exact = set(range(len(texts))).difference(slow)  # ranks stand for bytes, so their tokens always join to the text
         for i, t in enumerate(spaced):  # without the same bytes on both sides a text has no tokens
             whole = t.encode()
-            if len(whole) == 1 or b"".join(map(self.a_bytes.__getitem__, a[i])) != whole or b"".join(map(self.b_bytes.__getitem__, b[i])) != whole:
+            if len(whole) == 1 or b"".join(map(self.b_bytes.__getitem__, b[i])) != whole or i not in exact and b"".join(map(self.a_bytes.__getitem__, a[i])) != whole:
                 a[i] = b[i] = []
         return a, b
 
@@ -147,9 +149,11 @@ class Aligned:
         self.aligner = aligner
         a, b = aligner.encode(texts)
         self.n_a, self.n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
-        self.a, self.b = (np.fromiter((i for x in y for i in x), np.int64, int(n.sum())) for y, n in ((a, self.n_a), (b, self.n_b)))
+        self.a, self.b = (np.fromiter(chain.from_iterable(y), np.int64, int(n.sum())) for y, n in ((a, self.n_a), (b, self.n_b)))
         a_end, b_end = np.cumsum(aligner.a_size[self.a]), np.cumsum(aligner.b_size[self.b])
-        _, self.a_last, self.b_last = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
+        ends = np.zeros((2, int(a_end[-1]) + 1 if len(a_end) else 1), bool)  # by byte: both sides have the same bytes
+        ends[0, a_end] = ends[1, b_end] = True
+        self.a_last, self.b_last = np.flatnonzero(ends[1, a_end]), np.flatnonzero(ends[0, b_end])
         self.a_at, self.b_at = (np.concatenate([[0], np.cumsum(n)]) for n in (self.n_a, self.n_b))
         self.group_at = np.searchsorted(self.a_last, self.a_at)
 
