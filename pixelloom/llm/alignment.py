@@ -5,6 +5,9 @@ dealt by the second tokenizer's id into shards of a bounded size, and each shard
 that has a bit to itself takes that bit's rank as its place and the others go on to the next level. Places index dense vectors of
 counts, which are summed in a tree. The pairs themselves lie beside the counts in the order of their places, so every look-up is verified.
 
+Neither tokenizer lets a token reach over a single space between two other characters, so a text is aligned in chunks from one such space to the next, and a
+task aligns each distinct chunk once, as long as its table has room.
+
 Second pass: the texts are aligned again, and links look up their counts. Tables of up to TABLE_PAIRS pairs go to the tasks as one broadcast of a
 known size; beyond that there is one such pass for every further TABLE_PAIRS, whose sums are added.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -38,6 +42,12 @@ CHUNK = 2 << 20
 #: Rows of partial counts that become one dense vector, and dense vectors that are summed in one task.
 LEAF_ROWS = 1 << 18
 ARITY = 16
+#: Chunks whose alignment a task keeps, and the longest that it keeps; when there are more it begins anew.
+KEPT_CHUNKS, KEPT_CHARS = 1 << 17, 64
+#: A space between characters that no library takes for white space; and white space that isn't ASCII or seldom.
+_CUT = re.compile(r"(?<=[^ \t\n\r]) (?=[^ \t\n\r])")
+_RARE = "\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 class MinimalHash:
@@ -117,6 +127,8 @@ class Aligner:
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         ids = [[b"%d" % i for i in range(len(x))] for x in (self.a_bytes, self.b_bytes)]
+        #: Whether no piece goes on with a space after another character.
+        self.cuts = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.piece_size()))
         #: How a token is written: in a group, and as the last of its side of a group.
         self.written = [x + b"," for x in ids[0]] + [x + b"|" for x in ids[0]] + [x + b"," for x in ids[1]] + [x + b";" for x in ids[1]]
 
@@ -161,8 +173,8 @@ class Aligned:
         """The linked pair of each group: the second tokenizer's id below the first's."""
         return (self.a[self.a_last].astype(np.uint64) << np.uint64(32)) | self.b[self.b_last].astype(np.uint64)
 
-    def digests(self) -> list[str]:
-        """SHA-256 of each text's groups as written; empty without tokens."""
+    def written(self) -> list[bytes]:
+        """Each text's groups in writing; empty without tokens."""
         n, m, place = len(self.aligner.a_bytes), len(self.aligner.b_bytes), np.zeros(len(self.a) + len(self.b), np.int64)
         ends_a, ends_b = np.zeros(len(self.a), bool), np.zeros(len(self.b), bool)
         ends_a[self.a_last] = ends_b[self.b_last] = True
@@ -172,10 +184,90 @@ class Aligned:
         place[np.arange(len(self.a)) + before_b[group_a]] = self.a + n * ends_a
         place[np.arange(len(self.b)) + after_a[group_b]] = 2 * n + self.b + m * ends_b
         codes, at, written = place.tolist(), (self.a_at + self.b_at).tolist(), self.aligner.written
-        return [hashlib.sha256(b"".join(map(written.__getitem__, codes[i:j]))[:-1]).hexdigest() if j > i else "" for i, j in zip(at, at[1:], strict=False)]
+        return [b"".join(map(written.__getitem__, codes[i:j]))[:-1] for i, j in zip(at, at[1:], strict=False)]
+
+
+def cut(text: str) -> list[str]:
+    """The text's chunks, which single spaces join to it again; the whole of it where other white space could matter."""
+    if not text:
+        return []
+    if any(c in text for c in _RARE) or not text.isascii() and _OTHER.search(text):
+        return [text]
+    if "  " in text or " \n" in text or "\n " in text or any(c in text for c in "\t\r") or text[0] == " " or text[-1] == " ":
+        return _CUT.split(text)
+    return text.split(" ")
+
+
+class Chunks:
+    """Texts aligned by the chunks that they consist of. `n_a`, `n_b`, `keys`, `writing`: of the chunks known so far, whose keys are from `offset` to `offset`."""
+
+    def __init__(self, aligner: Aligner) -> None:
+        self.aligner = aligner
+        self.kept = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.names: list[str] = []
+        self.writing: list[bytes] = []
+        self.n_a, self.n_b, self.offset, self.keys = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
+        self.kept = 0
+
+    def _add(self, chunks: list[str]) -> None:
+        if chunks:
+            found = Aligned(self.aligner, chunks)
+            self.at.update(zip(chunks, range(len(self.names), len(self.names) + len(chunks)), strict=True))
+            self.names += chunks
+            self.writing += found.written()
+            self.n_a, self.n_b = np.concatenate([self.n_a, found.n_a]), np.concatenate([self.n_b, found.n_b])
+            self.offset = np.concatenate([self.offset, self.offset[-1] + found.group_at[1:]])
+            self.keys = np.concatenate([self.keys, found.keys()])
+
+    def _drop_long(self) -> None:
+        for name in self.names[self.kept :]:
+            del self.at[name]
+        del self.names[self.kept :], self.writing[self.kept :]
+        self.n_a, self.n_b, self.offset = self.n_a[: self.kept], self.n_b[: self.kept], self.offset[: self.kept + 1]
+        self.keys = self.keys[: self.offset[-1]]
+
+    def align(self, texts: list[str]) -> AlignedTexts:
+        self._drop_long()
+        pieces = [cut(t) if self.aligner.cuts else [t] if t else [] for t in texts]
+        flat = list(chain.from_iterable(pieces))
+        fresh = [c for c in dict.fromkeys(flat) if c not in self.at]
+        if len(self.at) + len(fresh) > KEPT_CHUNKS and self.at:
+            self.clear()
+            fresh = list(dict.fromkeys(flat))
+        short = [c for c in fresh if len(c) <= KEPT_CHARS]
+        self._add(short)
+        self.kept = len(self.names)
+        self._add([c for c in fresh if len(c) > KEPT_CHARS])
+        ids = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        return AlignedTexts(self, ids, np.array([len(p) for p in pieces], np.int64))
+
+
+class AlignedTexts:
+    """`n_a`, `n_b`, `groups` of each text, and the `keys` of all groups; text i has those from `group_at[i]` to `group_at[i + 1]`."""
+
+    def __init__(self, chunks: Chunks, ids: np.ndarray, sizes: np.ndarray) -> None:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        bad = np.bincount(owner[chunks.n_a[ids] == 0], minlength=len(sizes)) > 0  # a chunk without tokens: the text has none
+        ids, sizes = ids[~bad[owner]], np.where(bad, 0, sizes)
+        self.chunks, self.ids, self.at = chunks, ids, np.concatenate([[0], np.cumsum(sizes)])
+        n = chunks.offset[ids + 1] - chunks.offset[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        self.keys = chunks.keys[np.repeat(chunks.offset[ids] - ends[:-1], n) + np.arange(ends[-1])]
+        self.group_at = ends[self.at]
+        self.groups = np.diff(self.group_at)
+        self.n_a, self.n_b = (np.diff(np.concatenate([[0], np.cumsum(x[ids])])[self.at]) for x in (chunks.n_a, chunks.n_b))
+
+    def digests(self) -> list[str]:
+        """SHA-256 of each text's groups as written; empty without tokens."""
+        ids, at, writing = self.ids.tolist(), self.at.tolist(), self.chunks.writing.__getitem__
+        return [hashlib.sha256(b";".join(map(writing, ids[i:j]))).hexdigest() if j > i else "" for i, j in zip(at, at[1:], strict=False)]
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about CHUNK bytes, with the place of the first; null is empty."""
     first, texts, held = 0, [], 0
     for i, scalar in enumerate(column):
@@ -200,9 +292,10 @@ def partial_counts(docs: DataFrame, tools: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
+        chunks = Chunks(_aligner(*tools))
         for batch in batches:
-            for _, texts in _chunks(batch.column("text")):
-                parts.append(np.unique(Aligned(_aligner(*tools), texts).keys(), return_counts=True))
+            for _, texts in _parts(batch.column("text")):
+                parts.append(np.unique(chunks.align(texts).keys, return_counts=True))
                 if sum(len(k) for k, _ in parts) > HELD_PAIRS:
                     parts = [_merged(parts)]
                     if len(parts[0][0]) > HELD_PAIRS // 2:
@@ -305,18 +398,16 @@ def look_up_documents(docs: DataFrame, rows: list[dict], tools: tuple) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = CountTable(shared.value)
+        counts, chunks = CountTable(shared.value), Chunks(_aligner(*tools))
         for batch in batches:
             own = batch.drop_columns(["text"])
-            for first, texts in _chunks(batch.column("text")):
-                aligned = Aligned(_aligner(*tools), texts)
-                keys = aligned.keys()
-                distinct, at = np.unique(keys, return_inverse=True)
+            for first, texts in _parts(batch.column("text")):
+                aligned = chunks.align(texts)
+                distinct, at = np.unique(aligned.keys, return_inverse=True)
                 count, best = counts.look_up(distinct)
                 sums = [np.concatenate([[0], np.cumsum(x[at])]) for x in (best, count)]
                 n_best, count_sum = (np.diff(s[aligned.group_at]) for s in sums)
-                groups = np.diff(aligned.group_at)
-                found = [aligned.n_a, aligned.n_b, groups, groups, n_best, count_sum, aligned.digests()]
+                found = [aligned.n_a, aligned.n_b, aligned.groups, aligned.groups, n_best, count_sum, aligned.digests()]
                 arrays = [*own.slice(first, len(texts)).columns, *(pa.array(x, kind) for x, (_, kind) in zip(found, _FOUND, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, [*own.schema.names, *(n for n, _ in _FOUND)])
 

@@ -96,19 +96,24 @@ def _measure(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> boosting.Trees:
-    """Trees for P(quality = 1), from at most `sample_rows` labelled documents. Labels that are null or conflict in one doc_id are left out."""
+    """Trees for P(quality = 1), from at most `sample_rows` labelled documents. Labels that are null or conflict in one doc_id are left out.
+
+    doc_id may be of any type that sorts. Of several texts of one doc_id the one with the smallest hash counts, so the trees depend on the rows only.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y_max"))
     sample = known.where("y = y_max").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, features = _measure(batch.column("text"))
-            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.float64()), *(pa.array(c) for c in features.T)]
+            columns = [batch.column("doc_id"), batch.column("y").cast(pa.float64()), *(pa.array(c) for c in features.T)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", *FEATURES])
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
-    schema = "doc_id bigint, y double, " + ", ".join(f"{name} double" for name in FEATURES)
-    rows = texts.dropDuplicates(["doc_id"]).mapInArrow(measure, schema).toPandas().sort_values("doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, y double, " + ", ".join(f"{name} double" for name in FEATURES)
+    one = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.sha2("text", 256))).alias("text"))
+    rows = one.mapInArrow(measure, schema).toPandas().sort_values("doc_id")
     return boosting.fit(rows[list(FEATURES)].to_numpy(), rows["y"].to_numpy(), MONOTONE)
 
 

@@ -185,7 +185,11 @@ def firsts_of(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFr
     keep = named.unionByName(firsts.where("doc_id is null").select("doc_id", "row_key").distinct())
     keyed = docs.withColumn("row_key", row_key())
     same = F.coalesce(keyed["doc_id"] == keep["doc_id"], keyed["doc_id"].isNull() & keep["doc_id"].isNull())
-    return keyed.join(keep, (keyed["row_key"] == keep["row_key"]) & same, "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    kept = keyed.join(keep, (keyed["row_key"] == keep["row_key"]) & same, "left_semi")
+    # repeats of a row: equal id and hash, and for null ids, which a hash alone would have to tell apart, a second hash
+    other = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("second"), "text")).alias("other")
+    row = F.struct("doc_id", "row_key", other)
+    return kept.withColumn("row_key", row).dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

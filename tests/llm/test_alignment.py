@@ -80,7 +80,7 @@ def compare(docs, paths):
 
 
 def odd(docs_of):
-    extra = ["<|endoftext|> in <s>text</s>", "two  spaces   three", " leading", "trailing ", "a▁b", "▁", "tab\tand\nline\r\n", "\x00 nul", "emoji 🙂🙃 é ﬁ", "中文字符", "the end. The end."]
+    extra = ["one two  three", " one\ttwo three\n four", "one\u00a0two three", "one\u3000two three", "x" * 70 + " y", "one two " * 30, "a \u2581 b", "one\x1ctwo three", "don't stop , now .", "<|endoftext|> in <s>text</s>", "two  spaces   three", " leading", "trailing ", "a▁b", "▁", "tab\tand\nline\r\n", "\x00 nul", "emoji 🙂🙃 é ﬁ", "中文字符", "the end. The end."]
     return docs_of(extra, 1000)
 
 
@@ -93,11 +93,24 @@ def test_equals_plain_loops_on_odd_texts(odd_docs, docs_of, paths, spark):
 
 def test_small_shards_chunks_and_several_passes_change_nothing(docs_of, odd_texts, paths, monkeypatch):
     docs = odd(docs_of).unionByName(docs_of([t for t in odd_texts if t is None or len(t) < 1000])).withColumns({c: F.lit("mine") for c in ("row", "row_")}).repartition(3)
-    for name, value in {"SHARD_PAIRS": 30, "TABLE_PAIRS": 100, "LEAF_ROWS": 3, "ARITY": 2}.items():
+    for name, value in {"SHARD_PAIRS": 30, "TABLE_PAIRS": 100, "LEAF_ROWS": 3, "ARITY": 2, "KEPT_CHUNKS": 40, "KEPT_CHARS": 4, "CHUNK": 300}.items():
         monkeypatch.setattr(alignment, name, value)
     compare(docs, paths)
 
 
+def test_chunks_join_to_the_text_and_align_as_the_whole(odd_texts, paths):
+    aligner = alignment.Aligner(*paths)
+    assert aligner.cuts
+    texts = [t for t in odd_texts if t and len(t) < 5000] + ["one two  three four", " a b\tc d", "caf\u00e9 na\u00efve", "one\u00a0two three"]
+    assert all(" ".join(alignment.cut(t)) == t for t in texts)
+    whole = alignment.Aligned(aligner, texts)
+    chunks = alignment.Chunks(aligner)
+    for _ in range(2):  # with nothing known, and with everything
+        parts = chunks.align(texts)
+        assert (parts.n_a == whole.n_a).all() and (parts.n_b == whole.n_b).all() and (parts.keys == whole.keys()).all() and (parts.group_at == whole.group_at).all()
+        assert parts.digests() == [hashlib.sha256(w).hexdigest() if w else "" for w in whole.written()]
+
+
 def test_no_documents(no_docs, paths):
     assert alignment.align_documents(no_docs, *paths).collect() == []
 

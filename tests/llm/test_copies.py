@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from pixelloom.llm import copies
+from pixelloom.llm import copies, simhash
 
 
 def planted(seed=3):
@@ -73,3 +75,45 @@ def test_rows_of_a_hot_band_are_dealt_in_parts(spark):
     got = copies.with_facts(rows, facts, ["key"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(facts, "key").collect()))
     assert got.columns == ["key", "node", "fact"]
+
+
+def test_rows_are_told_apart_by_id_and_hash(spark, docs_of, monkeypatch):
+    """Different rows whose hashes are equal stay different rows."""
+    collide = lambda: F.lit(7).cast("long")
+    monkeypatch.setattr(simhash, "row_key", collide)
+    monkeypatch.setattr(copies, "row_key", collide)
+    long = " ".join(f"w{i}" for i in range(90))
+    texts = ["one text of its own", "another text of its own", long, long + " and a tail", "a fifth text of its own"]
+    nameless = docs_of(["first of no id", "second of no id", "second of no id"]).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs_of(texts).unionByName(nameless)
+    groups = {r.doc_id: r.component_id for r in copies.near_copies(docs_of(texts)).collect()}
+    assert groups == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4}
+    alone = lambda rows: rows.select("doc_id", collide().alias("row_key"), F.col("doc_id").alias("component_id"))  # noqa: E731  every row a group
+    kept = simhash.firsts_of(docs, alone).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [*enumerate(texts), (None, "first of no id"), (None, "second of no id")]))
+
+
+def planted_pairs(n, seed=9):
+    """Pairs of texts of 60 to 200 words whose similarity is spread over 0.8 to 0.95, with their exact similarity."""
+    rng, texts, similar = random.Random(seed), [], []
+    while len(similar) < n:
+        base = [f"p{len(similar)}w{rng.randrange(10_000)}" for _ in range(rng.randint(60, 200))]
+        changed = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(1, max(1, len(base) // 40))):
+            changed[at] = f"q{rng.randrange(10_000)}"
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (base, changed))
+        jaccard = len(a & b) / len(a | b)
+        if 0.8 <= jaccard <= 0.95:
+            texts += [" ".join(base), " ".join(changed)]
+            similar.append(jaccard)
+    return texts, similar
+
+
+def test_recall_by_similarity(docs_of):
+    texts, similar = planted_pairs(2000)
+    found = {r.doc_id: r.component_id for r in copies.near_copies(docs_of(texts)).collect()}
+    met = [found[2 * i + 1] == found[2 * i] == 2 * i for i in range(len(similar))]
+    for low in (0.80, 0.85, 0.90):
+        band = [m for m, s in zip(met, similar, strict=True) if low <= s < low + 0.05 + 1e-9]
+        assert len(band) > 300 and sum(band) / len(band) >= 0.999
+    assert len(set(found.values())) >= len(similar)  # no two pairs are joined

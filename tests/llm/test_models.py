@@ -124,6 +124,63 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), labels).count() == 0
 
 
+def plain_tree(urls):
+    """{(host, path): (template, purity)} of (host, path, label or None), by recursion over each host's paths."""
+    paths = {}
+    for host, path, label in urls:
+        n, labelled, good = paths.get((host, path), (0, 0, 0))
+        paths[host, path] = n + 1, labelled + (label is not None), good + (label or 0)
+    cut = {k: [re.sub("[0-9]+", "#", part) for part in k[1].split("/")[1:]] for k in paths}
+    named, waiting = {}, [(host, "", 0, [k for k in paths if k[0] == host]) for host in {h for h, _ in paths}]
+    total = lambda keys: [sum(paths[k][i] for k in keys) for i in range(3)]
+    while waiting:
+        host, template, depth, keys = waiting.pop()
+        named |= {k: template for k in keys if len(cut[k]) <= depth}
+        keys = [k for k in keys if len(cut[k]) > depth]
+        all_n, all_labelled, all_good = total(keys)
+        if all_n < url_filter.MIN_COUNT:
+            named |= {k: template + "/*" * (len(cut[k]) - depth) for k in keys}
+            continue
+        after, p = {}, (all_good + 0.5) / (all_labelled + 1)
+        for segment in {cut[k][depth] for k in keys}:
+            mine = [k for k in keys if cut[k][depth] == segment]
+            n, labelled, good = total(mine)
+            frequent = n >= url_filter.MIN_COUNT and n >= url_filter.MIN_SHARE * all_n
+            enough = n >= url_filter.MIN_COUNT and labelled >= url_filter.MIN_LABELS
+            z = abs(good / labelled - p) / (p * (1 - p) / labelled) ** 0.5 if labelled else 0
+            part = segment if (frequent or enough) and z > url_filter.MERGE_Z else "~" if frequent else "*"
+            after.setdefault(f"{template}/{part}", []).extend(mine)
+        waiting += [(host, t, depth + 1, ks) for t, ks in after.items()]
+    smooth = lambda keys, prior: (total(keys)[2] + url_filter.SMOOTHING * prior) / (total(keys)[1] + url_filter.SMOOTHING)
+    overall = (total(paths)[2] + 1) / (total(paths)[1] + 1)
+    hosts, groups = {}, {}
+    for k, template in named.items():
+        hosts.setdefault(k[0], []).append(k)
+        groups.setdefault((k[0], template), []).append(k)
+    purity = {g: smooth(ks, smooth(hosts[g[0]], overall)) for g, ks in groups.items()}
+    return {k: (t, purity[k[0], t]) for k, t in named.items()}
+
+
+def test_template_tree_equals_plain_recursion(spark):
+    rng = random.Random(6)
+    sections = {"a.com": [("news", 0.9), ("shop", 0.1), ("blog", 0.9), ("wiki", 0.85)], "b.org": [(f"s{chr(97 + i)}", 0.05 if i % 9 == 0 else 0.8) for i in range(26)], "c.net": [("x", 0.5)]}
+    urls = []
+    for host, parts in sections.items():
+        for _ in range(700):
+            section, share = rng.choice(parts)
+            tail = rng.choice([f"{rng.randrange(50)}", f"{rng.choice('pqr')}/{rng.randrange(9)}", f"item-{rng.randrange(10**6)}.html", f"{''.join(rng.choices('uvw', k=3))}/deep/{rng.randrange(30)}", ""])
+            label = int(rng.random() < share) if rng.random() < 0.6 else None
+            urls.append((host, f"/{section}/{tail}", label))
+    urls += [("few.io", "/a/b/1", 1), ("few.io", "/a/c", None), ("few.io", "", 0), ("", "", None)]
+    want = plain_tree(urls)
+    frame = spark.createDataFrame([(h, p, int(x is not None), x or 0) for h, p, x in urls], "host string, path string, labelled long, good long").repartition(5)
+    found = {(r.host, r.path): (r.template, r.purity) for r in url_filter.path_templates(frame).collect()}
+    assert {k: t for k, (t, _) in found.items()} == {k: t for k, (t, _) in want.items()}
+    assert {k: round(p, 9) for k, (_, p) in found.items()} == {k: round(p, 9) for k, (_, p) in want.items()}
+    templates = {t for t, _ in want.values()}
+    assert any("~" in t for t in templates) and any("/shop" in t for t in templates) and min(p for _, p in want.values()) < url_filter.MIN_PURITY
+
+
 def test_url_filter_tells_small_and_deep_sections(spark):
     """One of 60 equal sections is bad; so is one section below the tenth segment, beside a good one."""
     deep = "/".join("abcdefghij")
@@ -281,6 +338,19 @@ def test_quality_stats_and_verdicts(spark, docs_of, odd_docs, no_docs):
     assert quality.quality_rules(no_docs, quality.fit_quality(no_docs, labels)).count() == 0
 
 
+def test_quality_of_repeated_and_named_ids(spark, docs_of):
+    rng = random.Random(1)
+    made = [" ".join(f"w{rng.randrange(900)}" + "###" * (i % 2) for _ in range(120)) for i in range(80)]
+    docs = docs_of(made).unionByName(docs_of(made[::-1]))  # every id with two texts, a good and a bad one
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)], "doc_id long, quality int")
+    first, again = (quality.fit_quality(x, labels) for x in (docs, docs.repartition(7, "text")))
+    assert all(np.array_equal(getattr(first, n), getattr(again, n)) for n in ("feature", "threshold", "value"))
+    named = lambda x: x.withColumn("doc_id", F.format_string("id%03d", F.col("doc_id")))  # noqa: E731  in the same order
+    by_name = quality.fit_quality(named(docs), named(labels))
+    assert np.array_equal(by_name.feature, first.feature) and np.array_equal(by_name.value, first.value)
+    assert quality.quality_rules(named(docs), by_name).where("doc_id like 'id0%'").count() == 160
+
+
 def test_trees_respect_constraints():
     rng = np.random.default_rng(0)
     x = rng.random((800, 3))
