@@ -43,7 +43,9 @@ CHUNK = 2 << 20
 LEAF_ROWS = 1 << 18
 ARITY = 16
 #: Chunks whose alignment a task keeps, and the longest that it keeps; when there are more it begins anew.
-KEPT_CHUNKS, KEPT_CHARS = 1 << 17, 64
+KEPT_CHUNKS, KEPT_CHARS = 1 << 18, 64
+#: Chunks that are aligned as one text.
+JOINED = 256
 #: A space between characters that no library takes for white space; and white space that isn't ASCII or seldom.
 _CUT = re.compile(r"(?<=[^ \t\n\r]) (?=[^ \t\n\r])")
 _RARE = "\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -162,13 +164,22 @@ class Aligned:
         a, b = aligner.encode(texts)
         self.n_a, self.n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
         self.a, self.b = (np.fromiter(chain.from_iterable(y), np.int64, int(n.sum())) for y, n in ((a, self.n_a), (b, self.n_b)))
-        a_end, b_end = np.cumsum(aligner.a_size[self.a]), np.cumsum(aligner.b_size[self.b])
+        a_end, b_end = self.a_end, self.b_end = np.cumsum(aligner.a_size[self.a]), np.cumsum(aligner.b_size[self.b])
         ends = np.zeros((2, int(a_end[-1]) + 1 if len(a_end) else 1), bool)  # by byte: both sides have the same bytes
         ends[0, a_end] = ends[1, b_end] = True
         self.a_last, self.b_last = np.flatnonzero(ends[1, a_end]), np.flatnonzero(ends[0, b_end])
         self.a_at, self.b_at = (np.concatenate([[0], np.cumsum(n)]) for n in (self.n_a, self.n_b))
         self.group_at = np.searchsorted(self.a_last, self.a_at)
 
+    def split(self, ends: np.ndarray) -> bool:
+        """From now on the parts of all texts together that end at these bytes stand for the texts; false if a part's end isn't the end of a group."""
+        at = [np.concatenate([[0], np.searchsorted(x, ends, side="right")]) for x in (self.a_end, self.b_end, self.a_end[self.a_last])]
+        if len(self.a_last) < len(ends) or not np.array_equal(self.a_end[self.a_last][at[2][1:] - 1], ends):
+            return False
+        self.a_at, self.b_at, self.group_at = at
+        self.n_a, self.n_b = np.diff(self.a_at), np.diff(self.b_at)
+        return True
+
     def keys(self) -> np.ndarray:
         """The linked pair of each group: the second tokenizer's id below the first's."""
         return (self.a[self.a_last].astype(np.uint64) << np.uint64(32)) | self.b[self.b_last].astype(np.uint64)
@@ -187,23 +198,29 @@ class Aligned:
         return [b"".join(map(written.__getitem__, codes[i:j]))[:-1] for i, j in zip(at, at[1:], strict=False)]
 
 
+def _simple(text: str) -> bool:
+    """Whether all spaces are single ones between two other characters, as far as a quick look can tell."""
+    if any(c in text for c in _RARE) or not text.isascii() and _OTHER.search(text):
+        return False
+    return not ("  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[0] == " " or text[-1] == " ")
+
+
 def cut(text: str) -> list[str]:
     """The text's chunks, which single spaces join to it again; the whole of it where other white space could matter."""
     if not text:
         return []
+    if _simple(text):
+        return text.split(" ")
     if any(c in text for c in _RARE) or not text.isascii() and _OTHER.search(text):
         return [text]
-    if "  " in text or " \n" in text or "\n " in text or any(c in text for c in "\t\r") or text[0] == " " or text[-1] == " ":
-        return _CUT.split(text)
-    return text.split(" ")
+    return _CUT.split(text)
 
 
 class Chunks:
     """Texts aligned by the chunks that they consist of. `n_a`, `n_b`, `keys`, `writing`: of the chunks known so far, whose keys are from `offset` to `offset`."""
 
-    def __init__(self, aligner: Aligner) -> None:
-        self.aligner = aligner
-        self.kept = 0
+    def __init__(self, aligner: Aligner, writes: bool = True) -> None:
+        self.aligner, self.writes = aligner, writes
         self.clear()
 
     def clear(self) -> None:
@@ -213,12 +230,22 @@ class Chunks:
         self.n_a, self.n_b, self.offset, self.keys = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
         self.kept = 0
 
+    def _found(self, chunks: list[str]) -> Aligned:
+        """The chunks aligned: joined by spaces to longer texts, which is faster, and alone if one of these has no tokens."""
+        texts = [" ".join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
+        if len(chunks) > 1 and all(map(_simple, texts)):
+            found = Aligned(self.aligner, texts)
+            size = map(len, chunks) if all(t.isascii() for t in texts) else (len(c.encode()) for c in chunks)
+            if found.n_a.all() and found.split(np.cumsum(np.fromiter(size, np.int64, len(chunks)) + 1)):
+                return found
+        return Aligned(self.aligner, chunks)
+
     def _add(self, chunks: list[str]) -> None:
         if chunks:
-            found = Aligned(self.aligner, chunks)
+            found = self._found(chunks)
             self.at.update(zip(chunks, range(len(self.names), len(self.names) + len(chunks)), strict=True))
             self.names += chunks
-            self.writing += found.written()
+            self.writing += found.written() if self.writes else []
             self.n_a, self.n_b = np.concatenate([self.n_a, found.n_a]), np.concatenate([self.n_b, found.n_b])
             self.offset = np.concatenate([self.offset, self.offset[-1] + found.group_at[1:]])
             self.keys = np.concatenate([self.keys, found.keys()])
@@ -226,7 +253,7 @@ class Chunks:
     def _drop_long(self) -> None:
         for name in self.names[self.kept :]:
             del self.at[name]
-        del self.names[self.kept :], self.writing[self.kept :]
+        del self.names[self.kept :], self.writing[self.kept :]  # the latter is empty if nothing is written
         self.n_a, self.n_b, self.offset = self.n_a[: self.kept], self.n_b[: self.kept], self.offset[: self.kept + 1]
         self.keys = self.keys[: self.offset[-1]]
 
@@ -239,7 +266,8 @@ class Chunks:
             self.clear()
             fresh = list(dict.fromkeys(flat))
         short = [c for c in fresh if len(c) <= KEPT_CHARS]
-        self._add(short)
+        for i in range(0, len(short), 64 * JOINED):
+            self._add(short[i : i + 64 * JOINED])
         self.kept = len(self.names)
         self._add([c for c in fresh if len(c) > KEPT_CHARS])
         ids = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
@@ -292,7 +320,7 @@ def partial_counts(docs: DataFrame, tools: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        chunks = Chunks(_aligner(*tools))
+        chunks = Chunks(_aligner(*tools), writes=False)
         for batch in batches:
             for _, texts in _parts(batch.column("text")):
                 parts.append(np.unique(chunks.align(texts).keys, return_counts=True))

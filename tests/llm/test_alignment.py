@@ -93,7 +93,7 @@ def test_equals_plain_loops_on_odd_texts(odd_docs, docs_of, paths, spark):
 
 def test_small_shards_chunks_and_several_passes_change_nothing(docs_of, odd_texts, paths, monkeypatch):
     docs = odd(docs_of).unionByName(docs_of([t for t in odd_texts if t is None or len(t) < 1000])).withColumns({c: F.lit("mine") for c in ("row", "row_")}).repartition(3)
-    for name, value in {"SHARD_PAIRS": 30, "TABLE_PAIRS": 100, "LEAF_ROWS": 3, "ARITY": 2, "KEPT_CHUNKS": 40, "KEPT_CHARS": 4, "CHUNK": 300}.items():
+    for name, value in {"SHARD_PAIRS": 30, "TABLE_PAIRS": 100, "LEAF_ROWS": 3, "ARITY": 2, "KEPT_CHUNKS": 40, "KEPT_CHARS": 4, "CHUNK": 300, "JOINED": 3}.items():
         monkeypatch.setattr(alignment, name, value)
     compare(docs, paths)
 
