@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pixelloom.functions.columns import hash_unit
+
 IMAGE = ["comp_id", "bin"]
 
 
@@ -78,6 +80,26 @@ def touched_boxes(images: DataFrame, sizes: list[int]) -> DataFrame:
     return out
 
 
+def touched_boxes_by_corners(images: DataFrame, share: float = 0.1, most: int = 10, least: int = 3, averaged: int = 3) -> DataFrame:
+    """`(comp_id, bin, color, size, n_boxes)`: boxes that hold each colour, for sizes from 1 to a share of the shorter side, rounded, but `least` at least and `most` at most.
+
+    For the `averaged` largest sizes the number is the mean over four grids, each of which begins at another corner of the image. A pixel meets a grid by
+    arithmetic, so it makes a row for each size and grid, ten and four at most.
+    """
+    here = Window.partitionBy(*IMAGE)
+    at = images.withColumns({c: F.col(c) - F.min(c).over(here) for c in ("x", "y")})
+    at = at.withColumns({"w": F.max("x").over(here) + 1, "h": F.max("y").over(here) + 1})
+    top = F.least(F.greatest(F.bround(share * F.least("w", "h")).cast("int"), F.lit(least)), F.lit(most))
+    sized = at.withColumn("top", top).withColumn("size", F.explode(F.sequence(F.lit(1), "top")))
+    grids = F.when(F.col("size") > F.col("top") - averaged, F.array(*(F.lit(g) for g in range(4)))).otherwise(F.array(F.lit(0)))
+    cut = lambda side: F.ceil(F.col(side) / F.col("size")) * F.col("size") - F.col(side)  # noqa: E731  what the grid reaches beyond the image
+    shifted = sized.withColumn("grid", F.explode(grids))
+    bx = F.floor((F.col("x") + F.when(F.col("grid").isin(1, 3), cut("w")).otherwise(0)) / F.col("size"))
+    by = F.floor((F.col("y") + F.when(F.col("grid").isin(1, 2), cut("h")).otherwise(0)) / F.col("size"))
+    counts = shifted.groupBy(*IMAGE, "color", "size", "grid").agg(F.countDistinct(bx, by).alias("n"))
+    return counts.groupBy(*IMAGE, "color", "size").agg(F.avg("n").alias("n_boxes"))
+
+
 def fractal_dimensions(boxes: DataFrame) -> DataFrame:
     """Minus the slope of log10 of the boxes on log10 of their size, for each colour."""
     x, y = F.log10("size"), F.log10("n_boxes")
@@ -106,6 +128,47 @@ def ripley(points: DataFrame, distances: list[float], most: int = 100) -> DataFr
     return n.join(sums, IMAGE, "left").select(*IMAGE, "n", *((2 * F.col(f"n{k}") / (F.col("n") * F.col("n"))).alias(f"k_{k}") for k in range(len(distances))), "mean_distance")
 
 
+def random_ripley(pixels: DataFrame, distances: list[float], points: int = 100, trials: int = 10) -> DataFrame:
+    """`(comp_id, area, ref_k, ref_mean)`: what independent uniform points on a composition's pixels give: the pairs within each distance over all pairs, times the area, and the
+    mean pair distance, each as a mean over trials.
+
+    Points are drawn by hashes, with repetition, from the composition's numbered pixels. A trial is a row of a hundred points; its pairs never leave the kernel.
+    """
+    own = pixels.select("comp_id", "x", "y").distinct()
+    numbered = own.withColumn("i", F.row_number().over(Window.partitionBy("comp_id").orderBy("x", "y")) - 1)
+    area = own.groupBy("comp_id").agg(F.count("*").alias("area"))
+    drawn = area.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    drawn = drawn.withColumn("i", F.floor(hash_unit(F.col("comp_id"), F.col("trial"), F.col("point"), seed=15) * F.col("area")).cast("int"))
+    held = drawn.join(numbered, ["comp_id", "i"]).groupBy("comp_id", "area", "trial").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+
+    @F.pandas_udf("k array<double>, mean double")
+    def pairs(xs: pd.Series, ys: pd.Series, size: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y, n in zip(xs, ys, size, strict=True):
+            a, b = np.triu_indices(len(x), 1)
+            d = np.hypot(np.subtract(x[a], x[b], dtype=float), np.subtract(y[a], y[b], dtype=float))
+            out.append([[float((d <= r).mean() * n) for r in distances], float(d.mean())])
+        return pd.DataFrame(out, columns=["k", "mean"])
+
+    each = held.select("comp_id", "area", pairs("xs", "ys", "area").alias("p"))
+    means = F.array(*(F.avg(F.col("p.k")[i]) for i in range(len(distances))))
+    return each.groupBy("comp_id", "area").agg(means.alias("ref_k"), F.avg("p.mean").alias("ref_mean"))
+
+
+def normalised_ripley(found: DataFrame, reference: DataFrame, n_distances: int) -> DataFrame:
+    """`(comp_id, bin, ripley_k..., ripley_norm_k..., distance, distance_norm)` from `ripley` and `random_ripley`: pairs within each distance over all pairs, times the area, and
+    over what uniform points give. All null with fewer than two changes; a norm is null where uniform points give 0."""
+    joined = found.join(reference, "comp_id")
+    several = F.col("n") > 1
+    k = [F.when(several, F.col(f"k_{i}") * F.col("n") / F.when(several, F.col("n") - 1) * F.col("area")) for i in range(n_distances)]
+    over = lambda a, b: F.when(b > 0, a / F.when(b > 0, b))
+    norms = [over(c, F.col("ref_k")[i]) for i, c in enumerate(k)]
+    return joined.select(
+        *IMAGE, *(c.alias(f"ripley_{i}") for i, c in enumerate(k)), *(c.alias(f"ripley_norm_{i}") for i, c in enumerate(norms)),
+        F.when(several, F.col("mean_distance")).alias("distance"), F.when(several, over(F.col("mean_distance"), F.col("ref_mean"))).alias("distance_norm"),
+    )
+
+
 def pack(group: pd.DataFrame) -> np.ndarray:
     """The rows of an image as a 2-D array; cells without a row hold 255."""
     x, y = group["x"].to_numpy() - group["x"].min(), group["y"].to_numpy() - group["y"].min()

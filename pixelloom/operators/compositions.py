@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,42 +62,61 @@ def clamp(borders: DataFrame, sections: tuple[Section, ...]) -> DataFrame:
     )
 
 
-def fill_polygon(xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
-    """Pixels inside or on the border of a polygon: even-odd scan lines, and Bresenham lines for the border."""
-    found = set()
-    n = len(xs)
-    for i in range(n):
-        x, y, x1, y1 = xs[i], ys[i], xs[(i + 1) % n], ys[(i + 1) % n]
-        dx, dy, sx, sy = abs(x1 - x), -abs(y1 - y), (1 if x < x1 else -1), (1 if y < y1 else -1)
-        error = dx + dy
-        while True:
-            found.add((x, y))
-            if (x, y) == (x1, y1):
-                break
-            twice = 2 * error
-            if twice >= dy:
-                error, x = error + dy, x + sx
-            if twice <= dx:
-                error, y = error + dx, y + sy
-    for y in range(min(ys), max(ys) + 1):
-        cuts = sorted(
-            xs[i] + (y - ys[i]) * (xs[(i + 1) % n] - xs[i]) / (ys[(i + 1) % n] - ys[i]) for i in range(n) if (ys[i] <= y) != (ys[(i + 1) % n] <= y)
-        )
-        for a, b in zip(cuts[::2], cuts[1::2], strict=False):
-            found.update((x, y) for x in range(int(-(-a // 1)), int(b // 1) + 1))
-    return sorted(found)
+def _line(x: int, y: int, x1: int, y1: int) -> list[tuple[int, int]]:
+    """Pixels of Bresenham's line as (y, x), both ends included."""
+    dx, dy, sx, sy = abs(x1 - x), -abs(y1 - y), (1 if x < x1 else -1), (1 if y < y1 else -1)
+    error, found = dx + dy, [(y, x)]
+    while (x, y) != (x1, y1):
+        twice = 2 * error
+        if twice >= dy:
+            error, x = error + dy, x + sx
+        if twice <= dx:
+            error, y = error + dx, y + sy
+        found.append((y, x))
+    return found
+
+
+def polygon_runs(xs: list[int], ys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`(y, x0, x1)` of the runs of pixels inside or on the border of a polygon, by rows, none touching another: even-odd scan lines, and Bresenham lines for the border.
+
+    An edge meets the scan lines from its lower end up to, but not with, its upper one. Runs of one line are merged on a single axis on which lines lie apart.
+    """
+    ax, ay = np.asarray(xs, np.int64), np.asarray(ys, np.int64)
+    if not len(ax):
+        return (np.empty(0, np.int64),) * 3
+    bx, by = np.roll(ax, -1), np.roll(ay, -1)
+    border = np.array([p for edge in zip(ax.tolist(), ay.tolist(), bx.tolist(), by.tolist(), strict=True) for p in _line(*edge)], np.int64)
+    height = np.abs(by - ay)
+    edge = np.repeat(np.arange(len(ax)), height)
+    y = np.minimum(ay, by)[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(height) - height, height)
+    cut = ax[edge] + (y - ay[edge]) * (bx[edge] - ax[edge]) / (by[edge] - ay[edge])
+    order = np.lexsort((cut, y))
+    y, cut = y[order], cut[order]
+    first, last = np.ceil(cut[::2]).astype(np.int64), np.floor(cut[1::2]).astype(np.int64)  # each line is cut an even number of times
+    inside = first <= last
+    left, wide = int(ax.min()), int(ax.max() - ax.min()) + 3
+    line = np.concatenate([border[:, 0], y[::2][inside]]) * wide - left
+    a, b = line + np.concatenate([border[:, 1], first[inside]]), line + np.concatenate([border[:, 1], last[inside]])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    reach = np.maximum.accumulate(b)
+    fresh = np.concatenate([[True], a[1:] > reach[:-1] + 1])
+    a, b = a[fresh], reach[np.concatenate([fresh[1:], [True]])]
+    y = a // wide
+    return y, a - y * wide + left, b - y * wide + left
 
 
 def polygon_pixels(borders: DataFrame) -> DataFrame:
-    """`(comp_id, x, y, t0, t1)`: pixels inside or on each border. Each border is filled on its own, where it lies."""
+    """`(comp_id, x, y, t0, t1)`: pixels inside or on each border. Each border is filled on its own, where it lies, as runs of pixels; Spark makes the pixels of the runs."""
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                points = fill_polygon([p["x"] for p in row.path], [p["y"] for p in row.path]) if len(row.path) else []
-                yield pd.DataFrame({"comp_id": row.comp_id, "x": [x for x, _ in points], "y": [y for _, y in points], "t0": row.t0, "t1": row.t1})
+                y, x0, x1 = polygon_runs([p["x"] for p in row.path], [p["y"] for p in row.path])
+                yield pd.DataFrame({"comp_id": row.comp_id, "x0": x0, "x1": x1, "y": y, "t0": row.t0, "t1": row.t1})
 
-    return borders.select("comp_id", "path", "t0", "t1").mapInPandas(fill, "comp_id string, x int, y int, t0 double, t1 double")
+    runs = borders.select("comp_id", "path", "t0", "t1").mapInPandas(fill, "comp_id string, x0 int, x1 int, y int, t0 double, t1 double")
+    return runs.select("comp_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "t0", "t1")
 
 
 def merge_ranges(pixels: DataFrame) -> DataFrame:

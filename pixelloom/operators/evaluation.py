@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pixelloom.operators import ranks
 from pixelloom.operators.transitions import _fire
 from pixelloom.plans.components import connected_components
 
 
 def cuts(predictions: DataFrame, truth: float, quantiles: list[float]) -> list[float]:
-    """Distinct quantiles of the predictions of signal and background, in order. Their number is that of `quantiles`, whatever the rows."""
-    at = f"array({', '.join(f'{q}d' for q in quantiles)})"
-    rows = predictions.groupBy((F.col("true_s") < truth).alias("s")).agg(F.expr(f"percentile(pred_s, {at})").alias("q")).collect()
-    return sorted({round(v, 6) for r in rows for v in r["q"]})
+    """Distinct quantiles of the predictions of signal and background, in order, from exact ranks. Their number is that of `quantiles`, whatever the rows."""
+    rows = ranks.quantiles(predictions.select((F.col("true_s") < truth).alias("s"), "pred_s"), "pred_s", quantiles, ("s",)).collect()
+    return sorted({round(r["value"], 6) for r in rows})
 
 
 def _rate(a, b):
@@ -27,10 +27,7 @@ def _rate(a, b):
 
 def threshold_counts(predictions: DataFrame, truth: float, at: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """TP, FP, TN, FN and rates at each cut: rows are counted once by the cuts they are below, then summed along the cuts."""
-    index = F.lit(len(at))
-    for i in reversed(range(len(at))):
-        index = F.when(F.col("pred_s") < at[i], F.lit(i)).otherwise(index)
-    counts = predictions.groupBy(*by, index.alias("i")).agg(
+    counts = predictions.groupBy(*by, ranks.bucket(F.col("pred_s"), at).alias("i")).agg(
         F.sum((F.col("true_s") < truth).cast("long")).alias("s"), F.sum((F.col("true_s") >= truth).cast("long")).alias("b")
     )
     keys = predictions.select(*by).distinct() if by else None
@@ -168,27 +165,36 @@ def final_run_quantiles(starts: DataFrame, at: list[float]) -> DataFrame:
     return found.select(F.posexplode("q").alias("i", "earliest"), "n").select(F.get(F.array(*map(F.lit, at)), F.col("i")).alias("quantile"), "earliest", "n")
 
 
+def attribution_sums_by_range(attributions: DataFrame) -> DataFrame:
+    """Sum of attributions over the variables of each time range (the feature's name from `_t_` on) for each row."""
+    ranges = F.regexp_extract("feature", r"_t_(.*)$", 1)
+    return attributions.groupBy("comp_id", "bin", ranges.alias("time_range")).agg(F.sum("attribution").alias("attribution"), F.count("*").alias("n_features"))
+
+
 def attribution_sums(attributions: DataFrame) -> DataFrame:
     """Sum of attributions and mean value by variable (the feature's name up to `_t_`) for each row."""
     variable = F.regexp_extract("feature", r"^(.*?)_t_", 1)
     return attributions.groupBy("comp_id", "bin", variable.alias("variable")).agg(F.sum("attribution").alias("attribution"), F.avg("value").alias("value"))
 
 
-def variable_ranks(sums: DataFrame) -> DataFrame:
-    """Rank of each variable in each composition by its mean absolute attribution; ties by name."""
-    mean = sums.groupBy("comp_id", "variable").agg(F.avg(F.abs("attribution")).alias("strength"))
-    return mean.withColumn("rank", F.row_number().over(Window.partitionBy("comp_id").orderBy(F.desc(F.round("strength", 9)), "variable")))
+def variable_ranks(sums: DataFrame, by: tuple[str, ...] = ("comp_id",), signed: bool = False) -> DataFrame:
+    """Rank of each variable in each composition, or by other columns such as those of a transition, by its mean absolute attribution; ties by name.
+
+    `signed` takes the mean itself, so that variables that bring the transition nearer come last. For signal alone pass the sums of its rows.
+    """
+    mean = sums.groupBy(*by, "variable").agg(F.avg("attribution" if signed else F.abs("attribution")).alias("strength"))
+    return mean.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("strength", 9)), "variable")))
 
 
-def rank_shares(ranks: DataFrame) -> DataFrame:
-    counts = ranks.groupBy("variable", "rank").agg(F.count("*").alias("n"))
+def rank_shares(places: DataFrame) -> DataFrame:
+    counts = places.groupBy("variable", "rank").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("rank")))
 
 
-def rank_flows(ranks: DataFrame) -> DataFrame:
+def rank_flows(places: DataFrame) -> DataFrame:
     """How often variables take the first, second and third place together."""
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("variable")))
-    return ranks.groupBy("comp_id").agg(at(1).alias("first"), at(2).alias("second"), at(3).alias("third")).groupBy("first", "second", "third").agg(F.count("*").alias("n"))
+    return places.groupBy("comp_id").agg(at(1).alias("first"), at(2).alias("second"), at(3).alias("third")).groupBy("first", "second", "third").agg(F.count("*").alias("n"))
 
 
 def attribution_slopes(sums: DataFrame) -> DataFrame:
@@ -197,6 +203,22 @@ def attribution_slopes(sums: DataFrame) -> DataFrame:
     return sums.groupBy("comp_id", "variable").agg(F.when(vx > 1e-12, c / vx).alias("slope"), F.when((vx > 1e-12) & (vy > 1e-12), 1 - c * c / vx / vy).alias("unexplained"))
 
 
+def percentile_slopes(sums: DataFrame, keys: list[str], most_error: float = 1.0) -> DataFrame:
+    """`(keys, variable, slope, error_share, good)`: for each composition or transition, the slope of a variable's attribution on the percentile of its value among all rows.
+
+    `error_share` is the fit's standard error, with two degrees of freedom less than rows, over the attribution's deviation; a fit is `good` if that is `most_error` or
+    less. A variable whose percentile is 0 in all rows has slope 0; one with a single percentile, or two rows or fewer, has no error and isn't good.
+    """
+    placed = ranks.percentiles(sums, "value", "p", ("variable",)).where("p is not null")
+    n, vx, vy, c = F.count("*"), F.var_pop("p"), F.var_pop("attribution"), F.covar_pop("p", "attribution")
+    m = placed.groupBy(*keys, "variable").agg(n.alias("n"), vx.alias("vx"), vy.alias("vy"), c.alias("c"), F.max("p").alias("top"), F.sum(F.col("attribution") * F.col("attribution")).alias("square"))
+    flat = F.col("top") == 0
+    slope = F.when(flat, 0.0).when(F.col("vx") > 1e-12, F.col("c") / F.col("vx"))
+    left = F.when(flat, F.col("square")).when(F.col("vx") > 1e-12, F.greatest(F.col("n") * (F.col("vy") - F.col("c") * F.col("c") / F.col("vx")), F.lit(0.0)))
+    share = F.when((F.col("n") > 2) & (F.col("vy") > 1e-12), F.sqrt(left / (F.col("n") - 2)) / F.sqrt("vy"))
+    return m.select(*keys, "variable", slope.alias("slope"), share.alias("error_share"), F.coalesce(share <= most_error, F.lit(False)).alias("good"))
+
+
 def densities(predictions: DataFrame, truth: float, width: float) -> DataFrame:
     """Share per unit of the predictions of signal and background in bins of `width`."""
     counts = predictions.groupBy((F.col("true_s") < truth).alias("signal"), F.floor(F.col("pred_s") / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
@@ -237,13 +259,13 @@ def single_variables(features: DataFrame, labels: DataFrame, names: list[str], t
     return threshold_counts(rows, truth, at, ("feature",))
 
 
-def correlated_groups(matrix: DataFrame, ranks: DataFrame, least: float) -> DataFrame:
+def correlated_groups(matrix: DataFrame, places: DataFrame, least: float) -> DataFrame:
     """Ranks by composition after variables whose correlation exceeds `least` either way become one group, named by its first variable; a group has its best rank.
 
-    matrix: a, b, correlation; ranks: comp_id, variable, rank.
+    matrix: a, b, correlation; places: comp_id, variable, rank.
     """
     groups = connected_components(matrix.where(F.abs("correlation") > least), "a", "b").select(F.col("node").alias("variable"), F.col("component").alias("group"))
-    named = ranks.join(groups, "variable", "left").withColumn("group", F.coalesce("group", "variable"))
+    named = places.join(groups, "variable", "left").withColumn("group", F.coalesce("group", "variable"))
     best = named.groupBy("comp_id", "group").agg(F.min("rank").alias("best"), F.count("*").alias("n_variables"))
     return best.select("comp_id", "group", "n_variables", F.row_number().over(Window.partitionBy("comp_id").orderBy("best")).alias("rank"))
 

@@ -117,12 +117,13 @@ def window_totals(times: DataFrame, window: int) -> DataFrame:
     return marks.select(*PIXEL, "color", "bin", F.lead("bin").over(line).alias("next"), F.sum("secs").over(line.rangeBetween(-(window - 1), 0)).alias("total")).where("total > 0")
 
 
-def _most_time(times: DataFrame, window: int, shift: int, n_bins: DataFrame, name: str) -> DataFrame:
-    """Colour with most time over the `window` bins that end `shift` bins later; ties: highest colour."""
-    totals = window_totals(times, window).join(n_bins, "comp_id")
-    first, last = F.greatest(F.col("bin") - shift, F.lit(1)), F.least(F.col("next") - 1 - shift, "n_bins")
-    each = totals.where(first <= last).select(*PIXEL, "color", "total", F.explode(F.sequence(first, last)).alias("bin"))
-    return each.groupBy(*PIXEL, "bin").agg(F.max_by("color", F.struct(F.round("total", 6), "color")).alias(name))
+def best_colors(times: DataFrame, window: int) -> DataFrame:
+    """`(comp_id, x, y, bin, best)`: colour with most time over the `window` bins that end with each, up to the last that still reaches a bin of life; ties: highest colour.
+
+    The windows behind a bin and ahead of it are the same windows, seen from their two ends, so one table serves both references.
+    """
+    each = window_totals(times, window).select(*PIXEL, "color", "total", F.explode(F.sequence("bin", F.col("next") - 1)).alias("bin"))
+    return each.groupBy(*PIXEL, "bin").agg(F.max_by("color", F.struct(F.round("total", 6), "color")).alias("best"))
 
 
 def life_bins(pixels: DataFrame, width: float) -> DataFrame:
@@ -130,14 +131,17 @@ def life_bins(pixels: DataFrame, width: float) -> DataFrame:
     return pixels.groupBy("comp_id").agg(F.ceil((F.max("t1") - F.min("t0")) / width).cast("int").alias("n_bins"))
 
 
-def reference_images(times: DataFrame, pixels: DataFrame, width: float, window: int) -> DataFrame:
-    """Colour with most time over the last `window` bins, this one included."""
-    return _most_time(times, window, 0, life_bins(pixels, width), "ref")
+def reference_images(times: DataFrame, pixels: DataFrame, width: float, window: int, best: DataFrame | None = None) -> DataFrame:
+    """Colour with most time over the last `window` bins, this one included. best: of `best_colors`, if it is there already."""
+    best = best_colors(times, window) if best is None else best
+    return best.join(life_bins(pixels, width), "comp_id").where("bin <= n_bins").select(*PIXEL, "bin", F.col("best").alias("ref"))
 
 
-def forward_references(times: DataFrame, pixels: DataFrame, width: float, window: int) -> DataFrame:
-    """Colour with most time over the next `window` bins."""
-    return _most_time(times, window, window, life_bins(pixels, width), "ref_fwd")
+def forward_references(times: DataFrame, pixels: DataFrame, width: float, window: int, best: DataFrame | None = None) -> DataFrame:
+    """Colour with most time over the next `window` bins. best: of `best_colors`, if it is there already."""
+    best = best_colors(times, window) if best is None else best
+    ahead = best.withColumn("bin", F.col("bin") - window).join(life_bins(pixels, width), "comp_id")
+    return ahead.where("bin >= 1 and bin <= n_bins").select(*PIXEL, "bin", F.col("best").alias("ref_fwd"))
 
 
 def constant_reference(times: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -166,12 +168,21 @@ def clean_features(rows: DataFrame, keep: list[str], drop: list[str], sparse: di
 
 
 def correlation_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
-    """`(a, b, correlation)` of every pair of columns a < b by name, in one pass over the rows; 0 where one is constant."""
-    pairs = [(a, b) for a in sorted(names) for b in sorted(names) if a < b]
-    spread = lambda a, b: F.stddev_pop(a) * F.stddev_pop(b)
-    wide = rows.agg(*(F.when(spread(a, b) > 1e-12, F.covar_pop(a, b) / spread(a, b)).otherwise(0.0).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
-    each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)))
-    return wide.select(F.inline(each))
+    """`(a, b, correlation)` of every pair of columns a < b by name; 0 where one is constant.
+
+    The features are one vector, and tasks add up matrices of products, so hundreds of columns are as many columns as one. The matrix, a number a pair, comes to the driver.
+    """
+    names = sorted(names)
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows.select(*(F.col(n).cast("double").alias(n) for n in names)))
+    n = vectors.count()
+    pairs = []
+    if n > 1:
+        deviation = vectors.agg(Summarizer.std(F.col("features")).alias("s")).first()["s"].toArray() * ((n - 1) / n) ** 0.5
+        found = Correlation.corr(vectors, "features").first()[0].toArray()
+        pairs = [(a, b, float(found[i, j]) if deviation[i] * deviation[j] > 1e-12 else 0.0) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    elif n:
+        pairs = [(a, b, 0.0) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return rows.sparkSession.createDataFrame(pairs, "a string, b string, correlation double")
 
 
 def variable_correlations(matrix: DataFrame) -> DataFrame:

@@ -197,10 +197,10 @@ def with_periods(transitions: DataFrame, window: int, last: DataFrame) -> DataFr
 def half_maximum_starts(series: DataFrame, transitions: DataFrame) -> DataFrame:
     """Mean, median and standard deviation over several variables of the time, in bins, at which each first exceeds half its maximum in the transition.
 
-    The time is interpolated from the bin before where that was at or below the half. series: comp_id, variable, bin, val; transitions: comp_id, trans_idx, bin_beg, bin_end.
+    Looked at are the bins from one before the transition to the first after it. The time is interpolated from the bin before where that was at or below the half. series: comp_id, variable, bin, val; transitions: comp_id, trans_idx, bin_beg, bin_end.
     """
     order = Window.partitionBy("comp_id", "variable").orderBy("bin")
-    inside = series.withColumn("old", F.lag("val").over(order)).join(transitions, "comp_id").where((F.col("bin") >= F.col("bin_beg")) & (F.col("bin") < F.col("bin_end")))
+    inside = series.withColumn("old", F.lag("val").over(order)).join(transitions, "comp_id").where((F.col("bin") >= F.col("bin_beg") - 1) & (F.col("bin") <= F.col("bin_end")))
     key = ["comp_id", "trans_idx", "variable"]
     half = inside.withColumn("half", F.max("val").over(Window.partitionBy(*key)) / 2).where("val > half")
     first = half.groupBy(*key).agg(F.min_by(F.struct("bin", "val", "old", "half"), "bin").alias("f"))

@@ -38,11 +38,19 @@ def _fractal(x: DataFrame) -> DataFrame:
     return complexity.fractal_summary(complexity.fractal_dimensions(complexity.touched_boxes(x, [1, 2, 3])), complexity.color_shares(x))
 
 
+def _ripley(s: State) -> DataFrame:
+    found = complexity.ripley(changes.in_bins(s.changes, WIDTH).where("active"), [1.0, 1.5, 2.0])
+    norm = complexity.normalised_ripley(found, complexity.random_ripley(s.pixels, [1.0, 1.5, 2.0]), 3)
+    return rounded(norm, *norm.columns[2:])
+
+
 QUERIES = {
     "i5_block_modes": _of(lambda x: complexity.block_modes(x, 2)),
     "i6_multiscale_complexity": _of(lambda x: rounded(complexity.multiscale_complexity(x, [1, 2]), "complexity")),
     "i7_levenshtein_complexity": _of(lambda x: rounded(complexity.levenshtein_complexity(x), "rows", "columns", "complexity")),
     "i10_touched_boxes": _of(lambda x: complexity.touched_boxes(x, [1, 2, 3])),
+    "i10_boxes_by_corners": _of(lambda x: rounded(complexity.touched_boxes_by_corners(x), "n_boxes")),
+    "i15_normalised_ripley": _state(_ripley),
     "i11_fractal_dimensions": _of(lambda x: rounded(complexity.fractal_dimensions(complexity.touched_boxes(x, [1, 2, 3])), "dimension")),
     "i12_color_shares": _of(lambda x: rounded(complexity.color_shares(x), "share")),
     "i13_fractal_summary": _of(lambda x: rounded(_fractal(x), "median", "weighted")),
@@ -93,6 +101,11 @@ ORACLES = {
     "i6_multiscale_complexity": f"WITH {IMAGES} SELECT comp_id, bin, round(sum(part) / any_value(area), 6) AS complexity FROM ({_entropy(1)} UNION ALL {_entropy(2)}) JOIN (SELECT comp_id, bin, count(*) AS area FROM img GROUP BY 1, 2) USING (comp_id, bin) GROUP BY 1, 2",
     "i7_levenshtein_complexity": f"WITH {IMAGES} SELECT a.comp_id, a.bin, round(a.d, 6) AS rows, round(b.d, 6) AS columns, round(a.d * b.d, 6) AS complexity FROM {_edits('x', 'y')} a JOIN {_edits('y', 'x')} b ON a.comp_id = b.comp_id AND a.bin = b.bin",
     "i10_touched_boxes": f"WITH {BOXES} SELECT * FROM boxes",
+    "i10_boxes_by_corners": f"""WITH {IMAGES}, wide AS (SELECT *, max(x) OVER (PARTITION BY comp_id, bin) + 1 AS w, max(y) OVER (PARTITION BY comp_id, bin) + 1 AS h FROM img),
+        sized AS (SELECT *, unnest(range(1, CAST(least(greatest(round_even(0.1e0 * least(w, h), 0), 3), 10) AS INT) + 1)) AS size, CAST(least(greatest(round_even(0.1e0 * least(w, h), 0), 3), 10) AS INT) AS top FROM wide),
+        grids AS (SELECT *, ceil(w / size) * size - w AS cw, ceil(h / size) * size - h AS ch FROM sized, range(4) g(grid) WHERE grid = 0 OR size > top - 3),
+        n AS (SELECT comp_id, bin, color, size, grid, count(DISTINCT (floor((x + CASE WHEN grid IN (1, 3) THEN cw ELSE 0 END) / size), floor((y + CASE WHEN grid IN (1, 2) THEN ch ELSE 0 END) / size))) AS n FROM grids GROUP BY ALL)
+        SELECT comp_id, bin, color, size, round(avg(n), 6) AS n_boxes FROM n GROUP BY 1, 2, 3, 4""",
     "i11_fractal_dimensions": f"WITH {BOXES} SELECT comp_id, bin, color, round(dimension, 6) + 0e0 AS dimension FROM dims",
     "i12_color_shares": f"WITH {BOXES} SELECT comp_id, bin, color, round(share, 6) AS share, rank FROM shares",
     "i13_fractal_summary": f"WITH {BOXES} SELECT comp_id, bin, round(quantile_cont(dimension, 0.5) FILTER (WHERE dimension > 1e-9), 6) AS median, round(sum(dimension * share), 6) + 0e0 AS weighted FROM dims JOIN shares USING (comp_id, bin, color) GROUP BY 1, 2",

@@ -67,7 +67,7 @@ def _transition_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _groups(make):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = State(spark, sf_dir).shared()
+        s = State(spark, sf_dir).both_ways()
         return make(s.changes, s.ref(), s.forward(), WIDTH)
 
     return run
@@ -144,7 +144,7 @@ ORACLES = {
     "m2_area_weights_of_many": _many(f"WITH {WEIGHTS} SELECT x, y, round(weight, 6) AS weight FROM weight"),
     "m3_perimeter_weights_of_many": _many(USER_ORACLES["m3_perimeter_weights"]),
     "x5_half_maximum_starts": f"""WITH {FOUND}, {VARIABLES.replace(SQL_STATE + ', ', '').replace('share AS', 'share_ AS').replace('LEFT JOIN share ', 'LEFT JOIN share_ ')}, long_ AS (SELECT comp_id, bin, variable, CAST(val AS DOUBLE) AS val FROM (SELECT comp_id, bin, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FIVE)} FROM variables) UNPIVOT (val FOR variable IN ({', '.join(FIVE)}))),
-        l AS (SELECT *, lag(val) OVER (PARTITION BY comp_id, variable ORDER BY bin) AS old FROM long_), i AS (SELECT l.*, trans_idx, max(val) OVER (PARTITION BY l.comp_id, trans_idx, variable) / 2 AS half FROM l JOIN found f ON f.comp_id = l.comp_id AND bin >= bin_beg AND bin < bin_end),
+        l AS (SELECT *, lag(val) OVER (PARTITION BY comp_id, variable ORDER BY bin) AS old FROM long_), i AS (SELECT l.*, trans_idx, max(val) OVER (PARTITION BY l.comp_id, trans_idx, variable) / 2 AS half FROM l JOIN found f ON f.comp_id = l.comp_id AND bin >= bin_beg - 1 AND bin <= bin_end),
         h AS (SELECT * FROM i WHERE val > half QUALIFY row_number() OVER (PARTITION BY comp_id, trans_idx, variable ORDER BY bin) = 1), a AS (SELECT comp_id, trans_idx, CASE WHEN old <= half THEN bin - 1 + (half - old) / (val - old) ELSE bin - 1 END AS at_ FROM h)
         SELECT comp_id, trans_idx, round(avg(at_), 6) AS mean, round(quantile_cont(at_, 0.5), 6) AS median, round(stddev_pop(at_), 6) AS deviation, count(*) AS n_variables FROM a GROUP BY 1, 2""",
     "x7_transition_images": f"""WITH {FOUND} SELECT f.comp_id, trans_idx, round(avg(CASE WHEN b.ref <> a.ref THEN 1e0 ELSE 0 END), 6) AS before_after, round(avg(CASE WHEN b.ref <> m.inst THEN 1e0 ELSE 0 END), 6) AS before_amid, round(avg(CASE WHEN m.inst <> a.ref THEN 1e0 ELSE 0 END), 6) AS amid_after, count(*) AS n_pixels

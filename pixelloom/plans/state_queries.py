@@ -33,6 +33,7 @@ class State:
         self.stays = state.intervals(self.log, self.pixels, TEST_CANVAS.white, opened(TEST_CANVAS))
         self.times = state.color_time(self.stays, WIDTH)
         self.changes = flagged(spark, sf_dir)
+        self._best: DataFrame | None = None
 
     def shared_stays(self) -> State:
         self.stays = write_shared(self.stays, "stays")
@@ -43,11 +44,16 @@ class State:
         self.shared_stays().times = write_shared(self.times, "color-time")
         return self
 
+    def both_ways(self) -> State:
+        """For references behind and ahead: the colours that both are read from are written once."""
+        self._best = write_shared(state.best_colors(self.shared_stays().times, SW), "best-colours")
+        return self
+
     def ref(self) -> DataFrame:
-        return state.reference_images(self.times, self.pixels, WIDTH, SW)
+        return state.reference_images(self.times, self.pixels, WIDTH, SW, self._best)
 
     def forward(self) -> DataFrame:
-        return state.forward_references(self.times, self.pixels, WIDTH, SW)
+        return state.forward_references(self.times, self.pixels, WIDTH, SW, self._best)
 
     def instant(self) -> DataFrame:
         return state.instant_images(self.stays, WIDTH)
@@ -61,7 +67,7 @@ def _of(make):
 
 
 def _differing(s: State) -> DataFrame:
-    s.shared()
+    s.both_ways()
     return state.differing_pixels(state.stable_images(s.times), s.instant(), s.ref(), s.forward())
 
 
@@ -90,7 +96,7 @@ QUERIES = {
     "t14_attack_defense": _of(lambda s: ad.attack_defense(_agreed(s))),
     "t15_new_users": _of(lambda s: ad.new_users(s.changes, WIDTH, SW)),
     "t15_window_users": _of(lambda s: ad.window_users(s.changes, WIDTH, SW)),
-    "t16_in_out_groups": _of(lambda s: ad.in_out_groups(s.shared().changes, s.ref(), s.forward(), WIDTH)),
+    "t16_in_out_groups": _of(lambda s: ad.in_out_groups(s.both_ways().changes, s.ref(), s.forward(), WIDTH)),
     "t17_pixel_attack_share": _of(lambda s: rounded(ad.pixel_attack_share(_agreed(s)), "attack_share")),
     "t18_attack_time": _of(lambda s: rounded(state.attack_time_share(s.shared().times, s.ref(), WIDTH), "attack_time")),
     "t19_return_rate": _of(lambda s: rounded(state.return_rate(s.shared().times, s.instant(), s.ref()), "return_rate")),

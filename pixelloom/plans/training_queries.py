@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.operators import evaluation, training
+from pixelloom.operators import evaluation, ranks, training
 from pixelloom.plans.canvas_queries import rounded
 from pixelloom.plans.series_queries import FOUND, _found, difference_series
 from pixelloom.plans.storage import write_shared
@@ -49,6 +49,13 @@ def _of(make):
     return lambda spark, sf_dir: make(Table(spark, sf_dir))
 
 
+def _ranks_by_transition(t: Table) -> DataFrame:
+    """Signed ranks of the signal of each transition: the rows within its reach."""
+    signal = evaluation.segments(t.predictions()).where(F.col("true_s") < TRUTH).select("comp_id", "bin", "segment")
+    sums = evaluation.attribution_sums(t.attributions()).join(signal, ["comp_id", "bin"])
+    return rounded(evaluation.variable_ranks(sums, ("comp_id", "segment"), signed=True), "strength")
+
+
 RATES = ("tpr", "fpr", "purity", "f1", "accuracy")
 EVEN = "cast(substring(comp_id, 2, 9) as int) % 2 = 0"
 
@@ -63,6 +70,9 @@ QUERIES = {
     "d12_random_features": _of(lambda t: rounded(training.with_random_features(t.rows.select("comp_id", "bin"), 2), "uniform_0", "uniform_1", "normal_0", "normal_1")),
     "d13_correlations": _of(lambda t: rounded(training.correlations(t.table().na.fill(0.0), NAMES, "label"), "correlation")),
     "d16_feature_relation": _of(lambda t: rounded(training.feature_relation(t.table(), "val_t_0_0", "label", 0.25), "mean_y", "error_y")),
+    "d16_histogram": _of(lambda t: ranks.two_dimensional_histogram(t.table(), "val_t_0_0", "label", 12)),
+    "d16_percentile_ranks": _of(lambda t: rounded(ranks.percentile_ranks(t.rows.select("comp_id", "bin", "val"), "val", "percentile"), "percentile")),
+    "e18_percentile_slopes": _of(lambda t: rounded(evaluation.percentile_slopes(write_shared(evaluation.attribution_sums(t.attributions()), "attribution-sums"), ["comp_id"]), "slope", "error_share", digits=5)),
     "e2_cuts": lambda s, d: s.createDataFrame([(c,) for c in evaluation.cuts(Table(s, d).predictions(), TRUTH, [0.1, 0.25, 0.5, 0.75, 0.9])], "cut double"),
     "e3_threshold_counts": _of(lambda t: rounded(evaluation.threshold_counts(t.predictions(), TRUTH, CUTS), *RATES)),
     "e4_roc_area": _of(lambda t: rounded(evaluation.roc_area(evaluation.threshold_counts(t.predictions(), TRUTH, CUTS)), "auc")),
@@ -80,6 +90,8 @@ QUERIES = {
     "e13_final_run_quantiles": _of(lambda t: rounded(evaluation.final_run_quantiles(evaluation.final_run_starts(evaluation.segments(t.predictions()), 16.0, 12.0), [0.1, 0.3, 0.5, 0.7, 0.9]), "earliest")),
     "e14_attribution_sums": _of(lambda t: rounded(evaluation.attribution_sums(t.attributions()), "attribution", "value")),
     "e15_variable_ranks": _of(lambda t: rounded(evaluation.variable_ranks(evaluation.attribution_sums(t.attributions())), "strength")),
+    "e14_attribution_sums_by_range": _of(lambda t: rounded(evaluation.attribution_sums_by_range(t.attributions()), "attribution")),
+    "e15_ranks_by_transition": _of(_ranks_by_transition),
     "e15_rank_shares": _of(lambda t: rounded(evaluation.rank_shares(evaluation.variable_ranks(evaluation.attribution_sums(t.attributions()))), "share")),
     "e16_rank_flows": _of(lambda t: evaluation.rank_flows(evaluation.variable_ranks(evaluation.attribution_sums(t.attributions())))),
     "e18_attribution_slopes": _of(lambda t: rounded(evaluation.attribution_slopes(evaluation.attribution_sums(t.attributions())), "slope", "unexplained", digits=5)),
@@ -145,6 +157,15 @@ ORACLES = {
     "d13_correlations": f"WITH {BASE}, t AS (SELECT f.*, label FROM feats f JOIN labelled USING (comp_id, bin)) " + " UNION ALL ".join(
         f"SELECT '{n}' AS feature, round(CASE WHEN stddev_pop(coalesce({n}, 0)) * stddev_pop(label) > 1e-12 THEN covar_pop(coalesce({n}, 0), label) / (stddev_pop(coalesce({n}, 0)) * stddev_pop(label)) ELSE 0 END, 6) AS correlation FROM t" for n in NAMES),
     "d16_feature_relation": f"""WITH {BASE} SELECT CAST(floor(val_t_0_0 / 0.25) AS INT) AS x_bin, count(*) AS n, round(avg(label), 6) AS mean_y, round(CASE WHEN count(*) > 1 THEN stddev_samp(label) / sqrt(count(*)) END, 6) AS error_y FROM feats JOIN labelled USING (comp_id, bin) GROUP BY 1""",
+    "d16_histogram": f"""WITH {BASE}, t AS (SELECT CAST(val_t_0_0 AS DOUBLE) AS x, CAST(label AS DOUBLE) AS y FROM feats JOIN labelled USING (comp_id, bin)), m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM t)
+        SELECT CAST(least(floor((x - x0) / (x1 - x0) * 12), 11) AS INT) AS x_bin, CAST(least(floor((y - y0) / (y1 - y0) * 12), 11) AS INT) AS y_bin, count(*) AS n FROM t, m GROUP BY 1, 2""",
+    "d16_percentile_ranks": f"WITH {BASE} SELECT comp_id, bin, val, round((rank() OVER (ORDER BY val) + (count(*) OVER (PARTITION BY val) - 1) / 2) / count(*) OVER (), 6) AS percentile FROM rows_",
+    "e18_percentile_slopes": f"""WITH {LONG}, l AS (SELECT variable, list(value ORDER BY value) AS vs, count(*) AS n FROM sums GROUP BY 1), h AS (SELECT *, round(p / 100e0 * (n - 1), 9) AS h FROM l, range(101) r(p)),
+        e AS (SELECT variable, vs[CAST(floor(h) AS INT) + 1] + (vs[CAST(ceil(h) AS INT) + 1] - vs[CAST(floor(h) AS INT) + 1]) * (h - floor(h)) AS edge FROM h),
+        p AS (SELECT s.comp_id, s.bin, s.variable, any_value(attribution) AS attribution, (count(*) FILTER (WHERE edge <= value) - 1) / 100 AS p FROM sums s JOIN e ON e.variable = s.variable GROUP BY 1, 2, 3),
+        m AS (SELECT comp_id, variable, count(*) AS n, var_pop(p) AS vx, var_pop(attribution) AS vy, covar_pop(p, attribution) AS c, max(p) AS top, sum(attribution ** 2) AS sq FROM p GROUP BY 1, 2),
+        f AS (SELECT *, CASE WHEN top = 0 THEN 0 WHEN vx > 1e-12 THEN c / vx END AS slope, CASE WHEN n > 2 AND vy > 1e-12 THEN sqrt(CASE WHEN top = 0 THEN sq WHEN vx > 1e-12 THEN greatest(n * (vy - c * c / vx), 0) END / (n - 2)) / sqrt(vy) END AS share FROM m)
+        SELECT comp_id, variable, round(slope, 5) AS slope, round(share, 5) AS error_share, coalesce(share <= 1, false) AS good FROM f""",
     "e2_cuts": f"WITH {BASE} SELECT DISTINCT round(unnest(q), 6) AS cut FROM (SELECT quantile_cont(pred_s, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM pred GROUP BY true_s < 8)",
     "e3_threshold_counts": f"WITH {BASE}, {_counts()} SELECT i, cut, tp, fp, tn, fn, {RND} FROM counts",
     "e4_roc_area": f"WITH {BASE}, {_counts()}, {_auc()}",
@@ -162,6 +183,9 @@ ORACLES = {
     "e13_final_run_quantiles": f"WITH {FINAL} SELECT unnest([0.1e0, 0.3e0, 0.5e0, 0.7e0, 0.9e0]) AS quantile, round(unnest(q), 6) AS earliest, n FROM (SELECT quantile_cont(earliest, [0.1, 0.3, 0.5, 0.7, 0.9]) AS q, count(*) AS n FROM final)",
     "e14_attribution_sums": f"WITH {LONG} SELECT comp_id, bin, variable, round(attribution, 6) + 0e0 AS attribution, round(value, 6) AS value FROM sums",
     "e15_variable_ranks": f"WITH {LONG} SELECT comp_id, variable, round(strength, 6) AS strength, rank FROM ranks",
+    "e14_attribution_sums_by_range": f"WITH {LONG} SELECT comp_id, bin, regexp_extract(feature, '_t_(.*)$', 1) AS time_range, round(sum(attribution), 6) + 0e0 AS attribution, count(*) AS n_features FROM attr GROUP BY 1, 2, 3",
+    "e15_ranks_by_transition": f"""WITH {LONG}, {SEG.removeprefix(BASE + ', ')}, m AS (SELECT s.comp_id, segment, variable, avg(attribution) AS strength FROM sums s JOIN seg ON seg.comp_id = s.comp_id AND seg.bin = s.bin WHERE true_s < 8 GROUP BY 1, 2, 3)
+        SELECT comp_id, segment, variable, round(strength, 6) + 0e0 AS strength, row_number() OVER (PARTITION BY comp_id, segment ORDER BY round(strength, 9) DESC, variable) AS rank FROM m""",
     "e15_rank_shares": f"WITH {LONG} SELECT variable, rank, n, round(n / sum(n) OVER (PARTITION BY rank), 6) AS share FROM (SELECT variable, rank, count(*) AS n FROM ranks GROUP BY 1, 2)",
     "e16_rank_flows": f"WITH {LONG} SELECT first, second, third, count(*) AS n FROM (SELECT comp_id, max(variable) FILTER (WHERE rank = 1) AS first, max(variable) FILTER (WHERE rank = 2) AS second, max(variable) FILTER (WHERE rank = 3) AS third FROM ranks GROUP BY 1) GROUP BY 1, 2, 3",
     "e18_attribution_slopes": f"""WITH {LONG}, m AS (SELECT comp_id, variable, var_pop(value) AS vx, var_pop(attribution) AS vy, covar_pop(value, attribution) AS c FROM sums GROUP BY 1, 2)

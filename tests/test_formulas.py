@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from pixelloom.operators import compositions, evaluation, series, state, transitions, users
+from pixelloom.operators import complexity, compositions, evaluation, series, state, transitions, users
 
 STAYS = "comp_id string, x int, y int, color int, beg double, end double, t0 double, t1 double"
 
@@ -221,3 +221,25 @@ def test_attention_slots_run_to_the_whiteout(spark):
     # ten slots from 100 to 200, though the composition ends at 150; 8, 4 and 2 changes; the two least attentive of two pixels
     assert (found["mean"], found["median"], found["pix_norm"]) == pytest.approx((14 / 30, 0.4, 0.3))
     assert users.attention(changes, 10.0, 200.0, largest=True).first()["pix_norm"] == pytest.approx(0.6)
+
+
+def test_boxes_from_four_corners(spark):
+    # a row of four pixels of one colour on an image of 4 x 4: sizes 1, 2 and 3, all averaged over the four corners
+    rows = [("c", 1, x, y, 7 if y == 0 else 1) for x in range(4) for y in range(4)]
+    found = {(r.color, r.size): r.n_boxes for r in complexity.touched_boxes_by_corners(spark.createDataFrame(rows, "comp_id string, bin int, x int, y int, color int")).collect()}
+    # size 3: from the left and from the right the row falls into boxes of 3 and 1 pixels: two in any grid
+    assert {k: v for k, v in found.items() if k[0] == 7} == {(7, 1): 4.0, (7, 2): 2.0, (7, 3): 2.0}
+    # the other colour has rows 1 to 3: from the top corners rows {1, 2} and {3}, from the bottom ones all three in one box
+    assert found[1, 3] == (4 + 2 + 2 + 4) / 4 and found[1, 2] == 4.0
+
+
+def test_uniform_changes_are_as_dense_as_chance(spark):
+    pixels = spark.createDataFrame([("c", x, y) for x in range(30) for y in range(30)] + [("d", 0, 0)], "comp_id string, x int, y int")
+    reference = complexity.random_ripley(pixels, [2.0, 5.0], points=60, trials=5)
+    uniform = [("c", b, 1000 * b + i, (i * 7919 + b * 13) % 30, (i * 104729 // 7 + b * 17) % 30) for b in range(1, 9) for i in range(90)]
+    tight = [("c", 20, 50_000 + i, i % 3, i // 3 % 3) for i in range(50)]
+    points = spark.createDataFrame([*uniform, *tight, ("c", 30, 1, 5, 5)], "comp_id string, bin int, event_id long, x int, y int")
+    found = {r.bin: r for r in complexity.normalised_ripley(complexity.ripley(points, [2.0, 5.0]), reference, 2).collect()}
+    assert 0.7 < sum(found[b].ripley_norm_1 for b in range(1, 9)) / 8 < 1.3 and 0.9 < sum(found[b].distance_norm for b in range(1, 9)) / 8 < 1.1
+    assert found[20].ripley_norm_1 > 5 and found[20].distance_norm < 0.3
+    assert found[30].ripley_0 is None and found[30].distance_norm is None

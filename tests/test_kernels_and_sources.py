@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,15 +98,48 @@ def edge_distance(xs, ys, px, py):
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=3, max_size=3, unique=True))
 def test_triangles(points):
     xs, ys = [p[0] for p in points], [p[1] for p in points]
-    found = set(compositions.fill_polygon(xs, ys))
+    found = filled(xs, ys)
     want = {(x, y) for x in range(13) for y in range(13) if slow_inside(xs, ys, x, y)}
     assert want <= found
     assert all(edge_distance(xs, ys, x, y) < 0.71 for x, y in found - want)  # border pixels lie next to the exact line
 
 
+def slow_fill(xs, ys):
+    """By a set: Bresenham lines, and every pixel between the cuts of each scan line."""
+    found, n = set(), len(xs)
+    for i in range(n):
+        found.update((x, y) for y, x in compositions._line(xs[i], ys[i], xs[(i + 1) % n], ys[(i + 1) % n]))
+    for y in range(min(ys), max(ys) + 1):
+        cuts = sorted(xs[i] + (y - ys[i]) * (xs[(i + 1) % n] - xs[i]) / (ys[(i + 1) % n] - ys[i]) for i in range(n) if (ys[i] <= y) != (ys[(i + 1) % n] <= y))
+        for a, b in zip(cuts[::2], cuts[1::2], strict=True):
+            found.update((x, y) for x in range(int(-(-a // 1)), int(b // 1) + 1))
+    return found
+
+
+def filled(xs, ys):
+    y, x0, x1 = (v.tolist() for v in compositions.polygon_runs(xs, ys))
+    pixels = [(x, c) for c, a, b in zip(y, x0, x1, strict=True) for x in range(a, b + 1)]
+    assert len(pixels) == len(set(pixels)) and sorted(zip(y, x0, strict=True)) == list(zip(y, x0, strict=True))
+    assert all(c != d or b + 1 < a for c, b, d, a in zip(y, x1, y[1:], x0[1:], strict=False))  # runs of a line don't touch
+    return set(pixels)
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.tuples(st.integers(-25, 25), st.integers(-25, 25)), min_size=1, max_size=9))
+def test_runs_equal_sets(points):
+    xs, ys = [x for x, _ in points], [y for _, y in points]
+    assert filled(xs, ys) == slow_fill(xs, ys)
+
+
+def test_large_border_is_filled_at_once():
+    began = time.time()
+    y, x0, x1 = compositions.polygon_runs([0, 1999, 1999, 1000, 0], [0, 0, 1999, 700, 1999])
+    assert time.time() - began < 5 and (x1 - x0 + 1).sum() > 2_000_000 and len(y) < 5000
+
+
 def test_concave_polygon():
     xs, ys = [0, 0, 8, 8, 4], [0, 8, 8, 0, 4]
-    found = set(compositions.fill_polygon(xs, ys))
+    found = filled(xs, ys)
     assert (4, 2) not in found and (4, 4) in found and (1, 1) in found and (0, 8) in found
 
 
