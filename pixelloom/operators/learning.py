@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pixelloom.functions.columns import hash_unit
 from pixelloom.operators import ranks
@@ -75,6 +76,15 @@ def weighted_components(rows: DataFrame, names: list[str], k: int) -> DataFrame:
     return rows.sparkSession.createDataFrame(shares, "component int, explained double")
 
 
+def components_for(explained: DataFrame, shares: list[float]) -> DataFrame:
+    """`(share, n_components, reached)`: the fewest components, in order, that explain each share of the variance; null if all of them don't. explained: of `weighted_components`."""
+    order = Window.orderBy("component")  # as many rows as components
+    summed = explained.withColumn("reached", F.sum("explained").over(order))
+    asked = explained.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
+    near = asked.join(F.broadcast(summed), F.col("reached") >= F.col("share"), "left")
+    return near.groupBy("share").agg((F.min("component") + 1).alias("n_components"), F.min("reached").alias("reached"))
+
+
 def standardised(rows: DataFrame, names: list[str]) -> DataFrame:
     """Features with mean 0 and deviation 1, as an array `scaled`."""
     vectors = VectorAssembler(inputCols=names, outputCol="raw").transform(rows)

@@ -65,6 +65,30 @@ def split_by_composition(rows: DataFrame, test_share: float, seed: int = 0) -> D
     return rows.withColumn("is_test", hash_unit(F.col("comp_id"), seed=seed) < test_share)
 
 
+def split_by_ids(rows: DataFrame, test_ids: DataFrame) -> DataFrame:
+    """Add `is_test`: the rows of the compositions of a stored list (comp_id), so that later runs are tested on the same ones. Ids without rows change nothing."""
+    listed = test_ids.select("comp_id").distinct().withColumn("is_test", F.lit(True))
+    return rows.join(listed, "comp_id", "left").na.fill(False, ["is_test"])
+
+
+def down_sampled(rows: DataFrame, most_train: int, most_test: int, seed: int = 0) -> DataFrame:
+    """`rows` (comp_id, bin, is_test, ...) with as many of either part as asked, or all if there are fewer: those with the smallest hashes.
+
+    Hashes are cut at a value found from their counts in 4096 parts, and only the rows of the part that the limit falls into are ranked.
+    """
+    draw = hash_unit(F.col("comp_id"), F.col("bin"), seed=seed)
+    placed = rows.withColumns({"draw": draw, "part": F.floor(draw * 4096).cast("int")})
+    counts = placed.groupBy("is_test", "part").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("is_test").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    limit = F.when(F.col("is_test"), F.lit(most_test)).otherwise(F.lit(most_train))
+    room = counts.select("is_test", "part", "held", (limit - before).alias("room")).where("room > 0")
+    inside = placed.join(room, ["is_test", "part"])
+    whole = inside.where("held <= room")
+    rank = F.row_number().over(Window.partitionBy("is_test", "part").orderBy("draw", "comp_id", "bin"))
+    partly = inside.where("held > room").withColumn("rank", rank).where("rank <= room").drop("rank")
+    return whole.unionByName(partly).drop("draw", "part", "held", "room")
+
+
 def with_random_features(rows: DataFrame, n: int) -> DataFrame:
     """Add uniform and normal numbers that depend on the row only."""
     u = lambda i: hash_unit(F.col("comp_id"), F.col("bin"), seed=i)

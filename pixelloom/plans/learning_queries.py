@@ -87,6 +87,7 @@ QUERIES = {
     "e1_median_curve": _of(lambda t: rounded(learning.median_curve(t.predictions(), 12.0, 3.5), "x", "y")),
     "e1_calibrated_predictions": _of(lambda t: rounded(_calibrated(t), "pred_s", digits=5)),
     "e1_inverted_predictions": _of(lambda t: rounded(learning.calibrated(t.predictions(), CURVE, KNOTS), "pred_s", digits=5)),
+    "d14_components_for_shares": _of(lambda t: rounded(learning.components_for(learning.weighted_components(ready(t), NAMES, len(NAMES)), [0.95, 0.99]), "reached", digits=5)),
     "d14_principal_components": _of(lambda t: rounded(learning.weighted_components(ready(t), NAMES, 4), "explained", digits=5)),
     "d14_standardised": _of(_scaled),
     "d15_boosted_trees": _of(_boosted),

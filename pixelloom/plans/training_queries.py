@@ -67,6 +67,8 @@ QUERIES = {
     "d9_transformed_labels": _of(lambda t: rounded(t.labelled().withColumn("target", training.transformed(F.col("label"))).withColumn("back", training.restored(F.col("target"))), "target", "back")),
     "d10_row_weights": _of(lambda t: rounded(t.labelled().withColumn("weight", training.row_weights(F.col("label"), 6.0, float(CAP), 0.4)), "weight")),
     "d11_split": _of(lambda t: training.split_by_composition(t.rows.select("comp_id", "bin"), 0.2)),
+    "d11_split_by_stored_ids": _of(lambda t: training.split_by_ids(t.rows.select("comp_id", "bin"), t.area.where("area >= 9").select("comp_id"))),
+    "d11_down_sampled": _of(lambda t: training.down_sampled(training.split_by_ids(t.rows.select("comp_id", "bin"), t.area.where("area >= 9").select("comp_id")), 400, 90).groupBy("is_test").agg(F.count("*").alias("n"))),
     "d12_random_features": _of(lambda t: rounded(training.with_random_features(t.rows.select("comp_id", "bin"), 2), "uniform_0", "uniform_1", "normal_0", "normal_1")),
     "d13_correlations": _of(lambda t: rounded(training.correlations(t.table().na.fill(0.0), NAMES, "label"), "correlation")),
     "d16_feature_relation": _of(lambda t: rounded(training.feature_relation(t.table(), "val_t_0_0", "label", 0.25), "mean_y", "error_y")),
@@ -154,6 +156,8 @@ ORACLES = {
     "d7_messy_rows": f"WITH {BASE} SELECT comp_id, bin FROM rows_ WHERE 0.7e0 * val + 0.3e0 * ratio / 10 < 0.3e0",
     "d9_transformed_labels": f"WITH {BASE} SELECT comp_id, bin, label, round(log10(label + 100) - 1.5, 6) AS target, round(CAST(label AS DOUBLE), 6) AS back FROM labelled",
     "d10_row_weights": f"WITH {BASE} SELECT comp_id, bin, label, round(CASE WHEN label <= 6 THEN 1e0 ELSE (label / 6e0) ** (ln(0.4e0) / ln(4e0)) END, 6) AS weight FROM labelled",
+    "d11_split_by_stored_ids": f"WITH {BASE} SELECT r.comp_id, bin, (x1 - x0 + 1) * (y1 - y0 + 1) >= 9 AS is_test FROM rows_ r JOIN borders b ON b.comp_id = r.comp_id",
+    "d11_down_sampled": f"WITH {BASE}, t AS (SELECT (x1 - x0 + 1) * (y1 - y0 + 1) >= 9 AS is_test, count(*) AS n FROM rows_ r JOIN borders b ON b.comp_id = r.comp_id GROUP BY 1) SELECT is_test, least(n, CASE WHEN is_test THEN 90 ELSE 400 END) AS n FROM t",
     "d13_correlations": f"WITH {BASE}, t AS (SELECT f.*, label FROM feats f JOIN labelled USING (comp_id, bin)) " + " UNION ALL ".join(
         f"SELECT '{n}' AS feature, round(CASE WHEN stddev_pop(coalesce({n}, 0)) * stddev_pop(label) > 1e-12 THEN covar_pop(coalesce({n}, 0), label) / (stddev_pop(coalesce({n}, 0)) * stddev_pop(label)) ELSE 0 END, 6) AS correlation FROM t" for n in NAMES),
     "d16_feature_relation": f"""WITH {BASE} SELECT CAST(floor(val_t_0_0 / 0.25) AS INT) AS x_bin, count(*) AS n, round(avg(label), 6) AS mean_y, round(CASE WHEN count(*) > 1 THEN stddev_samp(label) / sqrt(count(*)) END, 6) AS error_y FROM feats JOIN labelled USING (comp_id, bin) GROUP BY 1""",

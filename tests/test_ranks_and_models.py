@@ -164,7 +164,7 @@ def test_cross_fitting_predicts_every_row_by_a_model_that_has_not_seen_it(learna
     for r in losses.collect():
         rounds.setdefault((r.fold, r.part), {})[r["round"]] = r.loss
     for (_, part), by in rounds.items():
-        assert sorted(by) == list(range(1, len(by) + 1)) and (part == "held" or by[len(by)] < by[1])
+        assert sorted(by) == list(range(1, len(by) + 1)) and (part == "held" or by[len(by)] <= by[1])
 
 
 def test_classification_by_folds(learnable):
@@ -174,3 +174,19 @@ def test_classification_by_folds(learnable):
     assert joined.where("prediction between 0 and 1").count() == labelled.count()
     assert joined.where("(prediction > 0.5) = (target = 1)").count() > 0.95 * labelled.count()
     assert losses.count() >= 2 * 2
+
+
+def test_down_sampling_takes_what_is_asked_whatever_the_partitions(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("c"), F.col("id") % 40).alias("comp_id"), F.col("id").cast("int").alias("bin"), F.lit("x").alias("more"))
+    split = training.split_by_ids(rows, spark.createDataFrame([("c1",), ("c2",), ("c2",), ("none",)], "comp_id string"))
+    assert split.where("is_test").count() == 150 and split.count() == 3000
+    few = training.down_sampled(split, 500, 20)
+    assert {r.is_test: r.n for r in few.groupBy("is_test").agg(F.count("*").alias("n")).collect()} == {True: 20, False: 500}
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, training.down_sampled(split.repartition(9), 500, 20).collect()))
+    assert training.down_sampled(split, 10_000, 10_000).count() == 3000 and training.down_sampled(split.where("false"), 5, 5).count() == 0
+
+
+def test_components_for_shares(spark):
+    explained = spark.createDataFrame([(0, 0.5), (1, 0.3), (2, 0.15), (3, 0.02)], "component int, explained double")
+    found = {r.share: (r.n_components, r.reached) for r in learning.components_for(explained, [0.5, 0.79, 0.95, 0.99]).collect()}
+    assert found[0.5] == (1, 0.5) and found[0.79][0] == 2 and found[0.95][0] in (3, 4) and found[0.99] == (None, None)
