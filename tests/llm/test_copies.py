@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pixelloom.llm import copies, simhash
+from pixelloom.plans.storage import write_shared
 
 
 def planted(seed=3):
@@ -88,7 +89,7 @@ def test_rows_are_told_apart_by_id_and_hash(spark, docs_of, monkeypatch):
     docs = docs_of(texts).unionByName(nameless)
     groups = {r.doc_id: r.component_id for r in copies.near_copies(docs_of(texts)).collect()}
     assert groups == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4}
-    alone = lambda rows: rows.select("doc_id", collide().alias("row_key"), F.col("doc_id").alias("component_id"))  # noqa: E731  every row a group
+    alone = lambda rows: write_shared(rows.select("doc_id", collide().alias("row_key"), F.col("doc_id").alias("component_id")), "alone")  # noqa: E731  every row a group
     kept = simhash.firsts_of(docs, alone).collect()
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [*enumerate(texts), (None, "first of no id"), (None, "second of no id")]))
 
