@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.config import TEST_CANVAS
@@ -20,7 +20,7 @@ HEXES = ("#FF4500", "#00A368", "#2450A4", "#FFD635", "#FFFFFF")
 def raw_lines(spark: SparkSession, sf_dir: str, color_last: bool = False) -> DataFrame:
     """`events` written as raw text lines: points, and moderators' rectangles or (colour last) circles."""
     log = adapter.pixel_log(spark, sf_dir)
-    stamp = F.date_format(F.timestamp_micros((F.col("seconds") * 1e6).cast("long") + adapter.ORIGIN_MICROS), "yyyy-MM-dd HH:mm:ss.SSS")
+    stamp = F.date_format(F.timestamp_micros(adapter.micros_of(F.col("seconds")) + adapter.ORIGIN_MICROS), "yyyy-MM-dd HH:mm:ss.SSS")
     hex_ = F.element_at(F.array(*map(F.lit, HEXES)), F.col("color") + 1)
     point = F.concat_ws(",", "x", "y")
     shape = F.format_string("{X: %d, Y: %d, R: 2}", "x", "y") if color_last else F.concat_ws(",", "x", "y", F.col("x") + 1, F.col("y") + 2)
@@ -39,16 +39,21 @@ def _condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_logs.condense(events, raw_logs.dense_colors(events), raw_logs.dense_users(events))
 
 
+def _to_millis(seconds: Column) -> Column:
+    """Rounded to milliseconds as binary numbers are; `F.round` with digits rounds their shortest decimals, which differ at halves."""
+    return F.round(seconds * 1000) / 1000
+
+
 def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = adapter.pixel_log(spark, sf_dir)
     again = log.where("event_id % 7 = 0").withColumns({"event_id": F.col("event_id") + 1_000_000_000, "seconds": F.col("seconds") + 1e-5})
-    return log.withColumn("seconds", F.round("seconds", 3)).unionByName(again.withColumn("seconds", F.round("seconds", 3)))
+    return log.unionByName(again).withColumn("seconds", _to_millis(F.col("seconds")))
 
 
 def _old(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` in the oldest layout, with nulls, full duplicates and bad times."""
     log = adapter.pixel_log(spark, sf_dir)
-    stamp = F.date_format(F.timestamp_micros((F.col("seconds") * 1e6).cast("long") + adapter.ORIGIN_MICROS), "yyyy-MM-dd HH:mm:ss.SSS")
+    stamp = F.date_format(F.timestamp_micros(adapter.micros_of(F.col("seconds")) + adapter.ORIGIN_MICROS), "yyyy-MM-dd HH:mm:ss.SSS")
     ts = F.when(F.col("event_id") % 11 == 0, "not a time").otherwise(F.concat(stamp, F.lit(" UTC")))
     color = F.when(F.col("event_id") % 13 != 0, F.col("color"))
     rows = log.select(ts.alias("ts"), F.concat(F.lit("h"), F.col("user")).alias("user_hash"), F.col("x").alias("x_coordinate"), F.col("y").alias("y_coordinate"), color.alias("color"))
@@ -64,7 +69,7 @@ QUERIES = {
     "s2_raw_lines_color_last": lambda s, d: _events(s, d, True).select("event_id", "seconds", "user_hash", "hex", "x", "y", "moderator"),
     "s4_condensed_log": _condensed,
     "s5_before_whiteout": _log(lambda x: x.where(F.col("seconds") < TEST_CANVAS.whiteout)),
-    "p1_p2_times": _log(lambda x: x.select("event_id", original_stamp(F.floor(F.col("seconds") * 1000) / 1000, ORIGIN).alias("stamp"))),
+    "p1_p2_times": _log(lambda x: x.select("event_id", original_stamp(F.floor(adapter.micros_of(F.col("seconds")) / 1000) / 1000, ORIGIN).alias("stamp"))),
     "p5_dense_colors": lambda s, d: raw_logs.dense_colors(_events(s, d)),
     "p6_dense_users": lambda s, d: raw_logs.dense_users(_events(s, d)),
     "p8_sorted_log": _log(lambda x: preparation.sorted_log(x).select("event_id", "seconds")),

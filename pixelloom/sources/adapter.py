@@ -21,6 +21,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def micros_of(seconds: Column) -> Column:
+    """Whole microseconds of seconds since the origin: the product alone may fall just short of them."""
+    return F.round(seconds * 1e6).cast("long")
+
+
 def pixel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean log of `events`."""
     events = read_table(spark, sf_dir, "events")
