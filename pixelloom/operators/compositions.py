@@ -1,4 +1,7 @@
-"""Compositions: borders, pixels, time ranges, overlaps."""
+"""Compositions: borders, pixels, time ranges, overlaps.
+
+Tables of pixels and compositions are made by exploding small ones, whose size Spark takes for theirs; so their joins ask for a merge, or the driver would broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,8 +36,8 @@ def overlaps(pixels: DataFrame) -> DataFrame:
     own = pixels.select("comp_id", "x", "y").distinct()
     area = own.groupBy("comp_id").agg(F.count("*").alias("area"))
     other = own.withColumnRenamed("comp_id", "other_id")
-    common = own.join(other, ["x", "y"]).where("comp_id < other_id").groupBy("comp_id", "other_id").agg(F.count("*").alias("n_common"))
-    both = common.join(area, "comp_id").join(area.select(F.col("comp_id").alias("other_id"), F.col("area").alias("other_area")), "other_id")
+    common = own.join(other.hint("merge"), ["x", "y"]).where("comp_id < other_id").groupBy("comp_id", "other_id").agg(F.count("*").alias("n_common"))
+    both = common.join(area.hint("merge"), "comp_id").join(area.select(F.col("comp_id").alias("other_id"), F.col("area").alias("other_area")).hint("merge"), "other_id")
     return both.select("comp_id", "other_id", "n_common", F.least(F.col("n_common") / F.col("area"), F.col("n_common") / F.col("other_area")).alias("overlap"))
 
 
@@ -157,13 +161,13 @@ def location_jumps(pixels: DataFrame) -> DataFrame:
     near = lambda a, b: F.abs(a - b) <= 1e-5 + 1e-10 * F.abs(b)
     alike = F.zip_with("own", "whole", lambda a, b: near(a["t0"], b["t0"]) & near(a["t1"], b["t1"]))
     same = (F.size("own") == F.size("whole")) & F.forall(alike, lambda ok: F.coalesce(ok, F.lit(False)))
-    return each.join(whole, "comp_id").groupBy("comp_id").agg((~F.bool_or(same)).alias("jumps"))
+    return each.join(whole.hint("merge"), "comp_id").groupBy("comp_id").agg((~F.bool_or(same)).alias("jumps"))
 
 
 def active_area(pixels: DataFrame, width: float) -> DataFrame:
     """Pixels of each composition that are on at any time of each bin of its life."""
     start = pixels.groupBy("comp_id").agg(F.min("t0").alias("start"))
-    on = pixels.join(start, "comp_id")
+    on = pixels.join(start.hint("merge"), "comp_id")
     first = F.floor((F.col("t0") - F.col("start")) / width).cast("int") + 1
     bins = F.sequence(first, F.greatest(bin_number(F.col("t1"), F.col("start"), width), first))
     return on.select("comp_id", "x", "y", F.explode(bins).alias("bin")).groupBy("comp_id", "bin").agg(F.countDistinct("x", "y").alias("active_area"))
@@ -173,7 +177,7 @@ def duplicates(pixels: DataFrame, least: float = 0.99) -> DataFrame:
     """`(comp_id, same_as)`: compositions with the same time ranges as an earlier id's and more than `least` of the pixels in common."""
     ranges = pixels.groupBy("comp_id").agg(F.xxhash64(F.array_sort(F.collect_set(F.struct("t0", "t1")))).alias("times"))
     close = overlaps(pixels).where(F.col("overlap") > least)
-    paired = close.join(ranges, "comp_id").join(ranges.select(F.col("comp_id").alias("other_id"), F.col("times").alias("other_times")), "other_id")
+    paired = close.join(ranges.hint("merge"), "comp_id").join(ranges.select(F.col("comp_id").alias("other_id"), F.col("times").alias("other_times")).hint("merge"), "other_id")
     return paired.where("times = other_times").groupBy(F.col("other_id").alias("comp_id")).agg(F.min("comp_id").alias("same_as"))
 
 
@@ -187,9 +191,9 @@ def rejected_overlaps(pixels: DataFrame, least: float) -> DataFrame:
     own = pixels.select(*border, "x", "y").distinct()
     area = own.groupBy(*border).agg(F.count("*").alias("area"))
     other = {c: f"other_{c}" for c in border}
-    met = own.join(own.withColumnsRenamed(other), ["x", "y"]).where((F.col("comp_id") < F.col("other_comp_id")) & (F.greatest("t0", "other_t0") < F.least("t1", "other_t1")))
+    met = own.join(own.withColumnsRenamed(other).hint("merge"), ["x", "y"]).where((F.col("comp_id") < F.col("other_comp_id")) & (F.greatest("t0", "other_t0") < F.least("t1", "other_t1")))
     common = met.groupBy(*border, *other.values()).agg(F.count("*").alias("n"))
-    both = common.join(area, border).join(area.withColumnsRenamed({**other, "area": "other_area"}), list(other.values()))
+    both = common.join(area.hint("merge"), border).join(area.withColumnsRenamed({**other, "area": "other_area"}).hint("merge"), list(other.values()))
     close = both.where(F.col("n") / F.greatest("area", "other_area") > least)
     together = F.abs(F.col("t0") - F.col("other_t0")) <= 1e-8 + 1e-5 * F.abs("other_t0")
     keeps = (F.col("t0") < F.col("other_t0")) | (together & (F.col("t1") >= F.col("other_t1")))
@@ -215,7 +219,7 @@ def pixel_owners(pixels: DataFrame, layers: int = 2) -> DataFrame:
     area = pixels.groupBy("comp_id").agg(F.countDistinct("x", "y").alias("area"))
     ends = pixels.select("x", "y", F.explode(F.array("t0", "t1")).alias("t_beg")).distinct()
     slices = ends.withColumn("t_end", F.lead("t_beg").over(Window.partitionBy("x", "y").orderBy("t_beg"))).where("t_end is not null")
-    held = slices.join(pixels, ["x", "y"]).where("t0 <= t_beg and t1 >= t_end").join(area, "comp_id")
+    held = slices.join(pixels.hint("merge"), ["x", "y"]).where("t0 <= t_beg and t1 >= t_end").join(area.hint("merge"), "comp_id")
     order = Window.partitionBy("x", "y", "t_beg").orderBy("area", "comp_id")
     return held.withColumn("layer", F.row_number().over(order)).where(F.col("layer") <= layers).select("t_beg", "t_end", "x", "y", "layer", "comp_id")
 
@@ -232,9 +236,9 @@ def stable_border_ranges(borders: DataFrame, pixels: DataFrame, least: float = 0
     either (comp_id, seq, x, y) are in both; otherwise it begins a new range. Times should begin with the opening of the canvas already.
     """
     area = pixels.groupBy("comp_id", "seq").agg(F.count("*").alias("area"))
-    common = pixels.join(pixels.select("comp_id", (F.col("seq") + 1).alias("seq"), "x", "y"), ["comp_id", "seq", "x", "y"]).groupBy("comp_id", "seq").agg(F.count("*").alias("common"))
+    common = pixels.join(pixels.select("comp_id", (F.col("seq") + 1).alias("seq"), "x", "y").hint("merge"), ["comp_id", "seq", "x", "y"]).groupBy("comp_id", "seq").agg(F.count("*").alias("common"))
     order = Window.partitionBy("comp_id").orderBy("seq")
-    each = borders.select("comp_id", "seq", "t0", "t1").join(area, ["comp_id", "seq"]).join(common, ["comp_id", "seq"], "left")
+    each = borders.select("comp_id", "seq", "t0", "t1").join(area.hint("merge"), ["comp_id", "seq"]).join(common.hint("merge"), ["comp_id", "seq"], "left")
     each = each.withColumns({"old_end": F.lag("t1").over(order), "old_area": F.lag("area").over(order)})
     touches = F.abs(F.col("t0") - F.col("old_end")) <= 1e-8 + 1e-5 * F.abs("old_end")
     alike = F.col("common") / F.greatest("area", "old_area") > least
@@ -254,19 +258,20 @@ def split_at_jumps(borders: DataFrame, pixels: DataFrame) -> DataFrame:
     same = F.xxhash64(F.array_sort(F.collect_set(F.struct("x", "y"))))
     shape = pixels.groupBy("comp_id", "seq").agg(same.alias("shape"))
     earlier = pixels.select("comp_id", F.col("seq").alias("old"), "x", "y")
-    met = pixels.join(earlier, ["comp_id", "x", "y"]).where("old < seq").groupBy("comp_id", "seq").agg(F.collect_set("old").alias("met"))
-    rows = borders.select("comp_id", "seq", "t0", "t1").join(shape, ["comp_id", "seq"]).join(met, ["comp_id", "seq"], "left")
+    met = pixels.join(earlier.hint("merge"), ["comp_id", "x", "y"]).where("old < seq").groupBy("comp_id", "seq").agg(F.collect_set("old").alias("met"))
+    rows = borders.select("comp_id", "seq", "t0", "t1").join(shape.hint("merge"), ["comp_id", "seq"]).join(met.hint("merge"), ["comp_id", "seq"], "left")
+
+    each = rows.groupBy("comp_id").agg(F.array_sort(F.collect_list(F.struct("seq", "t0", "t1", "shape", "met"))).alias("rows"))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
+    def walk(entry: str, rows: list[dict]) -> Iterator[tuple]:
         parts: list[list[dict]] = []
-        for row in group.sort_values("seq").to_dict("records"):
-            near = set(row["met"]) if row["met"] is not None else set()
+        for row in rows:
+            near = set(row["met"] or ())
             home = next((part for part in reversed(parts) if part[-1]["seq"] in near), None)
             if home is None:
                 parts.append([row])
             else:
                 home.append(row)
-        out = []
         for n, part in enumerate(parts, 1):
             kept = part[:1]
             for row in part[1:]:
@@ -275,11 +280,16 @@ def split_at_jumps(borders: DataFrame, pixels: DataFrame) -> DataFrame:
                 else:
                     kept[-1]["t1"] = max(kept[-1]["t1"], row["t0"])
                     kept.append(row)
-            name = part[0]["comp_id"] + (f"_part{n}" if len(parts) > 1 else "")
-            out += [(name, row["comp_id"], i, row["t0"], row["t1"]) for i, row in enumerate(kept)]
-        return pd.DataFrame(out, columns=["comp_id", "entry", "seq", "t0", "t1"])
+            name = entry + (f"_part{n}" if len(parts) > 1 else "")
+            yield from ((name, entry, i, row["t0"], row["t1"]) for i, row in enumerate(kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("comp_id", pa.string()), ("entry", pa.string()), ("seq", pa.int32()), ("t0", pa.float64()), ("t1", pa.float64())])
+        for batch in batches:
+            out = [r for entry in batch.to_pylist() for r in walk(entry["comp_id"], entry["rows"])]
+            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in out], kinds)
 
-    return rows.groupBy("comp_id").applyInPandas(walk, "comp_id string, entry string, seq int, t0 double, t1 double")
+    return each.mapInArrow(run, "comp_id string, entry string, seq int, t0 double, t1 double")
 
 
 def free_pixels(canvas: DataFrame, pixels: DataFrame, total: float) -> DataFrame:
