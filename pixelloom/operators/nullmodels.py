@@ -28,7 +28,7 @@ def uniform(log: DataFrame, canvas: Canvas, seed: int = 0) -> DataFrame:
 def pixel_weights(pixels: DataFrame, exponent: float) -> DataFrame:
     """`(x, y, weight)`: area to the `exponent` of the smallest composition that holds a pixel."""
     area = pixels.groupBy("comp_id").agg(F.countDistinct("x", "y").alias("area"))
-    return pixels.join(area, "comp_id").groupBy("x", "y").agg(F.pow(F.min("area").cast("double"), F.lit(exponent)).alias("weight"))
+    return pixels.join(area.hint("merge"), "comp_id").groupBy("x", "y").agg(F.pow(F.min("area").cast("double"), F.lit(exponent)).alias("weight"))
 
 
 def perimeter_weights(pixels: DataFrame) -> DataFrame:
@@ -36,9 +36,9 @@ def perimeter_weights(pixels: DataFrame) -> DataFrame:
     own = pixels.select("comp_id", "x", "y").distinct()
     moves = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
     near = own.withColumn("m", moves).select("comp_id", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"))
-    inner = own.join(near.groupBy("comp_id", "x", "y").agg(F.count("*").alias("n")), ["comp_id", "x", "y"], "left")  # a lone pixel has no neighbour
+    inner = own.join(near.groupBy("comp_id", "x", "y").agg(F.count("*").alias("n")).hint("merge"), ["comp_id", "x", "y"], "left")  # a lone pixel has no neighbour
     edge = inner.where("n is null or n < 4").groupBy("comp_id").agg(F.count("*").alias("perimeter"))
-    return own.join(edge, "comp_id").groupBy("x", "y").agg(F.min("perimeter").cast("double").alias("weight"))
+    return own.join(edge.hint("merge"), "comp_id").groupBy("x", "y").agg(F.min("perimeter").cast("double").alias("weight"))
 
 
 def cumulative(weights: DataFrame) -> DataFrame:

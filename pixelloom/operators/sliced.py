@@ -55,7 +55,7 @@ def class_versions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     ends = classes.select("owners", F.explode(F.array("s_beg", "s_end")).alias("v_beg")).distinct()
     each = ends.withColumn("v_end", F.lead("v_beg").over(Window.partitionBy("owners").orderBy("v_beg"))).where("v_end is not null")
-    held = classes.join(each, "owners").where((F.col("s_beg") <= F.col("v_beg")) & (F.col("s_end") >= F.col("v_end")))
+    held = classes.join(each.hint("merge"), "owners").where((F.col("s_beg") <= F.col("v_beg")) & (F.col("s_end") >= F.col("v_end")))
     members = held.select("owners", "v_beg", "v_end", (F.row_number().over(Window.partitionBy("owners", "v_beg").orderBy("x", "y")) - 1).alias("i"), "x", "y")
     members = write_shared(members, "class-members")
     return members.groupBy("owners", "v_beg", "v_end").agg(F.count("*").alias("n")), members.drop("v_end")
@@ -80,7 +80,7 @@ def class_weights(classes: DataFrame, versions: DataFrame, layers: int, exponent
     areas = layer_areas(classes, layers)
     for k in range(1, layers + 1):
         own = areas.where(F.col("layer") == k).select("slice", F.col("comp_id").alias(f"c{k}"), F.pow(F.col("area").cast("double"), F.lit(exponent)).alias(f"w{k}"))
-        alive = alive.withColumn(f"c{k}", F.get("owners", F.lit(k - 1))).join(own, ["slice", f"c{k}"], "left")
+        alive = alive.withColumn(f"c{k}", F.get("owners", F.lit(k - 1))).join(own.hint("merge"), ["slice", f"c{k}"], "left")
     weights = F.array(*(F.coalesce(f"w{k}", F.lit(unowned)) for k in range(1, layers + 1)))
     return alive.select("slice", "owners", "v_beg", "n", _combined(weights, F.filter("owners", lambda c: c.isNotNull()), how).alias("weight"))
 
@@ -100,7 +100,7 @@ class SlicedWeights:
 
     def pixel_weights(self) -> DataFrame:
         """`(t_beg, t_end, x, y, weight)`: a row for each pixel that weighs anything in each slice."""
-        return self.weights.join(self.members, ["owners", "v_beg"]).join(F.broadcast(self.slices), "slice").select("t_beg", "t_end", "x", "y", "weight")  # a row for each time of the atlas
+        return self.weights.join(self.members.hint("merge"), ["owners", "v_beg"]).join(F.broadcast(self.slices), "slice").select("t_beg", "t_end", "x", "y", "weight")  # a row for each time of the atlas
 
     def parts(self) -> DataFrame:
         """`(slice, owners, v_beg, n, lo, hi)`: each class's part of its slice's unit interval, in the order of its owners."""

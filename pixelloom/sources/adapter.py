@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pixelloom.config import DAY, TEST_CANVAS
 
 ORIGIN_MICROS = 1_704_067_200_000_000  # 2024-01-01 00:00:00 UTC
+#: Rectangles whose pixels one task makes.
+BORDERS_A_PART = 20_000
 #: Event types in the order of their colour numbers.
 KINDS = ("click", "error", "purchase", "signup", "view")
 
@@ -89,12 +91,15 @@ SQL_CHANGES = f"""{SQL_LOG}, {SQL_PIXELS}, member AS (
 
 def many_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As `borders`, from a table that grows: one small rectangle for each customer, on a canvas 97 wide that grows downwards; neighbours overlap."""
+    customers = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey").cast("int")
     x0, y0 = (k * 7) % 97, F.floor(k / 97).cast("int") * 2
-    return read_table(spark, sf_dir, "customer").select(
+    made = customers.select(
         F.concat(F.lit("k"), k.cast("string")).alias("comp_id"), x0.alias("x0"), y0.alias("y0"), (x0 + k % 5).alias("x1"), (y0 + k % 4).alias("y1"),
         ((k % 20) * DAY).alias("t0"), ((k % 20 + 1 + k % 9) * DAY).alias("t1"),
     )
+    # a file of customers is small, and one task would make all of its pixels; a number of parts that is given is kept
+    return made.repartition(max(1, -(-customers.count() // BORDERS_A_PART)), "comp_id")
 
 
 SQL_MANY_BORDERS = """borders AS (
