@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from pixelloom.llm.common import table
 from pixelloom.plans.storage import write_shared
 
-#: Vectors, by the order of their hashes, whose quantiles are the cells' borders. They change the number of candidates, never a result.
+#: Vectors with the smallest hashes, about so many, whose quantiles are the cells' borders. They change the number of candidates, never a result.
 FIT_ROWS = 4096
 #: Bytes of approximations in a block, and queries in a block.
 BLOCK_BYTES = 1 << 16
@@ -48,10 +48,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def fit_borders(distinct: DataFrame, cells: int, width: int) -> np.ndarray:
-    """For each component the borders between its cells, from the quantiles of at most FIT_ROWS vectors."""
-    sample = distinct.orderBy(F.xxhash64("z"), "v").limit(FIT_ROWS).select("z").toArrow().column("z").combine_chunks()
-    return np.quantile(_matrix(sample, width), np.arange(1, cells) / cells, axis=0, method="lower").T.copy() if len(sample) else np.zeros((width, cells - 1))
+def fit_sample(distinct: DataFrame, width: int) -> np.ndarray:
+    """About FIT_ROWS vectors, those with the smallest hashes: a limit on the hash, since the first rows of an order would come to the driver from each task."""
+    n = distinct.count()
+    share = F.pmod(F.xxhash64("z"), F.lit(1 << 30)) < F.lit(-(-(FIT_ROWS << 30) // max(n, 1)))
+    parts = distinct.where(share).select("z").toArrow().column("z").combine_chunks()
+    return _matrix(parts, width)
+
+
+def fit_borders(sample: np.ndarray, cells: int) -> np.ndarray:
+    """For each component the borders between its cells, from the quantiles of a sample."""
+    return np.quantile(sample, np.arange(1, cells) / cells, axis=0, method="lower").T.copy() if len(sample) else np.zeros((sample.shape[1], cells - 1))
 
 
 def approximate(distinct: DataFrame, borders: np.ndarray) -> DataFrame:
@@ -73,17 +80,25 @@ def approximate(distinct: DataFrame, borders: np.ndarray) -> DataFrame:
     return distinct.select("v", "z").mapInArrow(run, "vs binary, cells binary, low binary, high binary")
 
 
-def query_blocks(queries: DataFrame, width: int) -> DataFrame:
-    """Blocks `(block, qs, queries)` of `queries` (v, z)."""
+def query_blocks(queries: DataFrame, sample: np.ndarray, k: int) -> DataFrame:
+    """Blocks `(block, qs, queries, floors)` of `queries` (v, z). A floor is a query's `k`-th best score in the sample, which bounds its `k`-th best of all from below."""
+    width = sample.shape[1]
+    held = queries.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z, v = _matrix(batch.column("z"), width), np.asarray(batch.column("v"))
             for i in range(0, len(v), QUERY_BLOCK):
-                found = {"qs": v[i : i + QUERY_BLOCK].tobytes(), "queries": z[i : i + QUERY_BLOCK].tobytes()}
+                some = z[i : i + QUERY_BLOCK]
+                floors = np.full(len(some), -np.inf)
+                if len(held.value) >= k:
+                    scores = some.astype(np.float64) @ held.value.T.astype(np.float64)
+                    slack = 1e-12 * np.abs(some).max(initial=0).astype(np.float64) * np.abs(held.value).max(initial=0) * width
+                    floors = np.partition(scores, -k, axis=1)[:, -k] - slack
+                found = {"qs": v[i : i + QUERY_BLOCK].tobytes(), "queries": some.tobytes(), "floors": floors.tobytes()}
                 yield pa.RecordBatch.from_pylist([found], pa.schema([(k, pa.binary()) for k in found]))
 
-    return queries.select("v", "z").mapInArrow(run, "qs binary, queries binary").withColumn("block", F.monotonically_increasing_id())
+    return queries.select("v", "z").mapInArrow(run, "qs binary, queries binary, floors binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,27 +115,27 @@ def bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray,
 def candidates(pairs: DataFrame, borders: np.ndarray, k: int) -> DataFrame:
     """`(q, v, low, high)` of those pairs of a query and a vector whose bounds leave a place among the best `k` open.
 
-    Blocks of cells that come after each other for one block of queries share its best lower bounds so far.
+    Blocks of cells that come after each other for one block of queries share its best lower bounds so far, and never ask for less than its floors.
     """
     width = len(borders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, best, q, qs = None, None, None, None
+        held, best, floors, q, qs = None, None, None, None, None
         for batch in batches:
             for row in batch.to_pylist():
                 if row["block"] != held:
                     held, qs = row["block"], np.frombuffer(row["qs"], np.int64)
                     q = np.frombuffer(row["queries"], np.int32).reshape(len(qs), width).astype(np.float64)
-                    best = np.full((len(qs), k), -np.inf)
+                    best, floors = np.full((len(qs), k), -np.inf), np.frombuffer(row["floors"], np.float64)
                 vs = np.frombuffer(row["vs"], np.int64)
                 cells = np.frombuffer(row["cells"], np.uint8).reshape(len(vs), width)
                 low, high = bounds(q, cells, *(np.frombuffer(row[c], np.int32) for c in ("low", "high")), borders)
                 first = np.partition(low, max(0, len(vs) - k), axis=1)[:, -k:]
                 best = np.partition(np.concatenate([best, first], axis=1), -k, axis=1)[:, -k:]
-                i, j = np.nonzero(high >= best[:, :1])
+                i, j = np.nonzero(high >= np.maximum(best[:, 0], floors)[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(qs[i]), pa.array(vs[j]), pa.array(low[i, j]), pa.array(high[i, j])], ["q", "v", "low", "high"])
 
-    return pairs.select("block", "qs", "queries", "vs", "cells", "low", "high").mapInArrow(run, "q long, v long, low double, high double")
+    return pairs.select("block", "qs", "queries", "floors", "vs", "cells", "low", "high").mapInArrow(run, "q long, v long, low double, high double")
 
 
 def _kth(found: DataFrame, value: str, k: int) -> DataFrame:
@@ -137,7 +152,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str
     whose vector is null or holds null, non-finite or very large components (LIMIT) take no part. A shorter vector counts as filled up with
     zeros. A repeated id is a row of its own: it is queried again, and finds its copies. At most 256 cells. Other columns aren't looked at.
     """
-    spark = rows.sparkSession
+    spark = rows.sparkSession  # stored vectors take a fourth of their size or less, by which Spark would broadcast them through the driver: joins ask for a merge
     parts = replicas or int(spark.conf.get("spark.sql.shuffle.partitions"))
     usable = whole_vectors(rows.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("query")), "vector", scale).select("id", "query", "z")
     usable = write_shared(usable.withColumn("row", F.monotonically_increasing_id()), "vectors")
@@ -145,12 +160,13 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str
     firsts = usable.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("z").agg(F.collect_list(F.struct("place", "id", "row")).alias("members"))
     distinct = write_shared(firsts.withColumn("v", F.monotonically_increasing_id()), "distinct-vectors")
     width = distinct.agg(F.max(F.size("z"))).first()[0] or 0
-    asked = write_shared(usable.where("query").select("id", "row", "z").join(distinct.select("v", "z"), "z").select("id", "row", "v"), "queries")
-    wanted = write_shared(distinct.join(asked.select("v").distinct(), "v", "left_semi").select("v", "z"), "query-vectors")
-    borders = fit_borders(distinct, cells, width)
+    asked = write_shared(usable.where("query").select("id", "row", "z").join(distinct.select("v", "z").hint("merge"), "z").select("id", "row", "v"), "queries")
+    wanted = write_shared(distinct.join(asked.select("v").distinct().hint("merge"), "v", "left_semi").select("v", "z"), "query-vectors")
+    sample = fit_sample(distinct, width)
+    borders = fit_borders(sample, cells)
     blocks = approximate(distinct, borders).withColumn("part", F.pmod(F.xxhash64("vs"), F.lit(parts)).cast("int"))
-    near = query_blocks(wanted.repartition(max(1, -(-wanted.count() // QUERY_BLOCK))), width).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = write_shared(near, "query-blocks").join(write_shared(blocks, "approximations"), "part")
+    near = query_blocks(wanted.repartition(max(1, -(-wanted.count() // QUERY_BLOCK))), sample, k + 1).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = write_shared(near, "query-blocks").join(write_shared(blocks, "approximations").hint("merge"), "part")
     found = write_shared(candidates(pairs, borders, k + 1), "candidates")
     open_ = found.join(_kth(found, "low", k + 1), "q").where("high >= least").select("q", "v", "high")
     open_ = write_shared(open_.withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("high"), "v"))), "open")
@@ -161,7 +177,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str
     score = F.aggregate(product, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def read(some: DataFrame) -> DataFrame:
-        return some.select("q", "v").join(exact, "v").join(zq, "q").select("q", score.alias("score"), "members")
+        return some.select("q", "v").join(exact.hint("merge"), "v").join(zq.hint("merge"), "q").select("q", score.alias("score"), "members")
 
     first = write_shared(read(open_.where(F.col("turn") <= 2 * (k + 1))), "read-first")
     rest = open_.where(F.col("turn") > 2 * (k + 1)).join(_kth(first, "score", k + 1), "q").where("high >= least")
@@ -169,7 +185,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id: str = "vec_id", vector: str
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("found").asc_nulls_last(), "row")
     top = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     top = write_shared(top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "found", "row", "score"))).alias("top")), "best")
-    own = asked.join(top, asked["v"] == top["q"]).select(F.col("id").alias("query_id"), F.slice(F.filter("top", lambda t: t["row"] != F.col("row")), 1, k).alias("top"))
+    own = asked.join(top.hint("merge"), asked["v"] == top["q"]).select(F.col("id").alias("query_id"), F.slice(F.filter("top", lambda t: t["row"] != F.col("row")), 1, k).alias("top"))
     ranked = own.select("query_id", F.posexplode("top").alias("at", "t"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("t.found").alias(id), F.col("t.score").alias("score"))
 

@@ -63,3 +63,23 @@ def test_bounds_hold_and_leave_few_open():
 def test_sql(spark, sf_dir):
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW embeddings AS FROM '{sf_dir}/embeddings.parquet'")
     assert sorted(map(tuple, vector_search.op12_exact_top_k(spark, sf_dir).collect())) == sorted(duckdb.sql(vector_search.SQL).fetchall())
+
+
+def test_little_comes_to_the_driver(spark, tmp_path):
+    """Neither the sample nor a join sends the vectors of every task to the driver; no stage sends as much as the table"""
+    import time
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 32)]) for i in range(8000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8).write.parquet(str(tmp_path / "embeddings.parquet"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    lists = spark._jvm.scala.jdk.javaapi.CollectionConverters
+    stages = lambda: lists.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    before = {s.stageId() for s in stages()}
+    assert vector_search.op12_exact_top_k(spark, str(tmp_path)).count() == 800
+    time.sleep(1)
+    sent = [
+        sum(t.taskMetrics().get().resultSize() for t in lists.asJava(store.taskList(s.stageId(), s.attemptId(), 10_000)) if t.taskMetrics().isDefined())
+        for s in stages() if s.stageId() not in before
+    ]
+    assert sent and max(sent) < 8000 * 32 * 4 * 0.6
