@@ -9,6 +9,7 @@ from pixelloom.config import TEST_CANVAS
 from pixelloom.functions.columns import original_stamp, palette_size, red_green_blue, safe_ratio
 from pixelloom.operators import preparation
 from pixelloom.plans.canvas_queries import rounded
+from pixelloom.plans.storage import write_shared
 from pixelloom.sources import adapter, raw_logs
 from pixelloom.sources.adapter import SQL_LOG, SQL_SECTIONS
 
@@ -35,7 +36,7 @@ def _events(spark: SparkSession, sf_dir: str, color_last: bool = False) -> DataF
 
 
 def _condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
+    events = write_shared(_events(spark, sf_dir), "events")  # parsed once for both dictionaries and the log
     return raw_logs.condense(events, raw_logs.dense_colors(events), raw_logs.dense_users(events))
 
 

@@ -106,13 +106,14 @@ def _csv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw lines written as text files of a header and one kind of event each, read again and numbered by file and place."""
+    """Raw lines written as text of a header and one kind of event each, read again and numbered by kind and place. A kind is stored in parts, in the order of their names, so that no task writes it all."""
     path = new_path(spark, "raw-lines")
     lines = prep.raw_lines(spark, sf_dir).withColumn("file", F.col("event_id") % 3).select("file", "event_id", "line")
     head = spark.range(3).select(F.col("id").alias("file"), F.lit(-1).cast("long").alias("event_id"), F.lit("timestamp,user_id,pixel_color,coordinate").alias("line"))
-    ordered = lines.unionByName(head).repartitionByRange(3, "file").sortWithinPartitions("file", "event_id")
+    ordered = lines.unionByName(head).repartitionByRange("file", "event_id").sortWithinPartitions("file", "event_id")
     ordered.select("file", F.col("line").alias("value")).write.partitionBy("file").option("maxRecordsPerFile", 0).text(path)
-    numbered = raw_logs.event_numbers(raw_logs.parse_lines(raw_logs.read_lines(spark, path), prep.ORIGIN))
+    parts = raw_logs.read_lines(spark, path).withColumn("ordinal", F.struct("file", "ordinal")).withColumn("file", F.regexp_extract("file", r"/(file=\d+)/", 1))
+    numbered = raw_logs.event_numbers(raw_logs.parse_lines(parts, prep.ORIGIN))
     return raw_logs.expand_shapes(numbered).select("event_id", F.round("seconds", 3).alias("seconds"), "user_hash", "hex", "x", "y", "moderator")
 
 

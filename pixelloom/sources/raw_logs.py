@@ -41,10 +41,17 @@ def parse_lines(lines: DataFrame, origin: str, color_last: bool = False) -> Data
 
 
 def event_numbers(parsed: DataFrame, per_file: int = 10_000_000) -> DataFrame:
-    """Add `event_id`: number of the file (by name) times `per_file` plus the line's place in it. One number for all pixels of an event."""
-    files = parsed.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")) - 1)  # files, not lines
-    place = F.row_number().over(Window.partitionBy("file").orderBy("ordinal")) - 1
-    return parsed.join(F.broadcast(files), "file").withColumn("event_id", F.col("file_no") * per_file + place).drop("file_no", "file", "ordinal")
+    """Add `event_id`: number of the file (by name) times `per_file` plus the line's place in it. One number for all pixels of an event.
+
+    Lines are range-partitioned by file and place, and written with their partition's number; each partition numbers its own, so that no task sorts a file.
+    """
+    dealt = write_shared(parsed.repartitionByRange("file", "ordinal").withColumn("block", F.spark_partition_id()), "lines")
+    counts = dealt.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "block", (F.dense_rank().over(Window.orderBy("file")) - 1).alias("file_no"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row for each block
+    place = F.row_number().over(Window.partitionBy("block", "file").orderBy("ordinal")) - 1
+    numbered = dealt.withColumn("place", place).join(F.broadcast(offsets), ["file", "block"])
+    return numbered.withColumn("event_id", F.col("file_no") * per_file + F.col("offset") + F.col("place")).drop("file_no", "file", "ordinal", "block", "offset", "place")
 
 
 def expand_shapes(parsed: DataFrame) -> DataFrame:

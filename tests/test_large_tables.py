@@ -28,3 +28,16 @@ def test_pixels_are_made_in_several_tasks(spark, many_customers, name):
     """One small file is one task; 45,000 rectangles are three."""
     plan = __spark_entry__.queries()[name](spark, many_customers)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "comp_id" in plan.split("REPARTITION_BY_NUM")[0].rsplit("hashpartitioning", 1)[1]
+
+
+def test_no_task_numbers_a_whole_file(spark, sf_dir):
+    """Lines are numbered within range partitions, also of one file in several, and in their order."""
+    from pyspark.sql import functions as F
+
+    from pixelloom.sources.raw_logs import event_numbers
+
+    lines = spark.range(3000).select(F.concat(F.lit("f"), F.col("id") % 2).alias("file"), F.col("id").alias("ordinal"), F.col("id").alias("was")).repartition(7)
+    numbered = event_numbers(lines, 10_000)
+    assert {r.was: r.event_id for r in numbered.collect()} == {i: i % 2 * 10_000 + i // 2 for i in range(3000)}
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(block" in plan and "windowspecdefinition(file#" not in plan.split("row_number()")[1].split("AS")[0]
