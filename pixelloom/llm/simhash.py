@@ -28,14 +28,23 @@ PARTS = ((4, 2_000_000), (8, 1_000_000_000), (16, None))
 BLOCK = 1024
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """SimHash of the word shingles of a UTF-8 text; 0 if it has no words."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of a UTF-8 text, repeats included; all words are one shingle if there are fewer."""
     words = text.lower().split() if text else []  # bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), "<u8", max(1, len(words) - shingle + 1))
+    return np.fromiter((digest(s, 42) for s in shingles), "<u8", max(1, len(words) - shingle + 1))
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """SimHash of the word shingles of a UTF-8 text; 0 if it has no words."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of the hashes of a text's shingles."""
     ones = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         some = hashes[part : part + (1 << 16)]

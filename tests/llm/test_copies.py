@@ -118,3 +118,14 @@ def test_recall_by_similarity(docs_of):
         band = [m for m, s in zip(met, similar, strict=True) if low <= s < low + 0.05 + 1e-9]
         assert len(band) > 300 and sum(band) / len(band) >= 0.999
     assert len(set(found.values())) >= len(similar)  # no two pairs are joined
+
+
+def test_simhash_proposes_and_similarity_decides(docs_of, monkeypatch):
+    """Without any min-hash band the copies within two bits are found, and no text of the same fingerprint that isn't similar."""
+    monkeypatch.setattr(copies, "bands", lambda hashes: hashes[:0].view("int64"))
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(4000)]
+    texts = [" ".join(base), " ".join([*base, "more"]), "same " * 900 + "a b c", "same " * 900 + "d e f", None, " ".join(base[:100])]
+    bits = lambda i, j: (simhash.fingerprint(texts[i].encode(), 5) ^ simhash.fingerprint(texts[j].encode(), 5)).bit_count()
+    assert bits(0, 1) <= 2 and bits(2, 3) <= 2
+    assert {r.doc_id: r.component_id for r in copies.near_copies(docs_of(texts)).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
