@@ -31,6 +31,24 @@ def attack_defense(agreed: DataFrame) -> DataFrame:
     )
 
 
+def counts_and_fights(changes: DataFrame, ref: DataFrame, width: float) -> DataFrame:
+    """`changes.change_counts` with the figures of `attack_defense` but its `n_users`: changes are grouped by user once for both. Those at a pixel and bin without reference are neither attack nor defence."""
+    binned = in_bins(changes, width).where("active").join(ref, [*PIXEL, "bin"], "left").withColumn("defense", F.col("color") == F.col("ref"))
+    kinds = {"n_moderator": "moderator", "n_cheat": "cooldown_cheat", "n_redundant_col": "redundant_col", "n_redundant_colanduser": "redundant_colanduser"}
+    users = binned.groupBy(*BIN, "user").agg(
+        F.count("*").alias("n_changes"), *(count_if(F.col(c)).alias(n) for n, c in kinds.items()), count_if(F.col("defense")).alias("d"), count_if(~F.col("defense")).alias("a")
+    )
+    return users.groupBy(*BIN).agg(
+        *(F.sum(n).alias(n) for n in ("n_changes", *kinds)),
+        F.count("user").alias("n_users"),
+        F.sum("d").alias("n_defense"),
+        F.sum("a").alias("n_attack"),
+        count_if((F.col("d") == 0) & (F.col("a") > 0)).alias("n_attackonly_users"),
+        count_if((F.col("a") == 0) & (F.col("d") > 0)).alias("n_defenseonly_users"),
+        count_if((F.col("a") > 0) & (F.col("d") > 0)).alias("n_bothattdef_users"),
+    )
+
+
 def user_bins(changes: DataFrame, width: float) -> DataFrame:
     return in_bins(changes, width).where("active").select(*BIN, "user").distinct()
 

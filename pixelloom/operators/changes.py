@@ -29,19 +29,34 @@ def changes_in_comps(log: DataFrame, pixels: DataFrame) -> DataFrame:
     return joined.withColumn("active", inside).drop("ranges")
 
 
-def with_flags(changes: DataFrame, cooldown: float) -> DataFrame:
-    """Add `redundant_col`, `redundant_colanduser` and `cooldown_cheat`.
+def with_redundancy(changes: DataFrame, pixel: list[str]) -> DataFrame:
+    """Add `redundant_col` and `redundant_colanduser`: the colour (and user) of the pixel's previous change. Equal times go by event_id.
 
-    Redundant: the colour (and user) of the pixel's previous change in the composition. Cheat: the user's previous change there that is no
-    moderator's is less than `cooldown` seconds back; moderators' changes always count. Equal times go by event_id.
+    A composition holds all changes of its pixels, so a log by x and y gives the same flags before it meets the compositions as each of them would after.
     """
-    pixel = Window.partitionBy("comp_id", "x", "y").orderBy(*TIME)
+    order = Window.partitionBy(*pixel).orderBy(*TIME)
+    same = F.coalesce(F.col("color") == F.lag("color").over(order), F.lit(False))
+    both = same & F.coalesce(F.col("user") == F.lag("user").over(order), F.lit(False))
+    return changes.withColumns({"redundant_col": same, "redundant_colanduser": both})
+
+
+def with_neighbours(log: DataFrame) -> DataFrame:
+    """Add `since` and `next`: the times of the pixel's changes before and after each."""
+    order = Window.partitionBy("x", "y").orderBy(*TIME)
+    return log.withColumns({"since": F.lag("seconds").over(order), "next": F.lead("seconds").over(order)})
+
+
+def with_cheats(changes: DataFrame, cooldown: float) -> DataFrame:
+    """Add `cooldown_cheat`: the user's previous change in the composition that is no moderator's is less than `cooldown` seconds back; moderators' changes always count."""
     earlier = Window.partitionBy("comp_id", "user").orderBy(*TIME).rowsBetween(Window.unboundedPreceding, -1)
-    same = F.coalesce(F.col("color") == F.lag("color").over(pixel), F.lit(False))
-    both = same & F.coalesce(F.col("user") == F.lag("user").over(pixel), F.lit(False))
     last = F.max(F.when(~F.col("moderator"), F.col("seconds"))).over(earlier)
     cheat = F.col("moderator") | F.coalesce(F.col("seconds") - last < cooldown, F.lit(False))
-    return changes.withColumns({"redundant_col": same, "redundant_colanduser": both, "cooldown_cheat": cheat})
+    return changes.withColumn("cooldown_cheat", cheat)
+
+
+def with_flags(changes: DataFrame, cooldown: float) -> DataFrame:
+    """Add `redundant_col`, `redundant_colanduser` and `cooldown_cheat` to changes in compositions."""
+    return with_cheats(with_redundancy(changes, ["comp_id", "x", "y"]), cooldown)
 
 
 def in_bins(changes: DataFrame, width: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelloom.operators.changes import TIME
+from pixelloom.operators.changes import TIME, with_neighbours
 
 PIXEL = ["comp_id", "x", "y"]
 
@@ -27,15 +27,32 @@ def intervals(log: DataFrame, pixels: DataFrame, white: int, opened: Column) ->
     All changes count, active or not. The first colour is that of the last change strictly before t0. `opened` is the time at which the pixel's canvas section opens; the clock
     starts there. Changes exactly at t0 belong to no bin and are left out.
     """
-    life = pixels.groupBy(*PIXEL).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
-    joined = life.join(log.select("x", "y", "color", *TIME), ["x", "y"])
-    first = joined.where("seconds < t0").groupBy(*PIXEL).agg(F.max_by("color", F.struct(*TIME)).alias("color"))
-    starts = life.join(first, PIXEL, "left").select(
-        *PIXEL, "t0", "t1", F.coalesce("color", F.lit(white)).alias("color"), F.col("t0").alias("seconds"), F.lit(-1).cast("long").alias("event_id")
+    placed = with_neighbours(log.select("x", "y", "color", *TIME))
+    return stays_of(placed, first_stays(placed, pixels, white), pixels, opened)
+
+
+def _lives(pixels: DataFrame) -> DataFrame:
+    return pixels.groupBy(*PIXEL).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+
+
+def first_stays(log: DataFrame, pixels: DataFrame, white: int) -> DataFrame:
+    """`(comp_id, x, y, t0, t1, color, seconds, next)`: a row for each pixel of a composition, its colour at t0 and the time of its first change after that. log: of `with_neighbours`.
+
+    Of a pixel's changes, only the last before t0, those at t0 and a first one after t0 tell; these are few.
+    """
+    life = _lives(pixels)
+    s, after = F.col("seconds"), F.col("next")
+    around = ((s <= F.col("t0")) & F.coalesce(after >= F.col("t0"), F.lit(True))) | ((s > F.col("t0")) & F.col("since").isNull())
+    known = life.join(log.select("x", "y", "color", "seconds", "since", "next"), ["x", "y"]).where(around).groupBy(*PIXEL).agg(
+        F.max(F.when(s < F.col("t0"), F.col("color"))).alias("color"), F.min(F.when(s > F.col("t0"), s).when(after > F.col("t0"), after)).alias("next")
     )
-    later = joined.where("seconds > t0 and seconds < t1").select(*PIXEL, "t0", "t1", "color", "seconds", "event_id")
-    order = Window.partitionBy(*PIXEL).orderBy(*TIME)
-    stays = starts.unionByName(later).withColumn("end", F.coalesce(F.lead("seconds").over(order), F.col("t1")))
+    return life.join(known, PIXEL, "left").select(*PIXEL, "t0", "t1", F.coalesce("color", F.lit(white)).alias("color"), F.col("t0").alias("seconds"), "next")
+
+
+def stays_of(log: DataFrame, first: DataFrame, pixels: DataFrame, opened: Column) -> DataFrame:
+    """`intervals` from a log of `with_neighbours` and its `first_stays`. Every row is made of one change, so nothing is dealt out or sorted for each composition."""
+    inside = _lives(pixels).join(log.select("x", "y", "color", "seconds", "next"), ["x", "y"]).where("seconds > t0 and seconds < t1")
+    stays = first.unionByName(inside).withColumn("end", F.least("next", "t1"))
     return stays.select(*PIXEL, "color", F.greatest("seconds", opened).alias("beg"), "end", "t0", "t1").where("end > beg")
 
 
@@ -111,8 +128,8 @@ def window_totals(times: DataFrame, window: int) -> DataFrame:
     Totals change only where a bin enters or leaves the window, so there are two rows at most for each row of `times`, whatever the window. All is
     dealt by pixel once.
     """
-    leaves = times.select(*PIXEL, "color", (F.col("bin") + window).alias("bin"), F.lit(0.0).alias("secs"))
-    marks = times.select(*PIXEL, "color", "bin", "secs").unionByName(leaves).repartition(*PIXEL).groupBy(*PIXEL, "color", "bin").agg(F.sum("secs").alias("secs"))
+    both = F.array(F.struct("bin", "secs"), F.struct((F.col("bin") + window).alias("bin"), F.lit(0.0).alias("secs")))  # not a union, for which times would be made twice
+    marks = times.select(*PIXEL, "color", F.inline(both)).repartition(*PIXEL).groupBy(*PIXEL, "color", "bin").agg(F.sum("secs").alias("secs"))
     line = Window.partitionBy(*PIXEL, "color").orderBy("bin")
     return marks.select(*PIXEL, "color", "bin", F.lead("bin").over(line).alias("next"), F.sum("secs").over(line.rangeBetween(-(window - 1), 0)).alias("total")).where("total > 0")
 

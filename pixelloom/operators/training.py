@@ -129,10 +129,10 @@ def choose_variables(rows: DataFrame, chosen: list[Variable], window: int, fine:
     order = Window.partitionBy("comp_id").orderBy("bin")
     base = lambda n: F.coalesce(F.avg(n).over(order.rowsBetween(-window, -1)), F.col(n))
     made = {v.column: safe_ratio(F.col(v.name), base(v.name), 1.0, 1.0) if v.ratio else F.col(v.name) for v in chosen if not v.kendall}
-    ready = rows.select("comp_id", "bin", *(c.cast("double").alias(n) for n, c in made.items()))
-    for v in (v for v in chosen if v.kendall):
-        long = rows.select("comp_id", F.lit(v.name).alias("variable"), "bin", F.col(v.name).cast("double").alias("val"))
-        ready = ready.join(series.rolling_kendall(long).select("comp_id", "bin", F.col("tau").alias(v.column)), ["comp_id", "bin"])
+    ranked = {v.column: v.name for v in chosen if v.kendall}
+    ready = rows.select("comp_id", "bin", *(c.cast("double").alias(n) for n, c in made.items()), *(F.col(name).cast("double").alias(n) for n, name in ranked.items()))
+    for n in ranked:  # in the rows' own order, so that they are read once
+        ready = series.rolling_kendall(ready.withColumn("val", F.col(n)), keys=["comp_id"]).withColumn(n, F.col("tau")).drop("val", "tau")
     ranges = {v.column: coarse if v.coarse else fine for v in chosen}
     means = [F.avg(n).over(order.rowsBetween(-b, -a)).alias(f"{n}_t_{a}_{b}") for n, of in ranges.items() for a, b in of]
     return ready.select("comp_id", "bin", *means)

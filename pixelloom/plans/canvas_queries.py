@@ -15,8 +15,8 @@ WIDTH = TEST_CANVAS.bin_width
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All changes inside compositions, with flags."""
-    found = changes.changes_in_comps(adapter.pixel_log(spark, sf_dir), changes.rectangle_pixels(adapter.borders(spark, sf_dir)))
-    return changes.with_flags(found, TEST_CANVAS.cooldown)
+    log = changes.with_redundancy(adapter.pixel_log(spark, sf_dir), ["x", "y"])
+    return changes.with_cheats(changes.changes_in_comps(log, changes.rectangle_pixels(adapter.borders(spark, sf_dir))), TEST_CANVAS.cooldown)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def opened(canvas: Canvas):
 
 
 class State:
-    """The tables that several queries start from. Stays, and the colour times made of them, are written once where several tables need them."""
+    """The tables that several queries start from. The log in the order of its pixels, and the colour times made of it, are written once where several tables need them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.log = adapter.pixel_log(spark, sf_dir)
@@ -36,12 +36,17 @@ class State:
         self._best: DataFrame | None = None
 
     def shared_stays(self) -> State:
-        self.stays = write_shared(self.stays, "stays")
+        """Each pixel's changes are dealt and sorted once, whatever the number of compositions; all other tables are made of the written ones row by row."""
+        log = write_shared(changes.with_neighbours(changes.with_redundancy(self.log, ["x", "y"])), "ordered-log")
+        first = write_shared(state.first_stays(log, self.pixels, TEST_CANVAS.white), "first-stays")
+        self.stays = state.stays_of(log, first, self.pixels, opened(TEST_CANVAS))
         self.times = state.color_time(self.stays, WIDTH)
+        self.changes = changes.with_cheats(changes.changes_in_comps(log.drop("since", "next"), self.pixels), TEST_CANVAS.cooldown)
         return self
 
     def shared(self) -> State:
-        self.shared_stays().times = write_shared(self.times, "color-time")
+        self.shared_stays()  # first: the times are of the written log
+        self.times = write_shared(self.times, "color-time")
         return self
 
     def both_ways(self) -> State:

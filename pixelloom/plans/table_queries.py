@@ -30,16 +30,18 @@ SEVERAL = [f"{c}_t_0_0" for c in (*COUNTED, "off_share")]
 REJECTED, AT_MOST = 0.3, 5 * DAY
 
 
-def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eleven variables of every composition and bin, 0 where nothing happened."""
-    s = State(spark, sf_dir).shared()
+def variables(spark: SparkSession, sf_dir: str, s: State | None = None) -> DataFrame:
+    """Eleven variables of every composition and bin, 0 where nothing happened. s: the state, if its log is written already.
+
+    They are not written, so that what a query doesn't ask for isn't made: who reads them more than once writes them.
+    """
+    s = s or State(spark, sf_dir).shared_stays()
     every = state.life_bins(s.pixels, WIDTH).select("comp_id", F.explode(F.sequence(F.lit(1), "n_bins")).alias("bin"))
-    ref = s.ref()
+    ref = write_shared(s.ref(), "ref")
     share = s.instant().join(ref, ["comp_id", "x", "y", "bin"]).groupBy("comp_id", "bin").agg(F.avg((F.col("inst") != F.col("ref")).cast("double")).alias("off_share"))
-    fought = ad.attack_defense(ad.agreement(s.changes, ref, WIDTH)).select("comp_id", "bin", *FOUGHT)
     key = ["comp_id", "bin"]
-    wide = every.join(changes.change_counts(s.changes, WIDTH), key, "left").join(share, key, "left").join(fought, key, "left")
-    return write_shared(wide.na.fill(0).select(*key, *COUNTED, *FOUGHT, "off_share"), "variables")
+    wide = every.join(ad.counts_and_fights(s.changes, ref, WIDTH), key, "left").join(share, key, "left")
+    return wide.na.fill(0).select(*key, *COUNTED, *FOUGHT, "off_share")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +185,7 @@ QUERIES = {
     "d5_training_rows": _training_rows,
     "d6_recovered_rejects": lambda s, d: training.recovered_rejects(comps.pixels(s, d).where("comp_id like 'c1%'"), rejected(s, d)),
     "d8_clean_features": lambda s, d: (lambda x: unsigned(rounded(x, *x.columns[2:])))(training.clean_features(features(s, d), [], ["n_cheat", "n_moderator"], {"n_users": ["0_0", "4_7"]}, ["off_share_ratio", "n_changes_ratio"])),
-    "d13_correlation_matrix": lambda s, d: rounded(training.correlation_matrix(features(s, d).na.fill(0.0), SEVERAL), "correlation"),
+    "d13_correlation_matrix": lambda s, d: rounded(training.correlation_matrix(write_shared(features(s, d).na.fill(0.0).select("comp_id", "bin", *SEVERAL), "features"), SEVERAL), "correlation"),
     "d13_variable_correlations": _of(lambda t: rounded(training.variable_correlations(_matrix(t)), "correlation")),
     "x4_merged_periods": _rows_over(ABS),
     "e4_precision_recall_area": _of(lambda t: rounded(evaluation.precision_recall_area(evaluation.threshold_counts(t.predictions(), TRUTH, [4.0, 8.0, 12.0, 16.0, 20.0])), "pr_auc")),
