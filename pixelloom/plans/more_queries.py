@@ -51,18 +51,24 @@ def jumping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.select("comp_id", "seq", "t0", "t1"), across.select("comp_id", "seq", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
 
 
-def five_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = variables(spark, sf_dir).select("comp_id", "bin", *(F.col(c).cast("double").alias(c) for c in FIVE))
+def five_series(spark: SparkSession, sf_dir: str, s: State) -> DataFrame:
+    wide = variables(spark, sf_dir, s).select("comp_id", "bin", *(F.col(c).cast("double").alias(c) for c in FIVE))
     return wide.unpivot(["comp_id", "bin"], list(FIVE), "variable", "val")
 
 
-def _found_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_shared(_found(write_shared(difference_series(spark, sf_dir), "difference")), "transitions")
+def _found_in(spark: SparkSession, sf_dir: str, s: State) -> DataFrame:
+    return write_shared(_found(write_shared(difference_series(spark, sf_dir, s), "difference")), "transitions")
+
+
+def _half_maximum_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = State(spark, sf_dir).both_ways()
+    found = transitions.half_maximum_starts(five_series(spark, sf_dir, s), _found_in(spark, sf_dir, s))
+    return rounded(found, "mean", "median", "deviation")
 
 
 def _transition_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = State(spark, sf_dir).shared()
-    return transitions.transition_images(_found_in(spark, sf_dir), s.ref(), s.instant())
+    s = State(spark, sf_dir).both_ways()
+    return transitions.transition_images(_found_in(spark, sf_dir, s), s.ref(), s.instant())
 
 
 def _groups(make):
@@ -98,7 +104,7 @@ QUERIES = {
     "c19_size_distribution_of_many": lambda s, d: compositions.size_distribution(many(s, d)),
     "m2_area_weights_of_many": lambda s, d: rounded(nullmodels.pixel_weights(many(s, d), 0.5), "weight"),
     "m3_perimeter_weights_of_many": lambda s, d: nullmodels.perimeter_weights(many(s, d)),
-    "x5_half_maximum_starts": lambda s, d: rounded(transitions.half_maximum_starts(five_series(s, d), _found_in(s, d)), "mean", "median", "deviation"),
+    "x5_half_maximum_starts": _half_maximum_starts,
     "x7_transition_images": lambda s, d: rounded(_transition_images(s, d), "before_after", "before_amid", "amid_after"),
     "t12_differing_blocks_of_four": _differing(4),
     "t26_lifetime_groups": _groups(ad.lifetime_groups),

@@ -24,10 +24,10 @@ def count_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("comp_id", F.lit("changes").alias("variable"), "bin", F.coalesce("n_changes", F.lit(0)).cast("double").alias("val"))
 
 
-def difference_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def difference_series(spark: SparkSession, sf_dir: str, s: State | None = None) -> DataFrame:
     """Share of pixels off their reference at each bin's end (`val`), and off the reference of the window ahead (`fwd_val`, 0 where there is none), either with its ratio to the
-    mean before; the bin's end `t`, and whether it lies a window into a range of stable borders."""
-    s = State(spark, sf_dir).both_ways()
+    mean before; the bin's end `t`, and whether it lies a window into a range of stable borders. s: the state, if it is known both ways already."""
+    s = s or State(spark, sf_dir).both_ways()
     joined = s.instant().join(s.ref(), ["comp_id", "x", "y", "bin"]).join(s.forward(), ["comp_id", "x", "y", "bin"], "left")
     off = lambda ref: F.avg(F.coalesce((F.col("inst") != F.col(ref)).cast("double"), F.lit(0.0)))
     share = joined.groupBy("comp_id", "bin").agg(off("ref").alias("val"), off("ref_fwd").alias("fwd_val"))

@@ -82,3 +82,7 @@ def _reads_of_events(monkeypatch, spark, sf_dir, name: str) -> int:
 
 def test_clean_features_read_events_once(monkeypatch, spark, sf_dir):
     assert _reads_of_events(monkeypatch, spark, sf_dir, "d8_clean_features") == 1
+
+
+def test_half_maximum_starts_read_events_once(monkeypatch, spark, sf_dir):
+    assert _reads_of_events(monkeypatch, spark, sf_dir, "x5_half_maximum_starts") == 1
