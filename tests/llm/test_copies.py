@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -129,3 +130,26 @@ def test_simhash_proposes_and_similarity_decides(docs_of, monkeypatch):
     bits = lambda i, j: (simhash.fingerprint(texts[i].encode(), 5) ^ simhash.fingerprint(texts[j].encode(), 5)).bit_count()
     assert bits(0, 1) <= 2 and bits(2, 3) <= 2
     assert {r.doc_id: r.component_id for r in copies.near_copies(docs_of(texts)).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
+@pytest.mark.parametrize("sample", [8192, 40])
+def test_pairs_that_no_band_proposes_are_found(docs_of, monkeypatch, sample):
+    """Without min-hash bands, and with SimHash alone, all groups are still those of all pairs; whatever hashes are taken for common."""
+    monkeypatch.setattr(copies, "bands", lambda hashes: hashes[:0].view("int64"))
+    monkeypatch.setattr(copies, "SAMPLE_TEXTS", sample)
+    monkeypatch.setattr(copies, "COMMON", 2)
+    texts = planted(5)
+    expected, n = brute(texts)
+    assert n > 100
+    assert {r.doc_id: r.component_id for r in copies.near_copies(docs_of(texts)).collect()} == dict(enumerate(expected))
+
+
+def test_texts_that_share_common_lines_only_are_not_asked(docs_of):
+    """A line that many texts share makes no pairs: its hashes are the last ones of every text."""
+    rng = random.Random(2)
+    texts = [" ".join([*(f"w{rng.randrange(9000)}" for _ in range(60)), *"this one line of many words stands in each and every text here".split()]) for _ in range(120)]
+    docs = docs_of(texts)
+    common = copies.common_hashes(docs, len(texts))
+    assert len(common) == 9
+    shared = copies.prefixes(docs, common).groupBy("key").count().where("count > 1").count()
+    assert shared == 0 < copies.prefixes(docs, common[:0]).groupBy("key").count().where("count > 1").count()
